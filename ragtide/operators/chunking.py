@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 from ragtide.functions.text import (
     CHUNK_SIZE, HEADER_MARKER, UTTERANCE_PREFIX, chunk_array, is_blank, py_strip,
 )
-from ragtide.operators.ids import dense_index
+from ragtide.operators.ids import dense_index, range_bounds
+
+# A document has fewer than 2^23 chunks of 500 characters (strings are < 2 GiB).
+_CHUNK_BITS = 23
 
 
 def chunk_documents(docs: DataFrame, *, content_col: str = "content", size: int = CHUNK_SIZE,
@@ -24,15 +27,27 @@ def chunk_documents(docs: DataFrame, *, content_col: str = "content", size: int
             .withColumn("chunk_index", F.col("chunk_index").cast("long")))
 
 
+def first_chunk(docs: DataFrame, *, content_col: str = "content", size: int = CHUNK_SIZE,
+                keep: tuple[str, ...] = ("doc_id", "file", "type", "created_at")) -> DataFrame:
+    """Chunk 0 of every document (when not blank), without cutting the rest."""
+    s = py_strip(content_col)
+    c = F.substring(s, 1, size)
+    return (docs.select(*keep, c.alias("corpus")).where((F.col("corpus") != "") & ~is_blank("corpus"))
+            .withColumn("chunk_index", F.lit(0).cast("long")))
+
+
 def corpus_table(docs: DataFrame, *, order_cols=("doc_id", "chunk_index"),
                  num_ranges: int | None = None, **kw) -> DataFrame:
     """Chunks with dense ids in insert order (W3):
     (id, corpus, file_name, file_type, created_at, doc_id, chunk_index)."""
     ch = chunk_documents(docs, **kw)
-    # split key monotone in (doc_id, chunk_index): a long document spreads over
-    # several ranges (a document has fewer than 2^23 chunks of 500 characters)
-    split = F.col(order_cols[0]) * float(1 << 23) + F.col(order_cols[1])
-    ided = dense_index(ch, list(order_cols), "id", num_ranges, split_key=split)
+    # split key monotone in (doc_id, chunk_index); range bounds come from the
+    # document keys alone (a one-column scan, no chunking pass)
+    scale = float(1 << _CHUNK_BITS)
+    split = F.col(order_cols[0]) * scale + F.col(order_cols[1])
+    n = num_ranges or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = range_bounds(docs, F.col(order_cols[0]) * scale, n)
+    ided = dense_index(ch, list(order_cols), "id", n, split_key=split, bounds=bounds)
     return ided.select("id", "corpus", F.col("file").alias("file_name"),
                        F.col("type").alias("file_type"), "created_at", "doc_id", "chunk_index")
 

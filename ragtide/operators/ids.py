@@ -27,24 +27,34 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def range_bounds(df: DataFrame, key: Column, n: int, accuracy: int = 10000) -> list[float]:
+    """At most n-1 distinct approximate quantiles of a numeric key (one
+    aggregate pass; only the key's columns are read)."""
+    probs = [i / n for i in range(1, n)]
+    if not probs:
+        return []
+    row = df.agg(F.percentile_approx(key.cast("double"), probs, accuracy).alias("q")).collect()[0]
+    return sorted({float(x) for x in (row["q"] or []) if x is not None})
+
+
 def dense_index(df: DataFrame, order_cols: list[str | Column], id_col: str = "id",
                 num_ranges: int | None = None, split_key: Column | None = None,
-                accuracy: int = 10000) -> DataFrame:
+                bounds: list[float] | None = None, accuracy: int = 10000) -> DataFrame:
     """Add ``id_col`` = 1-based position of each row in ``order_cols`` order.
 
     ``split_key`` must be numeric and non-decreasing in that order (default:
-    the first order column).  The order key must be unique for the ids to be
+    the first order column).  ``bounds`` may be given (e.g. from a cheaper
+    table than ``df``); any sorted bounds give correct ids, good ones balance
+    the ranges.  The order key must be unique for the ids to be
     deterministic."""
     spark = df.sparkSession
     n = num_ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     first = order_cols[0]
     sk = (split_key if split_key is not None else (F.col(first) if isinstance(first, str) else first))
     keyed = df.withColumn("_sk", sk.cast("double"))
-    probs = [i / n for i in range(1, n)]
-    bounds: list[float] = []
-    if probs:
-        row = keyed.agg(F.percentile_approx("_sk", probs, accuracy).alias("q")).collect()[0]
-        bounds = sorted({float(x) for x in (row["q"] or []) if x is not None})
+    if bounds is None:
+        bounds = range_bounds(df, sk, n, accuracy)
+    bounds = sorted(set(bounds))
     splits = [float("-inf")] + bounds + [float("inf")]
     bucketed = Bucketizer(splits=splits, inputCol="_sk", outputCol="_b", handleInvalid="keep") \
         .transform(keyed)

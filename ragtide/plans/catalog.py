@@ -39,9 +39,17 @@ def docs(spark, sf):
 
 
 def corpus(spark, sf):
+    """The stored corpus table: chunks with dense ids."""
     return chunking.corpus_table(docs(spark, sf))
 
 
+def chunks(spark, sf):
+    """Corpus rows without ids, for statistics that never read the id."""
+    c = chunking.chunk_documents(docs(spark, sf))
+    return c.select("corpus", F.col("file").alias("file_name"), F.col("type").alias("file_type"),
+                    "created_at", "doc_id", "chunk_index")
+
+
 # --- vector search ------------------------------------------------------------
 
 def q_topk_cosine(spark: SparkSession, sf: str) -> DataFrame:
@@ -98,28 +106,29 @@ def q_split_utterances(spark, sf):
 # --- statistics -----------------------------------------------------------------
 
 def q_corpus_stats(spark, sf):
-    return stats.corpus_stats(corpus(spark, sf))
+    return stats.corpus_stats(chunks(spark, sf))
 
 
 def q_length_histogram_fr(spark, sf):
-    return stats.length_histogram(corpus(spark, sf), LENGTH_LABELS_FR)
+    return stats.length_histogram(chunks(spark, sf), LENGTH_LABELS_FR)
 
 
 def q_length_histogram_range(spark, sf):
-    return stats.length_histogram(corpus(spark, sf), LENGTH_LABELS_RANGE)
+    return stats.length_histogram(chunks(spark, sf), LENGTH_LABELS_RANGE)
 
 
 def q_type_counts(spark, sf):
-    return stats.type_counts(corpus(spark, sf))
+    return stats.type_counts(chunks(spark, sf))
 
 
 def q_file_distribution(spark, sf):
-    return stats.file_distribution(corpus(spark, sf))
+    return stats.file_distribution(chunks(spark, sf))
 
 
 def q_ingest_summary(spark, sf):
     d = docs(spark, sf)
-    return stats.ingest_summary(d.where(~is_blank("content")), chunking.corpus_table(d))
+    c = chunking.chunk_documents(d).withColumnRenamed("type", "file_type")
+    return stats.ingest_summary(d.where(~is_blank("content")), c)
 
 
 def q_recent_rows(spark, sf):
@@ -137,7 +146,7 @@ def q_keyword_search(spark, sf):
 
 
 def q_keyword_count(spark, sf):
-    return keyword.keyword_count(corpus(spark, sf), KEYWORD)
+    return keyword.keyword_count(chunks(spark, sf), KEYWORD)
 
 
 def benchmark_keywords(spark, sf):
@@ -185,7 +194,7 @@ def rag_corpus(spark, sf):
     """Stored vectors paired with texts: vector vec_id carries the first chunk
     of document doc_id = vec_id (a synthetic pairing; the tables are
     unrelated).  Inner join."""
-    first = chunking.chunk_documents(docs(spark, sf)).where(F.col("chunk_index") == 0)
+    first = chunking.first_chunk(docs(spark, sf))
     v = stored_vectors(spark, sf)
     return v.join(first.select(F.col("doc_id").alias("id"), "corpus", "created_at"), "id")
 

@@ -24,6 +24,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str, min_partitions: int | None = None) -> DataFrame:
+    """Hash-spread a scan that yields fewer splits than the cluster has cores
+    (a single-row-group file is one task however large it is).  A large
+    input already has many splits and is returned unchanged, so this never
+    adds a shuffle at scale.  Hashing on the key keeps a recomputed task's
+    rows identical."""
+    spark = df.sparkSession
+    want = min_partitions or spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want, key)
+
+
 def created_at_for(doc_id_col) -> "F.Column":
     """Derived insert time as TIMESTAMP_NTZ."""
     return (F.to_timestamp_ntz(F.lit(CREATED_AT_EPOCH))
@@ -33,7 +46,7 @@ def created_at_for(doc_id_col) -> "F.Column":
 def documents_as_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The document table in the reference's document-record shape:
     (doc_id, file, content, type, created_at)."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"), "doc_id")
     return d.select(F.col("doc_id").cast("long").alias("doc_id"),
                     F.col("source").alias("file"),
                     F.col("text").alias("content"),
