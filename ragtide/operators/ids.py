@@ -55,10 +55,13 @@ def dense_index(df: DataFrame, order_cols: list[str | Column], id_col: str = "id
     if bounds is None:
         bounds = range_bounds(df, sk, n, accuracy)
     bounds = sorted(set(bounds))
-    splits = [float("-inf")] + bounds + [float("inf")]
-    bucketed = Bucketizer(splits=splits, inputCol="_sk", outputCol="_b", handleInvalid="keep") \
-        .transform(keyed)
-    bucketed = bucketed.withColumn("_b", F.col("_b").cast("int"))
+    if bounds:
+        splits = [float("-inf")] + bounds + [float("inf")]
+        bucketed = Bucketizer(splits=splits, inputCol="_sk", outputCol="_b", handleInvalid="keep") \
+            .transform(keyed)
+        bucketed = bucketed.withColumn("_b", F.col("_b").cast("int"))
+    else:                      # no data or a single key value: one range
+        bucketed = keyed.withColumn("_b", F.lit(0))
     sizes = bucketed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
     # one row per range: a running sum over this frame is tiny
     w_off = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
