@@ -50,8 +50,9 @@ def normalize_requests(requests: DataFrame, *, default_top_k: int = DEFAULT_TOP_
 
 
 def sources(hits: DataFrame, corpus: DataFrame, *, text_col: str = "corpus") -> DataFrame:
-    """W4 + P4a + P5: (qid, rank, id, text preview 200, relevance %)."""
-    h = hits.join(corpus.select("id", text_col), "id")
+    """W4 + P4a + P5: (qid, rank, id, text preview 200, relevance %).  Hits
+    that already carry the text skip the join back to the corpus."""
+    h = hits if text_col in hits.columns else hits.join(corpus.select("id", text_col), "id")
     return h.select("qid", "rank", "id", preview(text_col, PREVIEW_SOURCES).alias("text"),
                     relevance_pct("similarity").alias("relevance"))
 
@@ -67,8 +68,9 @@ def context_prompt(hits: DataFrame, corpus: DataFrame, requests: DataFrame, *,
                    text_col: str = "corpus", style: str = "detailed") -> DataFrame:
     """A10 + P12 + A11: per query, the hit texts joined by a space in rank
     order, the prompt built from them, and the number of sources.  A query
-    without hits gets an empty context."""
-    h = hits.join(corpus.select("id", text_col), "id")
+    without hits gets an empty context.  Hits that already carry the text
+    skip the join back to the corpus."""
+    h = hits if text_col in hits.columns else hits.join(corpus.select("id", text_col), "id")
     ctx = (h.groupBy("qid")
            .agg(F.array_sort(F.collect_list(F.struct("rank", text_col))).alias("_hits"))
            .select("qid", F.array_join(F.transform("_hits", lambda x: x[text_col]), " ").alias("context"),

@@ -8,20 +8,24 @@ and id columns are read.
 F1b matches many keywords in one pass over the corpus.  Literal keywords go
 through one Aho-Corasick automaton per task (the keyword list is broadcast
 after its size is checked), so the cost per row is linear in the text, not in
-the number of keywords; keywords with wildcards or escapes fall back to a
-per-keyword ILIKE filter.  Matches are cut to ``limit`` per keyword with a
-ranked window whose partial limit runs before the shuffle, so a keyword that
-matches a third of the corpus ships at most ``limit`` rows per task.
+the number of keywords; keywords with wildcards or escapes are matched by
+their LIKE pattern translated to a regex in the same pass.  Each task keeps,
+per keyword, only its ``limit`` smallest matching ids and a match count, so
+a keyword that matches a third of the corpus ships at most ``limit`` rows
+per task; one window per keyword then ranks and sums them.
 """
 
 from __future__ import annotations
 
+import heapq
+import re
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ragtide.functions.like import ilike_contains
+from ragtide.functions.like import contains_pattern_literal, ilike_contains
 from ragtide.functions.text import iso_timestamp
 
 DEFAULT_MAX_KEYWORD_BYTES = 64 * 1024 * 1024
@@ -46,76 +50,140 @@ def _plain(kw: str) -> bool:
     return not any(ch in kw for ch in "%_\\")
 
 
-def _ac_matcher(bc, id_col: str, text_col: str):
-    def run(batches):
+def like_to_regex(pattern: str) -> str:
+    """A (normalised) LIKE pattern as a Python regex for ``re.fullmatch`` with
+    DOTALL: ``%`` -> ``.*``, ``_`` -> ``.``, ``\\x`` -> literal x."""
+    out, i = [], 0
+    while i < len(pattern):
+        ch = pattern[i]
+        if ch == "\\" and i + 1 < len(pattern):
+            out.append(re.escape(pattern[i + 1]))
+            i += 2
+            continue
+        out.append(".*" if ch == "%" else "." if ch == "_" else re.escape(ch))
+        i += 1
+    return "".join(out)
+
+
+class _Matcher:
+    """Per-task matcher: one Aho-Corasick automaton for literal keywords
+    (lower-cased, as ILIKE compares lower-cased text), regexes for the rest."""
+
+    def __init__(self, entries):
         import ahocorasick
-        entries = bc.value
-        auto = ahocorasick.Automaton()
+        self.auto = None
         by_word: dict[str, list[int]] = {}
+        self.patterns = []
         for qid, kw in entries:
-            by_word.setdefault(kw.lower(), []).append(qid)
-        for w, qids in by_word.items():
-            auto.add_word(w, qids)
+            if _plain(kw):
+                by_word.setdefault(kw.lower(), []).append(qid)
+            else:
+                p = contains_pattern_literal(kw).lower()
+                self.patterns.append((qid, re.compile(like_to_regex(p), re.S)))
         if by_word:
-            auto.make_automaton()
+            self.auto = ahocorasick.Automaton()
+            for w, qids in by_word.items():
+                self.auto.add_word(w, qids)
+            self.auto.make_automaton()
+
+    def matches(self, text: str):
+        low = text.lower()
+        seen = set()
+        if self.auto is not None:
+            for _, qids in self.auto.iter(low):
+                seen.update(qids)
+        for qid, rx in self.patterns:
+            if rx.fullmatch(low):
+                seen.add(qid)
+        return seen
+
+
+def _all_matches(bc, id_col: str, text_col: str):
+    def run(batches):
+        m = _Matcher(bc.value)
         schema = pa.schema([("qid", pa.int64(), False), ("id", pa.int64(), False)])
         for batch in batches:
-            if not by_word:
-                continue
-            ids = batch.column(id_col).to_pylist()
-            texts = batch.column(text_col).to_pylist()
             oq, oi = [], []
-            for rid, t in zip(ids, texts):
+            for rid, t in zip(batch.column(id_col).to_pylist(), batch.column(text_col).to_pylist()):
                 if t is None:
                     continue
-                seen = set()
-                for _, qids in auto.iter(t.lower()):
-                    for q in qids:
-                        if q not in seen:
-                            seen.add(q)
-                            oq.append(q)
-                            oi.append(rid)
+                for q in m.matches(t):
+                    oq.append(q)
+                    oi.append(rid)
             if oq:
                 yield pa.RecordBatch.from_arrays([pa.array(oq, pa.int64()), pa.array(oi, pa.int64())],
                                                  schema=schema)
     return run
 
 
-def keyword_matches(corpus: DataFrame, keywords: DataFrame, *, id_col: str = "id",
-                    text_col: str = "corpus", qid_col: str = "qid", kw_col: str = "keyword",
-                    max_keyword_bytes: int = DEFAULT_MAX_KEYWORD_BYTES) -> DataFrame:
-    """All (qid, id) pairs where the row text contains the keyword."""
-    spark = corpus.sparkSession
+def _partial_first(bc, id_col: str, text_col: str, limit: int):
+    """Per task: for every keyword, its ``limit`` smallest matching ids and its
+    match count (carried on the smallest id's row, 0 on the others)."""
+    def run(batches):
+        m = _Matcher(bc.value)
+        heaps: dict[int, list[int]] = {}
+        counts: dict[int, int] = {}
+        for batch in batches:
+            for rid, t in zip(batch.column(id_col).to_pylist(), batch.column(text_col).to_pylist()):
+                if t is None:
+                    continue
+                for q in m.matches(t):
+                    counts[q] = counts.get(q, 0) + 1
+                    h = heaps.setdefault(q, [])
+                    if len(h) < limit:
+                        heapq.heappush(h, -rid)
+                    elif -h[0] > rid:
+                        heapq.heapreplace(h, -rid)
+        oq, oi, on = [], [], []
+        for q, h in heaps.items():
+            ids = sorted(-x for x in h)
+            for j, rid in enumerate(ids):
+                oq.append(q)
+                oi.append(rid)
+                on.append(counts[q] if j == 0 else 0)
+        if oq:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(oq, pa.int64()), pa.array(oi, pa.int64()), pa.array(on, pa.int64())],
+                schema=pa.schema([("qid", pa.int64(), False), ("id", pa.int64(), False),
+                                  ("n", pa.int64(), False)]))
+    return run
+
+
+def _broadcast_keywords(corpus: DataFrame, keywords: DataFrame, qid_col: str, kw_col: str,
+                        max_keyword_bytes: int):
     kw = keywords.where(F.col(kw_col).isNotNull() & (F.col(kw_col) != "")) \
         .select(F.col(qid_col).cast("long").alias("qid"), F.col(kw_col).alias("keyword"))
     size = kw.agg(F.coalesce(F.sum(F.length("keyword") + 16), F.lit(0)).alias("b")).collect()[0]["b"]
     if size > max_keyword_bytes:
-        raise ValueError("keyword list exceeds the broadcast bound")
+        raise ValueError("keyword list exceeds the broadcast bound; split it")
     entries = [(int(r["qid"]), r["keyword"]) for r in kw.collect()]
-    plain = [(q, k) for q, k in entries if _plain(k)]
-    special = [(q, k) for q, k in entries if not _plain(k)]
+    return corpus.sparkSession.sparkContext.broadcast(entries), entries
+
+
+def keyword_matches(corpus: DataFrame, keywords: DataFrame, *, id_col: str = "id",
+                    text_col: str = "corpus", qid_col: str = "qid", kw_col: str = "keyword",
+                    max_keyword_bytes: int = DEFAULT_MAX_KEYWORD_BYTES) -> DataFrame:
+    """All (qid, id) pairs where the row text contains the keyword."""
+    bc, _ = _broadcast_keywords(corpus, keywords, qid_col, kw_col, max_keyword_bytes)
     c = corpus.select(F.col(id_col).cast("long").alias("id"), F.col(text_col))
     schema = T.StructType([T.StructField("qid", T.LongType(), False),
                            T.StructField("id", T.LongType(), False)])
-    parts = []
-    if plain:
-        bc = spark.sparkContext.broadcast(plain)
-        parts.append(c.mapInArrow(_ac_matcher(bc, "id", text_col), schema))
-    for q, k in special:
-        parts.append(c.where(ilike_contains(text_col, k)).select(F.lit(q).cast("long").alias("qid"), "id"))
-    if not parts:
-        return spark.createDataFrame([], schema)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def keyword_batch(corpus: DataFrame, keywords: DataFrame, limit: int = 10, **kw) -> DataFrame:
+    return c.mapInArrow(_all_matches(bc, "id", text_col), schema)
+
+
+def keyword_batch(corpus: DataFrame, keywords: DataFrame, limit: int = 10, *, id_col: str = "id",
+                  text_col: str = "corpus", qid_col: str = "qid", kw_col: str = "keyword",
+                  max_keyword_bytes: int = DEFAULT_MAX_KEYWORD_BYTES) -> DataFrame:
     """For every keyword, its first ``limit`` matching rows by id plus the
-    total number of matching rows: (qid, rank, id, matches)."""
-    m = keyword_matches(corpus, keywords, **kw)
-    w = Window.partitionBy("qid").orderBy("id")
-    top = m.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= limit)
-    counts = m.groupBy("qid").agg(F.count(F.lit(1)).alias("matches"))
-    return top.join(counts, "qid").select("qid", "rank", "id", "matches")
+    total number of matching rows: (qid, rank, id, matches).  One pass over
+    the corpus and one small shuffle (at most ``limit`` rows per keyword per
+    task)."""
+    bc, _ = _broadcast_keywords(corpus, keywords, qid_col, kw_col, max_keyword_bytes)
+    c = corpus.select(F.col(id_col).cast("long").alias("id"), F.col(text_col))
+    schema = T.StructType([T.StructField("qid", T.LongType(), False), T.StructField("id", T.LongType(), False),
+                           T.StructField("n", T.LongType(), False)])
+    part = c.mapInArrow(_partial_first(bc, "id", text_col, int(limit)), schema)
+    w = Window.partitionBy("qid")
+    ranked = part.select("qid", "id", F.row_number().over(w.orderBy("id")).cast("long").alias("rank"),
+                         F.sum("n").over(w).cast("long").alias("matches"))
+    return ranked.where(F.col("rank") <= limit).select("qid", "rank", "id", "matches")

@@ -50,16 +50,15 @@ def type_counts(corpus: DataFrame) -> DataFrame:
 
 def file_distribution(corpus: DataFrame, top: int = 10) -> DataFrame:
     """Exact rows per file, the ``top`` largest (count desc, name), with the
-    reference's estimate total // n_files beside it."""
+    reference's estimate total // n_files beside it.  The totals are scalar
+    subqueries over the per-file aggregate (its exchange is reused), not a
+    join; NULL file names count as rows but not as files."""
     per_file = corpus.groupBy("file_name").agg(F.count(F.lit(1)).alias("count"))
-    totals = corpus.agg(F.count(F.lit(1)).alias("_t"), F.count_distinct("file_name").alias("_f"))
+    total = per_file.select(F.sum("count")).scalar()
+    n_files = per_file.select(F.count("file_name")).scalar()
     top_files = per_file.orderBy(F.col("count").desc(), F.col("file_name").asc()).limit(top)
-    # totals is one row: an equi-join on a constant key with that row broadcast
-    one = F.lit(1).alias("_k")
-    return (top_files.select("*", one).join(F.broadcast(totals.select("*", one)), "_k")
-            .select("file_name", "count",
-                    F.when(F.col("_f") > 0, F.floor(F.col("_t") / F.col("_f"))).otherwise(0)
-                    .cast("long").alias("estimated_count")))
+    est = F.when(n_files > 0, F.floor(total / n_files)).otherwise(F.lit(0)).cast("long")
+    return top_files.select("file_name", "count", est.alias("estimated_count"))
 
 
 def ingest_summary(docs: DataFrame, corpus: DataFrame) -> DataFrame:

@@ -54,8 +54,10 @@ class _QueryBlock:
         self.dim = self.unit.shape[1] if self.unit.ndim == 2 else 0
 
 
-def _score_batches(bc, id_col: str, vec_col: str, metric: str):
-    """mapInArrow body: local top-k candidates of each corpus batch."""
+def _score_batches(bc, id_col: str, vec_col: str, metric: str, carry: tuple[str, ...] = (),
+                   out_schema: pa.Schema | None = None):
+    """mapInArrow body: local top-k candidates of each corpus batch.  ``carry``
+    columns of the corpus are emitted for the candidate rows only."""
 
     def run(batches):
         qb: _QueryBlock = bc.value
@@ -87,12 +89,12 @@ def _score_batches(bc, id_col: str, vec_col: str, metric: str):
                     r, c = np.nonzero(score >= kth[None, :])   # ties kept; final rank decides
                 else:
                     r, c = np.nonzero(np.ones_like(score, dtype=bool))
+                take = pa.array(r)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(qb.qids[s:e][c]), pa.array(ids[r]),
-                     pa.array(score[r, c]), pa.array(qb.ks[s:e][c].astype(np.int32))],
-                    schema=pa.schema([("qid", pa.int64(), False), ("id", pa.int64(), False),
-                                      ("similarity", pa.float64(), False),
-                                      ("k", pa.int32(), False)]))
+                     pa.array(score[r, c]), pa.array(qb.ks[s:e][c].astype(np.int32))]
+                    + [batch.column(x).take(take) for x in carry],
+                    schema=out_schema)
     return run
 
 
@@ -114,31 +116,37 @@ def _collect_block(queries: DataFrame, limit_bytes: int, dim_hint: int | None):
 def topk_batch(corpus: DataFrame, queries: DataFrame, k: int = 5, *,
                id_col: str = "id", vec_col: str = "embedding",
                qid_col: str = "qid", qvec_col: str = "embedding", k_col: str | None = None,
-               metric: str = "cosine",
+               metric: str = "cosine", carry: tuple[str, ...] | list[str] = (),
                max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
     """Best ``k`` corpus rows for every query (W1 over J1).
 
-    Returns ``(qid, rank, id, similarity)`` with rank 1..k, ordered within a
-    query by similarity descending then id ascending (the reference's stable
-    sort on distance, with id as the deterministic tie-break).  ``k_col``
-    optionally names a per-query k (request top_k).  For metric ``l2`` the
-    score column is ``distance`` (ascending).
+    Returns ``(qid, rank, id, similarity, *carry)`` with rank 1..k, ordered
+    within a query by similarity descending then id ascending (the
+    reference's stable sort on distance, with id as the deterministic
+    tie-break).  ``k_col`` optionally names a per-query k (request top_k).
+    ``carry`` names corpus columns (e.g. the text) returned with the hits, so
+    no second pass over the corpus is needed to fetch them.  For metric
+    ``l2`` the score column is ``distance`` (ascending).
     """
     spark = corpus.sparkSession
+    carry = tuple(carry)
     kexpr = F.col(k_col).cast("int") if k_col else F.lit(int(k))
     q = (queries.where(F.col(qvec_col).isNotNull())
          .select(F.col(qid_col).cast("long").alias("qid"),
                  as_double_array(qvec_col).alias("qvec"), kexpr.alias("k"))
          .where(F.col("k") > 0))
-    # Size check before anything is broadcast: count rows and read the dim.
-    first = q.select(F.size("qvec").alias("d")).limit(1).collect()
-    if not first:
-        return spark.createDataFrame([], _out_schema(metric))
-    dim = int(first[0]["d"])
-    n_q = q.count()
-    n_blocks = max(1, math.ceil(n_q * dim * 8 / max_broadcast_bytes))
+    # Size check before anything is broadcast: one aggregate for rows and dim.
+    st = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("qvec")).alias("d")).first()
+    n_q, dim = int(st["n"]), int(st["d"] or 0)
     c = (corpus.where(F.col(vec_col).isNotNull() & (F.size(vec_col) == dim))
-         .select(F.col(id_col).cast("long").alias(id_col), F.col(vec_col)))
+         .select(F.col(id_col).cast("long").alias(id_col), F.col(vec_col), *carry))
+    cand_schema = T.StructType(_CAND_SCHEMA.fields + [c.schema[x] for x in carry])
+    arrow_schema = pa.schema([("qid", pa.int64(), False), ("id", pa.int64(), False),
+                              ("similarity", pa.float64(), False), ("k", pa.int32(), False)]
+                             + [pa.field(x, _arrow_type(c.schema[x].dataType)) for x in carry])
+    if n_q == 0:
+        return spark.createDataFrame([], _out_schema(metric, c.schema, carry))
+    n_blocks = max(1, math.ceil(n_q * dim * 8 / max_broadcast_bytes))
     parts = []
     blocks = [q] if n_blocks == 1 else [
         q.where(F.pmod(F.xxhash64("qid"), F.lit(n_blocks)) == b) for b in range(n_blocks)]
@@ -149,25 +157,32 @@ def topk_batch(corpus: DataFrame, queries: DataFrame, k: int = 5, *,
         if len(qb.qids) == 0:
             continue
         bc = spark.sparkContext.broadcast(qb)
-        parts.append(c.mapInArrow(_score_batches(bc, id_col, vec_col, metric), _CAND_SCHEMA))
+        parts.append(c.mapInArrow(_score_batches(bc, id_col, vec_col, metric, carry, arrow_schema),
+                                  cand_schema))
     if not parts:
-        return spark.createDataFrame([], _out_schema(metric))
+        return spark.createDataFrame([], _out_schema(metric, c.schema, carry))
     cand = parts[0]
     for p in parts[1:]:
         cand = cand.unionByName(p)
     w = Window.partitionBy("qid").orderBy(F.col("similarity").desc(), F.col("id").asc())
     ranked = (cand.withColumn("rank", F.row_number().over(w).cast("long"))
               .where(F.col("rank") <= F.col("k"))
-              .select("qid", "rank", F.col("id").alias(id_col), "similarity"))
+              .select("qid", "rank", F.col("id").alias(id_col), "similarity", *carry))
     if metric == "l2":
-        ranked = ranked.select("qid", "rank", id_col, (-F.col("similarity")).alias("distance"))
+        ranked = ranked.select("qid", "rank", id_col, (-F.col("similarity")).alias("distance"), *carry)
     return ranked
 
 
-def _out_schema(metric: str) -> T.StructType:
+def _arrow_type(dt):
+    from pyspark.sql.pandas.types import to_arrow_type
+    return to_arrow_type(dt)
+
+
+def _out_schema(metric: str, corpus_schema=None, carry=()) -> T.StructType:
     last = "distance" if metric == "l2" else "similarity"
     return T.StructType([T.StructField("qid", T.LongType()), T.StructField("rank", T.LongType()),
-                         T.StructField("id", T.LongType()), T.StructField(last, T.DoubleType())])
+                         T.StructField("id", T.LongType()), T.StructField(last, T.DoubleType())]
+                        + [corpus_schema[x] for x in carry])
 
 
 def score_corpus(corpus: DataFrame, query_vector, *, id_col: str = "id",

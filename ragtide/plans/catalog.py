@@ -210,7 +210,7 @@ def rag_requests(spark, sf, default_top_k=context.DEFAULT_TOP_K_CHAT):
 def rag_hits(spark, sf, default_top_k=context.DEFAULT_TOP_K_CHAT):
     req = rag_requests(spark, sf, default_top_k).where(F.col("status") == "ok")
     qv = req.join(stored_vectors(spark, sf).select(F.col("id").alias("qid"), "embedding"), "qid")
-    return topk.topk_batch(rag_corpus(spark, sf), qv, k_col="top_k")
+    return topk.topk_batch(rag_corpus(spark, sf), qv, k_col="top_k", carry=["corpus"])
 
 
 def q_request_normalize(spark, sf):
@@ -228,8 +228,7 @@ def q_context_prompt(spark, sf):
 
 def q_semantic_search(spark, sf):
     hits = rag_hits(spark, sf, default_top_k=context.DEFAULT_TOP_K_SEMANTIC)
-    c = rag_corpus(spark, sf)
-    return hits.join(c.select("id", "corpus"), "id").select(
+    return hits.select(
         "qid", "rank", "id", F.col("corpus").alias("text"),
         F.round(F.col("similarity") * 100.0, 1).alias("relevance"))
 
