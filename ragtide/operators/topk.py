@@ -138,6 +138,7 @@ def topk_batch(corpus: DataFrame, queries: DataFrame, k: int = 5, *,
     # Size check before anything is broadcast: one aggregate for rows and dim.
     st = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("qvec")).alias("d")).first()
     n_q, dim = int(st["n"]), int(st["d"] or 0)
+    q = q.where(F.size("qvec") == dim)        # a query of another dimension cannot be scored
     c = (corpus.where(F.col(vec_col).isNotNull() & (F.size(vec_col) == dim))
          .select(F.col(id_col).cast("long").alias(id_col), F.col(vec_col), *carry))
     cand_schema = T.StructType(_CAND_SCHEMA.fields + [c.schema[x] for x in carry])

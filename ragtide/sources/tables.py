@@ -31,8 +31,12 @@ def spread(df: DataFrame, key: str, min_partitions: int | None = None) -> DataFr
     adds a shuffle at scale.  Hashing on the key keeps a recomputed task's
     rows identical."""
     spark = df.sparkSession
-    want = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
+    try:
+        want = min_partitions or spark.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:          # sessions without RDD access: leave the scan as it is
+        return df
+    if have >= want:
         return df
     return df.repartition(want, key)
 
