@@ -70,7 +70,7 @@ def context_prompt(hits: DataFrame, corpus: DataFrame, requests: DataFrame, *,
     order, the prompt built from them, and the number of sources.  A query
     without hits gets an empty context.  Hits that already carry the text
     skip the join back to the corpus."""
-    h = hits if text_col in hits.columns else hits.join(corpus.select("id", text_col), "id")
+    h = hits if text_col in hits.columns or corpus is None else hits.join(corpus.select("id", text_col), "id")
     ctx = (h.groupBy("qid")
            .agg(F.array_sort(F.collect_list(F.struct("rank", text_col))).alias("_hits"))
            .select("qid", F.array_join(F.transform("_hits", lambda x: x[text_col]), " ").alias("context"),

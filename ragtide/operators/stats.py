@@ -32,6 +32,12 @@ def corpus_stats(corpus: DataFrame, text_col: str = "corpus") -> DataFrame:
         iso_timestamp("_last").alias("last_created"))
 
 
+def date_range(corpus: DataFrame) -> DataFrame:
+    """A3: first and last insert time (ISO, NULL on an empty table)."""
+    agg = corpus.agg(F.min("created_at").alias("_f"), F.max("created_at").alias("_l"))
+    return agg.select(iso_timestamp("_f").alias("first"), iso_timestamp("_l").alias("last"))
+
+
 def length_histogram(corpus: DataFrame, labels=LENGTH_LABELS_FR, text_col: str = "corpus") -> DataFrame:
     """Rows per length category, ordered by each group's shortest row.
     Empty categories are absent (a GROUP BY, as in the reference)."""

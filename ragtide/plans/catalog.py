@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragtide.functions.text import (
-    LENGTH_LABELS_FR, LENGTH_LABELS_RANGE, PY_WS, iso_timestamp, preview, py_strip, is_blank,
+    LENGTH_LABELS_FR, LENGTH_LABELS_RANGE, SNIPPET_CONSOLE, iso_timestamp, is_blank, py_strip, snippet,
 )
 from ragtide.functions.vector import parse_vector, render_vector, vector_is_valid
 from ragtide.operators import ann, chunking, context, embed, history, keyword, stats, topk
@@ -131,6 +131,10 @@ def q_ingest_summary(spark, sf):
     return stats.ingest_summary(d.where(~is_blank("content")), c)
 
 
+def q_date_range(spark, sf):
+    return stats.date_range(chunks(spark, sf))
+
+
 def q_recent_rows(spark, sf):
     return stats.recent_rows(corpus(spark, sf))
 
@@ -226,6 +230,20 @@ def q_context_prompt(spark, sf):
     return context.context_prompt(rag_hits(spark, sf), rag_corpus(spark, sf), req)
 
 
+def q_context_prompt_short(spark, sf):
+    """The notebook flow: top-3 per question, the short prompt, and source
+    snippets of 80 characters."""
+    req = rag_requests(spark, sf, default_top_k=3).where(F.col("status") == "ok")
+    hits = rag_hits(spark, sf, default_top_k=3)
+    ctx = context.context_prompt(hits, None, req, style="short")
+    snips = (hits.groupBy("qid")
+             .agg(F.array_sort(F.collect_list(F.struct("rank", snippet("corpus", SNIPPET_CONSOLE)
+                                                       .alias("s")))).alias("_s"))
+             .select("qid", F.array_join(F.transform("_s", lambda x: x["s"]), "\n").alias("source_snippets")))
+    return ctx.join(snips, "qid", "left").select("qid", "question", "sources_count", "prompt",
+                                                 F.coalesce("source_snippets", F.lit("")).alias("source_snippets"))
+
+
 def q_semantic_search(spark, sf):
     hits = rag_hits(spark, sf, default_top_k=context.DEFAULT_TOP_K_SEMANTIC)
     return hits.select(
@@ -284,6 +302,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "type_counts": q_type_counts,
     "file_distribution": q_file_distribution,
     "ingest_summary": q_ingest_summary,
+    "date_range": q_date_range,
     "recent_rows": q_recent_rows,
     "table_preview": q_table_preview,
     "keyword_search": q_keyword_search,
@@ -296,6 +315,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "request_normalize": q_request_normalize,
     "sources": q_sources,
     "context_prompt": q_context_prompt,
+    "context_prompt_short": q_context_prompt_short,
     "semantic_search": q_semantic_search,
     "history_last_n": q_history_last_n,
     "history_last_2": q_history_last_2,

@@ -165,6 +165,9 @@ c AS (SELECT file_type, count(*) AS chunks FROM corpus GROUP BY file_type)
 SELECT coalesce(d.file_type, c.file_type) AS file_type, coalesce(documents, 0) AS documents,
        coalesce(chunks, 0) AS chunks FROM d FULL OUTER JOIN c ON d.file_type = c.file_type""",
 
+    "date_range": WITH_CORPUS + f"""SELECT {_iso('min(created_at)')} AS first, {_iso('max(created_at)')} AS last
+FROM corpus""",
+
     "recent_rows": WITH_CORPUS + f"""SELECT id, {_preview('corpus', 100)} AS text, {_iso('created_at')} AS date
 FROM corpus ORDER BY created_at DESC, id DESC LIMIT 5""",
 
@@ -221,6 +224,18 @@ SELECT r.qid, r.question, coalesce(x.sources_count, 0) AS sources_count, coalesc
   || {NL} || {NL} || 'Réponse détaillée et structurée en français:' AS prompt
 FROM reqv r LEFT JOIN ctx x ON x.qid = r.qid""",
 
+    "context_prompt_short": "WITH " + _rag_hits(3) + f""", ctx AS (
+  SELECT h.qid, string_agg(c.corpus, ' ' ORDER BY h.rank) AS context, count(*) AS sources_count,
+         string_agg(substring(c.corpus, 1, 80) || '...', {NL} ORDER BY h.rank) AS source_snippets
+  FROM hits h JOIN rag c ON c.id = h.id GROUP BY h.qid)
+SELECT r.qid, r.question, coalesce(x.sources_count, 0) AS sources_count,
+  'Tu es un assistant spécialisé dans l''analyse de conversations universitaires.' || {NL} ||
+  'Réponds UNIQUEMENT avec les informations du contexte. Si l''info n''est pas dans le contexte, dis-le.'
+  || {NL} || {NL} || 'Contexte: ' || coalesce(x.context, '') || {NL} || {NL} || 'Question: ' || r.question
+  || {NL} || {NL} || 'Réponse courte en français:' AS prompt,
+  coalesce(x.source_snippets, '') AS source_snippets
+FROM reqv r LEFT JOIN ctx x ON x.qid = r.qid""",
+
     "semantic_search": "WITH " + _rag_hits(10) + """SELECT h.qid, h.rank, h.id, c.corpus AS text,
        (round(h.sim * 100, 1) + 0.0) AS relevance FROM hits h JOIN rag c ON c.id = h.id""",
 
