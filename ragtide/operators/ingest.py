@@ -93,7 +93,7 @@ def max_id(spark, path: str) -> int:
     fs, target = _fs(spark, path)
     if not fs.exists(target):
         return 0
-    r = spark.read.parquet(path).agg(F.max("id").alias("m")).collect()[0]["m"]
+    r = read_corpus(spark, path).agg(F.max("id").alias("m")).collect()[0]["m"]
     return int(r or 0)
 
 
@@ -103,7 +103,7 @@ def append_corpus(docs: DataFrame, path: str, *, encoder: Encoder | None = None)
     spark = docs.sparkSession
     rows = build_corpus(docs, encoder=encoder, id_offset=max_id(spark, path))
     rows.write.mode("append").parquet(path)
-    return spark.read.parquet(path).count()
+    return read_corpus(spark, path).count()
 
 
 def read_corpus(spark, path: str) -> DataFrame:
