@@ -52,8 +52,9 @@ def build_corpus(docs: DataFrame, *, encoder: Encoder | None = None, id_offset:
     n = num_ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     type_rank = F.coalesce(F.array_position(F.array(*[F.lit(t) for t in FILE_TYPE_ORDER]), F.col("type")),
                            F.lit(len(FILE_TYPE_ORDER) + 1)).cast("long")
-    d = docs.select("file", "content", "type", type_rank.alias("_tr"),
-                    F.current_timestamp().cast("timestamp_ntz").alias("created_at"))
+    tz = spark.conf.get("spark.sql.session.timeZone")
+    now_utc = F.convert_timezone(F.lit(tz), F.lit("UTC"), F.current_timestamp().cast("timestamp_ntz"))
+    d = docs.select("file", "content", "type", type_rank.alias("_tr"), now_utc.alias("created_at"))
     split = F.col("_tr") * float(1 << 48) + name_order_key(F.col("file"))
     # range bounds from the file names alone (no chunking pass)
     bounds = range_bounds(d, split, n)

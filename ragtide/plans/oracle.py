@@ -206,7 +206,7 @@ FROM allp a LEFT JOIN agg g ON a.file = g.file""",
   SELECT page_id AS source_id, url AS file, 'html' AS type, html AS content FROM pages)
 SELECT source_id, file, type, trim(content, {WS}) AS content FROM u WHERE trim(content, {WS}) <> ''""",
 
-    "request_normalize": """SELECT item_id AS qid, coalesce(text, '') AS question, 5 AS top_k,
+    "request_normalize": """SELECT item_id AS qid, coalesce(text, '') AS question, CAST(5 AS BIGINT) AS top_k,
        CASE WHEN coalesce(text, '') = '' THEN 'rejected' ELSE 'ok' END AS status,
        CASE WHEN coalesce(text, '') = '' THEN 'Question is required' END AS error
 FROM benchmark""",
