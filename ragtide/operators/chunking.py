@@ -9,22 +9,28 @@ from pyspark.sql import functions as F
 from ragtide.functions.text import (
     CHUNK_SIZE, HEADER_MARKER, UTTERANCE_PREFIX, chunk_array, is_blank, py_strip,
 )
-from ragtide.operators.ids import dense_index, range_bounds
+from ragtide.operators.ids import group_offsets
 
-# A document has fewer than 2^23 chunks of 500 characters (strings are < 2 GiB).
-_CHUNK_BITS = 23
+
+def kept_chunks(content, size: int = CHUNK_SIZE):
+    """P1 + F2 as one array per document: the stripped content cut into
+    ``size`` code-point slices, blank slices removed, each kept slice with
+    its 0-based slice number: ``array<struct<chunk_index, corpus>>``.  The
+    position in this array is the chunk's rank among the document's kept
+    chunks, so ids need no window over chunk rows."""
+    arr = chunk_array(py_strip(content), size)
+    tagged = F.transform(arr, lambda x, i: F.struct(i.cast("long").alias("chunk_index"), x.alias("corpus")))
+    return F.filter(tagged, lambda s: ~is_blank(s["corpus"]))
 
 
 def chunk_documents(docs: DataFrame, *, content_col: str = "content", size: int = CHUNK_SIZE,
                     keep: tuple[str, ...] = ("doc_id", "file", "type", "created_at")) -> DataFrame:
     """P1 + F2: strip the document, drop it if blank, cut it into ``size``
     code-point slices, keep non-blank slices unstripped.  Output columns:
-    ``keep`` + chunk_index (0-based slice number) + corpus."""
-    stripped = py_strip(content_col)
-    d = docs.select(*keep, stripped.alias("_s")).where(F.col("_s") != "")
-    ex = d.select(*keep, F.posexplode(chunk_array("_s", size)).alias("chunk_index", "corpus"))
-    return (ex.where(~is_blank("corpus"))
-            .withColumn("chunk_index", F.col("chunk_index").cast("long")))
+    ``keep`` + chunk_index (0-based slice number) + corpus.  Narrow: no
+    shuffle."""
+    ex = docs.select(*keep, F.explode(kept_chunks(F.col(content_col), size)).alias("_c"))
+    return ex.select(*keep, "_c.chunk_index", "_c.corpus")
 
 
 def first_chunk(docs: DataFrame, *, content_col: str = "content", size: int = CHUNK_SIZE,
@@ -36,18 +42,33 @@ def first_chunk(docs: DataFrame, *, content_col: str = "content", size: int = CH
             .withColumn("chunk_index", F.lit(0).cast("long")))
 
 
-def corpus_table(docs: DataFrame, *, order_cols=("doc_id", "chunk_index"),
-                 num_ranges: int | None = None, **kw) -> DataFrame:
+def numbered_chunks(docs: DataFrame, order_cols: list[str], *, content_col: str = "content",
+                    size: int = CHUNK_SIZE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """W3 over P1: chunk rows with dense ids 1..N in (order_cols, chunk_index)
+    order.  ``order_cols`` must identify a document.
+
+    Only a light frame (order key, kept-chunk count) per document is sorted
+    and summed (``group_offsets``); its offsets are joined back to the
+    documents (broadcast when the size check passes, else a shuffle join)
+    and every chunk's id is its document's start plus its position among
+    the document's kept chunks.  The chunk text itself is never shuffled for
+    numbering when the offsets broadcast."""
+    cols = list(dict.fromkeys([*order_cols, *keep]))
+    light = (docs.select(*order_cols, F.size(kept_chunks(F.col(content_col), size)).alias("_n"))
+             .where(F.col("_n") > 0))
+    offs, small = group_offsets(light, list(order_cols), "_n")
+    # documents without kept chunks have no offsets row: the inner join drops them
+    d = docs.select(*cols, kept_chunks(F.col(content_col), size).alias("_ch"))
+    j = d.join(F.broadcast(offs) if small else offs, list(order_cols))
+    ex = j.select(*cols, "_start", F.posexplode("_ch").alias("_pos", "_c"))
+    return ex.select((F.col("_start") + F.col("_pos") + 1).cast("long").alias("id"), *cols,
+                     "_c.chunk_index", "_c.corpus")
+
+
+def corpus_table(docs: DataFrame, *, order_cols=("doc_id",), **kw) -> DataFrame:
     """Chunks with dense ids in insert order (W3):
     (id, corpus, file_name, file_type, created_at, doc_id, chunk_index)."""
-    ch = chunk_documents(docs, **kw)
-    # split key monotone in (doc_id, chunk_index); range bounds come from the
-    # document keys alone (a one-column scan, no chunking pass)
-    scale = float(1 << _CHUNK_BITS)
-    split = F.col(order_cols[0]) * scale + F.col(order_cols[1])
-    n = num_ranges or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bounds = range_bounds(docs, F.col(order_cols[0]) * scale, n)
-    ided = dense_index(ch, list(order_cols), "id", n, split_key=split, bounds=bounds)
+    ided = numbered_chunks(docs, list(order_cols), keep=("doc_id", "file", "type", "created_at"), **kw)
     return ided.select("id", "corpus", F.col("file").alias("file_name"),
                        F.col("type").alias("file_type"), "created_at", "doc_id", "chunk_index")
 

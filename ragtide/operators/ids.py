@@ -1,30 +1,44 @@
 """Dense serial ids 1..N in a given order, without a global window.
 
 A global ``row_number() OVER (ORDER BY ...)`` pulls every row into one task;
-``monotonically_increasing_id`` alone leaves gaps.  Instead:
+``monotonically_increasing_id`` alone leaves gaps.  Two forms:
 
-1. one approximate-quantile pass over a numeric split key (monotone in the
-   order) gives at most ``num_ranges - 1`` bounds; they come back to the
-   driver as a bounded list and enter the plan as literals, so every branch
-   and every recomputed task sees the same ranges (range sampling inside the
-   plan would be seeded per RDD and could differ between branches);
+``group_offsets`` (used for chunk ids): rows come in groups (a document's
+chunks) whose in-group position is known locally.  Only one light row per
+group (order key, row count) is range-sorted and written with
+``checkpoint()``; per-partition totals give partition starts and a running
+sum inside each partition gives each group's start.  The key may be any
+sortable type (file names included), and the rows themselves are never
+shuffled for numbering when the offsets are small enough to broadcast.
+
+``dense_index`` (any rows with a numeric split key monotone in the order):
+
+1. one approximate-quantile pass gives at most ``num_ranges - 1`` bounds;
+   they return to the driver as a bounded list and enter the plan as
+   literals, so every branch and every recomputed task sees the same ranges
+   (range sampling inside the plan is seeded per RDD and could differ
+   between branches);
 2. ``Bucketizer`` (JVM-side binary search) maps each row to its range;
 3. row counts per range (a partial aggregate, one row per range) give each
    range its start offset through a running sum over that small frame, which
    is broadcast back (size bounded by ``num_ranges``);
 4. rows are hash-partitioned by range and numbered inside it with
    ``row_number``; the window reuses that partitioning (no second shuffle).
-
-With the split key built from the whole order key (e.g. document and chunk
-number), a document with a huge number of chunks still spreads over several
-ranges.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ragtide.session import ensure_checkpoint_dir
+
+# Offsets frames up to this size are broadcast to the join with the rows.
+DEFAULT_MAX_OFFSETS_BYTES = 128 * 1024 * 1024
 
 
 def range_bounds(df: DataFrame, key: Column, n: int, accuracy: int = 10000) -> list[float]:
@@ -72,3 +86,64 @@ def dense_index(df: DataFrame, order_cols: list[str | Column], id_col: str = "id
     out = numbered.join(F.broadcast(offsets), "_b", "inner")
     return (out.withColumn(id_col, (F.col("_off") + F.col("_rn")).cast("long"))
             .drop("_sk", "_b", "_rn", "_off"))
+
+
+def _running_starts(bc):
+    """mapInArrow body over one sorted partition: exclusive running total of
+    ``_n``, starting at the partition's offset."""
+    def run(batches):
+        starts = bc.value
+        acc = None
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            if acc is None:
+                acc = starts[int(batch.column("_p")[0].as_py())]
+            n = batch.column("_n").to_numpy(zero_copy_only=False).astype(np.int64)
+            ends = acc + np.cumsum(n)
+            start = ends - n
+            acc = int(ends[-1])
+            cols = [batch.column(i) for i, f in enumerate(batch.schema) if f.name != "_p"]
+            names = [f.name for f in batch.schema if f.name != "_p"]
+            yield pa.RecordBatch.from_arrays(cols + [pa.array(start, pa.int64())], names + ["_start"])
+    return run
+
+
+def group_offsets(groups: DataFrame, order_cols: list[str], count_col: str,
+                  max_broadcast_bytes: int = DEFAULT_MAX_OFFSETS_BYTES) -> tuple[DataFrame, bool]:
+    """Exclusive running total of ``count_col`` over ``groups`` in
+    ``order_cols`` order: ``(order_cols..., _start)``, one row per group.
+
+    ``groups`` is a light frame (one row per document or file with its row
+    count).  It is range-sorted once and written with ``checkpoint()`` to
+    the shared checkpoint folder, so every later pass sees the same
+    partitions in the same order (a re-run sort could sample other range
+    bounds).  Per-partition totals (one row per partition) give each
+    partition's start; a running sum inside each partition gives each
+    group's start.  No window and no single-task step over the groups.
+
+    Also returns whether the offsets are small enough to broadcast (checked
+    from the exact row count and key widths)."""
+    spark = groups.sparkSession
+    ensure_checkpoint_dir(spark)
+    srt = (groups.select(*order_cols, F.col(count_col).cast("long").alias("_n"))
+           .orderBy(*order_cols).checkpoint(eager=True))
+    tagged = srt.withColumn("_p", F.spark_partition_id())
+    widths = [F.coalesce(F.sum(F.length(c)), F.lit(0)) if isinstance(srt.schema[c].dataType, T.StringType)
+              else F.lit(0) for c in order_cols]
+    totals = (tagged.groupBy("_p")
+              .agg(F.sum("_n").alias("t"), F.count(F.lit(1)).alias("rows"), *[w.alias(f"w{i}") for i, w in
+                                                                                 enumerate(widths)])
+              .collect())                                     # one row per partition
+    starts, acc, n_rows, key_bytes = {}, 0, 0, 0
+    for r in sorted(totals, key=lambda r: r["_p"]):
+        starts[int(r["_p"])] = acc
+        acc += int(r["t"] or 0)
+        n_rows += int(r["rows"])
+        key_bytes += sum(int(r[f"w{i}"] or 0) for i in range(len(order_cols)))
+    est_bytes = key_bytes + n_rows * (16 + 8 * len(order_cols))
+    bc = spark.sparkContext.broadcast(starts)
+    schema = T.StructType([srt.schema[c] for c in order_cols] + [srt.schema["_n"],
+                                                                  T.StructField("_start", T.LongType(), False)])
+    offs = tagged.mapInArrow(_running_starts(bc), schema).drop("_n")
+    return offs, est_bytes <= max_broadcast_bytes

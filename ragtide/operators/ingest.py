@@ -3,9 +3,10 @@ data is fully written), K2 (append with ids continuing the table), W3 ids
 in insert order, P11 embedding.
 
 Insert order of the reference: text files first, then PDFs, each file's
-chunks in order.  File order is fixed here by name (glob order is arbitrary).
-Ids are dense and come from one range-partitioned numbering of the chunk rows
-(``dense_index``).
+chunks in order.  File order is fixed here by name (glob order is arbitrary);
+(type, file name) must identify a document.  Ids are dense: per-file chunk
+counts are summed in that order (``numbered_chunks``), so only one light row
+per file is sorted, whatever the names look like.
 """
 
 from __future__ import annotations
@@ -16,9 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ragtide.operators.chunking import chunk_documents
+from ragtide.operators.chunking import numbered_chunks
 from ragtide.operators.embed import Encoder, embed
-from ragtide.operators.ids import dense_index, range_bounds
 
 CORPUS_SCHEMA = T.StructType([
     T.StructField("id", T.LongType(), False),
@@ -34,32 +34,18 @@ FILE_TYPE_ORDER = ["txt", "pdf"]
 # ----------------------------------------------------------------------------
 
 
-def name_order_key(c) -> "F.Column":
-    """Numeric key non-decreasing in the byte order of a string (Spark's string
-    order): its first 6 UTF-8 bytes read as a big-endian number.  Used only to
-    balance id ranges, so ties between names sharing a prefix are harmless."""
-    h = F.rpad(F.substring(F.hex(F.encode(F.coalesce(c, F.lit("")), "UTF-8")), 1, 12), 12, "0")
-    return F.conv(h, 16, 10).cast("double")
-
-
-def build_corpus(docs: DataFrame, *, encoder: Encoder | None = None, id_offset: int = 0,
-                 num_ranges: int | None = None) -> DataFrame:
+def build_corpus(docs: DataFrame, *, encoder: Encoder | None = None, id_offset: int = 0) -> DataFrame:
     """Documents (file, content, type) -> corpus rows with CORPUS_SCHEMA.
 
     created_at is one timestamp for the whole load (the reference inserts in
     a single transaction), stored without zone in UTC."""
     spark = docs.sparkSession
-    n = num_ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     type_rank = F.coalesce(F.array_position(F.array(*[F.lit(t) for t in FILE_TYPE_ORDER]), F.col("type")),
                            F.lit(len(FILE_TYPE_ORDER) + 1)).cast("long")
     tz = spark.conf.get("spark.sql.session.timeZone")
     now_utc = F.convert_timezone(F.lit(tz), F.lit("UTC"), F.current_timestamp().cast("timestamp_ntz"))
     d = docs.select("file", "content", "type", type_rank.alias("_tr"), now_utc.alias("created_at"))
-    split = F.col("_tr") * float(1 << 48) + name_order_key(F.col("file"))
-    # range bounds from the file names alone (no chunking pass)
-    bounds = range_bounds(d, split, n)
-    ch = chunk_documents(d, keep=("_tr", "file", "type", "created_at"))
-    ided = dense_index(ch, ["_tr", "file", "chunk_index"], "id", n, split_key=split, bounds=bounds)
+    ided = numbered_chunks(d, ["_tr", "file"], keep=("type", "created_at"))
     rows = ided.select((F.col("id") + F.lit(int(id_offset))).alias("id"), "corpus",
                        F.col("file").alias("file_name"), F.col("type").alias("file_type"), "created_at")
     out = embed(rows, "corpus", "embedding", encoder)
@@ -89,12 +75,17 @@ def write_corpus(df: DataFrame, path: str) -> None:
         fs.rename(staged, target)
 
 
-def max_id(spark, path: str) -> int:
-    """Largest id already stored (one aggregate; 0 for a missing table)."""
+def max_id(spark, path: str, exclude_dir: str | None = None) -> int:
+    """Largest id already stored (one aggregate; 0 for a missing table).
+    Rows under the sub-folder ``exclude_dir`` are not counted (a streaming
+    epoch being rewritten)."""
     fs, target = _fs(spark, path)
     if not fs.exists(target):
         return 0
-    r = read_corpus(spark, path).agg(F.max("id").alias("m")).collect()[0]["m"]
+    t = read_corpus(spark, path)
+    if exclude_dir:
+        t = t.where(~F.input_file_name().contains(f"/{exclude_dir}/"))
+    r = t.agg(F.max("id").alias("m")).collect()[0]["m"]
     return int(r or 0)
 
 
@@ -108,4 +99,6 @@ def append_corpus(docs: DataFrame, path: str, *, encoder: Encoder | None = None)
 
 
 def read_corpus(spark, path: str) -> DataFrame:
-    return spark.read.schema(CORPUS_SCHEMA).parquet(path)
+    """The table: files at its root (batch writes) and in per-epoch
+    sub-folders (streaming ingest)."""
+    return spark.read.schema(CORPUS_SCHEMA).option("recursiveFileLookup", "true").parquet(path)

@@ -3,15 +3,22 @@
 New text files dropped into a folder are decoded, stripped, chunked,
 embedded and appended to the corpus table micro-batch by micro-batch; ids
 continue after the largest stored id.  Progress (which files are done) lives
-in the checkpoint folder, so a restarted job resumes without re-ingesting,
-and each micro-batch is written by ``foreachBatch`` with the batch's ids
-assigned from the table state before it, so a retried batch after an
-executor loss rewrites the same rows.  By default the checkpoint goes under
-the session's ``spark.checkpoint.dir``.
+in the checkpoint folder, so a restarted job resumes without re-ingesting.
+
+Each micro-batch is written by ``foreachBatch`` into its own sub-folder of
+the table (named by stream and epoch) in overwrite mode, and its ids start
+after the largest id outside that sub-folder.  A batch that is run again
+(a failure after its files were written but before the epoch was
+committed) therefore replaces its own rows with the same rows and ids
+instead of appending a second copy.  By default the checkpoint goes under
+the session's ``spark.checkpoint.dir``; its name is a content hash of the
+folder and table paths, so a restarted job finds it again.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,6 +37,18 @@ BINARY_FILE_SCHEMA = T.StructType([
 ])
 
 
+def epoch_writer(table_path: str, stream_key: str, encoder: Encoder | None = None):
+    """The ``foreachBatch`` function: epoch ``e`` of stream ``stream_key``
+    owns the sub-folder ``stream-<key>-epoch-<e>`` of the table and rewrites
+    it whole, with ids after the largest id stored outside it."""
+    def write_batch(batch: DataFrame, epoch_id: int) -> None:
+        sub = f"stream-{stream_key}-epoch-{epoch_id:012d}"
+        offset = max_id(batch.sparkSession, table_path, exclude_dir=sub)
+        rows = build_corpus(batch, encoder=encoder, id_offset=offset)
+        rows.write.mode("overwrite").parquet(f"{table_path.rstrip('/')}/{sub}")
+    return write_batch
+
+
 def start_folder_ingest(spark: SparkSession, folder: str, table_path: str, *,
                         file_type: str = "txt", encoder: Encoder | None = None,
                         checkpoint: str | None = None, max_files_per_trigger: int = 1000,
@@ -37,7 +56,9 @@ def start_folder_ingest(spark: SparkSession, folder: str, table_path: str, *,
     """Start the stream; returns the StreamingQuery.  ``available_now`` ingests
     what is there and stops (a scheduled batch run); otherwise it keeps
     watching the folder."""
-    ck = checkpoint or f"{ensure_checkpoint_dir(spark).rstrip('/')}/ingest-{abs(hash((folder, table_path)))}"
+    key = hashlib.sha1(f"{folder}\n{table_path}".encode()).hexdigest()[:16]
+    ck = checkpoint or f"{ensure_checkpoint_dir(spark).rstrip('/')}/ingest-{key}"
+    stream_key = hashlib.sha1(ck.encode()).hexdigest()[:12]
     src = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA)
            .option("pathGlobFilter", f"*.{file_type}")
            .option("maxFilesPerTrigger", max_files_per_trigger).load(folder))
@@ -45,10 +66,6 @@ def start_folder_ingest(spark: SparkSession, folder: str, table_path: str, *,
                       py_strip(normalize_newlines(decode_fallback("content"))).alias("content"),
                       F.lit(file_type).alias("type")).where(F.col("content") != "")
 
-    def write_batch(batch: DataFrame, epoch_id: int) -> None:
-        rows = build_corpus(batch, encoder=encoder, id_offset=max_id(batch.sparkSession, table_path))
-        rows.write.mode("append").parquet(table_path)
-
-    writer = docs.writeStream.foreachBatch(write_batch).option("checkpointLocation", ck)
+    writer = docs.writeStream.foreachBatch(epoch_writer(table_path, stream_key, encoder)).option("checkpointLocation", ck)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
     return writer.start()

@@ -96,3 +96,24 @@ def test_streaming_ingest(spark, scratch):
     q.awaitTermination(120)
     t = ingest.read_corpus(spark, table)
     assert sorted(r["id"] for r in t.collect()) == [1, 2, 3, 4]
+
+
+def test_streaming_epoch_rerun_is_idempotent(spark, scratch):
+    from ragtide.streaming.ingest import epoch_writer
+    table = os.path.join(scratch, "epochs")
+    write = epoch_writer(table, "s1")
+    b0 = spark.createDataFrame([("a.txt", "x" * 700, "txt"), ("b.txt", "y", "txt")],
+                               "file string, content string, type string")
+    b1 = spark.createDataFrame([("c.txt", "z", "txt")], "file string, content string, type string")
+    write(b0, 0)
+    first = sorted((r["id"], r["corpus"]) for r in ingest.read_corpus(spark, table).collect())
+    write(b0, 0)                      # the same epoch run again after a failure
+    again = sorted((r["id"], r["corpus"]) for r in ingest.read_corpus(spark, table).collect())
+    assert first == again and [i for i, _ in first] == [1, 2, 3]
+    write(b1, 1)
+    write(b1, 1)
+    ids = sorted(r["id"] for r in ingest.read_corpus(spark, table).collect())
+    assert ids == [1, 2, 3, 4]
+    # a batch append at the root continues after the streamed rows
+    more = spark.createDataFrame([("d.txt", "w", "txt")], "file string, content string, type string")
+    assert ingest.append_corpus(more, table) == 5

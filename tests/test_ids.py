@@ -23,3 +23,35 @@ def test_dense_ids_default_split_and_empty(spark):
     assert [r["i"] for r in dense_index(df, ["x"], "i").orderBy("x").collect()] == [1, 2, 3]
     empty = spark.createDataFrame([], "x long")
     assert dense_index(empty, ["x"], "i").count() == 0
+
+
+def test_group_offsets_string_keys_with_shared_prefix(spark):
+    from ragtide.operators.ids import group_offsets
+    # names share a long prefix (a numeric key from leading bytes would
+    # collapse them into one range); one group holds a third of all rows
+    rows = [(f"105_0000{i:05d}.txt", 1000 if i == 7 else (i % 5) + 1) for i in range(3000)]
+    g = spark.createDataFrame(rows, "file string, n long").repartition(8)
+    offs, small = group_offsets(g, ["file"], "n")
+    got = {r["file"]: r["_start"] for r in offs.collect()}
+    acc, want = 0, {}
+    for name, n in sorted(rows):
+        want[name] = acc
+        acc += n
+    assert got == want and small
+    # a zero bound forces the shuffle-join path flag
+    assert group_offsets(g, ["file"], "n", max_broadcast_bytes=0)[1] is False
+
+
+def test_numbered_chunks_match_global_numbering(spark):
+    from ragtide.functions.text import PY_WS
+    from ragtide.operators.chunking import chunk_documents, numbered_chunks
+    ws = PY_WS * 40
+    docs = [(1, "a" * 1000), (2, " \t "), (3, "x" + " " * 1200 + "y"), (4, "z" * 499 + "\U0001F600" + "w"),
+            (5, "b" + ws[:499] + ws[:500] + "c"), (6, ""), (7, "q" * 501)]
+    df = spark.createDataFrame(docs, "doc_id long, content string").repartition(3)
+    got = numbered_chunks(df, ["doc_id"]).select("id", "doc_id", "chunk_index", "corpus")
+    ref = (chunk_documents(df, keep=("doc_id",))
+           .withColumn("want", F.row_number().over(Window.orderBy("doc_id", "chunk_index"))))
+    j = got.join(ref, ["doc_id", "chunk_index", "corpus"])
+    assert j.count() == ref.count() == got.count()
+    assert j.where(F.col("id") != F.col("want")).count() == 0
