@@ -96,27 +96,40 @@ def ann_topk(corpus: DataFrame, queries: DataFrame, k: int = 5, *, index: Cluste
     idx = index or build_index(corpus, n_clusters, vec_col=vec_col, seed=seed)
     q = queries.where(F.col(qvec_col).isNotNull()).select(
         F.col(qid_col).cast("long").alias("qid"), as_double_array(qvec_col).alias("qvec"))
-    n_q = q.count()
     dim = idx.centroids.shape[1]
-    if n_q * dim * 8 > max_broadcast_bytes:
-        raise ValueError("query set exceeds the broadcast bound; split it into blocks")
-    tbl = q.toArrow()
-    qids = tbl.column("qid").to_numpy().astype(np.int64)
-    qmat = tbl.column("qvec").combine_chunks().flatten().to_numpy(zero_copy_only=False) \
-        .astype(np.float64).reshape(len(qids), dim)
-    qunit, qzero = _unit_rows(qmat)
-    # nearest nprobe centroids of every query (queries x clusters, both bounded)
-    csim = qunit @ idx.centroids.T
-    p = min(nprobe, idx.centroids.shape[0])
-    probes = np.argsort(-csim, axis=1, kind="stable")[:, :p]
-    by_cluster: dict[int, np.ndarray] = {}
-    for c in range(idx.centroids.shape[0]):
-        by_cluster[c] = np.nonzero((probes == c).any(axis=1) & ~qzero)[0]
-    bc = spark.sparkContext.broadcast((qids, qunit, by_cluster))
+    q = q.where(F.size("qvec") == dim)
+    n_q = q.count()
     assigned = idx.assign(corpus.where(F.col(vec_col).isNotNull() & (F.size(vec_col) == dim))
                           .select(F.col(id_col).cast("long").alias("id"), vec_col), vec_col)
     prepared = assigned.select("id", F.col("cluster").cast("long"), as_double_array(vec_col).alias("_v"))
-    cand = prepared.mapInArrow(_probe_scorer(bc, int(k)), _CAND)
+    # the query matrix is broadcast after a size check; a larger query set is
+    # split into hash blocks that each fit, one pass over the corpus per block
+    n_blocks = max(1, math.ceil(n_q * dim * 8 / max_broadcast_bytes))
+    blocks = [q] if n_blocks == 1 else [
+        q.where(F.pmod(F.xxhash64("qid"), F.lit(n_blocks)) == b) for b in range(n_blocks)]
+    parts = []
+    for blk in blocks:
+        tbl = blk.toArrow()                           # bounded by the check above
+        if tbl.num_rows == 0:
+            continue
+        qids = tbl.column("qid").to_numpy().astype(np.int64)
+        qmat = tbl.column("qvec").combine_chunks().flatten().to_numpy(zero_copy_only=False) \
+            .astype(np.float64).reshape(len(qids), dim)
+        qunit, qzero = _unit_rows(qmat)
+        # nearest nprobe centroids of every query (queries x clusters, both bounded)
+        csim = qunit @ idx.centroids.T
+        p = min(nprobe, idx.centroids.shape[0])
+        probes = np.argsort(-csim, axis=1, kind="stable")[:, :p]
+        by_cluster = {c: np.nonzero((probes == c).any(axis=1) & ~qzero)[0]
+                      for c in range(idx.centroids.shape[0])}
+        bc = spark.sparkContext.broadcast((qids, qunit, by_cluster))
+        parts.append(prepared.mapInArrow(_probe_scorer(bc, int(k)), _CAND))
+    if not parts:
+        return spark.createDataFrame([], "qid long, rank long, id long, similarity double") \
+            .withColumnRenamed("id", id_col)
+    cand = parts[0]
+    for extra in parts[1:]:
+        cand = cand.unionByName(extra)
     w = Window.partitionBy("qid").orderBy(F.col("similarity").desc(), F.col("id").asc())
     return (cand.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
             .select("qid", "rank", F.col("id").alias(id_col), "similarity"))

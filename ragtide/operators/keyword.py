@@ -7,8 +7,9 @@ and id columns are read.
 
 F1b matches many keywords in one pass over the corpus.  Literal keywords go
 through one Aho-Corasick automaton per task (the keyword list is broadcast
-after its size is checked), so the cost per row is linear in the text, not in
-the number of keywords; keywords with wildcards or escapes are matched by
+after its size is checked; a list above the bound is split into hash blocks
+of keywords, one broadcast and one corpus pass per block), so the cost per
+row is linear in the text, not in the number of keywords; keywords with wildcards or escapes are matched by
 their LIKE pattern translated to a regex in the same pass.  Each task keeps,
 per keyword, only its ``limit`` smallest matching ids and a match count, so
 a keyword that matches a third of the corpus ships at most ``limit`` rows
@@ -149,26 +150,45 @@ def _partial_first(bc, id_col: str, text_col: str, limit: int):
     return run
 
 
-def _broadcast_keywords(corpus: DataFrame, keywords: DataFrame, qid_col: str, kw_col: str,
-                        max_keyword_bytes: int):
+def _keyword_blocks(corpus: DataFrame, keywords: DataFrame, qid_col: str, kw_col: str,
+                    max_keyword_bytes: int):
+    """Broadcast the keyword list after checking its size; a list above the
+    bound is split into hash blocks of qids that each fit, one broadcast
+    (and one pass over the corpus) per block."""
     kw = keywords.where(F.col(kw_col).isNotNull() & (F.col(kw_col) != "")) \
         .select(F.col(qid_col).cast("long").alias("qid"), F.col(kw_col).alias("keyword"))
     size = kw.agg(F.coalesce(F.sum(F.length("keyword") + 16), F.lit(0)).alias("b")).collect()[0]["b"]
-    if size > max_keyword_bytes:
-        raise ValueError("keyword list exceeds the broadcast bound; split it")
-    entries = [(int(r["qid"]), r["keyword"]) for r in kw.collect()]
-    return corpus.sparkSession.sparkContext.broadcast(entries), entries
+    n_blocks = max(1, -(-int(size) // max_keyword_bytes))
+    blocks = [kw] if n_blocks == 1 else [
+        kw.where(F.pmod(F.xxhash64("qid"), F.lit(n_blocks)) == b) for b in range(n_blocks)]
+    sc = corpus.sparkSession.sparkContext
+    out = []
+    for blk in blocks:
+        entries = [(int(r["qid"]), r["keyword"]) for r in blk.collect()]   # bounded by the check
+        if entries:
+            out.append(sc.broadcast(entries))
+    return out
 
 
 def keyword_matches(corpus: DataFrame, keywords: DataFrame, *, id_col: str = "id",
                     text_col: str = "corpus", qid_col: str = "qid", kw_col: str = "keyword",
                     max_keyword_bytes: int = DEFAULT_MAX_KEYWORD_BYTES) -> DataFrame:
     """All (qid, id) pairs where the row text contains the keyword."""
-    bc, _ = _broadcast_keywords(corpus, keywords, qid_col, kw_col, max_keyword_bytes)
     c = corpus.select(F.col(id_col).cast("long").alias("id"), F.col(text_col))
     schema = T.StructType([T.StructField("qid", T.LongType(), False),
                            T.StructField("id", T.LongType(), False)])
-    return c.mapInArrow(_all_matches(bc, "id", text_col), schema)
+    parts = [c.mapInArrow(_all_matches(bc, "id", text_col), schema)
+             for bc in _keyword_blocks(corpus, keywords, qid_col, kw_col, max_keyword_bytes)]
+    return _union(parts, schema, corpus)
+
+
+def _union(parts, schema, like: DataFrame) -> DataFrame:
+    if not parts:
+        return like.sparkSession.createDataFrame([], schema)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def keyword_batch(corpus: DataFrame, keywords: DataFrame, limit: int = 10, *, id_col: str = "id",
@@ -178,11 +198,12 @@ def keyword_batch(corpus: DataFrame, keywords: DataFrame, limit: int = 10, *, id
     total number of matching rows: (qid, rank, id, matches).  One pass over
     the corpus and one small shuffle (at most ``limit`` rows per keyword per
     task)."""
-    bc, _ = _broadcast_keywords(corpus, keywords, qid_col, kw_col, max_keyword_bytes)
     c = corpus.select(F.col(id_col).cast("long").alias("id"), F.col(text_col))
     schema = T.StructType([T.StructField("qid", T.LongType(), False), T.StructField("id", T.LongType(), False),
                            T.StructField("n", T.LongType(), False)])
-    part = c.mapInArrow(_partial_first(bc, "id", text_col, int(limit)), schema)
+    part = _union([c.mapInArrow(_partial_first(bc, "id", text_col, int(limit)), schema)
+                   for bc in _keyword_blocks(corpus, keywords, qid_col, kw_col, max_keyword_bytes)],
+                  schema, corpus)
     w = Window.partitionBy("qid")
     ranked = part.select("qid", "id", F.row_number().over(w.orderBy("id")).cast("long").alias("rank"),
                          F.sum("n").over(w).cast("long").alias("matches"))

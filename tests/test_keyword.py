@@ -45,3 +45,15 @@ def test_keyword_batch_matches_brute_force(spark):
     assert got == want
     top = keyword.keyword_batch(c, k, limit=1).collect()
     assert {(r["qid"], r["rank"]) for r in top} == {(q, 1) for q, _ in want}
+
+
+def test_keyword_blocks_beyond_broadcast_bound_give_same_answer(spark):
+    texts = ["the cat sat", "Concatenate THE strings", "dog", "a_b c", "cathedral", "über Straße"] * 5
+    c = spark.createDataFrame([(i + 1, t) for i, t in enumerate(texts)], "id long, corpus string")
+    kws = ["cat", "the", "a_b", "über", "zzz", "dog", "s", "c"]
+    k = spark.createDataFrame([(i, w) for i, w in enumerate(kws)], "qid long, keyword string")
+    one = {tuple(r) for r in keyword.keyword_batch(c, k, limit=3).collect()}
+    many = {tuple(r) for r in keyword.keyword_batch(c, k, limit=3, max_keyword_bytes=40).collect()}
+    assert one == many and len(one) > 0
+    assert ({tuple(r) for r in keyword.keyword_matches(c, k, max_keyword_bytes=40).collect()}
+            == {tuple(r) for r in keyword.keyword_matches(c, k).collect()})
