@@ -56,7 +56,8 @@ def numbered_chunks(docs: DataFrame, order_cols: list[str], *, content_col: str
     cols = list(dict.fromkeys([*order_cols, *keep]))
     light = (docs.select(*order_cols, F.size(kept_chunks(F.col(content_col), size)).alias("_n"))
              .where(F.col("_n") > 0))
-    offs, small = group_offsets(light, list(order_cols), "_n")
+    n_docs = docs.select(*order_cols).count()        # an upper bound on groups; reads no text
+    offs, small = group_offsets(light, list(order_cols), "_n", max_groups=n_docs)
     # documents without kept chunks have no offsets row: the inner join drops them
     d = docs.select(*cols, kept_chunks(F.col(content_col), size).alias("_ch"))
     j = d.join(F.broadcast(offs) if small else offs, list(order_cols))

@@ -39,6 +39,9 @@ from ragtide.session import ensure_checkpoint_dir
 
 # Offsets frames up to this size are broadcast to the join with the rows.
 DEFAULT_MAX_OFFSETS_BYTES = 128 * 1024 * 1024
+# Up to this many groups, one task sums the light frame in order (a few MB);
+# beyond it the sorted, checkpointed form spreads the work.
+DEFAULT_SINGLE_TASK_GROUPS = 1_000_000
 
 
 def range_bounds(df: DataFrame, key: Column, n: int, accuracy: int = 10000) -> list[float]:
@@ -110,7 +113,9 @@ def _running_starts(bc):
 
 
 def group_offsets(groups: DataFrame, order_cols: list[str], count_col: str,
-                  max_broadcast_bytes: int = DEFAULT_MAX_OFFSETS_BYTES) -> tuple[DataFrame, bool]:
+                  max_broadcast_bytes: int = DEFAULT_MAX_OFFSETS_BYTES, *,
+                  max_groups: int | None = None,
+                  single_task_groups: int = DEFAULT_SINGLE_TASK_GROUPS) -> tuple[DataFrame, bool]:
     """Exclusive running total of ``count_col`` over ``groups`` in
     ``order_cols`` order: ``(order_cols..., _start)``, one row per group.
 
@@ -122,9 +127,21 @@ def group_offsets(groups: DataFrame, order_cols: list[str], count_col: str,
     partition's start; a running sum inside each partition gives each
     group's start.  No window and no single-task step over the groups.
 
+    ``max_groups`` is a known upper bound on the number of groups (e.g. a
+    document count, which reads no text).  When it is at most
+    ``single_task_groups``, the offsets are a running sum over the light
+    frame in one task instead (bounded by that check: no sort job, no
+    checkpoint), and they are broadcast when their estimated size fits.
+
     Also returns whether the offsets are small enough to broadcast (checked
     from the exact row count and key widths)."""
     spark = groups.sparkSession
+    if max_groups is not None and max_groups <= single_task_groups:
+        w = Window.orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
+        offs = groups.select(*order_cols, F.coalesce(F.sum(F.col(count_col).cast("long")).over(w), F.lit(0))
+                             .alias("_start"))
+        key_bytes = sum(64 if isinstance(groups.schema[c].dataType, T.StringType) else 8 for c in order_cols)
+        return offs, max_groups * (16 + key_bytes) <= max_broadcast_bytes
     ensure_checkpoint_dir(spark)
     srt = (groups.select(*order_cols, F.col(count_col).cast("long").alias("_n"))
            .orderBy(*order_cols).checkpoint(eager=True))

@@ -55,3 +55,13 @@ def test_numbered_chunks_match_global_numbering(spark):
     j = got.join(ref, ["doc_id", "chunk_index", "corpus"])
     assert j.count() == ref.count() == got.count()
     assert j.where(F.col("id") != F.col("want")).count() == 0
+
+
+def test_group_offsets_single_task_path_equals_checkpointed(spark):
+    from ragtide.operators.ids import group_offsets
+    rows = [(f"f{i % 97:03d}-{i}", (i * 7) % 11) for i in range(2000)]
+    g = spark.createDataFrame(rows, "file string, n long").repartition(5)
+    a, _ = group_offsets(g, ["file"], "n")
+    b, small = group_offsets(g, ["file"], "n", max_groups=2000)
+    assert small
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
