@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -37,6 +38,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -57,3 +59,27 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         d = tempfile.mkdtemp(prefix="ragtide-ckpt-", dir=os.environ.get("RAGTIDE_SCRATCH", "/tmp"))
     spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``ragtide`` importable in the Python workers (broadcast payloads
+    and Arrow batch functions refer to its classes): zip the package once
+    per SparkContext and ``addPyFile`` it, as ``--py-files`` would.  The zip
+    is written on the driver only; Spark ships it to every executor."""
+    try:
+        sc = spark.sparkContext
+    except Exception:          # sessions without a SparkContext handle
+        return
+    if getattr(sc, "_ragtide_shipped", False):
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg)
+    out = os.path.join(tempfile.mkdtemp(prefix="ragtide-pyfiles-"), "ragtide.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _, names in os.walk(pkg):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(dirpath, name)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(out)
+    sc._ragtide_shipped = True

@@ -55,3 +55,11 @@ def test_scans_are_pruned(plans):
     assert "ReadSchema: struct<doc_id:bigint,text:string,lang:string,source:string>" not in plans["keyword_count"]
     assert "n_chars" not in plans["chunk_documents"]
     assert "label" not in plans["topk_batch"].split("ReadSchema")[1].split("\n")[0]
+
+
+def test_package_is_shipped_to_workers(spark):
+    from ragtide.session import ship_package
+    ship_package(spark)
+    ship_package(spark)                      # once per context
+    incs = [p for p in spark.sparkContext._python_includes if p.endswith("ragtide.zip")]
+    assert len(incs) == 1
