@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ragtide.functions.text import (
     CHUNK_SIZE, HEADER_MARKER, UTTERANCE_PREFIX, chunk_array, is_blank, py_strip,
 )
-from ragtide.operators.ids import group_offsets
+from ragtide.operators.ids import DEFAULT_SINGLE_TASK_GROUPS, group_offsets
 
 
 def kept_chunks(content, size: int = CHUNK_SIZE):
@@ -43,7 +43,8 @@ def first_chunk(docs: DataFrame, *, content_col: str = "content", size: int = CH
 
 
 def numbered_chunks(docs: DataFrame, order_cols: list[str], *, content_col: str = "content",
-                    size: int = CHUNK_SIZE, keep: tuple[str, ...] = ()) -> DataFrame:
+                    size: int = CHUNK_SIZE, keep: tuple[str, ...] = (),
+                    single_task_groups: int = DEFAULT_SINGLE_TASK_GROUPS) -> DataFrame:
     """W3 over P1: chunk rows with dense ids 1..N in (order_cols, chunk_index)
     order.  ``order_cols`` must identify a document.
 
@@ -57,7 +58,8 @@ def numbered_chunks(docs: DataFrame, order_cols: list[str], *, content_col: str
     light = (docs.select(*order_cols, F.size(kept_chunks(F.col(content_col), size)).alias("_n"))
              .where(F.col("_n") > 0))
     n_docs = docs.select(*order_cols).count()        # an upper bound on groups; reads no text
-    offs, small = group_offsets(light, list(order_cols), "_n", max_groups=n_docs)
+    offs, small = group_offsets(light, list(order_cols), "_n", max_groups=n_docs,
+                                single_task_groups=single_task_groups)
     # documents without kept chunks have no offsets row: the inner join drops them
     d = docs.select(*cols, kept_chunks(F.col(content_col), size).alias("_ch"))
     j = d.join(F.broadcast(offs) if small else offs, list(order_cols))

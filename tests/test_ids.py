@@ -65,3 +65,15 @@ def test_group_offsets_single_task_path_equals_checkpointed(spark):
     b, small = group_offsets(g, ["file"], "n", max_groups=2000)
     assert small
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_checkpointed_and_single_task_chunk_ids_agree_on_test_table(spark):
+    from conftest import SF_MED
+    from ragtide.operators.chunking import numbered_chunks
+    from ragtide.sources.tables import documents_as_files
+    d = documents_as_files(spark, SF_MED)
+    a = numbered_chunks(d, ["doc_id"]).select("id", "doc_id", "chunk_index")
+    b = numbered_chunks(d, ["doc_id"], single_task_groups=0).select("id", "doc_id", "chunk_index")
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    assert b.agg(F.min("id"), F.max("id"), F.count_distinct("id"), F.count(F.lit(1))).first() == \
+        (1, 5332, 5332, 5332)
