@@ -2,9 +2,11 @@
 normalisation, A9/L4 file inventory.
 
 ``binaryFile`` gives one row per file with its bytes, so the utf-8 /
-latin-1 choice is made per file on the executors (JVM-side).  Note:
-``binaryFile`` skips zero-length files; they are never ingested anyway, but
-the inventory cannot list them.
+latin-1 choice is made per file on the executors (JVM-side).
+``binaryFile`` yields no row for a zero-length file; they are never
+ingested anyway, and the inventory adds them back from the scan's file
+listing (``inputFiles()``, which Spark's file index holds already) with
+size 0 and 0 lines, as the reference lists them.
 """
 
 from __future__ import annotations
@@ -37,12 +39,26 @@ def load_documents(spark: SparkSession, folder: str, file_type: str = "txt",
             .where(F.col("content") != ""))
 
 
+def _same_path(c):
+    """``file:///x`` and ``file:/x`` name the same file: one form for both."""
+    return F.regexp_replace(c, "^([A-Za-z][A-Za-z0-9+.-]*):/+", "$1:/")
+
+
 def file_inventory(spark: SparkSession, folder: str, pattern: str = "*.txt") -> DataFrame:
     """A9 + L4: per file name, size in KB (2 decimals) and line count, ordered
-    by size descending (name breaks ties)."""
+    by size descending (name breaks ties).  Zero-length files are listed
+    with size 0 and 0 lines."""
+    raw = (spark.read.format("binaryFile").option("pathGlobFilter", pattern)
+           .option("recursiveFileLookup", "false").load(folder))
     f = read_text_files(spark, folder, pattern)
-    return (f.select(F.col("file").alias("name"), size_kb("size_bytes").alias("size_kb"),
-                     line_count("text").alias("lines"))
+    listed = spark.createDataFrame([(p,) for p in raw.inputFiles()], "path string")
+    empty = (listed.join(f.select(_same_path("path").alias("_p")), _same_path(listed["path"]) == F.col("_p"),
+                         "left_anti")
+             .select(base_name("path").alias("file"), F.lit("").alias("text"), F.lit(0).cast("long")
+                     .alias("size_bytes")))
+    allf = f.select("file", "text", "size_bytes").unionByName(empty)
+    return (allf.select(F.col("file").alias("name"), size_kb("size_bytes").alias("size_kb"),
+                        line_count("text").alias("lines"))
             .orderBy(F.col("size_kb").desc(), F.col("name").asc()))
 
 

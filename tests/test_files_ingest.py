@@ -47,6 +47,8 @@ def test_file_inventory(spark, scratch):
     rows = {r["name"]: (r["size_kb"], r["lines"]) for r in inv.collect()}
     assert rows["105_0000006a.txt"] == (0.05, 3)
     assert rows["crlf.txt"][1] == 2
+    assert rows["empty.txt"] == (0.0, 0)                # listed, as the reference lists it
+    assert "notes.md" not in rows
     names = [r["name"] for r in inv.collect()]
     assert names[0] == "105_0000006a.txt"              # largest first
     tot = files.inventory_totals(inv).first()
