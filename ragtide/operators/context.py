@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ragtide.functions.text import PREVIEW_SOURCES, preview, relevance_pct
+from ragtide.functions.text import PREVIEW_SOURCES, preview, py_strip, relevance_pct
 
 # --- fixed values -----------------------------------------------------------
 DEFAULT_TOP_K_CHAT = 5
@@ -31,15 +31,20 @@ PROMPT_ANSWER = {
 
 def normalize_requests(requests: DataFrame, *, default_top_k: int = DEFAULT_TOP_K_CHAT,
                        primary: str = "question", secondary: str = "query",
-                       k_col: str = "top_k") -> DataFrame:
+                       k_col: str = "top_k", trim: bool = False) -> DataFrame:
     """text = primary if present else secondary (a NULL means the key is
     absent; '' is present and rejected), top_k default when absent; negative
-    top_k is rejected.  Output (qid, question, top_k, status, error)."""
+    top_k is rejected.  Output (qid, question, top_k, status, error).
+
+    The server keeps the text as sent; ``trim=True`` applies the page's
+    whitespace strip first, so a whitespace-only question is rejected too."""
     cols = set(requests.columns)
     p = F.col(primary) if primary in cols else F.lit(None).cast("string")
     s = F.col(secondary) if secondary in cols else F.lit(None).cast("string")
     k = F.col(k_col).cast("long") if k_col in cols else F.lit(None).cast("long")
     text = F.coalesce(p, s, F.lit(""))
+    if trim:
+        text = py_strip(text)
     top_k = F.coalesce(k, F.lit(default_top_k).cast("long"))
     err = (F.when(text == "", F.lit("Question is required"))
            .when(top_k < 0, F.lit("top_k must be >= 0")))

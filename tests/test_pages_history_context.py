@@ -84,3 +84,17 @@ def test_stats_on_small_table(spark):
     assert recent == [3, 2]
     empty = stats.corpus_stats(c.where(F.lit(False))).first()
     assert empty["avg_length"] == 0.0 and empty["total_records"] == 0
+
+
+def test_normalize_requests_page_trim(spark):
+    req = spark.createDataFrame([(1, "  hi  ", None), (2, " \t ", None), (3, None, "  q ")],
+                                "qid long, question string, query string")
+    raw = {r["qid"]: (r["question"], r["status"]) for r in context.normalize_requests(req).collect()}
+    assert raw == {1: ("  hi  ", "ok"), 2: (" \t ", "ok"), 3: ("  q ", "ok")}
+    t = {r["qid"]: (r["question"], r["status"]) for r in context.normalize_requests(req, trim=True).collect()}
+    assert t == {1: ("hi", "ok"), 2: ("", "rejected"), 3: ("q", "ok")}
+    # keyword requests: query else keyword, default limit 10
+    kw = spark.createDataFrame([(1, None, "cat", None)], "qid long, query string, keyword string, limit long")
+    r = context.normalize_requests(kw, primary="query", secondary="keyword", k_col="limit",
+                                   default_top_k=context.DEFAULT_KEYWORD_LIMIT).first()
+    assert (r["question"], r["top_k"], r["status"]) == ("cat", 10, "ok")
