@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ragtide.functions.text import (
     CHUNK_SIZE, HEADER_MARKER, UTTERANCE_PREFIX, chunk_array, is_blank, py_strip,
@@ -57,8 +58,12 @@ def numbered_chunks(docs: DataFrame, order_cols: list[str], *, content_col: str
     cols = list(dict.fromkeys([*order_cols, *keep]))
     light = (docs.select(*order_cols, F.size(kept_chunks(F.col(content_col), size)).alias("_n"))
              .where(F.col("_n") > 0))
-    n_docs = docs.select(*order_cols).count()        # an upper bound on groups; reads no text
-    offs, small = group_offsets(light, list(order_cols), "_n", max_groups=n_docs,
+    # an upper bound on groups and their key bytes, from the key columns only
+    strings = [c for c in order_cols if isinstance(docs.schema[c].dataType, T.StringType)]
+    st = docs.agg(F.count(F.lit(1)).alias("n"),
+                  *[F.coalesce(F.sum(F.length(c)), F.lit(0)).alias(f"w{i}") for i, c in enumerate(strings)]).first()
+    offs, small = group_offsets(light, list(order_cols), "_n", max_groups=int(st["n"]),
+                                key_bytes=sum(int(st[f"w{i}"]) for i in range(len(strings))),
                                 single_task_groups=single_task_groups)
     # documents without kept chunks have no offsets row: the inner join drops them
     d = docs.select(*cols, kept_chunks(F.col(content_col), size).alias("_ch"))

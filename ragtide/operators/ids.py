@@ -114,7 +114,7 @@ def _running_starts(bc):
 
 def group_offsets(groups: DataFrame, order_cols: list[str], count_col: str,
                   max_broadcast_bytes: int = DEFAULT_MAX_OFFSETS_BYTES, *,
-                  max_groups: int | None = None,
+                  max_groups: int | None = None, key_bytes: int | None = None,
                   single_task_groups: int = DEFAULT_SINGLE_TASK_GROUPS) -> tuple[DataFrame, bool]:
     """Exclusive running total of ``count_col`` over ``groups`` in
     ``order_cols`` order: ``(order_cols..., _start)``, one row per group.
@@ -128,10 +128,11 @@ def group_offsets(groups: DataFrame, order_cols: list[str], count_col: str,
     group's start.  No window and no single-task step over the groups.
 
     ``max_groups`` is a known upper bound on the number of groups (e.g. a
-    document count, which reads no text).  When it is at most
+    document count, which reads no text) and ``key_bytes`` the total length
+    of their string keys.  When ``max_groups`` is at most
     ``single_task_groups``, the offsets are a running sum over the light
     frame in one task instead (bounded by that check: no sort job, no
-    checkpoint), and they are broadcast when their estimated size fits.
+    checkpoint), and they are broadcast when that measured size fits.
 
     Also returns whether the offsets are small enough to broadcast (checked
     from the exact row count and key widths)."""
@@ -140,8 +141,11 @@ def group_offsets(groups: DataFrame, order_cols: list[str], count_col: str,
         w = Window.orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
         offs = groups.select(*order_cols, F.coalesce(F.sum(F.col(count_col).cast("long")).over(w), F.lit(0))
                              .alias("_start"))
-        key_bytes = sum(64 if isinstance(groups.schema[c].dataType, T.StringType) else 8 for c in order_cols)
-        return offs, max_groups * (16 + key_bytes) <= max_broadcast_bytes
+        n_str = sum(1 for c in order_cols if isinstance(groups.schema[c].dataType, T.StringType))
+        if n_str and key_bytes is None:
+            raise ValueError("key_bytes is required with string keys on the single-task path")
+        est = max_groups * (16 + 8 * len(order_cols)) + (key_bytes or 0)
+        return offs, est <= max_broadcast_bytes
     ensure_checkpoint_dir(spark)
     srt = (groups.select(*order_cols, F.col(count_col).cast("long").alias("_n"))
            .orderBy(*order_cols).checkpoint(eager=True))

@@ -62,9 +62,10 @@ def test_group_offsets_single_task_path_equals_checkpointed(spark):
     rows = [(f"f{i % 97:03d}-{i}", (i * 7) % 11) for i in range(2000)]
     g = spark.createDataFrame(rows, "file string, n long").repartition(5)
     a, _ = group_offsets(g, ["file"], "n")
-    b, small = group_offsets(g, ["file"], "n", max_groups=2000)
+    b, small = group_offsets(g, ["file"], "n", max_groups=2000, key_bytes=sum(len(f) for f, _ in rows))
     assert small
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    assert group_offsets(g, ["file"], "n", max_groups=2000, key_bytes=10 ** 9)[1] is False
 
 
 def test_checkpointed_and_single_task_chunk_ids_agree_on_test_table(spark):
