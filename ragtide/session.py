@@ -3,6 +3,7 @@ shared checkpoint folder of a cluster session."""
 
 from __future__ import annotations
 
+import math
 import os
 import tempfile
 import zipfile
@@ -42,6 +43,33 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     return spark
 
 
+def recommended_conf(input_bytes: int, total_cores: int,
+                     partition_bytes: int = 256 * 1024 * 1024,
+                     shuffle_bytes: int | None = None) -> dict[str, str]:
+    """Partition sizing for a cluster run over ``input_bytes`` of parquet.
+
+    Scan splits of ``partition_bytes`` keep a task's input well inside an
+    executor core's memory share.  The shuffle partition count is the
+    expected shuffled volume divided by the same target, and at least two
+    waves of the cluster's cores.  By default the volume is a tenth of the
+    input: these plans shuffle projections, partial aggregates and light
+    per-document frames, not the text.  AQE coalesces the partitions that
+    turn out small and splits skewed join partitions.
+    ``spark.checkpoint.dir`` is the cluster's shared folder and is not set
+    here."""
+    volume = input_bytes // 10 if shuffle_bytes is None else shuffle_bytes
+    shuffle = max(2 * total_cores, math.ceil(volume / partition_bytes))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.shuffle.partitions": str(shuffle),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.session.timeZone": "UTC",
+    }
+
+
 def checkpoint_dir(spark: SparkSession) -> str | None:
     """The shared folder named by ``spark.checkpoint.dir`` (or set on the
     context), if any."""

@@ -63,3 +63,12 @@ def test_package_is_shipped_to_workers(spark):
     ship_package(spark)                      # once per context
     incs = [p for p in spark.sparkContext._python_includes if p.endswith("ragtide.zip")]
     assert len(incs) == 1
+
+
+def test_recommended_conf_sizes_partitions():
+    from ragtide.session import recommended_conf
+    c = recommended_conf(100 * 10 ** 12, 8000)
+    assert int(c["spark.sql.files.maxPartitionBytes"]) == 256 * 1024 * 1024
+    assert int(c["spark.sql.shuffle.partitions"]) == 37253
+    assert int(recommended_conf(10 ** 6, 8)["spark.sql.shuffle.partitions"]) == 16
+    assert "spark.checkpoint.dir" not in c
