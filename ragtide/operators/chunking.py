@@ -65,9 +65,12 @@ def numbered_chunks(docs: DataFrame, order_cols: list[str], *, content_col: str
     offs, small = group_offsets(light, list(order_cols), "_n", max_groups=int(st["n"]),
                                 key_bytes=sum(int(st[f"w{i}"]) for i in range(len(strings))),
                                 single_task_groups=single_task_groups)
-    # documents without kept chunks have no offsets row: the inner join drops them
+    # documents without kept chunks have no offsets row: the inner join drops
+    # them.  Null-safe keys, so a document with a NULL key is numbered too.
     d = docs.select(*cols, kept_chunks(F.col(content_col), size).alias("_ch"))
-    j = d.join(F.broadcast(offs) if small else offs, list(order_cols))
+    o = offs.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(order_cols)], "_start")
+    o = F.broadcast(o) if small else o
+    j = d.join(o, [d[c].eqNullSafe(o[f"_k{i}"]) for i, c in enumerate(order_cols)])
     ex = j.select(*cols, "_start", F.posexplode("_ch").alias("_pos", "_c"))
     return ex.select((F.col("_start") + F.col("_pos") + 1).cast("long").alias("id"), *cols,
                      "_c.chunk_index", "_c.corpus")

@@ -78,3 +78,12 @@ def test_checkpointed_and_single_task_chunk_ids_agree_on_test_table(spark):
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
     assert b.agg(F.min("id"), F.max("id"), F.count_distinct("id"), F.count(F.lit(1))).first() == \
         (1, 5332, 5332, 5332)
+
+
+def test_numbered_chunks_null_key_is_numbered(spark):
+    from ragtide.operators.chunking import numbered_chunks
+    df = spark.createDataFrame([(None, "x" * 600), ("a", "y"), ("b", "z")], "file string, content string")
+    for single in (10 ** 6, 0):
+        rows = sorted((r["id"], r["file"]) for r in
+                      numbered_chunks(df, ["file"], single_task_groups=single).collect())
+        assert rows == [(1, None), (2, None), (3, "a"), (4, "b")]       # NULL sorts first
