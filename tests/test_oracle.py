@@ -51,3 +51,30 @@ def test_entry_smoke(spark):
     df = entry.entry(spark)
     assert df.count() > 0
     assert df.columns == ["qid", "question", "sources_count", "context", "prompt"]
+
+
+def test_text_search_hashed_against_brute_force(spark):
+    """The rows-only text search equals a numpy brute force over the same
+    embedded chunks and questions (top 5 by cosine, ties by id)."""
+    import numpy as np
+    from pyspark.sql import functions as F
+    from ragtide.operators import embed
+    from ragtide.plans import catalog
+    from ragtide.sources.tables import table
+    c = embed.embed(catalog.corpus(spark, SF_SMALL), "corpus", "embedding").select("id", "embedding").toPandas()
+    q = embed.embed(table(spark, SF_SMALL, "benchmark").select(F.col("item_id").alias("qid"), "text"),
+                    "text", "embedding").select("qid", "embedding").toPandas()
+
+    def unit(m):
+        n = np.linalg.norm(m, axis=1)
+        return m / np.where(n == 0, 1.0, n)[:, None]
+    cm, qm = unit(np.vstack(c["embedding"]).astype(np.float64)), unit(np.vstack(q["embedding"]).astype(np.float64))
+    sims = qm @ cm.T
+    ids = c["id"].to_numpy()
+    want = set()
+    for i, qid in enumerate(q["qid"]):
+        order = sorted(range(len(ids)), key=lambda j: (-round(sims[i, j], 12), ids[j]))[:5]
+        want |= {(int(qid), r + 1, int(ids[j]), round(float(sims[i, j]), 6)) for r, j in enumerate(order)}
+    got = {(r["qid"], r["rank"], r["id"], round(r["similarity"], 6))
+           for r in entry.queries()["text_search_hashed"](spark, SF_SMALL).collect()}
+    assert got == want
