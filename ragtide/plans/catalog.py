@@ -25,6 +25,7 @@ QUERY_VECTOR_ID = 0          # stored vector used as the single query
 TOP_K = 5
 KEYWORD = "the"
 CLEARED_SESSION = 0
+PAGE_BLOCK = 16              # pages per block in the block-level assembly
 # ----------------------------------------------------------------------------
 
 _R = 6
@@ -179,6 +180,11 @@ def q_page_assembly_marked(spark, sf):
     return pages_src.assemble_pages(_pages(spark, sf), marked=True)
 
 
+def q_page_blocks(spark, sf):
+    """S5 at block level: files of any size stay whole as ordered blocks."""
+    return pages_src.assemble_page_blocks(_pages(spark, sf), marked=True, block_pages=PAGE_BLOCK)
+
+
 def q_page_summary(spark, sf):
     return pages_src.page_summary(_pages(spark, sf), marked=True)
 
@@ -310,6 +316,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "keyword_batch": q_keyword_batch,
     "page_assembly": q_page_assembly,
     "page_assembly_marked": q_page_assembly_marked,
+    "page_blocks": q_page_blocks,
     "page_summary": q_page_summary,
     "union_documents": q_union_documents,
     "request_normalize": q_request_normalize,

@@ -190,6 +190,15 @@ SELECT qid, rank, id, matches FROM r WHERE rank <= 10""",
     "page_assembly": _pages_assembled(False),
     "page_assembly_marked": _pages_assembled(True),
 
+    "page_blocks": f"""WITH {DOCS},
+pages AS (SELECT d.doc_id AS file, t.page_no, t.text
+          FROM docs d, unnest(string_split(d.content, {NL})) WITH ORDINALITY AS t(text, page_no)),
+kept AS (SELECT file, page_no, '--- Page ' || page_no::VARCHAR || ' ---' || {NL} || text || {NL} AS body
+         FROM pages WHERE trim(text, {WS}) <> '')
+SELECT file, page_no // {C.PAGE_BLOCK} AS block, string_agg(body, {NL} ORDER BY page_no) AS text,
+       count(*) AS n_pages
+FROM kept GROUP BY file, page_no // {C.PAGE_BLOCK}""",
+
     "page_summary": f"""WITH {DOCS},
 pages AS (SELECT d.doc_id AS file, t.page_no, t.text
           FROM docs d, unnest(string_split(d.content, {NL})) WITH ORDINALITY AS t(text, page_no)),

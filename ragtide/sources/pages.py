@@ -6,7 +6,9 @@ reader would emit.  Blank pages are dropped; the kept pages are joined by
 
 Assembly runs in two levels so that one file with a huge number of pages is
 not gathered in a single task: pages are first concatenated per (file, block
-of ``block_pages`` consecutive pages), then the blocks per file.  Counts and
+of ``block_pages`` consecutive pages), then the blocks per file.  The block
+level is also an output of its own (``assemble_page_blocks``) for files
+whose text would not fit in one value.  Counts and
 character totals are plain aggregates with map-side combine.
 """
 
@@ -26,21 +28,36 @@ def _ordered_join(items_col: str, key: str, val: str, sep: str):
     return F.array_join(F.transform(F.array_sort(F.col(items_col)), lambda x: x[val]), sep)
 
 
-def assemble_pages(pages: DataFrame, *, marked: bool = False, block_pages: int = 1024,
-                   file_col: str = "file", page_col: str = "page_no", text_col: str = "text") -> DataFrame:
-    """(file, text, n_pages, characters) with only non-blank pages."""
+def assemble_page_blocks(pages: DataFrame, *, marked: bool = False, block_pages: int = 1024,
+                         file_col: str = "file", page_col: str = "page_no",
+                         text_col: str = "text") -> DataFrame:
+    """S5/F4 at block level: (file, block, text, n_pages), one row per block
+    of ``block_pages`` consecutive page numbers that keeps a page.  A file's
+    text is its blocks' texts joined by ``\\n`` in block order.  This form
+    keeps a file of any size whole: no row holds more than one block."""
     p = pages.where(F.col(text_col).isNotNull() & ~is_blank(text_col))
     body = (F.concat(F.lit("--- Page "), F.col(page_col).cast("string"), F.lit(" ---\n"),
                      F.col(text_col), F.lit("\n")) if marked else F.col(text_col))
     p = p.select(F.col(file_col).alias("file"), F.col(page_col).cast("long").alias("page_no"),
                  body.alias("body"))
-    blocks = (p.groupBy("file", F.floor(F.col("page_no") / block_pages).alias("block"))
-              .agg(F.collect_list(F.struct("page_no", "body")).alias("_items"),
-                   F.count(F.lit(1)).alias("_n"))
-              .select("file", "block", _ordered_join("_items", "page_no", "body", "\n").alias("body"), "_n"))
+    return (p.groupBy("file", F.floor(F.col("page_no") / block_pages).cast("long").alias("block"))
+            .agg(F.collect_list(F.struct("page_no", "body")).alias("_items"),
+                 F.count(F.lit(1)).alias("n_pages"))
+            .select("file", "block", _ordered_join("_items", "page_no", "body", "\n").alias("text"),
+                    "n_pages"))
+
+
+def assemble_pages(pages: DataFrame, *, marked: bool = False, block_pages: int = 1024,
+                   file_col: str = "file", page_col: str = "page_no", text_col: str = "text") -> DataFrame:
+    """(file, text, n_pages, characters) with only non-blank pages: the
+    blocks of ``assemble_page_blocks`` joined per file.  One string per file,
+    as the reference writes it, so a file's text must fit in one value
+    (under 2 GB); beyond that, use the block form."""
+    blocks = assemble_page_blocks(pages, marked=marked, block_pages=block_pages, file_col=file_col,
+                                  page_col=page_col, text_col=text_col)
     files = (blocks.groupBy("file")
-             .agg(F.collect_list(F.struct("block", "body")).alias("_items"),
-                  F.sum("_n").cast("long").alias("n_pages"))
+             .agg(F.collect_list(F.struct("block", F.col("text").alias("body"))).alias("_items"),
+                  F.sum("n_pages").cast("long").alias("n_pages"))
              .select("file", _ordered_join("_items", "block", "body", "\n").alias("text"), "n_pages"))
     return files.select("file", "text", "n_pages", F.length("text").cast("long").alias("characters"))
 

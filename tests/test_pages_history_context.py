@@ -98,3 +98,15 @@ def test_normalize_requests_page_trim(spark):
     r = context.normalize_requests(kw, primary="query", secondary="keyword", k_col="limit",
                                    default_top_k=context.DEFAULT_KEYWORD_LIMIT).first()
     assert (r["question"], r["top_k"], r["status"]) == ("cat", 10, "ok")
+
+
+def test_block_level_assembly_joins_to_file_text(spark):
+    rows = [("f", i, f"p{i}" if i % 7 else " ") for i in range(1, 700)] + [("g", 1, "x")]
+    p = spark.createDataFrame(rows, "file string, page_no long, text string")
+    files = {r["file"]: r for r in pages.assemble_pages(p, marked=True, block_pages=50).collect()}
+    blocks = pages.assemble_page_blocks(p, marked=True, block_pages=50).collect()
+    for f in ("f", "g"):
+        bs = sorted((r["block"], r["text"], r["n_pages"]) for r in blocks if r["file"] == f)
+        assert "\n".join(t for _, t, _ in bs) == files[f]["text"]
+        assert sum(n for _, _, n in bs) == files[f]["n_pages"]
+    assert max(r["n_pages"] for r in blocks) <= 50
