@@ -58,10 +58,35 @@ def _fs(spark, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def recover_corpus(spark, path: str) -> None:
+    """Finish a table swap that stopped between its two renames (the table
+    folder is missing): promote the newest complete staged table (it has
+    ``_SUCCESS``), else restore the previous one.  Nothing to do when the
+    table exists."""
+    fs, target = _fs(spark, path)
+    if fs.exists(target) or not fs.exists(target.getParent()):
+        return
+    jvm = spark.sparkContext._jvm
+    name = target.getName()
+    entries = [st for st in fs.listStatus(target.getParent()) if st.isDirectory()]
+    staged = [st for st in entries if st.getPath().getName().startswith(name + ".staging-")
+              and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS"))]
+    olds = [st for st in entries if st.getPath().getName().startswith(name + ".old-")]
+    pick = max(staged or olds, key=lambda st: st.getModificationTime(), default=None)
+    if pick is None:
+        return
+    fs.rename(pick.getPath(), target)
+    if staged:
+        for st in olds:
+            fs.delete(st.getPath(), True)
+
+
 def write_corpus(df: DataFrame, path: str) -> None:
     """K1: write the new table beside the old one, then swap directories, so
-    a failure while writing leaves the previous table intact."""
+    a failure while writing leaves the previous table intact (and
+    ``recover_corpus`` completes a swap cut between its renames)."""
     spark = df.sparkSession
+    recover_corpus(spark, path)
     staging = f"{path.rstrip('/')}.staging-{uuid.uuid4().hex}"
     df.where(F.col("corpus").isNotNull() & F.col("id").isNotNull()).write.mode("error").parquet(staging)
     fs, target = _fs(spark, path)
@@ -93,6 +118,7 @@ def append_corpus(docs: DataFrame, path: str, *, encoder: Encoder | None = None)
     """K2: chunk, embed and append documents; ids continue after the stored
     ones.  Returns the number of rows in the table afterwards."""
     spark = docs.sparkSession
+    recover_corpus(spark, path)
     rows = build_corpus(docs, encoder=encoder, id_offset=max_id(spark, path))
     rows.write.mode("append").parquet(path)
     return read_corpus(spark, path).count()

@@ -119,3 +119,20 @@ def test_streaming_epoch_rerun_is_idempotent(spark, scratch):
     # a batch append at the root continues after the streamed rows
     more = spark.createDataFrame([("d.txt", "w", "txt")], "file string, content string, type string")
     assert ingest.append_corpus(more, table) == 5
+
+
+def test_swap_cut_between_renames_is_recovered(spark, scratch):
+    docs = spark.createDataFrame([("a.txt", "new text", "txt")], "file string, content string, type string")
+    table = os.path.join(scratch, "t")
+    ingest.write_corpus(ingest.build_corpus(docs), table)
+    # the state after the first rename of a second swap: no table, the old
+    # one renamed aside, the new one complete in staging
+    os.rename(table, table + ".old-x")
+    ingest.build_corpus(docs.withColumn("content", F.lit("newer"))).write.parquet(table + ".staging-y")
+    ingest.recover_corpus(spark, table)
+    assert [r["corpus"] for r in ingest.read_corpus(spark, table).collect()] == ["newer"]
+    assert not os.path.exists(table + ".old-x")
+    # no complete staging: the old table comes back
+    os.rename(table, table + ".old-z")
+    ingest.recover_corpus(spark, table)
+    assert [r["corpus"] for r in ingest.read_corpus(spark, table).collect()] == ["newer"]
