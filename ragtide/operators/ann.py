@@ -8,6 +8,10 @@ scores its rows only against the queries that probe the rows' cluster and
 emits local top-k candidates; a final per-query ranking gives the answer.
 No query x row pair becomes a Spark row and the corpus is not shuffled.
 Report the scanned share beside recall (``scanned_share``).
+
+Stored form: ``write_clustered`` writes the corpus partitioned by cluster
+id and ``ann_topk_stored`` reads only the probed clusters' folders
+(partition pruning), so I/O shrinks with the probe count, not only work.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
+from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -87,43 +91,51 @@ def _probe_scorer(bc, k: int):
     return run
 
 
-def ann_topk(corpus: DataFrame, queries: DataFrame, k: int = 5, *, index: ClusterIndex | None = None,
-             n_clusters: int = 40, nprobe: int = 10, id_col: str = "id", vec_col: str = "embedding",
-             qid_col: str = "qid", qvec_col: str = "embedding", seed: int = 1,
-             max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
-    """Approximate (qid, rank, id, similarity), rank <= k."""
-    spark = corpus.sparkSession
-    idx = index or build_index(corpus, n_clusters, vec_col=vec_col, seed=seed)
+def _query_blocks(queries: DataFrame, dim: int, qid_col: str, qvec_col: str, max_broadcast_bytes: int):
+    """The query set as hash blocks whose matrices each fit the broadcast
+    bound (one block when the whole set fits)."""
     q = queries.where(F.col(qvec_col).isNotNull()).select(
         F.col(qid_col).cast("long").alias("qid"), as_double_array(qvec_col).alias("qvec"))
-    dim = idx.centroids.shape[1]
     q = q.where(F.size("qvec") == dim)
     n_q = q.count()
-    assigned = idx.assign(corpus.where(F.col(vec_col).isNotNull() & (F.size(vec_col) == dim))
-                          .select(F.col(id_col).cast("long").alias("id"), vec_col), vec_col)
-    prepared = assigned.select("id", F.col("cluster").cast("long"), as_double_array(vec_col).alias("_v"))
-    # the query matrix is broadcast after a size check; a larger query set is
-    # split into hash blocks that each fit, one pass over the corpus per block
     n_blocks = max(1, math.ceil(n_q * dim * 8 / max_broadcast_bytes))
-    blocks = [q] if n_blocks == 1 else [
+    return [q] if n_blocks == 1 else [
         q.where(F.pmod(F.xxhash64("qid"), F.lit(n_blocks)) == b) for b in range(n_blocks)]
+
+
+def _probe_plan(idx: ClusterIndex, blk: DataFrame, nprobe: int):
+    """Collect one bounded query block; its unit vectors, and for every
+    cluster the queries that probe it.  None for an empty block."""
+    tbl = blk.toArrow()                           # bounded by the block size check
+    if tbl.num_rows == 0:
+        return None
+    dim = idx.centroids.shape[1]
+    qids = tbl.column("qid").to_numpy().astype(np.int64)
+    qmat = tbl.column("qvec").combine_chunks().flatten().to_numpy(zero_copy_only=False) \
+        .astype(np.float64).reshape(len(qids), dim)
+    qunit, qzero = _unit_rows(qmat)
+    # nearest nprobe centroids of every query (queries x clusters, both bounded)
+    csim = qunit @ idx.centroids.T
+    p = min(nprobe, idx.centroids.shape[0])
+    probes = np.argsort(-csim, axis=1, kind="stable")[:, :p]
+    by_cluster = {c: np.nonzero((probes == c).any(axis=1) & ~qzero)[0]
+                  for c in range(idx.centroids.shape[0])}
+    return qids, qunit, by_cluster
+
+
+def _search(spark, rows_for, idx: ClusterIndex, queries: DataFrame, k: int, nprobe: int, id_col: str,
+            qid_col: str, qvec_col: str, max_broadcast_bytes: int) -> DataFrame:
+    """Score every query block against ``rows_for(probed clusters)``, a frame
+    of (id, cluster, _v), and rank the candidates per query."""
+    dim = idx.centroids.shape[1]
     parts = []
-    for blk in blocks:
-        tbl = blk.toArrow()                           # bounded by the check above
-        if tbl.num_rows == 0:
+    for blk in _query_blocks(queries, dim, qid_col, qvec_col, max_broadcast_bytes):
+        plan = _probe_plan(idx, blk, nprobe)
+        if plan is None:
             continue
-        qids = tbl.column("qid").to_numpy().astype(np.int64)
-        qmat = tbl.column("qvec").combine_chunks().flatten().to_numpy(zero_copy_only=False) \
-            .astype(np.float64).reshape(len(qids), dim)
-        qunit, qzero = _unit_rows(qmat)
-        # nearest nprobe centroids of every query (queries x clusters, both bounded)
-        csim = qunit @ idx.centroids.T
-        p = min(nprobe, idx.centroids.shape[0])
-        probes = np.argsort(-csim, axis=1, kind="stable")[:, :p]
-        by_cluster = {c: np.nonzero((probes == c).any(axis=1) & ~qzero)[0]
-                      for c in range(idx.centroids.shape[0])}
-        bc = spark.sparkContext.broadcast((qids, qunit, by_cluster))
-        parts.append(prepared.mapInArrow(_probe_scorer(bc, int(k)), _CAND))
+        probed = sorted(c for c, qi in plan[2].items() if len(qi))
+        bc = spark.sparkContext.broadcast(plan)
+        parts.append(rows_for(probed).mapInArrow(_probe_scorer(bc, int(k)), _CAND))
     if not parts:
         return spark.createDataFrame([], "qid long, rank long, id long, similarity double") \
             .withColumnRenamed("id", id_col)
@@ -135,6 +147,78 @@ def ann_topk(corpus: DataFrame, queries: DataFrame, k: int = 5, *, index: Cluste
             .select("qid", "rank", F.col("id").alias(id_col), "similarity"))
 
 
+def ann_topk(corpus: DataFrame, queries: DataFrame, k: int = 5, *, index: ClusterIndex | None = None,
+             n_clusters: int = 40, nprobe: int = 10, id_col: str = "id", vec_col: str = "embedding",
+             qid_col: str = "qid", qvec_col: str = "embedding", seed: int = 1,
+             max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
+    """Approximate (qid, rank, id, similarity), rank <= k.  Clusters are
+    assigned on the fly (JVM-side), so the whole corpus is read; a corpus
+    stored with ``write_clustered`` is searched by ``ann_topk_stored``,
+    which reads only the probed clusters' files."""
+    spark = corpus.sparkSession
+    idx = index or build_index(corpus, n_clusters, vec_col=vec_col, seed=seed)
+    dim = idx.centroids.shape[1]
+    assigned = idx.assign(corpus.where(F.col(vec_col).isNotNull() & (F.size(vec_col) == dim))
+                          .select(F.col(id_col).cast("long").alias("id"), vec_col), vec_col)
+    prepared = assigned.select("id", F.col("cluster").cast("long"), as_double_array(vec_col).alias("_v"))
+    return _search(spark, lambda probed: prepared, idx, queries, k, nprobe, id_col, qid_col, qvec_col,
+                   max_broadcast_bytes)
+
+
+# --- stored, cluster-partitioned corpus --------------------------------------
+
+def save_index(index: ClusterIndex, path: str) -> None:
+    """Persist the centroids (the KMeans model) in a shared folder."""
+    index.model.write().overwrite().save(path)
+
+
+def load_index(path: str) -> ClusterIndex:
+    m = KMeansModel.load(path)
+    return ClusterIndex(m, np.vstack(m.clusterCenters()))
+
+
+def write_clustered(corpus: DataFrame, index: ClusterIndex, path: str, *, id_col: str = "id",
+                    vec_col: str = "embedding", carry: tuple[str, ...] = (),
+                    rows_per_file: int = 1_000_000) -> None:
+    """Store the corpus partitioned by cluster id (``partitionBy``), so a
+    search reads only its probed clusters' folders.
+
+    Each cluster is spread over ``ceil(size / rows_per_file)`` write tasks,
+    from per-cluster counts (one row per cluster, broadcast), so a cluster
+    holding a third of all rows is written by many tasks, not one, and
+    every folder holds files of bounded size."""
+    dim = index.centroids.shape[1]
+    a = index.assign(corpus.where(F.col(vec_col).isNotNull() & (F.size(vec_col) == dim))
+                     .select(F.col(id_col).cast("long").alias("id"), vec_col, *carry), vec_col)
+    a = a.select("id", vec_col, *carry, F.col("cluster").cast("int"))
+    sizes = a.groupBy("cluster").agg(F.count(F.lit(1)).alias("_n"))
+    salts = sizes.select("cluster", F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(rows_per_file)))
+                         .cast("int").alias("_s"))
+    n_tasks = max(1, int(salts.agg(F.sum("_s")).first()[0] or 1))
+    spread_rows = (a.join(F.broadcast(salts), "cluster")       # one row per cluster
+                   .withColumn("_salt", F.pmod(F.xxhash64("id"), F.col("_s")))
+                   .repartition(n_tasks, "cluster", "_salt")
+                   .drop("_s", "_salt"))
+    spread_rows.write.mode("overwrite").partitionBy("cluster").parquet(path)
+
+
+def ann_topk_stored(spark, path: str, index: ClusterIndex, queries: DataFrame, k: int = 5, *,
+                    nprobe: int = 10, id_col: str = "id", vec_col: str = "embedding",
+                    qid_col: str = "qid", qvec_col: str = "embedding",
+                    max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
+    """V1 over a corpus stored by ``write_clustered``: each query block reads
+    only the clusters its queries probe (a partition filter on ``cluster``,
+    pruned at planning), then scores and ranks as ``ann_topk``."""
+    stored = spark.read.parquet(path)
+
+    def rows_for(probed):
+        return (stored.where(F.col("cluster").isin(probed))
+                .select(F.col("id").cast("long").alias("id"), F.col("cluster").cast("long"),
+                        as_double_array(vec_col).alias("_v")))
+    return _search(spark, rows_for, index, queries, k, nprobe, id_col, qid_col, qvec_col,
+                   max_broadcast_bytes)
+
+
 def scanned_share(corpus: DataFrame, index: ClusterIndex, queries_probes: int, *, vec_col="embedding") -> float:
     """Expected fraction of corpus rows scored per query for nprobe clusters,
     from cluster sizes (one small aggregate)."""

@@ -55,3 +55,36 @@ def test_ann_query_blocks_beyond_broadcast_bound(spark):
     one = rows(ann.ann_topk(v, q, 3, index=idx, nprobe=3))
     many = rows(ann.ann_topk(v, q, 3, index=idx, nprobe=3, max_broadcast_bytes=4096))
     assert one == many and len(one) == 180
+
+
+def test_stored_clustered_corpus_search_and_pruning(spark, scratch):
+    import contextlib
+    import io
+    import os
+    v = stored_vectors(spark, SF_MED)
+    q = v.where(F.col("id") < 30).select(F.col("id").alias("qid"), "embedding")
+    idx = ann.build_index(v, n_clusters=8)
+    ann.save_index(idx, os.path.join(scratch, "index"))
+    idx2 = ann.load_index(os.path.join(scratch, "index"))
+    assert (idx2.centroids == idx.centroids).all()
+    path = os.path.join(scratch, "clustered")
+    ann.write_clustered(v, idx2, path, rows_per_file=40)        # several files per cluster
+    stored = spark.read.parquet(path)
+    assert stored.count() == v.count()
+    per_dir = {}
+    for f in stored.inputFiles():
+        per_dir.setdefault(f.split("/cluster=")[1].split("/")[0], []).append(f)
+    assert len(per_dir) == 8 and max(len(x) for x in per_dir.values()) > 1
+
+    def rows(df):
+        return {(r["qid"], r["rank"], r["id"], round(r["similarity"], 9)) for r in df.collect()}
+    assert rows(ann.ann_topk_stored(spark, path, idx2, q, 5, nprobe=3)) == \
+        rows(ann.ann_topk(v, q, 5, index=idx, nprobe=3))
+    # one query, one probe: the plan prunes to that cluster's folder
+    one = q.where(F.col("qid") == 0)
+    res = ann.ann_topk_stored(spark, path, idx2, one, 3, nprobe=1)
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        res.explain("formatted")
+    assert "PartitionFilters: [isnotnull(cluster" in buf.getvalue() and "cluster#" in buf.getvalue()
+    assert len(res.collect()) == 3
