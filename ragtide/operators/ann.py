@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ragtide.functions.vector import as_double_array
-from ragtide.operators.topk import DEFAULT_MAX_BROADCAST_BYTES, _unit_rows
+from ragtide.operators.topk import DEFAULT_MAX_BROADCAST_BYTES, _unit_rows, topk_mask
 
 _CAND = T.StructType([T.StructField("qid", T.LongType(), False), T.StructField("id", T.LongType(), False),
                       T.StructField("similarity", T.DoubleType(), False)])
@@ -69,9 +69,12 @@ def _probe_scorer(bc, k: int):
             if n == 0:
                 continue
             ids = batch.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
-            cl = batch.column("cluster").to_numpy(zero_copy_only=False).astype(np.int64)
+            order = np.argsort(ids, kind="stable")      # ties at the cut keep the lowest ids
+            ids = ids[order]
+            cl = batch.column("cluster").to_numpy(zero_copy_only=False).astype(np.int64)[order]
             dim = qunit.shape[1]
-            mat = batch.column("_v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, dim)
+            mat = batch.column("_v").flatten().to_numpy(zero_copy_only=False).astype(np.float64) \
+                .reshape(n, dim)[order]
             unit, zero = _unit_rows(mat)
             for c in np.unique(cl):
                 qi = probes_by_cluster.get(int(c))
@@ -80,12 +83,7 @@ def _probe_scorer(bc, k: int):
                 rows = np.nonzero(cl == c)[0]
                 s = unit[rows] @ qunit[qi].T
                 s[zero[rows], :] = 0.0
-                kk = min(k, len(rows))
-                if kk < len(rows):
-                    kth = -np.partition(-s, kk - 1, axis=0)[kk - 1]
-                    r, q = np.nonzero(s >= kth[None, :])
-                else:
-                    r, q = np.nonzero(np.ones_like(s, dtype=bool))
+                r, q = np.nonzero(topk_mask(s, min(k, len(rows))))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(qids[qi][q]), pa.array(ids[rows][r]), pa.array(s[r, q])], schema=schema)
     return run

@@ -38,6 +38,22 @@ _CAND_SCHEMA = T.StructType([
 ])
 
 
+def topk_mask(score: np.ndarray, kk: int) -> np.ndarray:
+    """Boolean mask of the best ``kk`` rows of every column of ``score``
+    (rows x queries), ties at the cut going to the lower rows.  With rows in
+    ascending id order, that is the (score desc, id asc) order of the final
+    ranking, so each batch emits exactly ``kk`` candidates per query even
+    when many rows tie (a zero query vector ties with every row)."""
+    n = score.shape[0]
+    if kk >= n:
+        return np.ones_like(score, dtype=bool)
+    kth = -np.partition(-score, kk - 1, axis=0)[kk - 1]
+    gt = score > kth[None, :]
+    eq = score == kth[None, :]
+    need = kk - gt.sum(axis=0)
+    return gt | (eq & (np.cumsum(eq, axis=0) <= need[None, :]))
+
+
 def _unit_rows(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     norms = np.sqrt(np.einsum("ij,ij->i", m, m))
     zero = norms == 0
@@ -68,7 +84,10 @@ def _score_batches(bc, id_col: str, vec_col: str, metric: str, carry: tuple[str,
                 continue
             ids = batch.column(id_col).to_numpy(zero_copy_only=False).astype(np.int64)
             flat = batch.column(vec_col).flatten().to_numpy(zero_copy_only=False)
-            mat = flat.astype(np.float64).reshape(n, qb.dim)
+            # rows in id order, so ties at the cut keep the lowest ids
+            order = np.argsort(ids, kind="stable")
+            ids = ids[order]
+            mat = flat.astype(np.float64).reshape(n, qb.dim)[order]
             if metric == "cosine":
                 unit, zero = _unit_rows(mat)
             step = max(1, _BLOCK_ENTRIES // n)
@@ -84,12 +103,8 @@ def _score_batches(bc, id_col: str, vec_col: str, metric: str, carry: tuple[str,
                     d2 = (np.einsum("ij,ij->i", mat, mat)[:, None]
                           - 2.0 * (mat @ q.T) + np.einsum("ij,ij->i", q, q)[None, :])
                     score = -np.sqrt(np.maximum(d2, 0.0))
-                if kk < n:
-                    kth = -np.partition(-score, kk - 1, axis=0)[kk - 1]
-                    r, c = np.nonzero(score >= kth[None, :])   # ties kept; final rank decides
-                else:
-                    r, c = np.nonzero(np.ones_like(score, dtype=bool))
-                take = pa.array(r)
+                r, c = np.nonzero(topk_mask(score, kk))
+                take = pa.array(order[r])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(qb.qids[s:e][c]), pa.array(ids[r]),
                      pa.array(score[r, c]), pa.array(qb.ks[s:e][c].astype(np.int32))]

@@ -89,3 +89,26 @@ def test_l2_topk_matches_numpy(spark):
         want = sorted(range(len(rows)), key=lambda i: (d[i], rows[i]["id"]))[:4]
         got = sorted((r for r in out if r["qid"] == qid), key=lambda r: r["rank"])
         assert [r["id"] for r in got] == [rows[i]["id"] for i in want]
+
+
+def test_topk_mask_keeps_exactly_k_with_ties():
+    import numpy as np
+    rng = np.random.default_rng(3)
+    score = np.round(rng.random((500, 7)), 1)          # many ties
+    score[:, 0] = 0.0                                  # a column where every row ties
+    for kk in (1, 3, 10, 499, 500, 600):
+        m = topk.topk_mask(score, kk)
+        assert (m.sum(axis=0) == min(kk, 500)).all()
+        for j in range(score.shape[1]):
+            want = sorted(range(500), key=lambda i: (-score[i, j], i))[:kk]
+            assert set(np.nonzero(m[:, j])[0]) == set(want)
+
+
+def test_zero_query_ships_k_candidates_per_batch(spark):
+    # 3,000 identical rows in shuffled id order: every row ties for a zero query
+    rows = [(int(i), [1.0, 1.0]) for i in (np.arange(3000) * 7919) % 3000 + 1]
+    c = spark.createDataFrame(rows, "id long, embedding array<float>").repartition(4)
+    q = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 1.0])], "qid long, embedding array<float>")
+    out = topk.topk_batch(c, q, 4).orderBy("qid", "rank").collect()
+    assert [r["id"] for r in out if r["qid"] == 1] == [1, 2, 3, 4]
+    assert [r["id"] for r in out if r["qid"] == 2] == [1, 2, 3, 4]
