@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,8 +45,15 @@ def epoch_writer(table_path: str, stream_key: str, encoder: Encoder | None = Non
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
         sub = f"stream-{stream_key}-epoch-{epoch_id:012d}"
         offset = max_id(batch.sparkSession, table_path, exclude_dir=sub)
-        rows = build_corpus(batch, encoder=encoder, id_offset=offset)
-        rows.write.mode("overwrite").parquet(f"{table_path.rstrip('/')}/{sub}")
+        # the id numbering reads the batch more than once: keep it instead of
+        # re-reading its files (bounded by maxFilesPerTrigger; lost blocks
+        # are recomputed from the files)
+        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            rows = build_corpus(batch, encoder=encoder, id_offset=offset)
+            rows.write.mode("overwrite").parquet(f"{table_path.rstrip('/')}/{sub}")
+        finally:
+            batch.unpersist()
     return write_batch
 
 
