@@ -35,25 +35,35 @@ def formatted(df) -> str:
 
 
 def tree(plan: str) -> list[str]:
-    """The operator tree part of a formatted plan, without node numbers."""
+    """The operator tree of a formatted plan (the final adaptive plan when
+    the query has run), node numbers dropped, stage statistics kept."""
+    head = plan.split("\n\n")[0]
+    if "== Final Plan ==" in head:
+        head = head.split("== Final Plan ==", 1)[1].split("+- == Initial Plan ==", 1)[0]
     lines = []
-    for line in plan.split("\n\n")[0].splitlines()[1:]:
-        m = re.match(r"^([ :|+\-]*)(\S.*?)(?: \(\d+\))?$", line)
-        if m:
-            lines.append(m.group(1) + m.group(2).split(" [")[0])
+    for line in head.splitlines():
+        if not line.strip() or line.startswith("== Physical Plan"):
+            continue
+        lines.append(re.sub(r" \(\d+\)", "", line.rstrip()))
     return lines
 
 
+def node_name(line: str) -> str:
+    return re.sub(r"^[ :|+\-]*(\* )?", "", line).split(" ")[0].rstrip(",")
+
+
 def scans(plan: str) -> list[tuple[str, str, str]]:
     out = []
     for block in plan.split("\n\n"):
+        block = block.strip()
         if "Scan parquet" not in block.split("\n")[0]:
             continue
         loc = re.search(r"Location: \S+ \[(.*?)\]", block)
         pf = re.search(r"PushedFilters: (\[.*?\])", block)
+        part = re.search(r"PartitionFilters: (\[.*?\])", block)
         rs = re.search(r"ReadSchema: (.*)", block)
-        out.append((os.path.basename(loc.group(1)) if loc else "?",
-                    pf.group(1) if pf else "[]", rs.group(1) if rs else "?"))
+        filters = (pf.group(1) if pf else "[]") + (f"; PartitionFilters {part.group(1)}" if part else "")
+        out.append((os.path.basename(loc.group(1)) if loc else "?", filters, rs.group(1) if rs else "?"))
     return out
 
 
@@ -62,20 +72,24 @@ def main() -> None:
     spark = local_session(8)
     print("# Physical plans of the registered queries\n")
     print(f"Generated by `scripts/explain_plans.py` at `{os.path.basename(sf.rstrip('/'))}` on local[8] "
-          "(AQE on; the plans below are the initial adaptive plans).  Per query: node counts, the scans "
-          "with their pruned `ReadSchema` and `PushedFilters`, and the operator tree.  An `Exchange` "
-          "with `REPARTITION_BY_NUM` on a scan is `spread()`, which only appears when a test file "
-          "has fewer splits than the session has cores.\n")
+          "(AQE on). Each query is run first, so the tree is the final adaptive plan: `*` marks "
+          "whole-stage-codegen nodes, and query stages carry the row counts and bytes that crossed them. "
+          "Per query: node counts, the scans with their pruned `ReadSchema` and pushed filters, and the "
+          "tree. An `Exchange` with `REPARTITION_BY_NUM` right above a scan is `spread()`, which only "
+          "appears when a test file has fewer splits than the session has cores.\n")
     for name, q in QUERIES.items():
-        p = formatted(q(spark, sf))
+        df = q(spark, sf)
+        df.collect()                      # small at this scale; makes the adaptive plan final
+        p = formatted(df)
         t = tree(p)
-        names = [re.sub(r"^[ :|+\-]*", "", x).split(" ")[0] for x in t]
+        names = [node_name(x) for x in t]
         counts = {w: sum(1 for n in names if n == w) for w in WATCH}
+        counts["codegen nodes"] = sum(1 for x in t if re.match(r"^[ :|+\-]*\* ", x))
         print(f"## {name}\n")
         print(", ".join(f"{k}: {v}" for k, v in counts.items() if v) or "no watched nodes")
         print()
-        for loc, pf, rs in scans(p):
-            print(f"- scan `{loc}` PushedFilters {pf}; ReadSchema `{rs}`")
+        for loc, filters, rs in scans(p):
+            print(f"- scan `{loc}` PushedFilters {filters}; ReadSchema `{rs}`")
         print("\n```")
         print("\n".join(t))
         print("```\n")
