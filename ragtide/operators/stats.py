@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ragtide.functions.text import (
-    LENGTH_LABELS_FR, PREVIEW_STATS, iso_timestamp, length_category, preview,
+    LENGTH_LABELS_FR, PREVIEW_STATS, iso_timestamp, length_category, preview, rounded_avg_display,
 )
 
 
@@ -32,6 +32,15 @@ def corpus_stats(corpus: DataFrame, text_col: str = "corpus") -> DataFrame:
         iso_timestamp("_last").alias("last_created"))
 
 
+def stats_display(corpus: DataFrame, text_col: str = "corpus") -> DataFrame:
+    """A1 + A2 as the statistics page shows them: the 2-decimal average and
+    its display form, the nearest integer (P15)."""
+    agg = corpus.agg(F.count(F.lit(1)).alias("total_records"), F.avg(F.length(text_col)).alias("_avg"))
+    avg2 = F.coalesce(F.round("_avg", 2), F.lit(0.0))
+    return agg.select("total_records", avg2.alias("avg_length"),
+                      rounded_avg_display(avg2).alias("avg_length_display"))
+
+
 def date_range(corpus: DataFrame) -> DataFrame:
     """A3: first and last insert time (ISO, NULL on an empty table)."""
     agg = corpus.agg(F.min("created_at").alias("_f"), F.max("created_at").alias("_l"))

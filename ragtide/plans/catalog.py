@@ -110,6 +110,10 @@ def q_corpus_stats(spark, sf):
     return stats.corpus_stats(chunks(spark, sf))
 
 
+def q_stats_display(spark, sf):
+    return stats.stats_display(chunks(spark, sf))
+
+
 def q_length_histogram_fr(spark, sf):
     return stats.length_histogram(chunks(spark, sf), LENGTH_LABELS_FR)
 
@@ -303,6 +307,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "chunk_documents": q_chunk_documents,
     "split_utterances": q_split_utterances,
     "corpus_stats": q_corpus_stats,
+    "stats_display": q_stats_display,
     "length_histogram_fr": q_length_histogram_fr,
     "length_histogram_range": q_length_histogram_range,
     "type_counts": q_type_counts,

@@ -148,6 +148,11 @@ FROM lines WHERE l <> '' AND NOT starts_with(l, '<')""",
        {_iso('min(created_at)')} AS first_created, {_iso('max(created_at)')} AS last_created
 FROM corpus""",
 
+    "stats_display": WITH_CORPUS + """SELECT count(*) AS total_records,
+       coalesce(round(avg(length(corpus)), 2), 0.0) AS avg_length,
+       CAST(floor(coalesce(round(avg(length(corpus)), 2), 0.0) + 0.5) AS BIGINT) AS avg_length_display
+FROM corpus""",
+
     "length_histogram_fr": _length_hist(["Très court (<50)", "Court (50-100)", "Moyen (100-200)",
                                          "Long (200-500)", "Très long (>500)"]),
     "length_histogram_range": _length_hist(["0-50", "50-100", "100-200", "200-500", "500+"]),
