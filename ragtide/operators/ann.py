@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ragtide.functions.vector import as_double_array
-from ragtide.operators.topk import DEFAULT_MAX_BROADCAST_BYTES, _unit_rows, topk_mask
+from ragtide.operators.topk import DEFAULT_MAX_BROADCAST_BYTES, TaskTopK, _unit_rows, topk_mask
 
 _CAND = T.StructType([T.StructField("qid", T.LongType(), False), T.StructField("id", T.LongType(), False),
                       T.StructField("similarity", T.DoubleType(), False)])
@@ -60,10 +60,14 @@ def build_index(corpus: DataFrame, n_clusters: int = 40, *, vec_col: str = "embe
 
 
 def _probe_scorer(bc, k: int):
+    """mapInArrow body: every batch scores its rows only against the queries
+    that probe their clusters; the task keeps its top-k per query over all
+    its batches (``TaskTopK``) and emits them at the end."""
     def run(batches):
         qids, qunit, probes_by_cluster = bc.value
         schema = pa.schema([("qid", pa.int64(), False), ("id", pa.int64(), False),
                             ("similarity", pa.float64(), False)])
+        acc = TaskTopK(np.full(len(qids), k, dtype=np.int64))
         for batch in batches:
             n = batch.num_rows
             if n == 0:
@@ -84,8 +88,11 @@ def _probe_scorer(bc, k: int):
                 s = unit[rows] @ qunit[qi].T
                 s[zero[rows], :] = 0.0
                 r, q = np.nonzero(topk_mask(s, min(k, len(rows))))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(qids[qi][q]), pa.array(ids[rows][r]), pa.array(s[r, q])], schema=schema)
+                acc.add(qi[q], ids[rows][r], s[r, q], [])
+        res = acc.result()
+        if res is not None:
+            qi, rid, sc, _ = res
+            yield pa.RecordBatch.from_arrays([pa.array(qids[qi]), pa.array(rid), pa.array(sc)], schema=schema)
     return run
 
 

@@ -54,6 +54,52 @@ def topk_mask(score: np.ndarray, kk: int) -> np.ndarray:
     return gt | (eq & (np.cumsum(eq, axis=0) <= need[None, :]))
 
 
+class TaskTopK:
+    """Running top-k per query over all the batches of one task.
+
+    Candidates are appended per batch and pruned to ``ks[query]`` per query
+    (order: score desc, id asc, the final ranking's order) whenever the
+    buffer passes twice that size, so memory stays bounded and the task
+    emits at most k rows per query however many batches it reads.  The
+    final per-query ranking then sees tasks x k rows, not batches x k."""
+
+    def __init__(self, ks: np.ndarray, n_carry: int = 0):
+        self.ks = np.asarray(ks, dtype=np.int64)
+        self.n_carry = n_carry
+        self.parts: list[tuple] = []
+        self.rows = 0
+        self.budget = max(2 * int(self.ks.sum()), 4096)
+
+    def add(self, qi: np.ndarray, ids: np.ndarray, score: np.ndarray, carry: list) -> None:
+        if len(qi) == 0:
+            return
+        self.parts.append((qi, ids, score, carry))
+        self.rows += len(qi)
+        if self.rows > self.budget:
+            self._prune()
+
+    def _prune(self) -> None:
+        qi = np.concatenate([p[0] for p in self.parts])
+        ids = np.concatenate([p[1] for p in self.parts])
+        sc = np.concatenate([p[2] for p in self.parts])
+        carry = [pa.concat_arrays([p[3][j] for p in self.parts]) for j in range(self.n_carry)]
+        order = np.lexsort((ids, -sc, qi))
+        qs = qi[order]
+        starts = np.r_[0, np.flatnonzero(np.diff(qs)) + 1]
+        rank = np.arange(len(qs)) - np.repeat(starts, np.diff(np.r_[starts, len(qs)]))
+        keep = order[rank < self.ks[qs]]
+        take = pa.array(keep)
+        self.parts = [(qi[keep], ids[keep], sc[keep], [a.take(take) for a in carry])]
+        self.rows = len(keep)
+
+    def result(self):
+        """(query index, id, score, carry arrays) of the kept candidates, or None."""
+        if not self.parts:
+            return None
+        self._prune()
+        return self.parts[0]
+
+
 def _unit_rows(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     norms = np.sqrt(np.einsum("ij,ij->i", m, m))
     zero = norms == 0
@@ -72,12 +118,14 @@ class _QueryBlock:
 
 def _score_batches(bc, id_col: str, vec_col: str, metric: str, carry: tuple[str, ...] = (),
                    out_schema: pa.Schema | None = None):
-    """mapInArrow body: local top-k candidates of each corpus batch.  ``carry``
-    columns of the corpus are emitted for the candidate rows only."""
+    """mapInArrow body: the task's top-k candidates per query over all its
+    corpus batches (``TaskTopK``).  ``carry`` columns of the corpus are
+    emitted for the candidate rows only."""
 
     def run(batches):
         qb: _QueryBlock = bc.value
         nq, kmax = len(qb.qids), int(qb.ks.max()) if len(qb.ks) else 0
+        acc = TaskTopK(qb.ks, len(carry))
         for batch in batches:
             n = batch.num_rows
             if n == 0 or nq == 0 or kmax == 0:
@@ -105,11 +153,16 @@ def _score_batches(bc, id_col: str, vec_col: str, metric: str, carry: tuple[str,
                     score = -np.sqrt(np.maximum(d2, 0.0))
                 r, c = np.nonzero(topk_mask(score, kk))
                 take = pa.array(order[r])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(qb.qids[s:e][c]), pa.array(ids[r]),
-                     pa.array(score[r, c]), pa.array(qb.ks[s:e][c].astype(np.int32))]
-                    + [batch.column(x).take(take) for x in carry],
-                    schema=out_schema)
+                acc.add(s + c, ids[r], score[r, c], [batch.column(x).take(take) for x in carry])
+        res = acc.result()
+        if res is None:
+            return
+        qi, rid, sc, cols = res
+        out = pa.RecordBatch.from_arrays(
+            [pa.array(qb.qids[qi]), pa.array(rid), pa.array(sc), pa.array(qb.ks[qi].astype(np.int32))] + cols,
+            schema=out_schema)
+        for off in range(0, out.num_rows, 65536):
+            yield out.slice(off, 65536)
     return run
 
 

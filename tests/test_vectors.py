@@ -112,3 +112,26 @@ def test_zero_query_ships_k_candidates_per_batch(spark):
     out = topk.topk_batch(c, q, 4).orderBy("qid", "rank").collect()
     assert [r["id"] for r in out if r["qid"] == 1] == [1, 2, 3, 4]
     assert [r["id"] for r in out if r["qid"] == 2] == [1, 2, 3, 4]
+
+
+def test_task_topk_keeps_best_k_per_query_across_batches():
+    import pyarrow as pa
+    rng = np.random.default_rng(5)
+    ks = np.array([1, 3, 5, 0])
+    acc = topk.TaskTopK(ks, n_carry=1)
+    allrows = []
+    for b in range(40):
+        n = 50
+        qi = rng.integers(0, 4, n)
+        ids = rng.permutation(10_000)[:n] + b * 10_000
+        sc = np.round(rng.random(n), 2)
+        acc.add(qi, ids, sc, [pa.array([f"t{i}" for i in ids])])
+        allrows += list(zip(qi, ids, sc))
+    qi, ids, sc, (txt,) = acc.result()
+    got = sorted(zip(qi.tolist(), ids.tolist(), sc.tolist()))
+    want = []
+    for q in range(4):
+        best = sorted([r for r in allrows if r[0] == q], key=lambda r: (-r[2], r[1]))[:ks[q]]
+        want += [(int(a), int(b), float(c)) for a, b, c in best]
+    assert got == sorted(want)
+    assert txt.to_pylist() == [f"t{i}" for i in ids]
