@@ -6,11 +6,12 @@ Plan for the batch form, built to hold at any corpus size:
 * the query matrix is broadcast only after its size is checked against
   ``max_broadcast_bytes``; a larger query set is split into hash blocks that
   each fit, one broadcast pass per block;
-* every Arrow batch of the corpus is scored with a numpy matmul and only its
-  local top-k candidates per query leave the task (a partial top-k, like a
-  partial aggregate), so query x row pairs are never materialised as rows;
+* every Arrow batch of the corpus is scored with a numpy matmul; the task
+  keeps a running top-k per query across its batches and only those
+  candidates leave it (a partial top-k, like a partial aggregate), so query
+  x row pairs are never materialised as rows;
 * a final ``row_number`` per query over those candidates (a small shuffle:
-  queries x k x batches rows) gives the exact answer, ties broken by id.
+  queries x k x tasks rows) gives the exact answer, ties broken by id.
 """
 
 from __future__ import annotations
