@@ -40,8 +40,9 @@ def test_aggregates_are_partial(plans, name):
     assert "partial_" in plans[name]
 
 
-def test_single_query_topk_is_take_ordered(plans):
-    assert "TakeOrderedAndProject" in plans["topk_cosine"]
+def test_single_query_topk_plans(plans):
+    # one query vector: scored in Arrow batches, merged by TakeOrderedAndProject
+    assert "MapInArrow" in plans["topk_cosine"] and "TakeOrderedAndProject" in plans["topk_cosine"]
     assert "TakeOrderedAndProject" in plans["keyword_search"]
 
 
