@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ragtide.functions.text import relevance_pct
-from ragtide.functions.vector import as_double_array, cosine_similarity, l2_distance, norm
+from ragtide.functions.vector import as_double_array
 
 DEFAULT_MAX_BROADCAST_BYTES = 256 * 1024 * 1024
 # Entries of one scored block (rows x queries) kept in memory at a time.
@@ -255,20 +255,43 @@ def _out_schema(metric: str, corpus_schema=None, carry=()) -> T.StructType:
                         + [corpus_schema[x] for x in carry])
 
 
+def _pair_scores(bc, id_col: str, vec_col: str):
+    """mapInArrow body: cosine similarity and l2 distance of every row to one
+    broadcast query vector."""
+    def run(batches):
+        q = bc.value
+        qn = float(np.sqrt(q @ q))
+        schema = pa.schema([(id_col, pa.int64()), ("similarity", pa.float64()), ("l2_distance", pa.float64())])
+        for batch in batches:
+            n = batch.num_rows
+            if n == 0:
+                continue
+            mat = batch.column(vec_col).flatten().to_numpy(zero_copy_only=False).astype(np.float64) \
+                .reshape(n, len(q))
+            norms = np.sqrt(np.einsum("ij,ij->i", mat, mat))
+            dots = mat @ q
+            ok = (norms != 0) & (qn != 0)
+            sim = np.where(ok, dots / np.where(ok, norms * qn, 1.0), 0.0)
+            diff = mat - q[None, :]
+            l2 = np.sqrt(np.einsum("ij,ij->i", diff, diff))
+            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(sim), pa.array(l2)], schema=schema)
+    return run
+
+
 def score_corpus(corpus: DataFrame, query_vector, *, id_col: str = "id",
                  vec_col: str = "embedding") -> DataFrame:
     """J1 for one query: every corpus row with cosine similarity, cosine
-    distance (P9), relevance % (P5) and l2 distance (P10), JVM-side.  The query
-    vector is a literal (one bounded vector)."""
-    qv = F.array(*[F.lit(float(x)) for x in query_vector])
-    qn = float(np.linalg.norm(np.asarray(query_vector, dtype=np.float64)))
-    c = corpus.where(F.col(vec_col).isNotNull()).select(
-        F.col(id_col), as_double_array(vec_col).alias("_v"))
-    c = c.withColumn("_n", norm("_v"))
-    sim = cosine_similarity("_v", qv, "_n", F.lit(qn))
-    return c.select(F.col(id_col), sim.alias("similarity"),
-                    (F.lit(1.0) - sim).alias("distance"),
-                    l2_distance("_v", qv).alias("l2_distance"))
+    distance (P9; 1.0 against a zero vector) and l2 distance (P10), in Arrow
+    batches with numpy (the JVM expressions in ``functions.vector`` give the
+    same values per row and stay the Column API)."""
+    vec = np.asarray([float(x) for x in query_vector], dtype=np.float64)
+    c = (corpus.where(F.col(vec_col).isNotNull() & (F.size(vec_col) == len(vec)))
+         .select(F.col(id_col).cast("long").alias(id_col), F.col(vec_col)))
+    bc = corpus.sparkSession.sparkContext.broadcast(vec)
+    schema = T.StructType([T.StructField(id_col, T.LongType()), T.StructField("similarity", T.DoubleType()),
+                           T.StructField("l2_distance", T.DoubleType())])
+    s = c.mapInArrow(_pair_scores(bc, id_col, vec_col), schema)
+    return s.select(id_col, "similarity", (F.lit(1.0) - F.col("similarity")).alias("distance"), "l2_distance")
 
 
 def topk_single(corpus: DataFrame, query_vector, k: int = 5, *, id_col: str = "id",

@@ -135,3 +135,19 @@ def test_task_topk_keeps_best_k_per_query_across_batches():
         want += [(int(a), int(b), float(c)) for a, b, c in best]
     assert got == sorted(want)
     assert txt.to_pylist() == [f"t{i}" for i in ids]
+
+
+def test_score_corpus_equals_jvm_expressions(spark):
+    v = stored_vectors(spark, SF_SMALL)
+    zero = spark.createDataFrame([(10_000, [0.0] * 64, 0)], "id long, embedding array<float>, label int")
+    c = v.unionByName(zero)
+    qv = topk.vector_of(v, 3)
+    got = {r["id"]: r for r in topk.score_corpus(c, qv).collect()}
+    lit = F.array(*[F.lit(x) for x in qv])
+    want = {r["id"]: r for r in c.select("id", cosine_distance("embedding", lit).alias("d"),
+                                           l2_distance("embedding", lit).alias("l2")).collect()}
+    assert set(got) == set(want)
+    for i, r in got.items():
+        assert math.isclose(r["distance"], want[i]["d"], abs_tol=1e-12)
+        assert math.isclose(r["l2_distance"], want[i]["l2"], abs_tol=1e-12)
+    assert got[10_000]["distance"] == 1.0 and got[10_000]["similarity"] == 0.0
