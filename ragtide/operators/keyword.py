@@ -75,7 +75,7 @@ class _Matcher:
         self.auto = None
         by_word: dict[str, list[int]] = {}
         self.patterns = []
-        for qid, kw in entries:
+        for qid, kw, *_ in entries:
             if _plain(kw):
                 by_word.setdefault(kw.lower(), []).append(qid)
             else:
@@ -117,11 +117,14 @@ def _all_matches(bc, id_col: str, text_col: str):
     return run
 
 
-def _partial_first(bc, id_col: str, text_col: str, limit: int):
-    """Per task: for every keyword, its ``limit`` smallest matching ids and its
-    match count (carried on the smallest id's row, 0 on the others)."""
+def _partial_first(bc, id_col: str, text_col: str):
+    """Per task: for every keyword, its ``limit`` smallest matching ids (its
+    own limit) and its match count (carried on the smallest id's row, 0 on
+    the others); each row also carries the keyword's limit."""
     def run(batches):
-        m = _Matcher(bc.value)
+        entries = bc.value
+        m = _Matcher(entries)
+        limits = {q: int(lim) for q, _, lim in entries}
         heaps: dict[int, list[int]] = {}
         counts: dict[int, int] = {}
         for batch in batches:
@@ -130,41 +133,48 @@ def _partial_first(bc, id_col: str, text_col: str, limit: int):
                     continue
                 for q in m.matches(t):
                     counts[q] = counts.get(q, 0) + 1
+                    lim = limits[q]
+                    if lim <= 0:
+                        continue
                     h = heaps.setdefault(q, [])
-                    if len(h) < limit:
+                    if len(h) < lim:
                         heapq.heappush(h, -rid)
                     elif -h[0] > rid:
                         heapq.heapreplace(h, -rid)
-        oq, oi, on = [], [], []
+        oq, oi, on, ok = [], [], [], []
         for q, h in heaps.items():
             ids = sorted(-x for x in h)
             for j, rid in enumerate(ids):
                 oq.append(q)
                 oi.append(rid)
                 on.append(counts[q] if j == 0 else 0)
+                ok.append(limits[q])
         if oq:
             yield pa.RecordBatch.from_arrays(
-                [pa.array(oq, pa.int64()), pa.array(oi, pa.int64()), pa.array(on, pa.int64())],
+                [pa.array(oq, pa.int64()), pa.array(oi, pa.int64()), pa.array(on, pa.int64()),
+                 pa.array(ok, pa.int64())],
                 schema=pa.schema([("qid", pa.int64(), False), ("id", pa.int64(), False),
-                                  ("n", pa.int64(), False)]))
+                                  ("n", pa.int64(), False), ("k", pa.int64(), False)]))
     return run
 
 
 def _keyword_blocks(corpus: DataFrame, keywords: DataFrame, qid_col: str, kw_col: str,
-                    max_keyword_bytes: int):
-    """Broadcast the keyword list after checking its size; a list above the
-    bound is split into hash blocks of qids that each fit, one broadcast
-    (and one pass over the corpus) per block."""
+                    max_keyword_bytes: int, limit=None):
+    """Broadcast the keyword list (qid, keyword, limit) after checking its
+    size; a list above the bound is split into hash blocks of qids that each
+    fit, one broadcast (and one pass over the corpus) per block."""
+    lim = F.lit(0) if limit is None else limit
     kw = keywords.where(F.col(kw_col).isNotNull() & (F.col(kw_col) != "")) \
-        .select(F.col(qid_col).cast("long").alias("qid"), F.col(kw_col).alias("keyword"))
-    size = kw.agg(F.coalesce(F.sum(F.length("keyword") + 16), F.lit(0)).alias("b")).collect()[0]["b"]
+        .select(F.col(qid_col).cast("long").alias("qid"), F.col(kw_col).alias("keyword"),
+                lim.cast("long").alias("lim"))
+    size = kw.agg(F.coalesce(F.sum(F.length("keyword") + 24), F.lit(0)).alias("b")).collect()[0]["b"]
     n_blocks = max(1, -(-int(size) // max_keyword_bytes))
     blocks = [kw] if n_blocks == 1 else [
         kw.where(F.pmod(F.xxhash64("qid"), F.lit(n_blocks)) == b) for b in range(n_blocks)]
     sc = corpus.sparkSession.sparkContext
     out = []
     for blk in blocks:
-        entries = [(int(r["qid"]), r["keyword"]) for r in blk.collect()]   # bounded by the check
+        entries = [(int(r["qid"]), r["keyword"], int(r["lim"] or 0)) for r in blk.collect()]   # bounded
         if entries:
             out.append(sc.broadcast(entries))
     return out
@@ -193,18 +203,21 @@ def _union(parts, schema, like: DataFrame) -> DataFrame:
 
 def keyword_batch(corpus: DataFrame, keywords: DataFrame, limit: int = 10, *, id_col: str = "id",
                   text_col: str = "corpus", qid_col: str = "qid", kw_col: str = "keyword",
+                  limit_col: str | None = None,
                   max_keyword_bytes: int = DEFAULT_MAX_KEYWORD_BYTES) -> DataFrame:
     """For every keyword, its first ``limit`` matching rows by id plus the
-    total number of matching rows: (qid, rank, id, matches).  One pass over
-    the corpus and one small shuffle (at most ``limit`` rows per keyword per
-    task)."""
+    total number of matching rows: (qid, rank, id, matches).  ``limit_col``
+    names a per-keyword limit (a request's ``limit``; NULL takes ``limit``).
+    One pass over the corpus and one small shuffle (at most the keyword's
+    limit in rows per keyword per task)."""
     c = corpus.select(F.col(id_col).cast("long").alias("id"), F.col(text_col))
+    lim = F.lit(int(limit)) if limit_col is None else F.coalesce(F.col(limit_col).cast("long"), F.lit(int(limit)))
     schema = T.StructType([T.StructField("qid", T.LongType(), False), T.StructField("id", T.LongType(), False),
-                           T.StructField("n", T.LongType(), False)])
-    part = _union([c.mapInArrow(_partial_first(bc, "id", text_col, int(limit)), schema)
-                   for bc in _keyword_blocks(corpus, keywords, qid_col, kw_col, max_keyword_bytes)],
+                           T.StructField("n", T.LongType(), False), T.StructField("k", T.LongType(), False)])
+    part = _union([c.mapInArrow(_partial_first(bc, "id", text_col), schema)
+                   for bc in _keyword_blocks(corpus, keywords, qid_col, kw_col, max_keyword_bytes, lim)],
                   schema, corpus)
     w = Window.partitionBy("qid")
-    ranked = part.select("qid", "id", F.row_number().over(w.orderBy("id")).cast("long").alias("rank"),
+    ranked = part.select("qid", "id", "k", F.row_number().over(w.orderBy("id")).cast("long").alias("rank"),
                          F.sum("n").over(w).cast("long").alias("matches"))
-    return ranked.where(F.col("rank") <= limit).select("qid", "rank", "id", "matches")
+    return ranked.where(F.col("rank") <= F.col("k")).select("qid", "rank", "id", "matches")

@@ -57,3 +57,14 @@ def test_keyword_blocks_beyond_broadcast_bound_give_same_answer(spark):
     assert one == many and len(one) > 0
     assert ({tuple(r) for r in keyword.keyword_matches(c, k, max_keyword_bytes=40).collect()}
             == {tuple(r) for r in keyword.keyword_matches(c, k).collect()})
+
+
+def test_keyword_batch_per_keyword_limits(spark):
+    texts = ["the cat", "cat", "a cat here", "no", "cats", "the end"]
+    c = spark.createDataFrame([(i + 1, t) for i, t in enumerate(texts)], "id long, corpus string")
+    k = spark.createDataFrame([(1, "cat", 2), (2, "the", None), (3, "cat", 0)],
+                              "qid long, keyword string, limit long")
+    out = keyword.keyword_batch(c, k, limit=1, limit_col="limit").orderBy("qid", "rank").collect()
+    got = [(r["qid"], r["rank"], r["id"], r["matches"]) for r in out]
+    # cat: limit 2 of 4 matches; the: NULL limit takes the default 1; limit 0 returns nothing
+    assert got == [(1, 1, 1, 4), (1, 2, 2, 4), (2, 1, 1, 2)]
