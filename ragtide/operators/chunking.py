@@ -76,6 +76,36 @@ def numbered_chunks(docs: DataFrame, order_cols: list[str], *, content_col: str
                      "_c.chunk_index", "_c.corpus")
 
 
+def chunk_rows(docs: DataFrame, keep: tuple[str, ...], *, content_col: str = "content",
+               size: int = CHUNK_SIZE) -> DataFrame:
+    """Kept chunk rows with ``_pos``, the chunk's 0-based rank among its
+    document's kept chunks (narrow: no shuffle)."""
+    ex = docs.select(*keep, F.posexplode(kept_chunks(F.col(content_col), size)).alias("_pos", "_c"))
+    return ex.select(*keep, F.col("_pos").cast("long").alias("_pos"), "_c.chunk_index", "_c.corpus")
+
+
+def ids_for_rows(docs: DataFrame, rows: DataFrame, key: str, *, content_col: str = "content",
+                 size: int = CHUNK_SIZE) -> DataFrame:
+    """The ``numbered_chunks`` ids of a bounded set of ``chunk_rows`` (a
+    top-n report), without numbering the corpus: id = kept chunks of every
+    document before this one in key order (NULL keys first) + ``_pos`` + 1.
+
+    The rows' distinct keys are collected (bounded by the report's n) and
+    all their offsets come from one aggregate over the documents with a
+    conditional sum per key: narrow passes and a partial aggregate only."""
+    keys = [r[key] for r in rows.select(key).distinct().collect()]      # at most the report's n
+    present = sorted(k for k in keys if k is not None)
+    n = F.greatest(F.coalesce(F.size(kept_chunks(F.col(content_col), size)), F.lit(0)), F.lit(0))
+    null_n = F.coalesce(F.sum(F.when(F.col(key).isNull(), n)), F.lit(0))
+    sums = [(F.coalesce(F.sum(F.when(F.col(key) < F.lit(k), n)), F.lit(0)) + null_n).alias(f"o{i}")
+            for i, k in enumerate(present)]
+    offs = docs.agg(*sums).first() if sums else None
+    start = F.when(F.col(key).isNull(), F.lit(0))
+    for i, k in enumerate(present):
+        start = start.when(F.col(key) == F.lit(k), F.lit(int(offs[f"o{i}"])))
+    return rows.withColumn("id", (start + F.col("_pos") + 1).cast("long"))
+
+
 def corpus_table(docs: DataFrame, *, order_cols=("doc_id",), **kw) -> DataFrame:
     """Chunks with dense ids in insert order (W3):
     (id, corpus, file_name, file_type, created_at, doc_id, chunk_index)."""

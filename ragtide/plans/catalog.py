@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ragtide.functions.text import (
     LENGTH_LABELS_FR, LENGTH_LABELS_RANGE, SNIPPET_CONSOLE, iso_timestamp, is_blank, py_strip, snippet,
 )
+from ragtide.functions.like import ilike_contains
 from ragtide.functions.vector import parse_vector, render_vector, vector_is_valid
 from ragtide.operators import ann, chunking, context, embed, history, keyword, stats, topk
 from ragtide.sources import pages as pages_src
@@ -44,6 +45,21 @@ def corpus(spark, sf):
     return chunking.corpus_table(docs(spark, sf))
 
 
+def corpus_top(spark, sf, order, n: int, where=None):
+    """The first ``n`` rows of the corpus table in ``order`` (optionally
+    filtered), ids included, without numbering the whole corpus: a
+    TakeOrderedAndProject over chunk rows, then ``ids_for_rows``.  ``order``
+    is written over (created_at, doc_id, _pos); (doc_id, _pos) is id order.
+    The report operators then run unchanged on these n rows."""
+    d = docs(spark, sf)
+    ch = chunking.chunk_rows(d, ("doc_id", "file", "type", "created_at"))
+    if where is not None:
+        ch = ch.where(where)
+    top = chunking.ids_for_rows(d, ch.orderBy(*order).limit(int(n)), "doc_id")
+    return top.select("id", "corpus", F.col("file").alias("file_name"), F.col("type").alias("file_type"),
+                      "created_at", "doc_id", "chunk_index")
+
+
 def chunks(spark, sf):
     """Corpus rows without ids, for statistics that never read the id."""
     c = chunking.chunk_documents(docs(spark, sf))
@@ -141,17 +157,20 @@ def q_date_range(spark, sf):
 
 
 def q_recent_rows(spark, sf):
-    return stats.recent_rows(corpus(spark, sf))
+    # (created_at desc, id desc): id order is (doc_id, _pos)
+    top = corpus_top(spark, sf, [F.col("created_at").desc(), F.col("doc_id").desc(), F.col("_pos").desc()], 5)
+    return stats.recent_rows(top)
 
 
 def q_table_preview(spark, sf):
-    return stats.table_preview(corpus(spark, sf))
+    return stats.table_preview(corpus_top(spark, sf, ["doc_id", "_pos"], 10))
 
 
 # --- keyword search -------------------------------------------------------------
 
 def q_keyword_search(spark, sf):
-    return keyword.keyword_search(corpus(spark, sf), KEYWORD)
+    hits = corpus_top(spark, sf, ["doc_id", "_pos"], 10, where=ilike_contains("corpus", KEYWORD))
+    return keyword.keyword_search(hits, KEYWORD)
 
 
 def q_keyword_count(spark, sf):

@@ -87,3 +87,15 @@ def test_numbered_chunks_null_key_is_numbered(spark):
         rows = sorted((r["id"], r["file"]) for r in
                       numbered_chunks(df, ["file"], single_task_groups=single).collect())
         assert rows == [(1, None), (2, None), (3, "a"), (4, "b")]       # NULL sorts first
+
+
+def test_ids_for_rows_equal_full_numbering(spark):
+    from ragtide.operators.chunking import chunk_rows, ids_for_rows, numbered_chunks
+    docs = [(None, "n" * 700), (5, "a" * 1200), (2, " \t "), (9, "x" + " " * 1200 + "y"), (7, "q")]
+    df = spark.createDataFrame(docs, "doc_id long, content string").repartition(3)
+    full = {(r["doc_id"], r["chunk_index"]): r["id"] for r in numbered_chunks(df, ["doc_id"]).collect()}
+    rows = chunk_rows(df, ("doc_id",))
+    for order in (["doc_id", "_pos"], [F.col("doc_id").desc(), F.col("_pos").desc()]):
+        top = ids_for_rows(df, rows.orderBy(*order).limit(4), "doc_id")
+        got = {(r["doc_id"], r["chunk_index"]): r["id"] for r in top.collect()}
+        assert len(got) == 4 and all(full[k] == v for k, v in got.items())
