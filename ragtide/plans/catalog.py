@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,7 +56,10 @@ def corpus_top(spark, sf, order, n: int, where=None):
     ch = chunking.chunk_rows(d, ("doc_id", "file", "type", "created_at"))
     if where is not None:
         ch = ch.where(where)
-    top = chunking.ids_for_rows(d, ch.orderBy(*order).limit(int(n)), "doc_id")
+    # the n rows are read twice (their keys, then the result): keep them
+    # (n rows; a lost block is recomputed)
+    picked = ch.orderBy(*order).limit(int(n)).persist(StorageLevel.MEMORY_AND_DISK)
+    top = chunking.ids_for_rows(d, picked, "doc_id")
     return top.select("id", "corpus", F.col("file").alias("file_name"), F.col("type").alias("file_type"),
                       "created_at", "doc_id", "chunk_index")
 
