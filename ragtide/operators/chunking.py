@@ -3,6 +3,7 @@ and header filters, W3 ids.  All narrow (explode) except the id assignment."""
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -90,19 +91,38 @@ def ids_for_rows(docs: DataFrame, rows: DataFrame, key: str, *, content_col: str
     top-n report), without numbering the corpus: id = kept chunks of every
     document before this one in key order (NULL keys first) + ``_pos`` + 1.
 
-    The rows' distinct keys are collected (bounded by the report's n) and
-    all their offsets come from one aggregate over the documents with a
-    conditional sum per key: narrow passes and a partial aggregate only."""
-    keys = [r[key] for r in rows.select(key).distinct().collect()]      # at most the report's n
+    The rows' distinct keys are collected (bounded by the report's size).
+    Numeric keys: every document is bucketed by the first collected key at
+    or above its own (``Bucketizer``, a binary search), chunk counts are
+    summed per bucket (a partial aggregate, one row per key) and the running
+    sum over those few rows gives each key's start.  Other keys: one
+    conditional sum per key.  Narrow passes and small aggregates only."""
+    keys = [r[key] for r in rows.select(key).distinct().collect()]      # bounded by the report
     present = sorted(k for k in keys if k is not None)
     n = F.greatest(F.coalesce(F.size(kept_chunks(F.col(content_col), size)), F.lit(0)), F.lit(0))
-    null_n = F.coalesce(F.sum(F.when(F.col(key).isNull(), n)), F.lit(0))
-    sums = [(F.coalesce(F.sum(F.when(F.col(key) < F.lit(k), n)), F.lit(0)) + null_n).alias(f"o{i}")
-            for i, k in enumerate(present)]
-    offs = docs.agg(*sums).first() if sums else None
+    starts: dict = {}
+    if present and isinstance(docs.schema[key].dataType, T.NumericType):
+        # bucket i holds documents with present[i-1] <= key < present[i];
+        # bucket 0 also holds NULL keys (as -inf), which sort first
+        splits = [float("-inf")] + [float(k) for k in present] + [float("inf")]
+        kd = F.coalesce(F.col(key).cast("double"), F.lit(float("-inf")))
+        b = Bucketizer(splits=splits, inputCol="_k", outputCol="_b", handleInvalid="keep").transform(
+            docs.select(kd.alias("_k"), n.alias("_n")))
+        per = {int(r["_b"]): int(r["s"]) for r in b.groupBy("_b").agg(F.sum("_n").alias("s")).collect()}
+        acc = 0
+        for i, k in enumerate(present):
+            acc += per.get(i, 0)
+            starts[k] = acc
+    elif present:
+        null_n = F.coalesce(F.sum(F.when(F.col(key).isNull(), n)), F.lit(0))
+        sums = [(F.coalesce(F.sum(F.when(F.col(key) < F.lit(k), n)), F.lit(0)) + null_n).alias(f"o{i}")
+                for i, k in enumerate(present)]
+        offs = docs.agg(*sums).first()
+        starts = {k: int(offs[f"o{i}"]) for i, k in enumerate(present)}
     start = F.when(F.col(key).isNull(), F.lit(0))
-    for i, k in enumerate(present):
-        start = start.when(F.col(key) == F.lit(k), F.lit(int(offs[f"o{i}"])))
+    if starts:
+        m = F.create_map(*[x for k, v in starts.items() for x in (F.lit(k), F.lit(v))])
+        start = start.otherwise(m[F.col(key)])
     return rows.withColumn("id", (start + F.col("_pos") + 1).cast("long"))
 
 

@@ -64,6 +64,31 @@ def corpus_top(spark, sf, order, n: int, where=None):
                       "created_at", "doc_id", "chunk_index")
 
 
+# A surrogate id monotone in corpus-id order: (document, kept-chunk position)
+# packed in one long (a document has fewer than 2^23 chunks: strings are
+# < 2 GiB).  Operators that rank by id rank the same way by it.
+_POS_BITS = 23
+
+
+def surrogate_chunks(spark, sf):
+    """Corpus rows without numbering: ``id`` is the surrogate, not the
+    corpus id (``with_corpus_ids`` maps a bounded result back)."""
+    d = docs(spark, sf)
+    ch = chunking.chunk_rows(d, ("doc_id", "file", "type", "created_at"))
+    return ch.select(((F.col("doc_id") * (1 << _POS_BITS)) + F.col("_pos")).alias("id"), "corpus",
+                     F.col("file").alias("file_name"), F.col("type").alias("file_type"), "created_at")
+
+
+def with_corpus_ids(spark, sf, result):
+    """Replace surrogate ``id``s in a bounded result (top-k rows) by corpus
+    ids (``ids_for_rows``); the result is kept between its two reads."""
+    r = result.withColumn("doc_id", F.shiftright("id", _POS_BITS)) \
+        .withColumn("_pos", F.col("id").bitwiseAND(F.lit((1 << _POS_BITS) - 1))) \
+        .drop("id").persist(StorageLevel.MEMORY_AND_DISK)
+    out = chunking.ids_for_rows(docs(spark, sf), r, "doc_id")
+    return out.select("id", *[c for c in result.columns if c != "id"])
+
+
 def chunks(spark, sf):
     """Corpus rows without ids, for statistics that never read the id."""
     c = chunking.chunk_documents(docs(spark, sf))
@@ -190,7 +215,8 @@ def benchmark_keywords(spark, sf):
 
 
 def q_keyword_batch(spark, sf):
-    return keyword.keyword_batch(corpus(spark, sf), benchmark_keywords(spark, sf))
+    r = keyword.keyword_batch(surrogate_chunks(spark, sf), benchmark_keywords(spark, sf))
+    return with_corpus_ids(spark, sf, r).select("qid", "rank", "id", "matches")
 
 
 # --- pages ------------------------------------------------------------------------
@@ -308,10 +334,11 @@ def q_history_clear(spark, sf):
 def q_text_search_hashed(spark, sf):
     """End-to-end text search: chunks and benchmark questions embedded by the
     stand-in encoder, top-5 per question."""
-    c = embed.embed(corpus(spark, sf), "corpus", "embedding")
+    c = embed.embed(surrogate_chunks(spark, sf), "corpus", "embedding")
     qs = embed.embed(table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text"),
                      "text", "embedding")
     r = topk.topk_batch(c, qs, TOP_K)
+    r = with_corpus_ids(spark, sf, r.select("qid", "rank", "id", "similarity"))
     return r.select("qid", "rank", "id", _r("similarity").alias("similarity"))
 
 

@@ -99,3 +99,13 @@ def test_ids_for_rows_equal_full_numbering(spark):
         top = ids_for_rows(df, rows.orderBy(*order).limit(4), "doc_id")
         got = {(r["doc_id"], r["chunk_index"]): r["id"] for r in top.collect()}
         assert len(got) == 4 and all(full[k] == v for k, v in got.items())
+
+
+def test_ids_for_rows_string_keys(spark):
+    from ragtide.operators.chunking import chunk_rows, ids_for_rows, numbered_chunks
+    docs = [(None, "n" * 700), ("b.txt", "a" * 1200), ("a.txt", " \t "), ("c.txt", "y"), ("ab.txt", "q" * 501)]
+    df = spark.createDataFrame(docs, "file string, content string")
+    full = {(r["file"], r["chunk_index"]): r["id"] for r in numbered_chunks(df, ["file"]).collect()}
+    top = ids_for_rows(df, chunk_rows(df, ("file",)), "file")
+    got = {(r["file"], r["chunk_index"]): r["id"] for r in top.collect()}
+    assert got == full
