@@ -101,10 +101,12 @@ def ids_for_rows(docs: DataFrame, rows: DataFrame, key: str, *, content_col: str
     present = sorted(k for k in keys if k is not None)
     n = F.greatest(F.coalesce(F.size(kept_chunks(F.col(content_col), size)), F.lit(0)), F.lit(0))
     starts: dict = {}
-    if present and isinstance(docs.schema[key].dataType, T.NumericType):
+    splits = [float("-inf")] + [float(k) for k in present] + [float("inf")] \
+        if isinstance(docs.schema[key].dataType, T.NumericType) else []
+    exact = bool(present and splits) and all(a < b for a, b in zip(splits, splits[1:]))  # distinct as doubles
+    if exact:
         # bucket i holds documents with present[i-1] <= key < present[i];
         # bucket 0 also holds NULL keys (as -inf), which sort first
-        splits = [float("-inf")] + [float(k) for k in present] + [float("inf")]
         kd = F.coalesce(F.col(key).cast("double"), F.lit(float("-inf")))
         b = Bucketizer(splits=splits, inputCol="_k", outputCol="_b", handleInvalid="keep").transform(
             docs.select(kd.alias("_k"), n.alias("_n")))

@@ -109,3 +109,13 @@ def test_ids_for_rows_string_keys(spark):
     top = ids_for_rows(df, chunk_rows(df, ("file",)), "file")
     got = {(r["file"], r["chunk_index"]): r["id"] for r in top.collect()}
     assert got == full
+
+
+def test_ids_for_rows_keys_beyond_double_precision(spark):
+    from ragtide.operators.chunking import chunk_rows, ids_for_rows, numbered_chunks
+    big = 2 ** 60
+    df = spark.createDataFrame([(big, "a" * 600), (big + 1, "b"), (3, "c")], "doc_id long, content string")
+    full = {(r["doc_id"], r["chunk_index"]): r["id"] for r in numbered_chunks(df, ["doc_id"]).collect()}
+    got = {(r["doc_id"], r["chunk_index"]): r["id"]
+           for r in ids_for_rows(df, chunk_rows(df, ("doc_id",)), "doc_id").collect()}
+    assert got == full
