@@ -66,7 +66,9 @@ def corpus_top(spark, sf, order, n: int, where=None):
 
 # A surrogate id monotone in corpus-id order: (document, kept-chunk position)
 # packed in one long (a document has fewer than 2^23 chunks: strings are
-# < 2 GiB).  Operators that rank by id rank the same way by it.
+# < 2 GiB; document ids below 2^40, as in the test tables, so the product
+# fits; with ANSI on, a larger id raises instead of mis-ranking).  Operators
+# that rank by id rank the same way by it.
 _POS_BITS = 23
 
 
