@@ -73,3 +73,15 @@ def test_recommended_conf_sizes_partitions():
     assert int(c["spark.sql.shuffle.partitions"]) == 37253
     assert int(recommended_conf(10 ** 6, 8)["spark.sql.shuffle.partitions"]) == 16
     assert "spark.checkpoint.dir" not in c
+
+
+@pytest.mark.parametrize("name", ["keyword_search", "table_preview", "recent_rows", "keyword_batch",
+                                  "text_search_hashed"])
+def test_bounded_results_do_not_number_the_corpus(plans, name):
+    # numbering the whole corpus would join id offsets back to the documents
+    p = plans[name]
+    assert "BroadcastHashJoin" not in p and "SortMergeJoin" not in p and "ShuffledHashJoin" not in p
+
+
+def test_full_numbering_joins_offsets_by_broadcast(plans):
+    assert "BroadcastHashJoin" in plans["chunk_documents"]
