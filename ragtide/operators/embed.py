@@ -53,6 +53,25 @@ def pandas_encoder(batch_fn: Callable[[list[str]], list[list[float]]], dim: int
     return encode
 
 
+# Models built by ``loaded_encoder``, one per key per Python worker process.
+_MODELS: dict[str, Callable[[list[str]], list[list[float]]]] = {}
+
+
+def loaded_encoder(key: str, loader: Callable[[], Callable[[list[str]], list[list[float]]]],
+                   dim: int = EMBEDDING_DIM) -> Encoder:
+    """A batch encoder whose model is built once per Python worker process:
+    ``loader()`` (e.g. reading weights from a shared folder) runs on the
+    first batch a worker sees and returns the batch encode function, which
+    is kept under ``key`` for every later batch and task on that worker
+    (Spark reuses Python workers).  Batches arrive as Arrow record batches."""
+    def batch_fn(texts: list[str]) -> list[list[float]]:
+        fn = _MODELS.get(key)
+        if fn is None:
+            fn = _MODELS[key] = loader()
+        return fn(texts)
+    return pandas_encoder(batch_fn, dim)
+
+
 def embed(df: DataFrame, text_col: str = "corpus", out_col: str = "embedding",
           encoder: Encoder | None = None) -> DataFrame:
     return (encoder or hashed_encoder())(df, text_col, out_col)

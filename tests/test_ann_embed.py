@@ -88,3 +88,18 @@ def test_stored_clustered_corpus_search_and_pruning(spark, scratch):
         res.explain("formatted")
     assert "PartitionFilters: [isnotnull(cluster" in buf.getvalue() and "cluster#" in buf.getvalue()
     assert len(res.collect()) == 3
+
+
+def test_loaded_encoder_builds_model_on_workers(spark):
+    def loader():
+        import os
+        pid = os.getpid()
+        return lambda texts: [[float(len(t)), float(pid)] for t in texts]
+    enc = embed.loaded_encoder("len-model", loader, dim=2)
+    df = spark.range(200).select(F.col("id"), F.concat(F.lit("x"), F.col("id").cast("string")).alias("text"))
+    out = embed.embed(df.repartition(4), "text", "e", enc).collect()
+    assert all(r["e"][0] == len(r["text"]) for r in out)
+    # the model was built in the workers, not on the driver
+    import os
+    assert all(int(r["e"][1]) != os.getpid() for r in out)
+    assert "len-model" not in embed._MODELS
