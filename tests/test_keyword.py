@@ -68,3 +68,24 @@ def test_keyword_batch_per_keyword_limits(spark):
     got = [(r["qid"], r["rank"], r["id"], r["matches"]) for r in out]
     # cat: limit 2 of 4 matches; the: NULL limit takes the default 1; limit 0 returns nothing
     assert got == [(1, 1, 1, 4), (1, 2, 2, 4), (2, 1, 1, 2)]
+
+
+from hypothesis import given, settings, strategies as st  # noqa: E402
+
+_KW = st.text(alphabet=list("ab%_\\éÉ"), min_size=1, max_size=5)     # backslash escapes arise too
+_TX = st.text(alphabet=list("abAB%_\\éÉ x"), max_size=12)
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(_TX, min_size=1, max_size=12), st.lists(_KW, min_size=1, max_size=6))
+def test_jvm_ilike_and_batch_regex_agree(spark, texts, kws):
+    """F1 (Spark ILIKE on the normalised pattern) and F1b (Aho-Corasick or
+    the LIKE pattern as a regex) give the same matches."""
+    c = spark.createDataFrame([(i + 1, t) for i, t in enumerate(texts)], "id long, corpus string")
+    k = spark.createDataFrame([(i, w) for i, w in enumerate(kws)], "qid long, keyword string")
+    got = {(r["qid"], r["id"]) for r in keyword.keyword_matches(c, k).collect()}
+    want = set()
+    for q, w in enumerate(kws):
+        for r in c.where(ilike_contains("corpus", w)).collect():
+            want.add((q, r["id"]))
+    assert got == want
