@@ -98,3 +98,31 @@ def test_group_offsets_is_exclusive_running_sum(spark, groups):
         want[k] = acc
         acc += n
     assert {r["key"]: r["_start"] for r in offs.collect()} == want
+
+
+_LINES = st.text(alphabet=list("ab<\r\n "), max_size=40)
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(_LINES, min_size=1, max_size=20))
+def test_line_count_matches_text_mode_readlines(spark, texts):
+    import io
+    from ragtide.functions.text import line_count, normalize_newlines
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    got = [r["n"] for r in df.select(line_count(normalize_newlines("s")).alias("n")).collect()]
+    want = [len(io.TextIOWrapper(io.BytesIO(t.encode()), encoding="utf-8", newline=None).readlines())
+            for t in texts]
+    assert got == want
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.text(alphabet=list("ab< \n"), max_size=40), min_size=1, max_size=20))
+def test_split_lines_matches_python_rule(spark, texts):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, content string")
+    got = sorted((r["doc_id"], r["line_no"], r["utterance"]) for r in chunking.split_lines(df).collect())
+    want = []
+    for i, t in enumerate(texts):
+        for j, line in enumerate(t.split("\n")):
+            if line and not line.startswith("<"):
+                want.append((i, j + 1, line[5:] if line.startswith("     ") else line))
+    assert got == sorted(want)
