@@ -126,3 +126,30 @@ def test_split_lines_matches_python_rule(spark, texts):
             if line and not line.startswith("<"):
                 want.append((i, j + 1, line[5:] if line.startswith("     ") else line))
     assert got == sorted(want)
+
+
+def _py_decode(b: bytes) -> str:
+    try:
+        return b.decode("utf-8")
+    except UnicodeDecodeError:
+        return b.decode("latin-1")
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.one_of(st.binary(max_size=12), st.text(max_size=8).map(lambda t: t.encode())),
+                min_size=1, max_size=25))
+def test_decode_fallback_matches_python(spark, blobs):
+    from ragtide.functions.text import decode_fallback
+    df = spark.createDataFrame([(bytearray(b),) for b in blobs], "raw binary")
+    got = [r["t"] for r in df.select(decode_fallback("raw").alias("t")).collect()]
+    assert got == [_py_decode(b) for b in blobs]
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.datetimes(min_value=__import__("datetime").datetime(1970, 1, 2),
+                             max_value=__import__("datetime").datetime(2100, 1, 1)), min_size=1, max_size=20))
+def test_iso_timestamp_matches_isoformat(spark, times):
+    from ragtide.functions.text import iso_timestamp
+    df = spark.createDataFrame([(t,) for t in times], "ts timestamp_ntz")
+    got = [r["s"] for r in df.select(iso_timestamp("ts").alias("s")).collect()]
+    assert got == [t.isoformat() for t in times]
