@@ -153,3 +153,17 @@ def test_iso_timestamp_matches_isoformat(spark, times):
     df = spark.createDataFrame([(t,) for t in times], "ts timestamp_ntz")
     got = [r["s"] for r in df.select(iso_timestamp("ts").alias("s")).collect()]
     assert got == [t.isoformat() for t in times]
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.lists(st.floats(allow_nan=False, allow_infinity=False, width=64), min_size=1, max_size=6),
+                min_size=1, max_size=10))
+def test_vector_literals_round_trip(spark, vecs):
+    from ragtide.functions.vector import parse_vector, render_vector, vector_is_valid
+    df = spark.createDataFrame([(v,) for v in vecs], "v array<double>")
+    out = df.select(parse_vector(render_vector("v", "[]")).alias("a"),
+                    parse_vector(render_vector("v", "{}")).alias("b")).collect()
+    assert [r["a"] for r in out] == vecs and [r["b"] for r in out] == vecs
+    bad = spark.createDataFrame([("[1.0, oops]",), ("{2,3}",), ("1,2",)], "s string")
+    assert [r["ok"] for r in bad.select(vector_is_valid(parse_vector("s")).alias("ok")).collect()] == \
+        [False, True, False]
