@@ -167,3 +167,36 @@ def test_vector_literals_round_trip(spark, vecs):
     bad = spark.createDataFrame([("[1.0, oops]",), ("{2,3}",), ("1,2",)], "s string")
     assert [r["ok"] for r in bad.select(vector_is_valid(parse_vector("s")).alias("ok")).collect()] == \
         [False, True, False]
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 3), st.text(alphabet=list("ab \t"), max_size=4)), min_size=1, max_size=40),
+       st.booleans())
+def test_page_assembly_matches_python(spark, pages_in, marked):
+    rows = [(f, i + 1, t) for i, (f, t) in enumerate(pages_in)]      # page numbers unique per file
+    p = spark.createDataFrame(rows, "file long, page_no long, text string")
+    got = {r["file"]: (r["text"], r["n_pages"]) for r in
+           pages.assemble_pages(p, marked=marked, block_pages=3).collect()}
+    want = {}
+    for f in sorted({r[0] for r in rows}):
+        kept = [(n, t) for ff, n, t in sorted(rows, key=lambda r: r[1]) if ff == f and t.strip()]
+        if kept:
+            body = [f"--- Page {n} ---\n{t}\n" if marked else t for n, t in kept]
+            want[f] = ("\n".join(body), len(kept))
+    assert got == want
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.integers(0, 4), min_size=1, max_size=60), st.integers(1, 4))
+def test_history_last_n_matches_python(spark, sessions, n):
+    from ragtide.operators import history
+    rows = [(s, i, f"q{i}", f"a{i}", None) for i, s in enumerate(sessions)]
+    h = spark.createDataFrame(rows, "session_id long, seq long, query string, answer string, ts timestamp_ntz")
+    got = sorted((r["session_id"], r["position"], r["seq"], r["count"])
+                 for r in history.history_last_n(h, n).collect())
+    want = []
+    for s in set(sessions):
+        seqs = [i for i, x in enumerate(sessions) if x == s]
+        for pos, q in enumerate(seqs[-n:], start=1):
+            want.append((s, pos, q, len(seqs)))
+    assert got == sorted(want)
