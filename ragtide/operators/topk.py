@@ -64,12 +64,12 @@ class TaskTopK:
     emits at most k rows per query however many batches it reads.  The
     final per-query ranking then sees tasks x k rows, not batches x k."""
 
-    def __init__(self, ks: np.ndarray, n_carry: int = 0):
+    def __init__(self, ks: np.ndarray, n_carry: int = 0, budget: int | None = None):
         self.ks = np.asarray(ks, dtype=np.int64)
         self.n_carry = n_carry
         self.parts: list[tuple] = []
         self.rows = 0
-        self.budget = max(2 * int(self.ks.sum()), 4096)
+        self.budget = budget if budget is not None else max(2 * int(self.ks.sum()), 4096)
 
     def add(self, qi: np.ndarray, ids: np.ndarray, score: np.ndarray, carry: list) -> None:
         if len(qi) == 0:

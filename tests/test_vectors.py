@@ -118,7 +118,7 @@ def test_task_topk_keeps_best_k_per_query_across_batches():
     import pyarrow as pa
     rng = np.random.default_rng(5)
     ks = np.array([1, 3, 5, 0])
-    acc = topk.TaskTopK(ks, n_carry=1)
+    acc = topk.TaskTopK(ks, n_carry=1, budget=30)        # prunes many times along the way
     allrows = []
     for b in range(40):
         n = 50
@@ -151,3 +151,31 @@ def test_score_corpus_equals_jvm_expressions(spark):
         assert math.isclose(r["distance"], want[i]["d"], abs_tol=1e-12)
         assert math.isclose(r["l2_distance"], want[i]["l2"], abs_tol=1e-12)
     assert got[10_000]["distance"] == 1.0 and got[10_000]["similarity"] == 0.0
+
+
+def test_batch_topk_many_arrow_batches_matches_numpy(spark):
+    """Small Arrow batches: every task accumulates its top-k over many
+    batches; integer coordinates make many ties; one query is zero."""
+    rng = np.random.default_rng(11)
+    vecs = rng.integers(-2, 3, size=(400, 3)).astype(float)
+    c = spark.createDataFrame([(int(i) + 1, v.tolist()) for i, v in enumerate(vecs)],
+                              "id long, embedding array<double>").repartition(3)
+    qs = np.vstack([rng.integers(-2, 3, size=(6, 3)).astype(float), np.zeros((1, 3))])
+    ks = [3, 1, 5, 0, 7, 2, 4]
+    q = spark.createDataFrame([(i, v.tolist(), ks[i]) for i, v in enumerate(qs)],
+                              "qid long, embedding array<double>, top_k int")
+    prev = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        got = {(r["qid"], r["rank"], r["id"], round(r["similarity"], 12))
+               for r in topk.topk_batch(c, q, k_col="top_k").collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", prev)
+    norms = np.linalg.norm(vecs, axis=1)
+    want = set()
+    for i, qv in enumerate(qs):
+        qn = np.linalg.norm(qv)
+        sims = [0.0 if n == 0 or qn == 0 else float(v @ qv / (n * qn)) for v, n in zip(vecs, norms)]
+        order = sorted(range(len(vecs)), key=lambda j: (-round(sims[j], 12), j))[:ks[i]]
+        want |= {(i, r + 1, j + 1, round(sims[j], 12)) for r, j in enumerate(order)}
+    assert got == want
