@@ -39,9 +39,21 @@ class ClusterIndex:
         self.centroids, _ = _unit_rows(np.asarray(centroids, dtype=np.float64))
 
     def assign(self, corpus: DataFrame, vec_col: str = "embedding") -> DataFrame:
-        """Corpus rows with their cluster id (JVM-side nearest centroid)."""
-        v = corpus.withColumn("_features", array_to_vector(as_double_array(vec_col)))
-        return self.model.transform(v).withColumnRenamed("_cluster", "cluster").drop("_features")
+        """Corpus rows with their cluster id (JVM-side nearest centroid).
+
+        Cosine distance is undefined for a zero vector (and the model
+        refuses one), so a zero row is assigned through a stand-in unit
+        vector and then placed in cluster 0: it stays searchable, with
+        similarity 0 to every query, in one pass over the corpus."""
+        dim = self.centroids.shape[1]
+        arr = as_double_array(vec_col)
+        nonzero = F.exists(arr, lambda x: x != 0)
+        unit = F.array(*([F.lit(1.0)] + [F.lit(0.0)] * (dim - 1))).cast("array<double>")
+        v = corpus.withColumn("_nz", nonzero) \
+            .withColumn("_features", array_to_vector(F.when(F.col("_nz"), arr).otherwise(unit)))
+        out = self.model.transform(v)
+        return (out.withColumn("cluster", F.when(F.col("_nz"), F.col("_cluster")).otherwise(F.lit(0)))
+                .drop("_features", "_cluster", "_nz"))
 
 
 def build_index(corpus: DataFrame, n_clusters: int = 40, *, vec_col: str = "embedding",

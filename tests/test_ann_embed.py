@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from ragtide.operators import ann, embed, topk
 from ragtide.sources.tables import stored_vectors
-from conftest import SF_MED
+from conftest import SF_MED, SF_SMALL
 
 
 def test_ann_all_probes_equals_exact(spark):
@@ -103,3 +103,23 @@ def test_loaded_encoder_builds_model_on_workers(spark):
     import os
     assert all(int(r["e"][1]) != os.getpid() for r in out)
     assert "len-model" not in embed._MODELS
+
+
+def test_ann_handles_zero_vectors_in_the_corpus(spark, scratch):
+    import os
+    v = stored_vectors(spark, SF_SMALL)
+    zeros = spark.createDataFrame([(90_000 + i, [0.0] * 64, 0) for i in range(3)],
+                                  "id long, embedding array<float>, label int")
+    c = v.unionByName(zeros)
+    q = v.where(F.col("id") < 10).select(F.col("id").alias("qid"), "embedding")
+    idx = ann.build_index(c, n_clusters=6)
+    assert idx.assign(c).where(F.col("id") >= 90_000).select("cluster").distinct().collect()[0][0] == 0
+
+    def rows(df):
+        return {(r["qid"], r["rank"], r["id"], round(r["similarity"], 9)) for r in df.collect()}
+    exact = rows(topk.topk_batch(c, q, 5))
+    assert rows(ann.ann_topk(c, q, 5, index=idx, nprobe=6)) == exact
+    path = os.path.join(scratch, "clustered")
+    ann.write_clustered(c, idx, path)
+    assert spark.read.parquet(path).count() == c.count()
+    assert rows(ann.ann_topk_stored(spark, path, idx, q, 5, nprobe=6)) == exact
