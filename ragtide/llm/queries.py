@@ -6,7 +6,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import mixing, packing, quality, sharding
+from . import langid, mixing, packing, pii, pieces, quality, sharding, token_count
+
+# the registered queries' key; a real run passes its own
+KEY = b"ragtide-pseudonyms"
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +21,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), KEY)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -26,5 +33,14 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_packing": op1_packing, "op4_sharding": op4_sharding, "op7_mixing": op7_mixing, "op8_quality": op8_quality}
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"), pieces.default_vocabulary())
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.token_counts(table(spark, sf_dir, "documents"), pieces.default_vocabulary())
+
+
+QUERIES = {"op1_packing": op1_packing, "op4_sharding": op4_sharding, "op5_pii": op5_pii, "op7_mixing": op7_mixing,
+           "op8_quality": op8_quality, "op9_langid": op9_langid, "op10_token_counts": op10_token_counts}
 SQL: dict[str, str] = {}
