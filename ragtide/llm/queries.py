@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import langid, mixing, packing, pii, pieces, quality, sharding, token_count
+from . import langid, mixing, packing, pii, pieces, quality, sharding, shingle_join, token_count, vector_dups
 
 # the registered queries' key; a real run passes its own
 KEY = b"ragtide-pseudonyms"
@@ -17,6 +17,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces)
 
 
+def op2_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.similar(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -25,6 +29,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents"), KEY)
 
 
+def op6_vector_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dups.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -41,6 +49,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"), pieces.default_vocabulary())
 
 
-QUERIES = {"op1_packing": op1_packing, "op4_sharding": op4_sharding, "op5_pii": op5_pii, "op7_mixing": op7_mixing,
-           "op8_quality": op8_quality, "op9_langid": op9_langid, "op10_token_counts": op10_token_counts}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_shingle_join, op4_sharding, op5_pii, op6_vector_dups, op7_mixing, op8_quality,
+                                   op9_langid, op10_token_counts)}
 SQL: dict[str, str] = {}
