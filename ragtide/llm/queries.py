@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import langid, mixing, packing, pii, pieces, quality, sharding, shingle_join, token_count, vector_dups
+from . import html_text, langid, mixing, packing, pii, pieces, quality, sharding, shingle_join, token_count, vector_dups
 
 # the registered queries' key; a real run passes its own
 KEY = b"ragtide-pseudonyms"
@@ -21,6 +21,10 @@ def op2_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join.similar(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"), pieces.default_vocabulary())
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_shingle_join, op4_sharding, op5_pii, op6_vector_dups, op7_mixing, op8_quality,
+QUERIES = {f.__name__: f for f in (op1_packing, op2_shingle_join, op3_html_text, op4_sharding, op5_pii, op6_vector_dups, op7_mixing, op8_quality,
                                    op9_langid, op10_token_counts)}
 SQL: dict[str, str] = {}
