@@ -5,14 +5,15 @@ shingles stand in one global order, rare before common, and that order is cut
 into fragments.
 
 1. One scan gives each document's set size and fingerprint, and a sketch of
-   ``SKETCH`` counters of how often shingles occur: a shingle's place in the
+   2^``SKETCH_BITS`` counters of how often shingles occur: a shingle's place in the
    order is its counter's size class, then its hash.  Documents with equal sets
    are one node from here on.
 2. A second scan sends each set's prefix (the rarest shingles, as many as two
    similar sets cannot both miss) to the fragments of the order, a node once a task.  In
    a fragment, a shingle's nodes form a list.
 3. Candidate pairs are verified fragment by fragment: a pair's partial overlaps
-   are counted in each fragment of the order and summed per pair.
+   are counted in each fragment of the order and summed per pair; the first
+   fragments' sums rule most pairs out before the other fragments are read.
 4. Not all pairs of a list are formed: lists are first linked to one node each,
    verified, and merged into components; only lists that still span several
    components are gone through again, and the last round forms every pair that
@@ -45,12 +46,12 @@ from .shared import written
 from .text import LOWER, U64, groups, mix, string_buffers, windows, word_hashes
 
 WIDTH, PERCENT = 5, 75
-SKETCH_BITS, CHUNK_BITS = 20, 12                 # 2^20 counters, sent in 2^8 chunks
+SKETCH_BITS, CHUNK_BITS = 22, 14                 # 2^22 counters, sent in 2^8 chunks
 FILTER_BITS = 23                                 # 1 MB: which documents' sets the verification reads
 FRAGMENT = 250_000                               # prefix entries to a fragment
-SEGMENTS = 8                                     # fragments of the order in the verification
+SEGMENTS, EARLY = 8, 2                           # fragments of the order in the verification; those counted first
 PAIR_ROWS = 1_000                                # pairs with one pivot to a task's group
-STAR_ROUNDS = 4
+STAR_ROUNDS = 1
 
 
 def sets(col: pa.Array, width: int = WIDTH):
@@ -83,24 +84,22 @@ def needed(na, nb, percent: int = PERCENT):
 class Order:
     """The global order, from the sketch: rare size classes first, by hash inside a class."""
 
-    def __init__(self, sketch: np.ndarray):
-        self.sketch = sketch
-        self.mask = U64(len(sketch) - 1)
-        classes = self._class(sketch)
-        self.mass = np.bincount(classes, weights=sketch, minlength=256)
-
-    @staticmethod
-    def _class(n: np.ndarray) -> np.ndarray:
-        return np.floor(4 * np.log2(np.maximum(n, 1))).astype(np.int64)
+    def __init__(self, chunks):
+        """``chunks``: (number, counts) of the sketch's chunks; kept are one byte a counter and the occurrences a class."""
+        self.classes, self.mass = np.zeros(1 << SKETCH_BITS, np.uint8), np.zeros(256)
+        for k, n in chunks:
+            c = np.floor(4 * np.log2(np.maximum(n, 1))).astype(np.uint8)
+            self.classes[k << CHUNK_BITS: (k + 1) << CHUNK_BITS] = c
+            self.mass += np.bincount(c, weights=n, minlength=256)
 
     def place(self, s: np.ndarray) -> np.ndarray:
         """Order keys, ascending from rare to common."""
-        c = self._class(self.sketch[(s & self.mask).astype(np.int64)]).astype(U64)
+        c = self.classes[(s & U64(len(self.classes) - 1)).astype(np.int64)].astype(U64)
         return (c << U64(56)) | (s >> U64(8))
 
     def often(self, keys: np.ndarray) -> np.ndarray:
         """Upper bound of how often the shingles of these keys occur."""
-        return np.exp2((np.floor(keys >> U64(56)).astype(np.float64) + 1) / 4)
+        return np.exp2(((keys >> U64(56)).astype(np.float64) + 1) / 4)
 
     def cuts(self, shares: np.ndarray) -> np.ndarray:
         """The keys below which these shares of all occurrences lie."""
@@ -147,8 +146,8 @@ def _count(counters: np.ndarray, many: list[np.ndarray]) -> None:
         counters[k] = np.minimum(counters[k].astype(np.int64) + n, 2**32 - 1).astype(np.uint32)
 
 
-def _sketch(rows: DataFrame) -> np.ndarray:
-    """The tasks' sketches summed chunk by chunk on the executors; ``SKETCH`` numbers reach the driver."""
+def _order(rows: DataFrame) -> Order:
+    """The tasks' sketches are summed chunk by chunk on the executors; 2^``SKETCH_BITS`` numbers reach the driver, a chunk at a time."""
     def part(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -159,10 +158,7 @@ def _sketch(rows: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([c.tobytes()], pa.binary())], names=["chunk", "counts"])
 
     summed = rows.filter("chunk is not null").select("chunk", "counts").repartition("chunk").mapInArrow(part, "chunk int, counts binary")
-    out, size = np.zeros(1 << SKETCH_BITS, np.int64), 1 << CHUNK_BITS
-    for r in summed.toLocalIterator():
-        out[r["chunk"] * size: (r["chunk"] + 1) * size] = np.frombuffer(r["counts"], np.int64)
-    return out
+    return Order((r["chunk"], np.frombuffer(r["counts"], np.int64)) for r in summed.toLocalIterator())
 
 
 def _postings(df: DataFrame, order, cuts: np.ndarray, width: int, percent: int) -> DataFrame:
@@ -204,11 +200,12 @@ def _postings(df: DataFrame, order, cuts: np.ndarray, width: int, percent: int)
 
 def _lists(table: pa.Table) -> pa.Table:
     """One fragment: the entries of every shingle that has several nodes (a salted
-    shingle keeps all its entries), each with the list's first node."""
+    shingle keeps all its entries), each with the list's pivot: the node with the
+    fewest rarer shingles, which of a family of copies is the least edited one."""
     salt = table.column("salt").to_numpy()
     cols = [np.concatenate([np.frombuffer(b, t) for b in table.column(c).to_pylist()]) for c, t in
             (("key", U64), ("node", np.int64), ("n", np.int32), ("pos", np.int32))]
-    o = np.lexsort((cols[1], cols[0]))
+    o = np.lexsort((cols[1], cols[3], cols[0]))          # a node's entries of a key are equal, so they are neighbours
     key, node, n, pos = (c[o] for c in cols)
     new = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])])
     key, node, n, pos = key[new], node[new], n[new], pos[new]
@@ -275,8 +272,8 @@ class Join:
         self.rows = rows.filter("chunk is null").select("doc_id", "node", "n")
         self.nodes = (self.rows.filter("node is not null").groupBy("node")
                       .agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n")))
-        order = Order(_sketch(rows))
-        self.order = self.spark.sparkContext.broadcast(order)        # 2^20 counters, whatever the input
+        order = _order(rows)
+        self.order = self.spark.sparkContext.broadcast(order)        # a byte a counter, whatever the input
         entries = order.mass.sum() * (100 - percent) / 100
         parts = max(1, math.ceil(entries / FRAGMENT))
         tail = max(1, parts // 4)
@@ -325,6 +322,22 @@ class Join:
         # the document that stands for its node; equal rows of it are one
         have = written(found.alias("f").join(wanted.alias("w"), (F.col("f.node") == F.col("w.node")) & F.col("f.doc_id").eqNullSafe(F.col("w.first_id")))
                        .select("f.node", "f.segs"), "segments")
+        # the first fragments bound a pair's overlap; the others are read for the pairs still possible
+        first = self._counted(pairs, have, 0, EARLY)
+        most = F.col("o") + F.least(F.col("na") - F.col("la"), F.col("nb") - F.col("lb"))
+        sizes = wanted.select("node", "n")
+        sized = (first.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a")
+                 .join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
+                 .filter(100 * most >= percent * (F.col("na") + F.col("nb") - most)))
+        sized = sized.join(sized.groupBy("b").agg(F.count(F.lit(1)).alias("size")), "b")
+        sized = written(sized.select("a", "b", "o", "na", "nb", "size"), "possible")
+        rest = self._counted(sized.select("a", "b", "size"), have, EARLY, SEGMENTS).select("a", "b", F.col("o").alias("more"))
+        o = F.col("o") + F.col("more")
+        return sized.join(rest, ["a", "b"]).filter(100 * o >= percent * (F.col("na") + F.col("nb") - o)).select("a", "b")
+
+    def _counted(self, pairs: DataFrame, have: DataFrame, lo: int, hi: int) -> DataFrame:
+        """(a, b, o, la, lb): overlap and lengths of each pair in the fragments lo .. hi - 1."""
+        have = have.select("node", F.slice("segs", lo + 1, hi - lo).alias("segs"))
         salted = pairs.withColumn("salt", F.pmod(F.xxhash64("a"), F.ceil(F.col("size") / F.lit(PAIR_ROWS))).cast("int"))
         left = salted.select("a", F.col("b").alias("pivot"), "salt", F.col("a").alias("node"))
         right = salted.select("b", "salt").distinct().select(F.lit(None).cast("long").alias("a"), F.col("b").alias("pivot"), "salt", F.col("b").alias("node"))
@@ -335,29 +348,22 @@ class Join:
         def count(t: pa.Table) -> pa.Table:
             piv, salt, seg = (t.column(c).to_numpy() for c in ("pivot", "salt", "seg"))
             a, keys = t.column("a").to_pylist(), t.column("keys").to_pylist()
-            whole: dict = {}
-            for k, x in enumerate(a):
-                if x is None:
-                    whole[piv[k], salt[k], seg[k]] = np.frombuffer(keys[k], U64)
+            whole = {(piv[k], salt[k], seg[k]): np.frombuffer(keys[k], U64) for k, x in enumerate(a) if x is None}
             out: dict = {}
             for k, x in enumerate(a):
                 if x is not None:
-                    base, mine = whole[piv[k], salt[k], seg[k]], np.frombuffer(keys[k], U64)
+                    base, mine, same = whole[piv[k], salt[k], seg[k]], np.frombuffer(keys[k], U64), 0
                     if len(base) and len(mine):
                         at = np.minimum(np.searchsorted(base, mine), len(base) - 1)
-                        out[x, piv[k], seg[k]] = int((base[at] == mine).sum())
-            return pa.table({"a": pa.array([k[0] for k in out], pa.int64()), "b": pa.array([k[1] for k in out], pa.int64()),
-                             "o": pa.array(list(out.values()), pa.int64())})
+                        same = int((base[at] == mine).sum())
+                    out[x, piv[k], seg[k]] = (x, piv[k], same, len(mine), len(base))
+            return pa.table([pa.array(c, pa.int64()) for c in zip(*out.values())] or [pa.array([], pa.int64())] * 5, names=["a", "b", "o", "la", "lb"])
 
-        part_sums = cut.groupBy("task").applyInArrow(count, "a long, b long, o long")
-        total = part_sums.groupBy("a", "b").agg(F.sum("o").alias("o"))
-        sizes = wanted.select("node", "n")
-        both = (total.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a")
-                .join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b"))
-        return both.filter(100 * F.col("o") >= percent * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b")
+        part_sums = cut.groupBy("task").applyInArrow(count, "a long, b long, o long, la long, lb long")
+        return part_sums.groupBy("a", "b").agg(*(F.sum(c).alias(c) for c in ("o", "la", "lb")))
 
     def _tasks(self, pairs: DataFrame) -> int:
-        return max(1, math.ceil(pairs.count() * SEGMENTS / 4_000))
+        return max(1, math.ceil(pairs.count() / 1_000))
 
     def checked(self, pairs: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
         """(all pairs tried, the similar ones); ``pairs`` are distinct (a, b)."""
@@ -377,15 +383,19 @@ class Join:
         comp = components(links)
         for turn in range(STAR_ROUNDS + 1):
             named = entries.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-            mixed = (named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size"),
-                                              F.min(F.struct(F.xxhash64("comp", F.lit(turn)), F.xxhash64("node", F.lit(turn)), "comp", "node", "n", "pos")).alias("p"))
-                     .filter("lo <> hi"))
-            open_ = written(named.join(mixed, "key").select("key", "node", "n", "pos", "comp", "size", "p"), "open")
-            total = open_.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("pairs")).first()
+            mine = named.groupBy("key", "comp").agg(F.count(F.lit(1)).cast("double").alias("c"), F.min(F.struct(
+                "pos", F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n")).alias("p"))
+            mixed = (mine.groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"),
+                                             F.max(F.struct("c", "comp", "p")).alias("p"))
+                     .filter("comps > 1"))
+            mixed = written(mixed.select("key", F.struct("p.comp", "p.p.node", "p.p.n", "p.p.pos").alias("p"), "s", ((F.col("s") * F.col("s") - F.col("q")) / 2).alias("cross")), "mixed")
+            total = mixed.agg(F.sum("s").alias("n"), F.sum("cross").alias("pairs")).first()
             if not total["n"]:
                 break
-            last = turn == STAR_ROUNDS or total["pairs"] <= 24 * total["n"]
+            open_ = named.join(mixed, "key").select("key", "node", "n", "pos", "comp", "p")
+            last = turn == STAR_ROUNDS or total["pairs"] <= 64 * total["n"]
             if last:
+                open_ = written(open_.drop("p"), "open")
                 x = open_.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ca"))
                 y = open_.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"))
                 new = x.join(y, "key").filter((F.col("ca") < F.col("cb")) & _possible("na", "pa", "nb", "pb", self.percent)).select("a", "b")
@@ -395,8 +405,8 @@ class Join:
                        .filter((F.col("comp") != F.col("cb")) & _possible("na", "pa", "nb", "pb", self.percent)).select("a", "b"))
             new = new.distinct().join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
             more, similar = self.checked(new, "pairs")
-            tried, links = tried.unionByName(more), links.unionByName(similar)
-            comp = components(links)
+            tried = tried.unionByName(more)
+            comp = components(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(similar))
             if last:
                 break
         return comp
