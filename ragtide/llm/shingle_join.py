@@ -14,10 +14,9 @@ into fragments.
 3. Candidate pairs are verified fragment by fragment: a pair's partial overlaps
    are counted in each fragment of the order and summed per pair; the first
    fragments' sums rule most pairs out before the other fragments are read.
-4. Not all pairs of a list are formed: lists are first linked to one node each,
-   verified, and merged into components; only lists that still span several
-   components are gone through again, and the last round forms every pair that
-   is left between different components, so no link between components is lost.
+4. Not all pairs of a list are formed: lists are first linked to one pivot each,
+   verified, and merged into components; then every pair that a list still holds
+   between different components is formed, so no link between components is lost.
 
 Hot shingles (by the sketch) are salted over several fragments' tasks.  The
 sketch and the node filter are tables of fixed size; only they reach
@@ -51,7 +50,6 @@ FILTER_BITS = 23                                 # 1 MB: which documents' sets t
 FRAGMENT = 250_000                               # prefix entries to a fragment
 SEGMENTS, EARLY = 8, 2                           # fragments of the order in the verification; those counted first
 PAIR_ROWS = 1_000                                # pairs with one pivot to a task's group
-STAR_ROUNDS = 1
 
 
 def sets(col: pa.Array, width: int = WIDTH):
@@ -85,12 +83,11 @@ class Order:
     """The global order, from the sketch: rare size classes first, by hash inside a class."""
 
     def __init__(self, chunks):
-        """``chunks``: (number, counts) of the sketch's chunks; kept are one byte a counter and the occurrences a class."""
+        """``chunks``: (number, size classes of its counters, occurrences by class)."""
         self.classes, self.mass = np.zeros(1 << SKETCH_BITS, np.uint8), np.zeros(256)
-        for k, n in chunks:
-            c = np.floor(4 * np.log2(np.maximum(n, 1))).astype(np.uint8)
+        for k, c, mass in chunks:
             self.classes[k << CHUNK_BITS: (k + 1) << CHUNK_BITS] = c
-            self.mass += np.bincount(c, weights=n, minlength=256)
+            self.mass += mass
 
     def place(self, s: np.ndarray) -> np.ndarray:
         """Order keys, ascending from rare to common."""
@@ -147,18 +144,22 @@ def _count(counters: np.ndarray, many: list[np.ndarray]) -> None:
 
 
 def _order(rows: DataFrame) -> Order:
-    """The tasks' sketches are summed chunk by chunk on the executors; 2^``SKETCH_BITS`` numbers reach the driver, a chunk at a time."""
+    """The tasks' sketches are summed chunk by chunk on the executors; their size classes, a byte a counter, reach the driver."""
     def part(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, blob in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist()):
                 c = np.frombuffer(zlib.decompress(blob), np.uint32).astype(np.int64)
                 sums[k] = sums.get(k, 0) + c
-        for k, c in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([c.tobytes()], pa.binary())], names=["chunk", "counts"])
+        for k, n in sums.items():
+            c = np.floor(4 * np.log2(np.maximum(n, 1))).astype(np.uint8)
+            mass = np.bincount(c, weights=n, minlength=256)
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(c.tobytes(), 1)], pa.binary()),
+                                              pa.array([mass.tobytes()], pa.binary())], names=["chunk", "classes", "mass"])
 
-    summed = rows.filter("chunk is not null").select("chunk", "counts").repartition("chunk").mapInArrow(part, "chunk int, counts binary")
-    return Order((r["chunk"], np.frombuffer(r["counts"], np.int64)) for r in summed.toLocalIterator())
+    summed = (rows.filter("chunk is not null").select("chunk", "counts").repartition("chunk")
+              .mapInArrow(part, "chunk int, classes binary, mass binary"))
+    return Order((r["chunk"], np.frombuffer(zlib.decompress(r["classes"]), np.uint8), np.frombuffer(r["mass"])) for r in summed.toLocalIterator())
 
 
 def _postings(df: DataFrame, order, cuts: np.ndarray, width: int, percent: int) -> DataFrame:
@@ -198,36 +199,41 @@ def _postings(df: DataFrame, order, cuts: np.ndarray, width: int, percent: int)
             .mapInArrow(part, "frag int, salt int, key binary, node binary, n binary, pos binary"))
 
 
-def _lists(table: pa.Table) -> pa.Table:
-    """One fragment: the entries of every shingle that has several nodes (a salted
-    shingle keeps all its entries), each with the list's pivot: the node with the
-    fewest rarer shingles, which of a family of copies is the least edited one."""
+def _lists(table: pa.Table, percent: int) -> pa.Table:
+    """One fragment: the entries of every shingle that can be the rarest one some similar pair shares.
+
+    If two similar sets first meet at places i and j, they differ in at least
+    i + j shingles, so 25 n - 175 i (at 75 %) of both, their scores, sum to 0
+    or more.  An entry stays if that holds with the best other entry of its list; a
+    salted shingle keeps all its entries.  A list's pivot is its best entry:
+    of a family of copies the least edited one."""
     salt = table.column("salt").to_numpy()
-    cols = [np.concatenate([np.frombuffer(b, t) for b in table.column(c).to_pylist()]) for c, t in
-            (("key", U64), ("node", np.int64), ("n", np.int32), ("pos", np.int32))]
-    o = np.lexsort((cols[1], cols[3], cols[0]))          # a node's entries of a key are equal, so they are neighbours
-    key, node, n, pos = (c[o] for c in cols)
+    key, node, n, pos = (np.concatenate([np.frombuffer(b, t) for b in table.column(c).to_pylist()]) for c, t in
+                         (("key", U64), ("node", np.int64), ("n", np.int32), ("pos", np.int32)))
+    score = (100 - percent) * n.astype(np.int64) - (100 + percent) * pos.astype(np.int64)
+    o = np.lexsort((node, -score, key))                 # a node's entries of a key are equal, so they are neighbours
+    key, node, n, score = (c[o] for c in (key, node, n, score))
     new = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])])
-    key, node, n, pos = key[new], node[new], n[new], pos[new]
+    key, node, n, score = (c[new] for c in (key, node, n, score))
     starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     sizes = np.diff(np.append(starts, len(key)))
-    run = np.repeat(np.arange(len(starts)), sizes)
-    keep = (sizes[run] > 1) | bool(salt.max() > 0)
-    first = starts[run]
+    first = starts[np.repeat(np.arange(len(starts)), sizes)]
+    best = score[first]
+    best[starts] = np.where(sizes > 1, score[np.minimum(starts + 1, len(key) - 1)], np.iinfo(np.int32).min)
+    keep = (score + best >= 0) | bool(salt.max() > 0)
     return pa.table({"key": pa.array(key[keep].view(np.int64)), "node": pa.array(node[keep]), "n": pa.array(n[keep].astype(np.int64)),
-                     "pos": pa.array(pos[keep].astype(np.int64)), "pnode": pa.array(node[first][keep]),
-                     "pn": pa.array(n[first][keep].astype(np.int64)), "ppos": pa.array(pos[first][keep].astype(np.int64))})
+                     "score": pa.array(score[keep]), "pnode": pa.array(node[first][keep]),
+                     "pn": pa.array(n[first][keep].astype(np.int64)), "pscore": pa.array(score[first][keep])})
 
 
-LIST_SCHEMA = "key long, node long, n long, pos long, pnode long, pn long, ppos long"
+LIST_SCHEMA = "key long, node long, n long, score long, pnode long, pn long, pscore long"
 
 
-def _possible(na: str, pa_: str, nb: str, pb: str, percent: int):
-    """Sizes near enough, and enough shingles left behind the shared place."""
-    a, b = F.col(na), F.col(nb)
-    need = F.ceil(F.lit(percent) * (a + b) / F.lit(100 + percent))
-    return ((100 * F.least(a, b) >= percent * F.greatest(a, b))
-            & (1 + F.least(a - F.col(pa_) - 1, b - F.col(pb) - 1) >= need))
+def _possible(na: str, sa: str, nb: str, sb: str, percent: int):
+    """At their first shared shingle, both sets still hold as many as similar sets of these sizes share:
+    (100 + percent) (na - i) >= percent (na + nb), written with the scores, and the same for b."""
+    more = percent * (F.col(nb) - F.col(na))
+    return (F.col(sa) >= more) & (F.col(sb) >= -more)
 
 
 def _node_filter(ids: DataFrame) -> np.ndarray:
@@ -255,7 +261,12 @@ def _node_filter(ids: DataFrame) -> np.ndarray:
     schema = "k int, bits binary"
     for r in ids.mapInArrow(part, schema).repartition("k").mapInArrow(merge, schema).toLocalIterator():
         out[r["k"] * chunk // 8: (r["k"] + 1) * chunk // 8] = np.frombuffer(r["bits"], np.uint8)
-    return np.unpackbits(out).astype(bool)
+    return out
+
+
+def _has(table: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    at = _bit(ids)
+    return (table[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
 
 
 def _bit(ids: np.ndarray) -> np.ndarray:
@@ -283,7 +294,8 @@ class Join:
 
     def lists(self) -> DataFrame:
         posted = _postings(self.docs, self.order, self.cuts, self.width, self.percent)
-        return written(posted.groupBy("frag", "salt").applyInArrow(_lists, LIST_SCHEMA), "lists")
+        percent = self.percent
+        return written(posted.groupBy("frag", "salt").applyInArrow(lambda t: _lists(t, percent), LIST_SCHEMA), "lists")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b; b is the pivot) that are similar.
@@ -299,7 +311,7 @@ class Join:
         def part(batches):
             for batch in batches:
                 ids = pc.fill_null(batch.column("__id"), 0).to_numpy()
-                hit = keep.value[_bit(ids)] | batch.column("__id").is_null().to_numpy(zero_copy_only=False)
+                hit = _has(keep.value, ids) | batch.column("__id").is_null().to_numpy(zero_copy_only=False)
                 for i in range(0, len(ids), 500):
                     mine = np.flatnonzero(hit[i: i + 500]) + i
                     if not len(mine):
@@ -322,6 +334,7 @@ class Join:
         # the document that stands for its node; equal rows of it are one
         have = written(found.alias("f").join(wanted.alias("w"), (F.col("f.node") == F.col("w.node")) & F.col("f.doc_id").eqNullSafe(F.col("w.first_id")))
                        .select("f.node", "f.segs"), "segments")
+        keep.destroy()
         # the first fragments bound a pair's overlap; the others are read for the pairs still possible
         first = self._counted(pairs, have, 0, EARLY)
         most = F.col("o") + F.least(F.col("na") - F.col("la"), F.col("nb") - F.col("lb"))
@@ -374,42 +387,22 @@ class Join:
     def run(self) -> DataFrame:
         """(node, comp): the components of the nodes that link with another one."""
         lists = self.lists()
-        star = lists.filter((F.col("node") != F.col("pnode")) & _possible("n", "pos", "pn", "ppos", self.percent))
+        star = lists.filter((F.col("node") != F.col("pnode")) & _possible("n", "score", "pn", "pscore", self.percent))
         # each node's pivot of most shared prefix shingles
         star = star.groupBy(F.col("node").alias("a"), F.col("pnode").alias("b")).agg(F.count(F.lit(1)).alias("c"))
         star = star.groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b"))
         tried, links = self.checked(star, "pairs")
-        entries = lists.select("key", "node", "n", "pos")
         comp = components(links)
-        for turn in range(STAR_ROUNDS + 1):
-            named = entries.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-            mine = named.groupBy("key", "comp").agg(F.count(F.lit(1)).cast("double").alias("c"), F.min(F.struct(
-                "pos", F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n")).alias("p"))
-            mixed = (mine.groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"),
-                                             F.max(F.struct("c", "comp", "p")).alias("p"))
-                     .filter("comps > 1"))
-            mixed = written(mixed.select("key", F.struct("p.comp", "p.p.node", "p.p.n", "p.p.pos").alias("p"), "s", ((F.col("s") * F.col("s") - F.col("q")) / 2).alias("cross")), "mixed")
-            total = mixed.agg(F.sum("s").alias("n"), F.sum("cross").alias("pairs")).first()
-            if not total["n"]:
-                break
-            open_ = named.join(mixed, "key").select("key", "node", "n", "pos", "comp", "p")
-            last = turn == STAR_ROUNDS or total["pairs"] <= 64 * total["n"]
-            if last:
-                open_ = written(open_.drop("p"), "open")
-                x = open_.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ca"))
-                y = open_.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"))
-                new = x.join(y, "key").filter((F.col("ca") < F.col("cb")) & _possible("na", "pa", "nb", "pb", self.percent)).select("a", "b")
-            else:
-                new = (open_.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), "comp", F.col("p.node").alias("b"),
-                                    F.col("p.n").alias("nb"), F.col("p.pos").alias("pb"), F.col("p.comp").alias("cb"))
-                       .filter((F.col("comp") != F.col("cb")) & _possible("na", "pa", "nb", "pb", self.percent)).select("a", "b"))
-            new = new.distinct().join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-            more, similar = self.checked(new, "pairs")
-            tried = tried.unionByName(more)
-            comp = components(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(similar))
-            if last:
-                break
-        return comp
+        named = lists.select("key", "node", "n", "score").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
+        left = written(named.join(mixed, "key"), "open")
+        x = left.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("score").alias("sa"), F.col("comp").alias("ca"))
+        y = left.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("score").alias("sb"), F.col("comp").alias("cb"))
+        new = x.join(y, "key").filter((F.col("ca") < F.col("cb")) & _possible("na", "sa", "nb", "sb", self.percent)).select("a", "b").distinct()
+        both = tried.unionByName(tried.select(F.col("a").alias("b"), F.col("b").alias("a")))
+        similar = self.checked(new.join(both, ["a", "b"], "left_anti"), "pairs")[1]
+        self.order.destroy()                  # everything that reads it is written
+        return components(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(similar))
 
 
 def similar(df: DataFrame, width: int = WIDTH, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
