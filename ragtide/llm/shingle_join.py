@@ -46,8 +46,9 @@ from .text import LOWER, U64, groups, mix, string_buffers, windows, word_hashes
 
 WIDTH, PERCENT = 5, 75
 SKETCH_BITS, CHUNK_BITS = 22, 14                 # 2^22 counters, sent in 2^8 chunks
-FILTER_BITS = 23                                 # 1 MB: which documents' sets the verification reads
+FILTER_BITS = 26                                 # 8 MB: which documents' sets the verification reads
 FRAGMENT = 250_000                               # prefix entries to a fragment
+FLUSH = 300_000                                  # prefix entries a task holds before it sends them
 SEGMENTS, EARLY = 8, 2                           # fragments of the order in the verification; those counted first
 PAIR_ROWS = 1_000                                # pairs with one pivot to a task's group
 
@@ -94,10 +95,6 @@ class Order:
         c = self.classes[(s & U64(len(self.classes) - 1)).astype(np.int64)].astype(U64)
         return (c << U64(56)) | (s >> U64(8))
 
-    def often(self, keys: np.ndarray) -> np.ndarray:
-        """Upper bound of how often the shingles of these keys occur."""
-        return np.exp2(((keys >> U64(56)).astype(np.float64) + 1) / 4)
-
     def cuts(self, shares: np.ndarray) -> np.ndarray:
         """The keys below which these shares of all occurrences lie."""
         cum = np.concatenate([[0], np.cumsum(self.mass)])
@@ -107,6 +104,11 @@ class Order:
         return (c.astype(U64) << U64(56)) | (inside * 2.0**56).astype(U64)
 
 
+def often(keys: np.ndarray) -> np.ndarray:
+    """Upper bound of how often the shingles of these order keys occur."""
+    return np.exp2(((keys >> U64(56)).astype(np.float64) + 1) / 4)
+
+
 def _profile(df: DataFrame, width: int) -> DataFrame:
     """Rows (doc_id, node, n) of every document, and rows (chunk, counts) of each task's sketch."""
     schema = "doc_id long, node long, n long, chunk int, counts binary"
@@ -169,7 +171,7 @@ def _postings(df: DataFrame, order, cuts: np.ndarray, width: int, percent: int)
     def flush(have):
         key, node, n, pos = (np.concatenate(x) for x in zip(*have))
         frag = np.searchsorted(cuts, key, "right").astype(np.int64)
-        split = np.maximum(1, np.ceil(order.value.often(key) / FRAGMENT)).astype(np.int64)
+        split = np.maximum(1, np.ceil(often(key) / FRAGMENT)).astype(np.int64)
         salt = (node.view(U64) % split.astype(U64)).astype(np.int64)
         o = np.lexsort((node, key, salt, frag))
         key, node, n, pos, frag, salt = (x[o] for x in (key, node, n, pos, frag, salt))
@@ -189,7 +191,7 @@ def _postings(df: DataFrame, order, cuts: np.ndarray, width: int, percent: int)
                 k = np.sort(order.value.place(s))[: prefix_length(len(s), percent)]
                 have.append((k, np.full(len(k), fingerprint(s), np.int64), np.full(len(k), len(s), np.int32), np.arange(len(k), dtype=np.int32)))
                 size += len(k)
-                if size >= 2_000_000:
+                if size >= FLUSH:
                     yield flush(have)
                     have, size = [], 0
         if have:
@@ -199,7 +201,7 @@ def _postings(df: DataFrame, order, cuts: np.ndarray, width: int, percent: int)
             .mapInArrow(part, "frag int, salt int, key binary, node binary, n binary, pos binary"))
 
 
-def _lists(table: pa.Table, percent: int) -> pa.Table:
+def _lists(table: pa.Table, percent: int, hot: int) -> pa.Table:
     """One fragment: the entries of every shingle that can be the rarest one some similar pair shares.
 
     If two similar sets first meet at places i and j, they differ in at least
@@ -207,7 +209,6 @@ def _lists(table: pa.Table, percent: int) -> pa.Table:
     or more.  An entry stays if that holds with the best other entry of its list; a
     salted shingle keeps all its entries.  A list's pivot is its best entry:
     of a family of copies the least edited one."""
-    salt = table.column("salt").to_numpy()
     key, node, n, pos = (np.concatenate([np.frombuffer(b, t) for b in table.column(c).to_pylist()]) for c, t in
                          (("key", U64), ("node", np.int64), ("n", np.int32), ("pos", np.int32)))
     score = (100 - percent) * n.astype(np.int64) - (100 + percent) * pos.astype(np.int64)
@@ -220,7 +221,7 @@ def _lists(table: pa.Table, percent: int) -> pa.Table:
     first = starts[np.repeat(np.arange(len(starts)), sizes)]
     best = score[first]
     best[starts] = np.where(sizes > 1, score[np.minimum(starts + 1, len(key) - 1)], np.iinfo(np.int32).min)
-    keep = (score + best >= 0) | bool(salt.max() > 0)
+    keep = (score + best >= 0) | (often(key) > hot)
     return pa.table({"key": pa.array(key[keep].view(np.int64)), "node": pa.array(node[keep]), "n": pa.array(n[keep].astype(np.int64)),
                      "score": pa.array(score[keep]), "pnode": pa.array(node[first][keep]),
                      "pn": pa.array(n[first][keep].astype(np.int64)), "pscore": pa.array(score[first][keep])})
@@ -238,7 +239,7 @@ def _possible(na: str, sa: str, nb: str, sb: str, percent: int):
 
 def _node_filter(ids: DataFrame) -> np.ndarray:
     """A bit table of fixed size of the document ids given; it reaches the driver whole, in chunks made on the executors."""
-    bits, chunk = 1 << FILTER_BITS, 1 << 15
+    bits, chunk = 1 << FILTER_BITS, 1 << 18
 
     def part(batches):
         got: dict[int, np.ndarray] = {}
@@ -294,8 +295,8 @@ class Join:
 
     def lists(self) -> DataFrame:
         posted = _postings(self.docs, self.order, self.cuts, self.width, self.percent)
-        percent = self.percent
-        return written(posted.groupBy("frag", "salt").applyInArrow(lambda t: _lists(t, percent), LIST_SCHEMA), "lists")
+        percent, hot = self.percent, FRAGMENT
+        return written(posted.groupBy("frag", "salt").applyInArrow(lambda t: _lists(t, percent, hot), LIST_SCHEMA), "lists")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b; b is the pivot) that are similar.
@@ -331,9 +332,8 @@ class Join:
 
         found = (self.docs.select(F.col("doc_id").alias("__id"), F.col("text").alias("__text"))
                  .mapInArrow(part, "doc_id long, node long, segs array<binary>").filter("node is not null"))
-        # the document that stands for its node; equal rows of it are one
-        have = written(found.alias("f").join(wanted.alias("w"), (F.col("f.node") == F.col("w.node")) & F.col("f.doc_id").eqNullSafe(F.col("w.first_id")))
-                       .select("f.node", "f.segs"), "segments")
+        # chance hits and equal rows add a few more; the join by node and the counting leave them out
+        have = written(found.select("node", "segs"), "segments")
         keep.destroy()
         # the first fragments bound a pair's overlap; the others are read for the pairs still possible
         first = self._counted(pairs, have, 0, EARLY)
