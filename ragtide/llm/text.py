@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-PIECE = 1 << 20
+PIECE = 1 << 18
 WHITE = np.zeros(256, bool)
 WHITE[[32, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
