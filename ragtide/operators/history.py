@@ -51,4 +51,4 @@ def history_last_n(history: DataFrame, n: int = HISTORY_LAST_N) -> DataFrame:
 
 def clear_history(history: DataFrame, session_id) -> DataFrame:
     """The history without the given session (write the result back)."""
-    return history.where(F.col("session_id") != F.lit(session_id))
+    return history.where(~F.col("session_id").eqNullSafe(F.lit(session_id)))
