@@ -114,12 +114,13 @@ def mix(df: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP,
     spark, keep = df.sparkSession, keep or []
     sized = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"),
                       F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-                      F.xxhash64(F.col(text).cast("string"), *(F.col(f"`{c}`") for c in keep)).alias("content"),
+                      F.xxhash64(F.col(text).cast("string")).alias("content"),
+                      (F.xxhash64(*(F.col(f"`{c}`") for c in keep)) if keep else F.lit(0)).alias("kept"),
                       *(F.col(f"`{c}`").alias(f"__x{k}") for k, c in enumerate(keep)))
     if keep:
         sized = sized.withColumn("copy", F.lit(1))
     else:                                    # ids and numbers only; the texts are read once
-        sized = (written(sized, "sizes").groupBy("doc_id", "source", "size", "content").agg(F.count(F.lit(1)).alias("n"))
+        sized = (written(sized, "sizes").groupBy("doc_id", "source", "size", "content", "kept").agg(F.count(F.lit(1)).alias("n"))
                  .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).drop("n"))
     plan = source_targets(sized.select("source", "size"), weights, share, cap)
     n_blocks = [max(1, math.ceil(size / block_words)) for _, size, _ in plan]
@@ -128,7 +129,8 @@ def mix(df: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP,
         "sid int, source string, source_size long, target double, n_blocks long")
     rows = (sized.alias("d").join(F.broadcast(src).alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
             .select("d.*", "s.sid", "s.source_size", "s.target", "s.n_blocks"))
-    # a row's place follows from its content and, among equal rows, its number, so reruns agree
+    # a row's place follows from its content and, among equal rows, its number or kept columns, so reruns
+    # agree; the kept columns move no other row, so mixes with and without them agree
     rows = (rows.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "size", "content", "copy"))
             .withColumn("block", F.pmod(F.xxhash64(F.col("h"), F.lit(1)), F.col("n_blocks"))))
     # order of a source's blocks: a keyed permutation; words before each block, summed in two levels
@@ -149,7 +151,7 @@ def mix(df: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP,
     ends = spark.createDataFrame([(i, int(quota[i]["n"]) if i in quota else 0, [int(x) for x in starts[:, i]]) for i in range(len(plan))],
                                  "sid int, blocks_of long, ends array<long>")
     b = b.join(F.broadcast(ends), "sid").select("sid", "block", "words", "place", "blocks_of", "ends", "whole", "rest")
-    inside = Window.partitionBy("sid", "block").orderBy("h", "doc_id", "content", "copy").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("sid", "block").orderBy("h", "doc_id", "content", "copy", "kept").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("ahead", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     rows = rows.join(b, ["sid", "block"])
     rows = rows.withColumn("extra", F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("ahead"))).cast("long"))
