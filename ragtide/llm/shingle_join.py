@@ -49,7 +49,8 @@ SKETCH_BITS, CHUNK_BITS = 22, 14                 # 2^22 counters, sent in 2^8 ch
 FILTER_BITS = 26                                 # 8 MB: which documents' sets the verification reads
 FRAGMENT = 250_000                               # prefix entries to a fragment
 FLUSH = 300_000                                  # prefix entries a task holds before it sends them
-SEGMENTS, EARLY = 8, 2                           # fragments of the order in the verification; those counted first
+SEGMENTS, EARLY = 4, 1                           # fragments of the order in the verification; those counted first
+KEY_BYTES = 6                                    # of a shingle's hash, compared inside a fragment of a pair
 PAIR_ROWS = 1_000                                # pairs with one pivot to a task's group
 
 
@@ -104,6 +105,26 @@ class Order:
         return (c.astype(U64) << U64(56)) | (inside * 2.0**56).astype(U64)
 
 
+def planes(x: np.ndarray) -> bytes:
+    """The numbers' first bytes, then their second bytes and so on: what is alike stands together and compresses."""
+    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def from_planes(b: bytes, typ) -> np.ndarray:
+    return np.frombuffer(b, np.uint8).reshape(np.dtype(typ).itemsize, -1).T.copy().view(typ).ravel()
+
+
+def short(keys: np.ndarray) -> bytes:
+    """The low ``KEY_BYTES`` bytes of order keys: all from the hash."""
+    return keys.astype("<u8").view(np.uint8).reshape(len(keys), 8)[:, :KEY_BYTES].tobytes()
+
+
+def from_short(b: bytes) -> np.ndarray:
+    out = np.zeros((len(b) // KEY_BYTES, 8), np.uint8)
+    out[:, :KEY_BYTES] = np.frombuffer(b, np.uint8).reshape(-1, KEY_BYTES)
+    return out.view("<u8").ravel()
+
+
 def often(keys: np.ndarray) -> np.ndarray:
     """Upper bound of how often the shingles of these order keys occur."""
     return np.exp2(((keys >> U64(56)).astype(np.float64) + 1) / 4)
@@ -165,7 +186,7 @@ def _order(rows: DataFrame) -> Order:
 
 
 def _postings(df: DataFrame, order, cuts: np.ndarray, width: int, percent: int) -> DataFrame:
-    """Prefix entries packed by fragment and salt: (frag, salt, key, node, n, pos) as bytes."""
+    """Prefix entries packed by fragment and salt: (frag, salt, key, node, n, pos) as byte planes, the keys as differences."""
     names = ["frag", "salt", "key", "node", "n", "pos"]
 
     def flush(have):
@@ -178,7 +199,9 @@ def _postings(df: DataFrame, order, cuts: np.ndarray, width: int, percent: int)
         new = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])])
         key, node, n, pos, frag, salt = (x[new] for x in (key, node, n, pos, frag, salt))
         at = np.flatnonzero(np.concatenate([[True], (frag[1:] != frag[:-1]) | (salt[1:] != salt[:-1]), [True]]))
-        cols = [[x[s:e].tobytes() for s, e in zip(at[:-1], at[1:])] for x in (key, node, n, pos)]
+        step = np.diff(key, prepend=U64(0))
+        step[at[:-1]] = key[at[:-1]]                    # a pack's first key is whole
+        cols = [[planes(x[s:e]) for s, e in zip(at[:-1], at[1:])] for x in (step, node, n, pos)]
         return pa.RecordBatch.from_arrays([pa.array(frag[at[:-1]].astype(np.int32)), pa.array(salt[at[:-1]].astype(np.int32)),
                                            *(pa.array(c, pa.binary()) for c in cols)], names=names)
 
@@ -206,11 +229,12 @@ def _lists(table: pa.Table, percent: int, hot: int) -> pa.Table:
 
     If two similar sets first meet at places i and j, they differ in at least
     i + j shingles, so 25 n - 175 i (at 75 %) of both, their scores, sum to 0
-    or more.  An entry stays if that holds with the best other entry of its list; a
-    salted shingle keeps all its entries.  A list's pivot is its best entry:
+    or more.  An entry stays if that holds with the best other entry of its list
+    and if the sizes leave it a partner; a salted shingle keeps all its entries.  A list's pivot is its best entry:
     of a family of copies the least edited one."""
-    key, node, n, pos = (np.concatenate([np.frombuffer(b, t) for b in table.column(c).to_pylist()]) for c, t in
-                         (("key", U64), ("node", np.int64), ("n", np.int32), ("pos", np.int32)))
+    node, n, pos = (np.concatenate([from_planes(b, t) for b in table.column(c).to_pylist()]) for c, t in
+                    (("node", np.int64), ("n", np.int32), ("pos", np.int32)))
+    key = np.concatenate([np.cumsum(from_planes(b, U64), dtype=U64) for b in table.column("key").to_pylist()])
     score = (100 - percent) * n.astype(np.int64) - (100 + percent) * pos.astype(np.int64)
     o = np.lexsort((node, -score, key))                 # a node's entries of a key are equal, so they are neighbours
     key, node, n, score = (c[o] for c in (key, node, n, score))
@@ -221,12 +245,29 @@ def _lists(table: pa.Table, percent: int, hot: int) -> pa.Table:
     first = starts[np.repeat(np.arange(len(starts)), sizes)]
     best = score[first]
     best[starts] = np.where(sizes > 1, score[np.minimum(starts + 1, len(key) - 1)], np.iinfo(np.int32).min)
-    keep = (score + best >= 0) | (often(key) > hot)
+    which = np.repeat(np.arange(len(starts)), sizes)
+    keep = (score + best >= 0) & _partnered(which, first, n.astype(np.int64), score, percent) | (often(key) > hot)
     return pa.table({"key": pa.array(key[keep].view(np.int64)), "node": pa.array(node[keep]), "n": pa.array(n[keep].astype(np.int64)),
                      "score": pa.array(score[keep]), "pnode": pa.array(node[first][keep]),
                      "pn": pa.array(n[first][keep].astype(np.int64)), "pscore": pa.array(score[first][keep])})
 
 
+def _partnered(which: np.ndarray, first: np.ndarray, n: np.ndarray, score: np.ndarray, percent: int) -> np.ndarray:
+    """Entries whose list (``which``, beginning at ``first``) may hold another one that ``_possible`` allows:
+    percent * nb <= percent * na + sa, and the same the other way round.  It never leaves out one that has such a partner."""
+    size, reach = percent * n, percent * n + score
+    base = which * (int(max(size.max(), reach.max())) + 1)
+    o = np.argsort(base + size, kind="stable")
+    size, reach, base, begin = size[o], reach[o], base[o], first[o]
+    at = np.arange(len(o))
+    end = np.searchsorted(base + size, base + reach, "right")           # entries before it are small enough for this one
+    upto = np.minimum(end, at)
+    top = np.maximum.accumulate(base + reach)[np.maximum(upto, 1) - 1] - base
+    out = np.empty(len(o), bool)
+    out[o] = (upto > begin) & (top >= size) | (end > at + 1)
+    return out
+
+
 LIST_SCHEMA = "key long, node long, n long, score long, pnode long, pn long, pscore long"
 
 
@@ -306,8 +347,8 @@ class Join:
         overlaps are counted, and the sums per pair decide."""
         order, cuts, width, percent = self.order, self.segments, self.width, self.percent
         wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        wanted = written(wanted.join(self.nodes, "node").select("node", "first_id", "n"), "wanted")
-        keep = self.spark.sparkContext.broadcast(_node_filter(wanted.select(F.col("first_id").alias("doc_id")).filter("doc_id is not null")))
+        wanted = wanted.join(self.nodes, "node").select(F.col("first_id").alias("doc_id"))
+        keep = self.spark.sparkContext.broadcast(_node_filter(wanted.filter("doc_id is not null")))
 
         def part(batches):
             for batch in batches:
@@ -317,63 +358,62 @@ class Join:
                     mine = np.flatnonzero(hit[i: i + 500]) + i
                     if not len(mine):
                         continue
-                    nodes, segs = [], []
+                    nodes, segs, sizes = [], [], []
                     for s in sets(batch.column("__text").take(pa.array(mine)), width):
                         if len(s):
                             k = np.sort(order.value.place(s))
                             at = np.searchsorted(k, cuts)
                             nodes.append(fingerprint(s))
-                            segs.append([x.tobytes() for x in np.split(k, at)])
+                            segs.append([short(x) for x in np.split(k, at)])
+                            sizes.append(len(s))
                         else:
                             nodes.append(None)
                             segs.append(None)
-                    yield pa.RecordBatch.from_arrays([batch.column("__id").take(pa.array(mine)), pa.array(nodes, pa.int64()),
-                                                      pa.array(segs, pa.list_(pa.binary()))], names=["doc_id", "node", "segs"])
+                            sizes.append(0)
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(segs, pa.list_(pa.binary()))],
+                                                     names=["node", "n", "segs"])
 
         found = (self.docs.select(F.col("doc_id").alias("__id"), F.col("text").alias("__text"))
-                 .mapInArrow(part, "doc_id long, node long, segs array<binary>").filter("node is not null"))
+                 .mapInArrow(part, "node long, n long, segs array<binary>").filter("node is not null"))
         # chance hits and equal rows add a few more; the join by node and the counting leave them out
-        have = written(found.select("node", "segs"), "segments")
+        have = written(found, "segments")
         keep.destroy()
         # the first fragments bound a pair's overlap; the others are read for the pairs still possible
-        first = self._counted(pairs, have, 0, EARLY)
         most = F.col("o") + F.least(F.col("na") - F.col("la"), F.col("nb") - F.col("lb"))
-        sizes = wanted.select("node", "n")
-        sized = (first.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a")
-                 .join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
-                 .filter(100 * most >= percent * (F.col("na") + F.col("nb") - most)))
-        sized = sized.join(sized.groupBy("b").agg(F.count(F.lit(1)).alias("size")), "b")
-        sized = written(sized.select("a", "b", "o", "na", "nb", "size"), "possible")
-        rest = self._counted(sized.select("a", "b", "size"), have, EARLY, SEGMENTS).select("a", "b", F.col("o").alias("more"))
+        first = self._counted(pairs, have, 0, EARLY).filter(100 * most >= percent * (F.col("na") + F.col("nb") - most))
+        first = written(first.select("a", "b", "size", "o"), "possible")
+        rest = self._counted(first.select("a", "b", "size"), have, EARLY, SEGMENTS).withColumnRenamed("o", "more")
         o = F.col("o") + F.col("more")
-        return sized.join(rest, ["a", "b"]).filter(100 * o >= percent * (F.col("na") + F.col("nb") - o)).select("a", "b")
+        return first.select("a", "b", "o").join(rest, ["a", "b"]).filter(100 * o >= percent * (F.col("na") + F.col("nb") - o)).select("a", "b")
 
     def _counted(self, pairs: DataFrame, have: DataFrame, lo: int, hi: int) -> DataFrame:
-        """(a, b, o, la, lb): overlap and lengths of each pair in the fragments lo .. hi - 1."""
-        have = have.select("node", F.slice("segs", lo + 1, hi - lo).alias("segs"))
+        """(a, b, size, na, nb, o, la, lb): the sets' sizes, and overlap and lengths of each pair in the fragments lo .. hi - 1.
+        ``size`` is a bound of the pairs of a pivot."""
+        have = have.select("node", "n", F.slice("segs", lo + 1, hi - lo).alias("segs"))
         salted = pairs.withColumn("salt", F.pmod(F.xxhash64("a"), F.ceil(F.col("size") / F.lit(PAIR_ROWS))).cast("int"))
-        left = salted.select("a", F.col("b").alias("pivot"), "salt", F.col("a").alias("node"))
-        right = salted.select("b", "salt").distinct().select(F.lit(None).cast("long").alias("a"), F.col("b").alias("pivot"), "salt", F.col("b").alias("node"))
+        left = salted.select("a", F.col("b").alias("pivot"), "salt", "size", F.col("a").alias("node"))
+        right = salted.select("b", "salt", "size").distinct().select(F.lit(None).cast("long").alias("a"), F.col("b").alias("pivot"), "salt", "size", F.col("b").alias("node"))
         cut = (left.unionByName(right).join(have, "node")
-               .select("pivot", "salt", "a", F.posexplode("segs").alias("seg", "keys"))
+               .select("pivot", "salt", "size", "a", "n", F.posexplode("segs").alias("seg", "keys"))
                .withColumn("task", F.pmod(F.xxhash64("pivot", "salt", "seg"), F.lit(self._tasks(pairs)))))
 
         def count(t: pa.Table) -> pa.Table:
-            piv, salt, seg = (t.column(c).to_numpy() for c in ("pivot", "salt", "seg"))
+            piv, salt, seg, n, size = (t.column(c).to_numpy() for c in ("pivot", "salt", "seg", "n", "size"))
             a, keys = t.column("a").to_pylist(), t.column("keys").to_pylist()
-            whole = {(piv[k], salt[k], seg[k]): np.frombuffer(keys[k], U64) for k, x in enumerate(a) if x is None}
+            whole = {(piv[k], salt[k], seg[k]): (np.sort(from_short(keys[k])), n[k]) for k, x in enumerate(a) if x is None}
             out: dict = {}
             for k, x in enumerate(a):
                 if x is not None:
-                    base, mine, same = whole[piv[k], salt[k], seg[k]], np.frombuffer(keys[k], U64), 0
+                    (base, nb), mine, same = whole[piv[k], salt[k], seg[k]], from_short(keys[k]), 0
                     if len(base) and len(mine):
                         at = np.minimum(np.searchsorted(base, mine), len(base) - 1)
                         same = int((base[at] == mine).sum())
-                    out[x, piv[k], seg[k]] = (x, piv[k], same, len(mine), len(base))
-            return pa.table([pa.array(c, pa.int64()) for c in zip(*out.values())] or [pa.array([], pa.int64())] * 5, names=["a", "b", "o", "la", "lb"])
+                    out[x, piv[k], seg[k]] = (x, piv[k], size[k], n[k], nb, same, len(mine), len(base))
+            names = ["a", "b", "size", "na", "nb", "o", "la", "lb"]
+            return pa.table([pa.array(c, pa.int64()) for c in zip(*out.values())] or [pa.array([], pa.int64())] * len(names), names=names)
 
-        part_sums = cut.groupBy("task").applyInArrow(count, "a long, b long, o long, la long, lb long")
-        return part_sums.groupBy("a", "b").agg(*(F.sum(c).alias(c) for c in ("o", "la", "lb")))
+        part_sums = cut.groupBy("task").applyInArrow(count, "a long, b long, size long, na long, nb long, o long, la long, lb long")
+        return part_sums.groupBy("a", "b").agg(*(F.max(c).alias(c) for c in ("size", "na", "nb")), *(F.sum(c).alias(c) for c in ("o", "la", "lb")))
 
     def _tasks(self, pairs: DataFrame) -> int:
         return max(1, math.ceil(pairs.count() / 1_000))

@@ -462,3 +462,29 @@ def test_pipeline_stages(spark, docs, odd, none):
         for _, stage in p.STAGES:
             df = written(stage(spark, df, SMALL), "x")
             df.count()
+
+
+def test_packed_numbers_round_trip():
+    rng = np.random.default_rng(5)
+    for x in (rng.integers(0, 2**63, 50).astype(np.uint64), rng.integers(-9, 9, 50).astype(np.int32), np.empty(0, np.int64)):
+        assert (shingle_join.from_planes(shingle_join.planes(x), x.dtype) == x).all()
+    keys = rng.integers(0, 2**63, 50).astype(np.uint64)
+    assert (shingle_join.from_short(shingle_join.short(keys)) == keys % np.uint64(2**48)).all()
+
+
+def test_partnered_keeps_every_possible_pair():
+    rng = np.random.default_rng(6)
+    kept = 0
+    for _ in range(200):
+        sizes = rng.integers(1, 7, 5)
+        which = np.repeat(np.arange(5), sizes)
+        first = np.concatenate([[0], np.cumsum(sizes)[:-1]])[which]
+        n = rng.integers(1, 40, len(which)).astype(np.int64)
+        score = 25 * n - 175 * rng.integers(0, 1 + n // 4)
+        got = shingle_join._partnered(which, first, n, score, 75)
+        for a in range(len(n)):
+            partner = any(which[a] == which[b] and a != b and score[a] >= 75 * (n[b] - n[a]) and score[b] >= 75 * (n[a] - n[b])
+                          for b in range(len(n)))
+            assert got[a] or not partner
+        kept += got.mean() / 200
+    assert kept < 0.95
