@@ -23,15 +23,17 @@ def interactions_from_turns(turns: DataFrame, *, epoch: str = "2024-01-01 00:00:
     user turn with the assistant turn right after it.  An equi-join on
     (conv_id, turn) keys spreads a long conversation over many tasks, where a
     ``lead`` window would put it in one.  ts = epoch + conv_id minutes + turn
-    seconds (a derived stand-in for the interaction time)."""
+    seconds (a derived stand-in for the interaction time; the minutes begin
+    again every 10^10, so any 64-bit conv_id has one)."""
     u = turns.where(F.col("role") == "user").select(
         F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), F.col("text").alias("query"))
     a = turns.where(F.col("role") == "assistant").select(
         F.col("conv_id").alias("session_id"), (F.col("turn") - 1).alias("seq"), F.col("text").alias("answer"))
     j = u.join(a, ["session_id", "seq"], "inner")
     ts = (F.to_timestamp_ntz(F.lit(epoch))
-          + F.make_dt_interval(F.lit(0), F.lit(0), F.col("session_id").cast("int"),
-                               F.col("seq").cast("decimal(18,6)")))
+          + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0),
+                               (F.pmod(F.col("session_id").cast("long"), F.lit(10_000_000_000)) * 60 + F.col("seq"))
+                               .cast("decimal(18,6)")))
     return j.select(F.col("session_id").cast("long"), F.col("seq").cast("long"), "query", "answer",
                     ts.alias("ts"))
 

@@ -84,11 +84,14 @@ def recover_corpus(spark, path: str) -> None:
 def write_corpus(df: DataFrame, path: str) -> None:
     """K1: write the new table beside the old one, then swap directories, so
     a failure while writing leaves the previous table intact (and
-    ``recover_corpus`` completes a swap cut between its renames)."""
+    ``recover_corpus`` completes a swap cut between its renames).  A row with
+    a NULL id or text fails the write."""
     spark = df.sparkSession
     recover_corpus(spark, path)
     staging = f"{path.rstrip('/')}.staging-{uuid.uuid4().hex}"
-    df.where(F.col("corpus").isNotNull() & F.col("id").isNotNull()).write.mode("error").parquet(staging)
+    for c in ("id", "corpus"):
+        df = df.withColumn(c, F.coalesce(c, F.raise_error(F.lit(f"a corpus row has a NULL {c}"))))
+    df.write.mode("error").parquet(staging)
     fs, target = _fs(spark, path)
     _, staged = _fs(spark, staging)
     if fs.exists(target):

@@ -256,12 +256,13 @@ def q_union_documents(spark, sf):
 # --- chat requests ------------------------------------------------------------------
 
 def rag_corpus(spark, sf):
-    """Stored vectors paired with texts: vector vec_id carries the first chunk
-    of document doc_id = vec_id (a synthetic pairing; the tables are
-    unrelated).  Inner join."""
-    first = chunking.first_chunk(docs(spark, sf))
-    v = stored_vectors(spark, sf)
-    return v.join(first.select(F.col("doc_id").alias("id"), "corpus", "created_at"), "id")
+    """Every chunk of the corpus with a vector: a chunk takes the stored vector
+    vec_id = doc_id modulo their number (a synthetic pairing; the tables are
+    unrelated)."""
+    v = stored_vectors(spark, sf).withColumnRenamed("id", "_vec")
+    n = (v.agg(F.max("_vec")).first()[0] or 0) + 1
+    c = corpus(spark, sf).select("id", "corpus", "created_at", F.pmod("doc_id", F.lit(n)).alias("_vec"))
+    return c.join(v, "_vec").drop("_vec")
 
 
 def rag_requests(spark, sf, default_top_k=context.DEFAULT_TOP_K_CHAT):

@@ -59,9 +59,10 @@ FROM corpus GROUP BY 1 ORDER BY min_length"""
 
 RAG = f"""{DOCS},
 {CHUNKS},
+{CORPUS},
 {VEC},
-rag AS (SELECT v.vec_id AS id, v.e, c.corpus FROM vec v JOIN chunks c ON c.doc_id = v.vec_id
-        WHERE c.chunk_index = 0 AND trim(c.corpus, {WS}) <> ''),
+paired AS (SELECT c.id, c.corpus, c.doc_id % n AS vec_id FROM corpus c, (SELECT max(vec_id) + 1 AS n FROM vec)),
+rag AS (SELECT c.id, v.e, c.corpus FROM paired c JOIN vec v ON v.vec_id = c.vec_id),
 req AS (SELECT item_id AS qid, coalesce(text, '') AS question FROM benchmark),
 reqv AS (SELECT r.qid, r.question, v.e FROM req r JOIN vec v ON v.vec_id = r.qid WHERE r.question <> '')"""
 

@@ -1,6 +1,7 @@
 """S1-S3 file reading, A9 inventory, K1/K2 corpus table, streaming ingest."""
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from ragtide.operators import ingest
@@ -136,3 +137,10 @@ def test_swap_cut_between_renames_is_recovered(spark, scratch):
     os.rename(table, table + ".old-z")
     ingest.recover_corpus(spark, table)
     assert [r["corpus"] for r in ingest.read_corpus(spark, table).collect()] == ["newer"]
+
+
+def test_null_text_fails_the_write(spark, tmp_path):
+    ok = ingest.build_corpus(spark.createDataFrame([("a.txt", "one two", "txt")], "file string, content string, type string"))
+    bad = ok.unionByName(ok.withColumn("corpus", F.lit(None).cast("string")))
+    with pytest.raises(Exception, match="NULL corpus"):
+        ingest.write_corpus(bad, str(tmp_path / "t"))

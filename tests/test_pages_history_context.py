@@ -110,3 +110,10 @@ def test_block_level_assembly_joins_to_file_text(spark):
         assert "\n".join(t for _, t, _ in bs) == files[f]["text"]
         assert sum(n for _, _, n in bs) == files[f]["n_pages"]
     assert max(r["n_pages"] for r in blocks) <= 50
+
+
+def test_history_takes_large_conversation_ids(spark):
+    turns = spark.createDataFrame([(2**40, 0, "user", "q"), (2**40, 1, "assistant", "a")],
+                                  "conv_id long, turn int, role string, text string")
+    rows = history.history_last_n(history.interactions_from_turns(turns)).collect()
+    assert [(r["session_id"], r["query"], r["answer"], r["count"]) for r in rows] == [(2**40, "q", "a", 1)]
