@@ -33,7 +33,7 @@ from .text import string_buffers
 
 LIMIT, END_ID, GROUP_TOKENS = 2048, 0, 2_000_000
 SECOND = 64
-MEMO = 1_000_000
+MEMO = 250_000                  # words a worker remembers: about 50 MB
 
 _WORKER: dict = {}
 
