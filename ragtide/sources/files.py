@@ -11,6 +11,8 @@ size 0 and 0 lines, as the reference lists them.
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,7 +53,7 @@ def file_inventory(spark: SparkSession, folder: str, pattern: str = "*.txt") ->
     raw = (spark.read.format("binaryFile").option("pathGlobFilter", pattern)
            .option("recursiveFileLookup", "false").load(folder))
     f = read_text_files(spark, folder, pattern)
-    listed = spark.createDataFrame([(p,) for p in raw.inputFiles()], "path string")
+    listed = spark.createDataFrame([(unquote(p),) for p in raw.inputFiles()], "path string")
     empty = (listed.join(f.select(_same_path("path").alias("_p")), _same_path(listed["path"]) == F.col("_p"),
                          "left_anti")
              .select(base_name("path").alias("file"), F.lit("").alias("text"), F.lit(0).cast("long")

@@ -144,3 +144,10 @@ def test_null_text_fails_the_write(spark, tmp_path):
     bad = ok.unionByName(ok.withColumn("corpus", F.lit(None).cast("string")))
     with pytest.raises(Exception, match="NULL corpus"):
         ingest.write_corpus(bad, str(tmp_path / "t"))
+
+
+def test_inventory_lists_names_with_spaces_once(spark, tmp_path):
+    (tmp_path / "a b.txt").write_text("x\ny\n")
+    (tmp_path / "c%20d.txt").write_text("")
+    rows = files.file_inventory(spark, str(tmp_path)).collect()
+    assert [(r["name"], r["lines"]) for r in rows] == [("a b.txt", 2), ("c%20d.txt", 0)]
