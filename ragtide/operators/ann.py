@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ragtide.functions.vector import as_double_array
-from ragtide.operators.topk import DEFAULT_MAX_BROADCAST_BYTES, TaskTopK, _unit_rows, topk_mask
+from ragtide.operators.topk import DEFAULT_MAX_BROADCAST_BYTES, TaskTopK, _unit_rows, finite_vector, topk_mask
 
 _CAND = T.StructType([T.StructField("qid", T.LongType(), False), T.StructField("id", T.LongType(), False),
                       T.StructField("similarity", T.DoubleType(), False)])
@@ -60,7 +60,7 @@ def build_index(corpus: DataFrame, n_clusters: int = 40, *, vec_col: str = "embe
                 seed: int = 1, max_train_rows: int = 200_000, max_iter: int = 20) -> ClusterIndex:
     """Fit cosine KMeans on at most ``max_train_rows`` sampled non-zero vectors."""
     nz = corpus.where(F.col(vec_col).isNotNull()).select(as_double_array(vec_col).alias("_v")) \
-        .where(F.exists("_v", lambda x: x != 0))
+        .where(finite_vector("_v") & F.exists("_v", lambda x: x != 0))
     n = nz.count()
     frac = min(1.0, max_train_rows / max(n, 1))
     train = nz.sample(False, frac, seed) if frac < 1.0 else nz
@@ -113,7 +113,7 @@ def _query_blocks(queries: DataFrame, dim: int, qid_col: str, qvec_col: str, max
     bound (one block when the whole set fits)."""
     q = queries.where(F.col(qvec_col).isNotNull()).select(
         F.col(qid_col).cast("long").alias("qid"), as_double_array(qvec_col).alias("qvec"))
-    q = q.where(F.size("qvec") == dim)
+    q = q.where((F.size("qvec") == dim) & finite_vector("qvec"))
     n_q = q.count()
     n_blocks = max(1, math.ceil(n_q * dim * 8 / max_broadcast_bytes))
     return [q] if n_blocks == 1 else [
@@ -130,12 +130,13 @@ def _probe_plan(idx: ClusterIndex, blk: DataFrame, nprobe: int):
     qids = tbl.column("qid").to_numpy().astype(np.int64)
     qmat = tbl.column("qvec").combine_chunks().flatten().to_numpy(zero_copy_only=False) \
         .astype(np.float64).reshape(len(qids), dim)
-    qunit, qzero = _unit_rows(qmat)
+    qunit, _ = _unit_rows(qmat)
     # nearest nprobe centroids of every query (queries x clusters, both bounded)
     csim = qunit @ idx.centroids.T
     p = min(nprobe, idx.centroids.shape[0])
     probes = np.argsort(-csim, axis=1, kind="stable")[:, :p]
-    by_cluster = {c: np.nonzero((probes == c).any(axis=1) & ~qzero)[0]
+    # a zero query ties with every centroid and probes the first ones
+    by_cluster = {c: np.nonzero((probes == c).any(axis=1))[0]
                   for c in range(idx.centroids.shape[0])}
     return qids, qunit, by_cluster
 
@@ -175,7 +176,7 @@ def ann_topk(corpus: DataFrame, queries: DataFrame, k: int = 5, *, index: Cluste
     spark = corpus.sparkSession
     idx = index or build_index(corpus, n_clusters, vec_col=vec_col, seed=seed)
     dim = idx.centroids.shape[1]
-    assigned = idx.assign(corpus.where(F.col(vec_col).isNotNull() & (F.size(vec_col) == dim))
+    assigned = idx.assign(corpus.where(F.col(vec_col).isNotNull() & (F.size(vec_col) == dim) & finite_vector(vec_col))
                           .select(F.col(id_col).cast("long").alias("id"), vec_col), vec_col)
     prepared = assigned.select("id", F.col("cluster").cast("long"), as_double_array(vec_col).alias("_v"))
     return _search(spark, lambda probed: prepared, idx, queries, k, nprobe, id_col, qid_col, qvec_col,
@@ -205,7 +206,7 @@ def write_clustered(corpus: DataFrame, index: ClusterIndex, path: str, *, id_col
     holding a third of all rows is written by many tasks, not one, and
     every folder holds files of bounded size."""
     dim = index.centroids.shape[1]
-    a = index.assign(corpus.where(F.col(vec_col).isNotNull() & (F.size(vec_col) == dim))
+    a = index.assign(corpus.where(F.col(vec_col).isNotNull() & (F.size(vec_col) == dim) & finite_vector(vec_col))
                      .select(F.col(id_col).cast("long").alias("id"), vec_col, *carry), vec_col)
     a = a.select("id", vec_col, *carry, F.col("cluster").cast("int"))
     sizes = a.groupBy("cluster").agg(F.count(F.lit(1)).alias("_n"))

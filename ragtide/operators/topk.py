@@ -55,6 +55,12 @@ def topk_mask(score: np.ndarray, kk: int) -> np.ndarray:
     return gt | (eq & (np.cumsum(eq, axis=0) <= need[None, :]))
 
 
+def finite_vector(c):
+    """The vector has no null, NaN or infinite component.  Others have no
+    distance to anything; they are left out before any ranking."""
+    return F.forall(c, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
+
+
 class TaskTopK:
     """Running top-k per query over all the batches of one task.
 
@@ -137,6 +143,12 @@ def _score_batches(bc, id_col: str, vec_col: str, metric: str, carry: tuple[str,
             order = np.argsort(ids, kind="stable")
             ids = ids[order]
             mat = flat.astype(np.float64).reshape(n, qb.dim)[order]
+            fine = np.isfinite(mat).all(axis=1)             # a null component reads as NaN
+            if not fine.all():
+                ids, mat, order = ids[fine], mat[fine], order[fine]
+                n = len(ids)
+                if n == 0:
+                    continue
             if metric == "cosine":
                 unit, zero = _unit_rows(mat)
             step = max(1, _BLOCK_ENTRIES // n)
@@ -196,6 +208,10 @@ def topk_batch(corpus: DataFrame, queries: DataFrame, k: int = 5, *,
     ``carry`` names corpus columns (e.g. the text) returned with the hits, so
     no second pass over the corpus is needed to fetch them.  For metric
     ``l2`` the score column is ``distance`` (ascending).
+
+    A query is scored against the rows of its own dimension: sets that mix
+    dimensions are answered dimension by dimension.  Vectors with a null, NaN
+    or infinite component have no distance and take no part.
     """
     spark = corpus.sparkSession
     carry = tuple(carry)
@@ -204,31 +220,31 @@ def topk_batch(corpus: DataFrame, queries: DataFrame, k: int = 5, *,
          .select(F.col(qid_col).cast("long").alias("qid"),
                  as_double_array(qvec_col).alias("qvec"), kexpr.alias("k"))
          .where(F.col("k") > 0))
-    # Size check before anything is broadcast: one aggregate for rows and dim.
-    st = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("qvec")).alias("d")).first()
-    n_q, dim = int(st["n"]), int(st["d"] or 0)
-    q = q.where(F.size("qvec") == dim)        # a query of another dimension cannot be scored
-    c = (corpus.where(F.col(vec_col).isNotNull() & (F.size(vec_col) == dim))
+    q = q.where(finite_vector("qvec"))
+    # Size check before anything is broadcast: rows per dimension (a few rows).
+    sizes = sorted((int(r["d"]), int(r["n"])) for r in
+                   q.groupBy(F.size("qvec").alias("d")).agg(F.count(F.lit(1)).alias("n")).toLocalIterator() if r["d"] > 0)
+    c = (corpus.where(F.col(vec_col).isNotNull())
          .select(F.col(id_col).cast("long").alias(id_col), F.col(vec_col), *carry))
     cand_schema = T.StructType(_CAND_SCHEMA.fields + [c.schema[x] for x in carry])
     arrow_schema = pa.schema([("qid", pa.int64(), False), ("id", pa.int64(), False),
                               ("similarity", pa.float64(), False), ("k", pa.int32(), False)]
                              + [pa.field(x, _arrow_type(c.schema[x].dataType)) for x in carry])
-    if n_q == 0:
-        return spark.createDataFrame([], _out_schema(metric, c.schema, carry))
-    n_blocks = max(1, math.ceil(n_q * dim * 8 / max_broadcast_bytes))
     parts = []
-    blocks = [q] if n_blocks == 1 else [
-        q.where(F.pmod(F.xxhash64("qid"), F.lit(n_blocks)) == b) for b in range(n_blocks)]
-    for blk in blocks:
-        qb = _collect_block(blk, 2 * max_broadcast_bytes if n_blocks > 1 else max_broadcast_bytes, dim)
-        if qb is None:
-            raise ValueError("query block exceeds the broadcast bound; lower max_broadcast_bytes")
-        if len(qb.qids) == 0:
-            continue
-        bc = spark.sparkContext.broadcast(qb)
-        parts.append(c.mapInArrow(_score_batches(bc, id_col, vec_col, metric, carry, arrow_schema),
-                                  cand_schema))
+    for dim, n_q in sizes:
+        n_blocks = max(1, math.ceil(n_q * dim * 8 / max_broadcast_bytes))
+        own, rows = q.where(F.size("qvec") == dim), c.where(F.size(vec_col) == dim)
+        blocks = [own] if n_blocks == 1 else [
+            own.where(F.pmod(F.xxhash64("qid"), F.lit(n_blocks)) == b) for b in range(n_blocks)]
+        for blk in blocks:
+            qb = _collect_block(blk, 2 * max_broadcast_bytes if n_blocks > 1 else max_broadcast_bytes, dim)
+            if qb is None:
+                raise ValueError("query block exceeds the broadcast bound; lower max_broadcast_bytes")
+            if len(qb.qids) == 0:
+                continue
+            bc = spark.sparkContext.broadcast(qb)
+            parts.append(rows.mapInArrow(_score_batches(bc, id_col, vec_col, metric, carry, arrow_schema),
+                                         cand_schema))
     if not parts:
         return spark.createDataFrame([], _out_schema(metric, c.schema, carry))
     cand = parts[0]

@@ -123,3 +123,12 @@ def test_ann_handles_zero_vectors_in_the_corpus(spark, scratch):
     ann.write_clustered(c, idx, path)
     assert spark.read.parquet(path).count() == c.count()
     assert rows(ann.ann_topk_stored(spark, path, idx, q, 5, nprobe=6)) == exact
+
+
+def test_ann_zero_query_gets_its_rows(spark):
+    rows = [(i, [float(i % 3), float(i % 5), 1.0]) for i in range(40)] + [(40, [float("nan"), 1.0, 1.0])]
+    c = spark.createDataFrame(rows, "id long, embedding array<double>")
+    q = spark.createDataFrame([(1, [0.0, 0.0, 0.0]), (2, [1.0, 2.0, 1.0])], "qid long, embedding array<double>")
+    near = ann.ann_topk(c, q, 4, n_clusters=3, nprobe=3).select("qid", "rank", "id").collect()
+    assert sorted(map(tuple, near)) == sorted(map(tuple, topk.topk_batch(c, q, 4).select("qid", "rank", "id").collect()))
+    assert len(near) == 8

@@ -179,3 +179,20 @@ def test_batch_topk_many_arrow_batches_matches_numpy(spark):
         order = sorted(range(len(vecs)), key=lambda j: (-round(sims[j], 12), j))[:ks[i]]
         want |= {(i, r + 1, j + 1, round(sims[j], 12)) for r, j in enumerate(order)}
     assert got == want
+
+
+def test_mixed_dimensions_and_components_that_are_no_numbers(spark):
+    """Queries meet the rows of their own dimension; a null, NaN or infinite
+    component keeps a vector out and costs no other row its place."""
+    nan, inf = float("nan"), float("inf")
+    rows = [(1, [1.0, 0.0]), (2, [nan, 1.0]), (3, [None, 1.0]), (4, [0.0, 1.0]), (5, [inf, 0.0]), (6, [1.0, 1.0]),
+            (7, [1.0, 0.0, 0.0]), (8, None), (9, [])]
+    c = spark.createDataFrame(rows, "id long, embedding array<double>").coalesce(1)
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.0, 0.0]), (4, [nan, 1.0]), (5, None), (6, [1.0])],
+                              "qid long, embedding array<double>")
+    for k in (2, 5):
+        got = {}
+        for r in topk.topk_batch(c, q, k).orderBy("qid", "rank").collect():
+            got.setdefault(r["qid"], []).append(r["id"])
+        assert got == {1: [1, 6, 4][:k], 2: [4, 6, 1][:k], 3: [7]}
+        assert [r["id"] for r in topk.topk_single(c, [1.0, 0.0], k).orderBy("rank").collect()] == [1, 6, 4][:k]
