@@ -4,7 +4,7 @@ and header filters, W3 ids.  All narrow (explode) except the id assignment."""
 from __future__ import annotations
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,7 +48,9 @@ def numbered_chunks(docs: DataFrame, order_cols: list[str], *, content_col: str
                     size: int = CHUNK_SIZE, keep: tuple[str, ...] = (),
                     single_task_groups: int = DEFAULT_SINGLE_TASK_GROUPS) -> DataFrame:
     """W3 over P1: chunk rows with dense ids 1..N in (order_cols, chunk_index)
-    order.  ``order_cols`` must identify a document.
+    order.  Documents that share a key (files of one name in two folders)
+    are told apart by their text's hash, equal ones by a copy number, so each
+    is numbered once; a pass over the key columns alone finds out whether any do.
 
     Only a light frame (order key, kept-chunk count) per document is sorted
     and summed (``group_offsets``); its offsets are joined back to the
@@ -57,6 +59,12 @@ def numbered_chunks(docs: DataFrame, order_cols: list[str], *, content_col: str
     the document's kept chunks.  The chunk text itself is never shuffled for
     numbering when the offsets broadcast."""
     cols = list(dict.fromkeys([*order_cols, *keep]))
+    if docs.groupBy(*order_cols).count().where(F.col("count") > 1).limit(1).count():
+        others = [c for c in cols if c not in order_cols]
+        docs = docs.withColumn("_h", F.xxhash64(content_col))
+        same = Window.partitionBy(*order_cols, "_h").orderBy(*(others or [F.lit(0)]))
+        docs = docs.withColumn("_copy", F.row_number().over(same))
+        order_cols = [*order_cols, "_h", "_copy"]
     light = (docs.select(*order_cols, F.size(kept_chunks(F.col(content_col), size)).alias("_n"))
              .where(F.col("_n") > 0))
     # an upper bound on groups and their key bytes, from the key columns only
@@ -68,7 +76,7 @@ def numbered_chunks(docs: DataFrame, order_cols: list[str], *, content_col: str
                                 single_task_groups=single_task_groups)
     # documents without kept chunks have no offsets row: the inner join drops
     # them.  Null-safe keys, so a document with a NULL key is numbered too.
-    d = docs.select(*cols, kept_chunks(F.col(content_col), size).alias("_ch"))
+    d = docs.select(*dict.fromkeys([*cols, *order_cols]), kept_chunks(F.col(content_col), size).alias("_ch"))
     o = offs.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(order_cols)], "_start")
     o = F.broadcast(o) if small else o
     j = d.join(o, [d[c].eqNullSafe(o[f"_k{i}"]) for i, c in enumerate(order_cols)])

@@ -119,3 +119,15 @@ def test_ids_for_rows_keys_beyond_double_precision(spark):
     got = {(r["doc_id"], r["chunk_index"]): r["id"]
            for r in ids_for_rows(df, chunk_rows(df, ("doc_id",)), "doc_id").collect()}
     assert got == full
+
+
+def test_documents_that_share_a_key_are_numbered_once(spark):
+    from ragtide.operators.chunking import numbered_chunks
+    docs = [("a", "x" * 600), ("a", "y"), ("b", "z"), ("a", "y"), (None, "n"), (None, "n")]
+    df = spark.createDataFrame(docs, "file string, content string").repartition(3)
+    for single in (10 ** 6, 0):
+        rows = numbered_chunks(df, ["file"], single_task_groups=single).collect()
+        assert sorted(r["id"] for r in rows) == list(range(1, 8))
+        assert sorted((r["file"] or "", r["corpus"]) for r in rows) == sorted(
+            [("a", "x" * 500), ("a", "x" * 100), ("a", "y"), ("a", "y"), ("b", "z"), ("", "n"), ("", "n")])
+        assert set(rows[0].asDict()) == {"id", "file", "chunk_index", "corpus"}
