@@ -74,21 +74,22 @@ def recommended_conf(input_bytes: int, total_cores: int,
 
 
 def checkpoint_dir(spark: SparkSession) -> str | None:
-    """The shared folder named by ``spark.checkpoint.dir`` (or set on the
-    context), if any."""
-    d = spark.sparkContext.getCheckpointDir()
-    if d:
-        return d
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """The shared folder that ``spark.checkpoint.dir`` names, if any.  It is the
+    folder itself: the context's own checkpoint folder is a random one
+    inside it, another for every session."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's checkpoint folder; only when none is configured
-    (local tests) create a scratch one under /tmp."""
-    d = checkpoint_dir(spark)
+    (local tests) create a scratch one under /tmp.  A context that has its
+    folder keeps it."""
+    sc = spark.sparkContext
+    d = checkpoint_dir(spark) or sc.getCheckpointDir()
     if not d:
         d = tempfile.mkdtemp(prefix="ragtide-ckpt-", dir=os.environ.get("RAGTIDE_SCRATCH", "/tmp"))
-    spark.sparkContext.setCheckpointDir(d)
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(d)
     return d
 
 

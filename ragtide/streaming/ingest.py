@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from ragtide.functions.text import base_name, decode_fallback, normalize_newlines, py_strip
 from ragtide.operators.embed import Encoder
 from ragtide.operators.ingest import build_corpus, max_id
-from ragtide.session import ensure_checkpoint_dir
+from ragtide.session import checkpoint_dir
 
 
 BINARY_FILE_SCHEMA = T.StructType([
@@ -65,7 +65,10 @@ def start_folder_ingest(spark: SparkSession, folder: str, table_path: str, *,
     what is there and stops (a scheduled batch run); otherwise it keeps
     watching the folder."""
     key = hashlib.sha1(f"{folder}\n{table_path}".encode()).hexdigest()[:16]
-    ck = checkpoint or f"{ensure_checkpoint_dir(spark).rstrip('/')}/ingest-{key}"
+    shared = checkpoint_dir(spark)
+    if not (checkpoint or shared):
+        raise ValueError("a stream needs spark.checkpoint.dir or checkpoint=: its progress must outlive the session")
+    ck = checkpoint or f"{shared.rstrip('/')}/ingest-{key}"
     stream_key = hashlib.sha1(ck.encode()).hexdigest()[:12]
     src = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA)
            .option("pathGlobFilter", f"*.{file_type}")

@@ -151,3 +151,19 @@ def test_inventory_lists_names_with_spaces_once(spark, tmp_path):
     (tmp_path / "c%20d.txt").write_text("")
     rows = files.file_inventory(spark, str(tmp_path)).collect()
     assert [(r["name"], r["lines"]) for r in rows] == [("a b.txt", 2), ("c%20d.txt", 0)]
+
+
+def test_stream_progress_is_found_again(spark, scratch, monkeypatch):
+    """One file stays one file over three starts without ``checkpoint=``; no shared folder, no start."""
+    from ragtide.streaming import ingest as stream
+    import pytest
+    d, table = os.path.join(scratch, "in"), os.path.join(scratch, "out")
+    os.makedirs(d)
+    _write(d, "one.txt", b"un")
+    monkeypatch.setattr(stream, "checkpoint_dir", lambda s: None)
+    with pytest.raises(ValueError):
+        stream.start_folder_ingest(spark, d, table)
+    monkeypatch.setattr(stream, "checkpoint_dir", lambda s: os.path.join(scratch, "shared"))
+    for _ in range(3):
+        stream.start_folder_ingest(spark, d, table).awaitTermination(120)
+        assert ingest.read_corpus(spark, table).count() == 1
