@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragtide.functions.text import (
-    LENGTH_LABELS_FR, LENGTH_LABELS_RANGE, SNIPPET_CONSOLE, iso_timestamp, is_blank, py_strip, snippet,
+    LENGTH_LABELS_FR, LENGTH_LABELS_RANGE, SNIPPET_CONSOLE, base_name, decode_fallback, iso_timestamp, is_blank,
+    line_count, normalize_newlines, py_strip, size_kb, snippet,
 )
 from ragtide.functions.like import ilike_contains
 from ragtide.functions.vector import parse_vector, render_vector, vector_is_valid
@@ -64,33 +65,6 @@ def corpus_top(spark, sf, order, n: int, where=None):
                       "created_at", "doc_id", "chunk_index")
 
 
-# A surrogate id monotone in corpus-id order: (document, kept-chunk position)
-# packed in one long (a document has fewer than 2^23 chunks: strings are
-# < 2 GiB; document ids below 2^40, as in the test tables, so the product
-# fits; with ANSI on, a larger id raises instead of mis-ranking).  Operators
-# that rank by id rank the same way by it.
-_POS_BITS = 23
-
-
-def surrogate_chunks(spark, sf):
-    """Corpus rows without numbering: ``id`` is the surrogate, not the
-    corpus id (``with_corpus_ids`` maps a bounded result back)."""
-    d = docs(spark, sf)
-    ch = chunking.chunk_rows(d, ("doc_id", "file", "type", "created_at"))
-    return ch.select(((F.col("doc_id") * (1 << _POS_BITS)) + F.col("_pos")).alias("id"), "corpus",
-                     F.col("file").alias("file_name"), F.col("type").alias("file_type"), "created_at")
-
-
-def with_corpus_ids(spark, sf, result):
-    """Replace surrogate ``id``s in a bounded result (top-k rows) by corpus
-    ids (``ids_for_rows``); the result is kept between its two reads."""
-    r = result.withColumn("doc_id", F.shiftright("id", _POS_BITS)) \
-        .withColumn("_pos", F.col("id").bitwiseAND(F.lit((1 << _POS_BITS) - 1))) \
-        .drop("id").persist(StorageLevel.MEMORY_AND_DISK)
-    out = chunking.ids_for_rows(docs(spark, sf), r, "doc_id")
-    return out.select("id", *[c for c in result.columns if c != "id"])
-
-
 def chunks(spark, sf):
     """Corpus rows without ids, for statistics that never read the id."""
     c = chunking.chunk_documents(docs(spark, sf))
@@ -209,16 +183,17 @@ def q_keyword_count(spark, sf):
 
 
 def benchmark_keywords(spark, sf):
-    """Keywords derived from the data: the first word of each benchmark item."""
+    """Keywords derived from the data: every word of each benchmark item,
+    lower-cased; ``qid`` is item_id * 1,000,000 + the word's place (from 1)."""
     b = table(spark, sf, "benchmark")
-    kw = F.lower(F.regexp_extract("text", r"^([A-Za-z]+)", 1))
-    return b.select(F.col("item_id").cast("long").alias("qid"), kw.alias("keyword")) \
-        .where(F.col("keyword") != "")
+    words = F.filter(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    w = b.select("item_id", F.posexplode(words).alias("_p", "keyword"))
+    return w.select((F.col("item_id").cast("long") * 1_000_000 + F.col("_p") + 1).alias("qid"), "keyword")
 
 
 def q_keyword_batch(spark, sf):
-    r = keyword.keyword_batch(surrogate_chunks(spark, sf), benchmark_keywords(spark, sf))
-    return with_corpus_ids(spark, sf, r).select("qid", "rank", "id", "matches")
+    r = keyword.keyword_batch(corpus(spark, sf), benchmark_keywords(spark, sf))
+    return r.select("qid", "rank", "id", "matches")
 
 
 # --- pages ------------------------------------------------------------------------
@@ -253,6 +228,22 @@ def q_union_documents(spark, sf):
         .where(F.col("content") != "")
 
 
+def q_decode_documents(spark, sf):
+    """Every document as file bytes (latin-1 where the text fits into it,
+    else utf-8; lines end in CR LF), decoded as text-mode reading does."""
+    d = docs(spark, sf).select("doc_id", F.regexp_replace("content", "\n", "\r\n").alias("t"))
+    raw = F.when(F.col("t").rlike(r"^[\x00-\xFF]*$"), F.encode("t", "ISO-8859-1")).otherwise(F.encode("t", "UTF-8"))
+    text = normalize_newlines(decode_fallback(raw))
+    return d.select("doc_id", text.alias("text"))
+
+
+def q_page_files(spark, sf):
+    """P7, P8 and A9's figures of every page taken as a file: name, size in KB, lines."""
+    return table(spark, sf, "pages").select(
+        "page_id", base_name("url").alias("name"), size_kb(F.octet_length("html")).alias("size_kb"),
+        line_count(normalize_newlines("html")).alias("lines"))
+
+
 # --- chat requests ------------------------------------------------------------------
 
 def rag_corpus(spark, sf):
@@ -337,11 +328,10 @@ def q_history_clear(spark, sf):
 def q_text_search_hashed(spark, sf):
     """End-to-end text search: chunks and benchmark questions embedded by the
     stand-in encoder, top-5 per question."""
-    c = embed.embed(surrogate_chunks(spark, sf), "corpus", "embedding")
+    c = embed.embed(corpus(spark, sf).select("id", "corpus"), "corpus", "embedding")
     qs = embed.embed(table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text"),
                      "text", "embedding")
     r = topk.topk_batch(c, qs, TOP_K)
-    r = with_corpus_ids(spark, sf, r.select("qid", "rank", "id", "similarity"))
     return r.select("qid", "rank", "id", _r("similarity").alias("similarity"))
 
 
@@ -377,6 +367,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "page_blocks": q_page_blocks,
     "page_summary": q_page_summary,
     "union_documents": q_union_documents,
+    "decode_documents": q_decode_documents,
+    "page_files": q_page_files,
     "request_normalize": q_request_normalize,
     "sources": q_sources,
     "context_prompt": q_context_prompt,

@@ -186,9 +186,11 @@ FROM corpus WHERE corpus ILIKE '%{C.KEYWORD}%' ESCAPE '\\' ORDER BY id LIMIT 10"
     "keyword_count": WITH_CORPUS + f"""SELECT count(*) AS matches FROM corpus
 WHERE corpus ILIKE '%{C.KEYWORD}%' ESCAPE '\\'""",
 
-    "keyword_batch": WITH_CORPUS + """, kw AS (SELECT item_id AS qid, lower(regexp_extract(text, '^([A-Za-z]+)', 1)) AS keyword
-            FROM benchmark),
-m AS (SELECT k.qid, c.id FROM kw k JOIN corpus c ON contains(lower(c.corpus), k.keyword) WHERE k.keyword <> ''),
+    "keyword_batch": WITH_CORPUS + """, words AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS ws
+          FROM benchmark),
+kw AS (SELECT w.item_id * 1000000 + t.pos AS qid, t.keyword
+       FROM words w, unnest(w.ws) WITH ORDINALITY AS t(keyword, pos)),
+m AS (SELECT k.qid, c.id FROM kw k JOIN corpus c ON contains(lower(c.corpus), k.keyword)),
 r AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY id) AS rank,
              count(*) OVER (PARTITION BY qid) AS matches FROM m)
 SELECT qid, rank, id, matches FROM r WHERE rank <= 10""",
@@ -221,6 +223,13 @@ FROM allp a LEFT JOIN agg g ON a.file = g.file""",
   SELECT page_id AS source_id, url AS file, 'html' AS type, html AS content FROM pages)
 SELECT source_id, file, type, trim(content, {WS}) AS content FROM u WHERE trim(content, {WS}) <> ''""",
 
+    "decode_documents": """SELECT doc_id, regexp_replace(text, chr(13) || chr(10) || '?', chr(10), 'g') AS text FROM documents""",
+
+    "page_files": """WITH p AS (SELECT page_id, url, html, regexp_replace(html, chr(13) || chr(10) || '?', chr(10), 'g') AS t FROM pages)
+SELECT page_id, list_extract(string_split(url, '/'), -1) AS name, round(octet_length(encode(html)) / 1024.0, 2) AS size_kb,
+       length(t) - length(replace(t, chr(10), '')) + CASE WHEN t = '' OR right(t, 1) = chr(10) THEN 0 ELSE 1 END AS lines
+FROM p""",
+
     "request_normalize": """SELECT item_id AS qid, coalesce(text, '') AS question, CAST(5 AS BIGINT) AS top_k,
        CASE WHEN coalesce(text, '') = '' THEN 'rejected' ELSE 'ok' END AS status,
        CASE WHEN coalesce(text, '') = '' THEN 'Question is required' END AS error
