@@ -18,9 +18,9 @@ per task; one window per keyword then ranks and sums them.
 
 from __future__ import annotations
 
-import heapq
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -67,88 +67,106 @@ def like_to_regex(pattern: str) -> str:
 
 
 class _Matcher:
-    """Per-task matcher: one Aho-Corasick automaton for literal keywords
-    (lower-cased, as ILIKE compares lower-cased text), regexes for the rest."""
+    """Per-task matcher over the distinct keywords: one Aho-Corasick automaton
+    for literal ones (lower-cased, as ILIKE compares lower-cased text),
+    regexes for the rest.  ``qids`` and ``limits`` hold, per distinct keyword,
+    the requests that ask for it."""
 
     def __init__(self, entries):
         import ahocorasick
-        self.auto = None
-        by_word: dict[str, list[int]] = {}
-        self.patterns = []
-        for qid, kw, *_ in entries:
-            if _plain(kw):
-                by_word.setdefault(kw.lower(), []).append(qid)
-            else:
-                p = contains_pattern_literal(kw).lower()
-                self.patterns.append((qid, re.compile(like_to_regex(p), re.S)))
-        if by_word:
-            self.auto = ahocorasick.Automaton()
-            for w, qids in by_word.items():
-                self.auto.add_word(w, qids)
+        places: dict[tuple[bool, str], int] = {}
+        self.qids: list[list[int]] = []
+        self.limits: list[list[int]] = []
+        for qid, kw, lim in entries:
+            key = (True, kw.lower()) if _plain(kw) else (False, contains_pattern_literal(kw).lower())
+            at = places.setdefault(key, len(places))
+            if at == len(self.qids):
+                self.qids.append([])
+                self.limits.append([])
+            self.qids[at].append(qid)
+            self.limits[at].append(int(lim))
+        self.patterns = [(at, re.compile(like_to_regex(p), re.S)) for (plain, p), at in places.items() if not plain]
+        words = [(w, at) for (plain, w), at in places.items() if plain]
+        self.auto = ahocorasick.Automaton() if words else None
+        for w, at in words:
+            self.auto.add_word(w, at)
+        if words:
             self.auto.make_automaton()
 
-    def matches(self, text: str):
-        low = text.lower()
-        seen = set()
-        if self.auto is not None:
-            for _, qids in self.auto.iter(low):
-                seen.update(qids)
-        for qid, rx in self.patterns:
-            if rx.fullmatch(low):
-                seen.add(qid)
-        return seen
+    def pairs(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """(keyword, row) of every keyword that a row contains, each once."""
+        kws: list[int] = []
+        sizes = []
+        for t in texts:
+            before = len(kws)
+            if t is not None:
+                low = t.lower()
+                if self.auto is not None:
+                    kws.extend({at for _, at in self.auto.iter(low)})
+                kws.extend(at for at, rx in self.patterns if rx.fullmatch(low))
+            sizes.append(len(kws) - before)
+        return np.array(kws, np.int64), np.repeat(np.arange(len(sizes)), sizes)
+
+
+# rows matched at a time: their pairs are at most this many times the keywords
+_ROWS = 2048
+
+
+def _slices(batches):
+    for batch in batches:
+        for at in range(0, batch.num_rows, _ROWS):
+            yield batch.slice(at, _ROWS)
 
 
 def _all_matches(bc, id_col: str, text_col: str):
     def run(batches):
         m = _Matcher(bc.value)
         schema = pa.schema([("qid", pa.int64(), False), ("id", pa.int64(), False)])
-        for batch in batches:
-            oq, oi = [], []
-            for rid, t in zip(batch.column(id_col).to_pylist(), batch.column(text_col).to_pylist()):
-                if t is None:
-                    continue
-                for q in m.matches(t):
-                    oq.append(q)
-                    oi.append(rid)
-            if oq:
-                yield pa.RecordBatch.from_arrays([pa.array(oq, pa.int64()), pa.array(oi, pa.int64())],
+        n_q = np.array([len(q) for q in m.qids])
+        for batch in _slices(batches):
+            kw, row = m.pairs(batch.column(text_col).to_pylist())
+            if len(kw):
+                ids = batch.column(id_col).to_numpy(zero_copy_only=False)[row]
+                qids = np.concatenate([m.qids[k] for k in kw])
+                yield pa.RecordBatch.from_arrays([pa.array(qids, pa.int64()), pa.array(np.repeat(ids, n_q[kw]), pa.int64())],
                                                  schema=schema)
     return run
 
 
+def _first_per_keyword(kw: np.ndarray, ids: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ``most[keyword]`` smallest ids of every keyword, in (keyword, id) order."""
+    order = np.lexsort((ids, kw))
+    kw, ids = kw[order], ids[order]
+    rank = np.arange(len(kw)) - np.searchsorted(kw, kw)
+    keep = rank < most[kw]
+    return kw[keep], ids[keep]
+
+
 def _partial_first(bc, id_col: str, text_col: str):
-    """Per task: for every keyword, its ``limit`` smallest matching ids (its
+    """Per task: for every request, its ``limit`` smallest matching ids (its
     own limit) and its match count (carried on the smallest id's row, 0 on
-    the others); each row also carries the keyword's limit."""
+    the others); each row also carries the request's limit.  Kept between
+    batches: per distinct keyword, the ids its largest limit needs."""
     def run(batches):
-        entries = bc.value
-        m = _Matcher(entries)
-        limits = {q: int(lim) for q, _, lim in entries}
-        heaps: dict[int, list[int]] = {}
-        counts: dict[int, int] = {}
-        for batch in batches:
-            for rid, t in zip(batch.column(id_col).to_pylist(), batch.column(text_col).to_pylist()):
-                if t is None:
-                    continue
-                for q in m.matches(t):
-                    counts[q] = counts.get(q, 0) + 1
-                    lim = limits[q]
-                    if lim <= 0:
-                        continue
-                    h = heaps.setdefault(q, [])
-                    if len(h) < lim:
-                        heapq.heappush(h, -rid)
-                    elif -h[0] > rid:
-                        heapq.heapreplace(h, -rid)
+        m = _Matcher(bc.value)
+        most = np.array([max(x) for x in m.limits], np.int64)
+        counts = np.zeros(len(most), np.int64)
+        kws, ids = np.empty(0, np.int64), np.empty(0, np.int64)
+        for batch in _slices(batches):
+            kw, row = m.pairs(batch.column(text_col).to_pylist())
+            counts += np.bincount(kw, minlength=len(most))
+            new = batch.column(id_col).to_numpy(zero_copy_only=False).astype(np.int64)[row]
+            kws, ids = _first_per_keyword(np.concatenate([kws, kw]), np.concatenate([ids, new]), most)
+        ends = np.searchsorted(kws, np.arange(len(most) + 1))
         oq, oi, on, ok = [], [], [], []
-        for q, h in heaps.items():
-            ids = sorted(-x for x in h)
-            for j, rid in enumerate(ids):
-                oq.append(q)
-                oi.append(rid)
-                on.append(counts[q] if j == 0 else 0)
-                ok.append(limits[q])
+        for at in np.flatnonzero(ends[1:] > ends[:-1]):
+            mine = ids[ends[at]: ends[at + 1]].tolist()
+            for qid, lim in zip(m.qids[at], m.limits[at]):
+                first = mine[: max(lim, 0)]
+                oq += [qid] * len(first)
+                oi += first
+                on += [int(counts[at])] * len(first[:1]) + [0] * (len(first) - 1)
+                ok += [lim] * len(first)
         if oq:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(oq, pa.int64()), pa.array(oi, pa.int64()), pa.array(on, pa.int64()),
