@@ -1,34 +1,47 @@
 """Quality rules: repetition and length base rules, and the divergence of a
 document's character-class and common-word histograms from language references.
 
-References are the pooled histograms of all documents of each language
-(one scan; per task only (languages x cells) sums leave it).  A document is
-compared, by Jensen-Shannon distance (base 2, 0 to 1), with every language's
-reference; for each of the two histograms the smallest distance counts.
+A language's reference is the pooled histogram of its documents that pass the
+base rules; a language with fewer than ``MIN_REFERENCE_DOCS`` of them, or fewer
+than ``MIN_REFERENCE_WORDS`` words in them, has none.  Words are counted in the
+cells of ``COMMON`` and, for a language not listed there, in cells of its own:
+its ``COMMON_WORDS`` most frequent words, as far as each makes ``COMMON_SHARE``
+of its words, from exact counts over those documents.
+
+A document is compared, by Jensen-Shannon distance (base 2, 0 to 1), with every
+language's reference.  Both distances are those to the nearest language: the one
+whose larger distance, each as a part of its limit, is smallest; so a document
+passes only if it passes by both histograms of one language.
 Guards: a document under ``min_words`` words is not judged by divergence, so
 its verdict is the base rules' alone; and a short histogram strays from its
 reference by chance, by about 1/sqrt(words), so the word limit is
 ``max_word_js + WORD_JS_SLACK / sqrt(n_words)``.
 
 Defined cases: null or empty text has no words and fails the base rules; a null
-``lang`` gives nothing to the references; with no reference at all (empty table,
-no language) only the base rules judge; repeated rows are judged alike; columns
+``lang`` gives nothing to the references and is judged by the nearest; with no
+reference at all (empty table, no language), or for a row whose own language has
+none, only the base rules judge; a language without frequent words (unspaced
+script) has only the listed cells; repeated rows are judged alike; columns
 beside ``doc_id``, ``text`` and ``lang`` are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import written
 from .text import LOWER, WHITE, groups, string_buffers, windows, word_hashes
 
 MIN_WORDS_BASE, REPEAT_PCT, WINDOW = 20, 30, 8
 MIN_WORDS, MAX_CHAR_JS, MAX_WORD_JS, WORD_JS_SLACK = 50, 0.25, 0.24, 1.6
+COMMON_WORDS, COMMON_SHARE, SEGMENT = 36, 0.002, 1 << 22
+MIN_REFERENCE_DOCS, MIN_REFERENCE_WORDS = 10, 2_000
 
 # --- fixed values: frequent function words, by language -----------------------
 COMMON = {
@@ -64,30 +77,44 @@ def _word_table() -> tuple[np.ndarray, np.ndarray]:
     return h[order], order
 
 
+_NONE = np.empty(0, np.uint64)
+
+
 def _per_text(mask: np.ndarray, offs: np.ndarray) -> np.ndarray:
     c = np.concatenate([[0], np.cumsum(mask)])
     return c[offs[1:]] - c[offs[:-1]]
 
 
-def histograms(buf: np.ndarray, offs: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """(texts x N_CELLS) counts: character classes, then common words and the rest."""
-    n = len(offs) - 1
-    doc = np.repeat(np.arange(n), np.diff(offs))
-    keep = _COUNTS[buf]
-    chars = np.bincount(doc[keep] * CHAR_CELLS + _CLASS[buf[keep]], minlength=n * CHAR_CELLS).reshape(n, CHAR_CELLS)
-    h, at = word_hashes(LOWER[buf], offs, _NOT_LETTER)
+def _char_counts(buf: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    keep = _COUNTS[buf] & (doc >= 0)
+    return np.bincount(doc[keep] * CHAR_CELLS + _CLASS[buf[keep]], minlength=n * CHAR_CELLS).reshape(n, CHAR_CELLS)
+
+
+def _cells(h: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Each word's cell; the one after the table's cells is every other word."""
     keys, order = table
+    if not len(keys):
+        return np.zeros(len(h), np.int64)
     pos = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-    cell = np.where(keys[pos] == h, order[pos], N_WORD_CELLS - 1)
+    return np.where(keys[pos] == h, order[pos], len(keys))
+
+
+def histograms(buf: np.ndarray, offs: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """(texts x cells) counts: character classes, then the table's words and the rest."""
+    n, cells = len(offs) - 1, len(table[0]) + 1
+    chars = _char_counts(buf, np.repeat(np.arange(n), np.diff(offs)), n)
+    h, at = word_hashes(LOWER[buf], offs, _NOT_LETTER)
     doc = np.repeat(np.arange(n), np.diff(at))
-    words = np.bincount(doc * N_WORD_CELLS + cell, minlength=n * N_WORD_CELLS).reshape(n, N_WORD_CELLS)
+    words = np.bincount(doc * cells + _cells(h, table), minlength=n * cells).reshape(n, cells)
     return np.concatenate([chars, words], axis=1)
 
 
-def _texts(batch: pa.RecordBatch, name: str) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def _texts(batch: pa.RecordBatch, name: str, most: int = 1 << 15) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     buf, offs = string_buffers(batch.column(name))
     for i, j in groups(offs):
-        yield i, j, buf[offs[i]: offs[j]], offs[i: j + 1] - offs[i]
+        for k in range(i, j, most):
+            m = min(k + most, j)
+            yield k, m, buf[offs[k]: offs[m]], offs[k: m + 1] - offs[k]
 
 
 def _pieces(buf: np.ndarray, limit: int = 1 << 22) -> Iterator[np.ndarray]:
@@ -107,28 +134,133 @@ def _hist(b: np.ndarray, o: np.ndarray, table) -> np.ndarray:
     return histograms(b, o, table)
 
 
-def language_references(df: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, np.ndarray]:
-    """{language: pooled histogram counts} over all rows with a language."""
+@dataclass
+class References:
+    """Per language: counts of the character classes and of (listed words, own words, the rest)."""
+    names: list[str]
+    chars: list[np.ndarray]
+    own: list[np.ndarray]                # hashes of each language's own words
+    words: list[np.ndarray]
+
+
+def _good(b: np.ndarray, o: np.ndarray) -> np.ndarray:
+    """Which texts pass the base rules."""
+    h, at = word_hashes(b, o)
+    return ~_base_failed(np.diff(at), np.array([_repeated(h[at[k]: at[k + 1]], WINDOW) for k in range(len(o) - 1)], np.int64))
+
+
+def _labelled(batch: pa.RecordBatch) -> Iterator[tuple[list[str], np.ndarray, np.ndarray, np.ndarray]]:
+    """(languages, each text's place among them, bytes, offsets); -1 for a text that teaches nothing."""
+    langs = batch.column("lang").to_pylist()
+    for i, j, b, o in _texts(batch, "text"):
+        good, at = _good(b, o), {}
+        owner = np.array([at.setdefault(x, len(at)) if ok and x is not None else -1 for x, ok in zip(langs[i:j], good)], np.int64)
+        if at:
+            yield list(at), owner, b, o
+
+
+def _candidates(rows: DataFrame) -> dict[str, np.ndarray]:
+    """{language: hashes} of all words that can make ``COMMON_SHARE`` of an unlisted language.
+
+    Tasks count in segments and give a segment's words above a quarter of that
+    share.  Where a word was not given it makes less than that, so what was
+    given bounds its whole count from above, and no common word is missed."""
+    low = COMMON_SHARE / 4
+
+    def flush(seen):
+        for name, (docs, parts) in seen.items():
+            h = np.concatenate(parts)
+            u, c = np.unique(h, return_counts=True)
+            hit = c >= low * len(h)
+            u, c = u[hit].view(np.int64), c[hit]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([name] * (len(u) + 1), pa.string()), pa.array([None, *u.tolist()], pa.int64()),
+                 pa.array([docs, *c.tolist()], pa.int64()), pa.array([len(h)] * (len(u) + 1), pa.int64())], names=["lang", "h", "n", "of"])
+        seen.clear()
+
     def part(batches):
-        table, sums = _word_table(), {}
+        seen, size = {}, 0
         for batch in batches:
-            langs = batch.column("lang").to_pylist()
-            for i, j, b, o in _texts(batch, "text"):
-                h = _hist(b, o, table)
-                for k in range(i, j):
-                    if langs[k] is not None:
-                        sums[langs[k]] = sums.get(langs[k], 0) + h[k - i]
+            for names, owner, b, o in _labelled(batch):
+                h, at = word_hashes(LOWER[b], o, _NOT_LETTER)
+                for k in np.flatnonzero(owner >= 0):
+                    own = seen.setdefault(names[owner[k]], [0, []])
+                    own[0] += 1
+                    own[1].append(h[at[k]: at[k + 1]].copy())
+                    size += 64 + int(at[k + 1] - at[k])
+                if size > SEGMENT:
+                    yield from flush(seen)
+                    size = 0
+        yield from flush(seen)
+
+    got = (rows.filter(~F.col("lang").isin(*COMMON)).mapInArrow(part, "lang string, h long, n long, of long")
+           .groupBy("lang", "h").agg(F.sum("n").alias("n"), F.sum("of").alias("of")))
+    got = written(got, "common-words")
+    total = got.filter(F.col("h").isNull() & (F.col("n") >= MIN_REFERENCE_DOCS) & (F.col("of") >= MIN_REFERENCE_WORDS))
+    got = (got.filter(F.col("h").isNotNull()).join(total.select("lang", F.col("of").alias("all")), "lang")
+           .filter(F.col("n") + low * (F.col("all") - F.col("of")) >= COMMON_SHARE * F.col("all")))
+    out: dict[str, list[int]] = {}
+    for r in got.select("lang", "h").toLocalIterator():      # a few hundred words a language at most
+        out.setdefault(r["lang"], []).append(r["h"])
+    listed = _word_table()[0]
+    return {k: np.setdiff1d(np.array(v, np.int64).view(np.uint64), listed) for k, v in out.items()}
+
+
+def language_references(df: DataFrame, text: str = "text", lang: str = "lang") -> References:
+    """The languages' references, from all rows with a language that pass the base rules."""
+    rows = df.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).filter("lang IS NOT NULL")
+    own = _candidates(rows)
+
+    def flush(sums):
         for name, v in sums.items():
             cells = np.flatnonzero(v)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([name] * len(cells), pa.string()), pa.array(cells, pa.int32()), pa.array(v[cells], pa.int64())],
-                names=["lang", "cell", "n"])
-    rows = (df.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
-            .mapInArrow(part, "lang string, cell int, n long")
-            .groupBy("lang", "cell").agg(F.sum("n").alias("n")))
-    out: dict[str, np.ndarray] = {}
-    for r in rows.toLocalIterator():     # languages x N_CELLS rows at most
-        out.setdefault(r["lang"], np.zeros(N_CELLS))[r["cell"]] = r["n"]
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(cells), pa.string()), pa.array(cells, pa.int32()),
+                                              pa.array(v[cells], pa.int64())], names=["lang", "cell", "n"])
+        sums.clear()
+
+    def pooled(names, owner, b, o, table):
+        """Counts per language: characters, listed words and the rest, own candidates."""
+        n = len(names)
+        chars = _char_counts(b, np.repeat(owner, np.diff(o)), n)
+        h, at = word_hashes(LOWER[b], o, _NOT_LETTER)
+        who = np.repeat(owner, np.diff(at))
+        h, who = h[who >= 0], who[who >= 0]
+        words = np.bincount(who * N_WORD_CELLS + _cells(h, table), minlength=n * N_WORD_CELLS).reshape(n, N_WORD_CELLS)
+        for k, name in enumerate(names):
+            cand = own.get(name, _NONE)
+            mine = np.bincount(_cells(h[who == k], (cand, np.arange(len(cand)))), minlength=len(cand) + 1)[:-1] if len(cand) else ()
+            yield name, np.concatenate([chars[k], words[k], mine]).astype(np.int64)
+
+    def part(batches):
+        table, sums = _word_table(), {}
+        for batch in batches:
+            for names, owner, b, o in _labelled(batch):
+                for name, n in zip(names, np.bincount(owner[owner >= 0])):
+                    sums.setdefault(name, np.zeros(N_CELLS + len(own.get(name, _NONE)) + 1, np.int64))[-1] += n
+                long = len(o) == 2 and o[1] > 1 << 22
+                for x, y in (((x, np.array([0, len(x)])) for x in _pieces(b)) if long else [(b, o)]):
+                    for name, v in pooled(names, owner, x, y, table):
+                        sums[name][:-1] += v
+                if len(sums) > 10_000:
+                    yield from flush(sums)
+        yield from flush(sums)
+
+    got = (rows.mapInArrow(part, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
+           .groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("cell", "n"))).alias("v")))
+    out = References([], [], [], [])
+    for r in got.filter(F.size("v") > 0).orderBy("lang").toLocalIterator():
+        cand = own.get(r["lang"], _NONE)
+        v = np.zeros(N_CELLS + len(cand) + 1, np.int64)
+        v[list(r["v"])] = list(r["v"].values())
+        chars, words, mine, docs = v[:CHAR_CELLS], v[CHAR_CELLS: N_CELLS], v[N_CELLS: -1], v[-1]
+        if docs < MIN_REFERENCE_DOCS or words.sum() < MIN_REFERENCE_WORDS:
+            continue
+        top = np.lexsort((cand, -mine))[:COMMON_WORDS]
+        top = top[mine[top] >= COMMON_SHARE * words.sum()]
+        out.names.append(r["lang"])
+        out.chars.append(chars)
+        out.own.append(cand[top])
+        out.words.append(np.concatenate([words[:-1], mine[top], [words[-1] - mine[top].sum()]]))
     return out
 
 
@@ -157,6 +289,10 @@ def _repeated(h: np.ndarray, k: int) -> int:
     return int((np.cumsum(edge)[: len(h)] > 0).sum())
 
 
+def _base_failed(n_words: np.ndarray, repeated: np.ndarray) -> np.ndarray:
+    return (n_words < MIN_WORDS_BASE) | (100 * repeated > REPEAT_PCT * n_words)
+
+
 def _dup_lines(raw: bytes) -> int:
     lines = [x for x in raw.split(b"\n") if x.strip()] if b"\n" in raw else ()
     return len(lines) - len(set(lines))
@@ -166,23 +302,27 @@ SCHEMA = ("doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lin
           "base_failed boolean, kept boolean, char_js double, word_js double, nearest_lang string")
 
 
-def judge(df: DataFrame, refs: dict[str, np.ndarray], doc_id: str = "doc_id", text: str = "text",
+def judge(df: DataFrame, refs: References, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
           min_words: int = MIN_WORDS, max_char_js: float = MAX_CHAR_JS, max_word_js: float = MAX_WORD_JS,
           extra: list[str] | None = None) -> DataFrame:
-    """One row per document: the base counts, the smallest distances to the
-    references (``refs``: languages x N_CELLS counts, carried with the
-    function) and the verdict.  ``extra`` columns of ``df`` are carried along."""
+    """One row per document: the base counts, the distances to the nearest
+    reference (``refs`` is carried with the function) and the verdict.
+    ``extra`` columns of ``df`` are carried along."""
     extra = extra or []
-    names = sorted(refs)
+    names = refs.names
     typ = {f.name: f for f in df.schema.fields}
 
     def part(batches):
-        table = _word_table()
+        keys, order = _word_table()
+        more = np.unique(np.concatenate([_NONE, *refs.own]))
+        at = np.argsort(both := np.concatenate([keys, more]))
+        table = both[at], np.concatenate([order, len(keys) + np.arange(len(more))])[at]
+        own = [len(keys) + np.searchsorted(more, x) for x in refs.own]
         for batch in batches:
-            for i, j, b, o in _texts(batch, "__text"):
-                yield score(batch.slice(i, j - i), b, o, table)
+            for i, j, b, o in _texts(batch, "__text", max(1, (1 << 22) // len(both))):
+                yield score(batch.slice(i, j - i), b, o, table, own)
 
-    def score(rows, b, o, table):
+    def score(rows, b, o, table, own):
         n = len(o) - 1
         h, at = word_hashes(b, o)
         n_words = np.diff(at)
@@ -190,17 +330,24 @@ def judge(df: DataFrame, refs: dict[str, np.ndarray], doc_id: str = "doc_id", te
         n_symbols = _per_text(_SYMBOL[b], o)
         dup = np.array([_dup_lines(b[o[k]: o[k + 1]].tobytes()) for k in range(n)], np.int64)
         rep = np.array([_repeated(h[at[k]: at[k + 1]], WINDOW) for k in range(n)], np.int64)
-        failed = (n_words < MIN_WORDS_BASE) | (100 * rep > REPEAT_PCT * n_words)
+        failed = _base_failed(n_words, rep)
         hist = _hist(b, o, table)
-        cj, wj, near = np.full(n, np.nan), np.full(n, np.nan), np.full(n, None)
-        for name in names:
-            c = js_distance(hist[:, :CHAR_CELLS], refs[name][:CHAR_CELLS])
-            w = js_distance(hist[:, CHAR_CELLS:], refs[name][CHAR_CELLS:])
-            near = np.where(np.isnan(wj) | (w < wj), name, near)
-            cj, wj = np.fmin(cj, c), np.fmin(wj, w)
-        judged = (n_words >= min_words) & (len(names) > 0)
+        chars, words = hist[:, :CHAR_CELLS], hist[:, CHAR_CELLS:]
+        listed, total = words[:, :len(WORDS)], words.sum(axis=1, keepdims=True)
+        limit = max_word_js + WORD_JS_SLACK / np.sqrt(np.maximum(n_words, 1))
+        cj, wj, near, best = np.full(n, np.nan), np.full(n, np.nan), np.full(n, None), np.full(n, np.inf)
+        for k, name in enumerate(names):
+            mine = np.concatenate([listed, words[:, own[k]]], axis=1)
+            c = js_distance(chars, refs.chars[k])
+            w = js_distance(np.concatenate([mine, total - mine.sum(axis=1, keepdims=True)], axis=1), refs.words[k])
+            far = np.maximum(c / max_char_js, w / limit)
+            hit = far < best
+            best, near = np.where(hit, far, best), np.where(hit, name, near)
+            cj, wj = np.where(hit, c, cj), np.where(hit, w, wj)
+        known = np.array([x is None or x in names for x in rows.column("__lang").to_pylist()], bool)
+        judged = (n_words >= min_words) & known & (len(names) > 0)
         with np.errstate(invalid="ignore"):
-            kept = ~failed & ~(judged & ((cj > max_char_js) | (wj > max_word_js + WORD_JS_SLACK / np.sqrt(np.maximum(n_words, 1)))))
+            kept = ~failed & ~(judged & ((cj > max_char_js) | (wj > limit)))
         out = [rows.column("__id"), *(pa.array(x.astype(np.int64)) for x in (n_words, word_chars, n_symbols, dup, rep)),
                pa.array(failed), pa.array(kept), pa.array(cj, from_pandas=True), pa.array(wj, from_pandas=True),
                pa.array(near.tolist(), pa.string())]
@@ -208,6 +355,7 @@ def judge(df: DataFrame, refs: dict[str, np.ndarray], doc_id: str = "doc_id", te
                                           names=[*(x.split()[0] for x in SCHEMA.split(", ")), *(f"__x{k}" for k in range(len(extra)))])
 
     src = df.select(F.col(doc_id).cast("long").alias("__id"), F.col(text).cast("string").alias("__text"),
+                    F.col(lang).cast("string").alias("__lang"),
                     *(F.col(f"`{c}`").alias(f"__x{k}") for k, c in enumerate(extra)))
     schema = SCHEMA + "".join(f", __x{k} {typ[c].dataType.simpleString()}" for k, c in enumerate(extra))
     return src.mapInArrow(part, schema)

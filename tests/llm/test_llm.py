@@ -109,6 +109,31 @@ def test_quality_brute_force(spark, docs, odd, none):
     assert quality.keep_good(odd).columns == odd.columns
 
 
+def test_quality_languages_beyond_the_listed(spark):
+    """A language without listed words (own common words from its counts) takes up no foreign text, and its own text stays."""
+    rng = random.Random(4)
+    few = {la: ["".join(rng.choice(abc) for _ in range(rng.randint(2, 4))) for _ in range(30)] for la, abc in (("it", "aeiolrtn"), ("xx", "kwzyjuqb"))}
+    few["en"] = quality.COMMON["en"].split()
+
+    def text(la, n=200, share=0.6):
+        rare = lambda: "".join(rng.choice("aeiostrnlmd") for _ in range(9))
+        return " ".join(rng.choice(few[la]) if rng.random() < share else rare() for _ in range(n))
+    rows = [(k, text(la), la, "s") for k, la in enumerate(["it"] * 40 + ["xx"] * 40 + ["en"] * 40)]
+    plain = [(1000 + k, text("en", share=0), "en", "s") for k in range(4)] + [(1010, text("en", share=0), None, "s")]
+    alone = [(2000, text("it", share=0), "rare", "s")]                       # no reference of its own: base rules alone
+    spoilt = [(3000 + k, " ".join(["spam spam"] * 400), "it", "s") for k in range(30)]    # fails the base rules, teaches nothing
+    df = made(spark, rows + plain + alone + spoilt)
+    refs = quality.language_references(df)
+    assert refs.names == ["en", "it", "xx"] and [len(x) for x in refs.own][0] == 0 and min(map(len, refs.own[1:])) >= 25
+    own = Counter(w for _, t, la, _ in rows if la == "it" for w in t.split())
+    size = sum(own.values())
+    want = sorted((n for w, n in own.items() if n >= quality.COMMON_SHARE * size and w not in quality.WORDS), reverse=True)[:quality.COMMON_WORDS]
+    assert sorted(refs.words[1][len(quality.WORDS): -1].tolist(), reverse=True) == want and refs.words[1].sum() == size
+    got = {r["doc_id"]: r for r in quality.quality(df).collect()}
+    assert all(got[i]["kept"] and got[i]["nearest_lang"] == la for i, _, la, _ in rows)
+    assert not any(got[i]["kept"] for i, *_ in plain + spoilt) and got[2000]["kept"]
+
+
 # -- 1 ---------------------------------------------------------------------------------
 
 def check_packing(rows, got, limit):
