@@ -2,7 +2,8 @@
 
 Each language has a probability for every piece of a fixed public vocabulary.
 A word's probability is the sum, by the forward algorithm, over all its
-segmentations into pieces; a text's is the product over all its words.  The
+segmentations into pieces; a text's is the product over all its words.  All
+sums are kept in logs, so a run of any characters has a finite score.  The
 probabilities are fitted by expectation-maximisation over the same lattices.
 
 Fitting reads a bounded sample of labelled rows: about ``SAMPLE_DOCS``
@@ -18,6 +19,7 @@ scored alike; extra columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 
@@ -49,35 +51,51 @@ def _by(at: np.ndarray, top: int) -> list[np.ndarray]:
     return [order[cuts[k]: cuts[k + 1]] for k in range(top + 1)]
 
 
-def forward(words: list[str], lat, prob: np.ndarray) -> np.ndarray:
-    """(words x positions x languages) forward sums; prob: pieces x languages."""
+def _add(a: np.ndarray, k: int, x: np.ndarray, w: np.ndarray) -> None:
+    """Adds the sums of x by word (w, ascending) to position k of a; all in logs."""
+    if not len(w):
+        return
+    first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
+    who = w[first]
+    top = np.maximum(np.maximum.reduceat(x, first, axis=0), a[who, k])
+    at = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(w))))
+    a[who, k] = top + np.log(np.add.reduceat(np.exp(x - top[at]), first, axis=0) + np.exp(a[who, k] - top))
+
+
+def log_forward(words: list[str], lat, logp: np.ndarray) -> np.ndarray:
+    """Logs of the forward sums (words x positions x languages), finite for any word; logp: pieces x languages."""
     w, s, e, p = lat
     size = max(map(len, words))
-    a = np.zeros((len(words), size + 1, prob.shape[1]))
-    a[:, 0] = 1.0
+    a = np.zeros((len(words), size + 1, logp.shape[1]))
     ends = _by(e, size)
     for k in range(1, size + 1):
-        a[:, k] = a[:, k - 1] * UNKNOWN
+        a[:, k] = a[:, k - 1] + math.log(UNKNOWN)
         m = ends[k]
-        np.add.at(a[:, k], w[m], a[w[m], s[m]] * prob[p[m]])
+        _add(a, k, a[w[m], s[m]] + logp[p[m]], w[m])
     return a
 
 
-def backward(words: list[str], lat, prob: np.ndarray) -> np.ndarray:
+def log_backward(words: list[str], lat, logp: np.ndarray) -> np.ndarray:
     w, s, e, p = lat
     size = max(map(len, words))
-    b = np.zeros((len(words), size + 1, prob.shape[1]))
+    b = np.full((len(words), size + 1, logp.shape[1]), -np.inf)
     lens = np.array([len(x) for x in words])
-    b[np.arange(len(words)), lens] = 1.0
+    b[np.arange(len(words)), lens] = 0.0
     starts = _by(s, size)
     for k in range(size - 1, -1, -1):
-        inner = (lens > k)[:, None]
-        b[:, k] += np.where(inner, b[:, k + 1] * UNKNOWN, 0)
+        inner = lens > k
+        b[inner, k] = b[inner, k + 1] + math.log(UNKNOWN)
         m = starts[k]
-        np.add.at(b[:, k], w[m], b[w[m], e[m]] * prob[p[m]])
+        _add(b, k, b[w[m], e[m]] + logp[p[m]], w[m])
     return b
 
 
+def forward(words: list[str], lat, prob: np.ndarray) -> np.ndarray:
+    """The forward sums themselves; prob: pieces x languages.  They reach 0 on long words, ``log_forward`` does not."""
+    with np.errstate(divide="ignore"):
+        return np.exp(log_forward(words, lat, np.log(prob)))
+
+
 def fit(counts: dict[str, dict[str, int]], path: str, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
     """(languages, pieces x languages probabilities) from word counts of each language."""
     names = sorted(counts)
@@ -91,12 +109,12 @@ def fit(counts: dict[str, dict[str, int]], path: str, rounds: int = ROUNDS) -> t
             parts.append((ws, np.array([c for _, c in rows[i: i + BATCH]], float), lattice(ws, path)))
         for _ in range(rounds):
             got = np.zeros(v)
-            col = prob[:, lang: lang + 1]
+            col = np.log(prob[:, lang: lang + 1])
             for ws, n, lat in parts:
-                a, b = forward(ws, lat, col)[..., 0], backward(ws, lat, col)[..., 0]
+                a, b = log_forward(ws, lat, col)[..., 0], log_backward(ws, lat, col)[..., 0]
                 z = a[np.arange(len(ws)), [len(x) for x in ws]]
                 w, s, e, p = lat
-                np.add.at(got, p, n[w] * a[w, s] * prob[p, lang] * b[w, e] / z[w])
+                np.add.at(got, p, n[w] * np.exp(a[w, s] + col[p, 0] + b[w, e] - z[w]))
             prob[:, lang] = (got + SMOOTH) / (got + SMOOTH).sum()
     return names, prob
 
@@ -134,7 +152,7 @@ def word_counts(rows: DataFrame, most: int = TRAIN_WORDS) -> dict[str, dict[str,
 
 class Scorer:
     def __init__(self, names: list[str], prob: np.ndarray, path: str):
-        self.names, self.prob, self.path = names, prob, path
+        self.names, self.logp, self.path = names, np.log(prob), path
         self.memo: dict[str, np.ndarray] = {}
 
     def _learn(self, words: list[str]) -> None:
@@ -142,9 +160,8 @@ class Scorer:
             ws = sorted(words[i: i + BATCH], key=len)
             for k in range(0, len(ws), 500):
                 part = ws[k: k + 500]
-                a = forward(part, lattice(part, self.path), self.prob)
-                z = np.log(a[np.arange(len(part)), [len(x) for x in part]])
-                self.memo.update(zip(part, z))
+                a = log_forward(part, lattice(part, self.path), self.logp)
+                self.memo.update(zip(part, a[np.arange(len(part)), [len(x) for x in part]]))
 
     def score(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         todo = [None if t is None or not _LETTER.search(t) else words_of(t) for t in texts]

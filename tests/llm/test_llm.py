@@ -443,6 +443,25 @@ def test_forward_sums_all_segmentations():
         assert np.allclose(a[k, len(w)], [total(w, 0), total(w, 1)])
 
 
+def test_langid_long_runs(spark):
+    """60 characters outside the vocabulary, in training rows and in scored ones: probabilities and scores stay finite, no language is vetoed."""
+    path = pieces.default_vocabulary()
+    run, en, de = "\U00013000" * 60, "the house and the garden of the king ", "das haus und der garten von dem könig "
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 4 != 2][:40]
+    learn = [(i, (en if i % 2 else de) * 5 + (run if i % 4 == 0 else ""), "en" if i % 2 else "de", "s") for i in ids]
+    held = [i for i in range(200, 400) if zlib.crc32(str(i).encode()) % 4 == 2][:3]
+    ask = [(held[0], run + " " + en * 20, "en", "s"), (held[1], de * 20 + run, "de", "s"), (held[2], "x" + run + run, "de", "s")]
+    got = {r["doc_id"]: r for r in langid.identify(made(spark, learn + ask), path).collect()}
+    assert all(0 <= r["score"] <= 1 for r in got.values())
+    assert all(got[i]["lang_pred"] == la for i, _, la, _ in learn + ask[:2])
+    names, prob = langid.fit({"aa": {"▁" + run[:59]: 3, "▁the": 5}, "bb": {"▁haus": 2}}, path)
+    assert np.isfinite(prob).all() and np.allclose(prob.sum(axis=0), 1)
+    w = ["▁" + run[:59], "▁the"]
+    a = langid.log_forward(w, pieces.lattice(w, path), np.log(prob))
+    b = langid.log_backward(w, pieces.lattice(w, path), np.log(prob))
+    assert np.isfinite(a).all() and np.allclose(a[[0, 1], [60, 4]], b[:, 0])
+
+
 # -- 10 --------------------------------------------------------------------------------
 
 def test_token_counts(spark, docs, odd, none):
