@@ -25,6 +25,7 @@ import hashlib
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -33,34 +34,62 @@ from .shared import written
 
 WEIGHTS, SHARE, CAP = (3, 1, 2), 1.5, 2.0
 BLOCK_WORDS, SHARDS, SEED = 20_000, 16, 11
-MAX_SOURCES = 100_000
+BROADCAST_SOURCES, GROUP_SOURCES, MAX_GROUPS = 100_000, 4_096, 65_536
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def targets(sizes: list[int], weights: list[float], share: float = SHARE, cap: float = CAP) -> list[float]:
-    """Shares of ``share`` times all words by weight; a target stops at ``cap``
-    times its source's size and the excess is shared anew until none is above."""
-    left, out, free = share * sum(sizes), [0.0] * len(sizes), list(range(len(sizes)))
-    while free:
-        w = sum(weights[i] for i in free)
-        over = [i for i in free if left * weights[i] / w > cap * sizes[i]]
-        if not over:
-            for i in free:
-                out[i] = left * weights[i] / w
+def numbered_sources(sized: DataFrame) -> tuple[DataFrame, int]:
+    """((sid, source, size), number of sources): one row per source, numbered in
+    code-point order, null last; only a count per partition reaches the driver."""
+    spark = sized.sparkSession
+    sums = written(sized.groupBy("source").agg(F.sum("size").alias("size")), "sources")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    by = F.col("source").asc_nulls_last()
+    rows = written(sums.repartitionByRange(parts, by).sortWithinPartitions(by)
+                   .withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "numbered")
+    n = {r["part"]: r["n"] for r in rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    first, at = [], 0
+    for k in range(max(n, default=-1) + 1):
+        first.append((k, at))
+        at += n.get(k, 0)
+    rows = rows.join(F.broadcast(spark.createDataFrame(first, "part int, first long")), "part")
+    return rows.select((F.col("first") + F.col("at")).alias("sid"), "source", "size"), at
+
+
+def with_targets(src: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
+    """``src`` with each source's target: shares of ``share`` times all words by
+    weight; a target stops at ``cap`` times its source's size and the excess is
+    shared anew until none is above.  Each round takes from the table, per weight,
+    the exact words and number of the sources that stop."""
+    kind, w = F.pmod("sid", F.lit(len(weights))), F.lit(0.0)
+    for k, x in enumerate(weights):
+        w = F.when(kind == k, F.lit(float(x))).otherwise(w)
+
+    def sums(rows):
+        return {r["k"]: (r["n"], r["size"]) for r in rows.groupBy(kind.alias("k")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")).collect()}
+    whole = sums(src)
+    total, stopped, level = share * sum(x for _, x in whole.values()), {}, F.lit(0.0)
+    while True:
+        left = total - cap * sum(x for _, x in stopped.values())
+        of = sum(weights[k] * (n - stopped.get(k, (0, 0))[0]) for k, (n, _) in whole.items())
+        if not of:
+            level = F.when(w > 0, F.lit(float("inf"))).otherwise(F.lit(0.0)) if stopped else F.lit(0.0)
             break
-        for i in over:
-            out[i] = cap * sizes[i]
-        left -= sum(out[i] for i in over)
-        free = [i for i in free if i not in set(over)]
-    return out
+        level = F.lit(float(left)) * w / F.lit(float(of))
+        more = sums(src.filter(level > F.lit(float(cap)) * F.col("size")))
+        if sum(n for n, _ in more.values()) <= sum(n for n, _ in stopped.values()):
+            break
+        stopped = more
+    return src.withColumn("target", F.least(level, F.lit(float(cap)) * F.col("size")))
 
 
 def _seed(*parts) -> int:
     return int.from_bytes(hashlib.blake2b(repr(parts).encode(), digest_size=8).digest(), "little")
 
 
-def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
-    """(shards x sources) block counts whose columns sum to ``quotas``."""
+def split_quotas(quotas: np.ndarray, shards: int, seed: int, totals: np.ndarray | None = None, key: tuple = ()) -> np.ndarray:
+    """(shards x sources) block counts whose columns sum to ``quotas`` and whose
+    rows sum to ``totals``, where given, or else are near to equal."""
     out = np.zeros((shards, len(quotas)), np.int64)
 
     def down(q: np.ndarray, lo: int, hi: int) -> None:
@@ -69,8 +98,8 @@ def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
             return
         mid = (lo + hi) // 2
         total = int(q.sum())
-        take = round(total * (mid - lo) / (hi - lo))
-        rng = np.random.default_rng(_seed(seed, lo, hi))
+        take = round(total * (mid - lo) / (hi - lo)) if totals is None else int(totals[lo:mid].sum())
+        rng = np.random.default_rng(_seed(seed, lo, hi, *key))
         left = np.zeros_like(q)
         rest = total
         for i, c in enumerate(q):        # the multivariate draw, one source after another
@@ -84,6 +113,28 @@ def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return out
 
 
+def dealt_quotas(quota: DataFrame, n_sources: int, shards: int, seed: int) -> DataFrame:
+    """``quota`` (sid, n, quota) as (sid, blocks_of, ends): the splitting tree's
+    cumulative counts.  The root's split is a draw among groups of sources, on the
+    driver; given a group's counts, executors draw among its sources alone, which
+    together is the one multivariate draw."""
+    spark = quota.sparkSession
+    per = max(GROUP_SOURCES, math.ceil(n_sources / MAX_GROUPS))
+    n_groups = max(1, math.ceil(n_sources / per))
+    quota = quota.withColumn("g", F.floor(F.col("sid") / per).cast("long"))
+    sums = np.zeros(n_groups, np.int64)
+    for r in quota.groupBy("g").agg(F.sum("quota").alias("n")).collect():
+        sums[r["g"]] = r["n"]
+    totals = spark.sparkContext.broadcast(split_quotas(sums, shards, seed))
+
+    def deal(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("sid")
+        g = int(rows["g"].iloc[0])
+        out = split_quotas(rows["quota"].to_numpy(), shards, seed, totals.value[:, g], (g,) if n_groups > 1 else ())
+        return pd.DataFrame({"sid": rows["sid"], "blocks_of": rows["n"], "ends": list(np.cumsum(out, axis=0).T)})
+    return quota.groupBy("g").applyInPandas(deal, "sid long, blocks_of long, ends array<long>")
+
+
 def _hypergeometric(rng, good: int, bad: int, sample: int) -> int:
     if not sample or not good:
         return 0
@@ -94,17 +145,6 @@ def _hypergeometric(rng, good: int, bad: int, sample: int) -> int:
     return int(min(max(round(rng.normal(sample * p, sd)), sample - bad, 0), good, sample))
 
 
-def source_targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> list[tuple]:
-    """(source, size, target) in code-point order, null last.  One row per source
-    reaches the driver; more than ``MAX_SOURCES`` sources are refused."""
-    rows = sized.groupBy("source").agg(F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    rows.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
-    t = targets([r["size"] for r in rows], [weights[i % len(weights)] for i in range(len(rows))], share, cap)
-    return [(r["source"], r["size"], x) for r, x in zip(rows, t)]
-
-
 def mix(df: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, block_words: int = BLOCK_WORDS,
         shards: int = SHARDS, seed: int = SEED, keep: list[str] | None = None,
         doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -122,12 +162,12 @@ def mix(df: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP,
     else:                                    # ids and numbers only; the texts are read once
         sized = (written(sized, "sizes").groupBy("doc_id", "source", "size", "content", "kept").agg(F.count(F.lit(1)).alias("n"))
                  .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).drop("n"))
-    plan = source_targets(sized.select("source", "size"), weights, share, cap)
-    n_blocks = [max(1, math.ceil(size / block_words)) for _, size, _ in plan]
-    src = spark.createDataFrame(
-        [(i, s, int(n), float(t), b) for i, ((s, n, t), b) in enumerate(zip(plan, n_blocks))],
-        "sid int, source string, source_size long, target double, n_blocks long")
-    rows = (sized.alias("d").join(F.broadcast(src).alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
+    src, n_sources = numbered_sources(sized.select("source", "size"))
+    small = F.broadcast if n_sources <= BROADCAST_SOURCES else (lambda x: x)      # beyond that, joined by source
+    src = with_targets(src, weights, share, cap).select(
+        "sid", "source", F.col("size").alias("source_size"), "target",
+        F.greatest(F.lit(1), F.ceil(F.col("size") / F.lit(block_words))).cast("long").alias("n_blocks"))
+    rows = (sized.alias("d").join(small(src).alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
             .select("d.*", "s.sid", "s.source_size", "s.target", "s.n_blocks"))
     # a row's place follows from its content and, among equal rows, its number or kept columns, so reruns
     # agree; the kept columns move no other row, so mixes with and without them agree
@@ -135,22 +175,19 @@ def mix(df: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP,
             .withColumn("block", F.pmod(F.xxhash64(F.col("h"), F.lit(1)), F.col("n_blocks"))))
     # order of a source's blocks: a keyed permutation; words before each block, summed in two levels
     blocks = rows.groupBy("sid", "block").agg(F.sum("size").alias("words"))
-    blocks = blocks.withColumn("perm", F.xxhash64(F.lit(seed), F.lit("perm"), "sid", "block"))
+    blocks = blocks.withColumn("perm", F.xxhash64(F.lit(seed), F.lit("perm"), F.pmod("sid", F.lit(2**31 - 1)).cast("int"), "block"))
     before = _running(blocks, ["sid"], ["perm", "block"], "words", "before", "place")
     tgt = src.select("sid", "source_size", "target")
-    b = before.join(F.broadcast(tgt), "sid")
+    b = before.join(small(tgt), "sid")
     whole = F.when(F.col("source_size") > 0, F.floor(F.round("target") / F.col("source_size"))).otherwise(F.lit(0))
     part = F.round("target").cast("long") - whole * F.col("source_size")
     b = (b.withColumn("whole", whole.cast("long")).withColumn("part", part.cast("long"))
          .withColumn("rest", F.greatest(F.lit(0), F.least(F.col("words"), F.col("part") - F.col("before"))).cast("long")))
     # quotas: blocks drawn, pass by pass; the tree deals them among the shards
-    quota = {r["sid"]: r for r in b.groupBy("sid").agg(F.count(F.lit(1)).alias("n"), F.max("whole").alias("whole"),
-             F.sum((F.col("rest") > 0).cast("long")).alias("partial")).collect()}
-    drawn = np.array([quota[i]["n"] * quota[i]["whole"] + quota[i]["partial"] if i in quota else 0 for i in range(len(plan))], np.int64)
-    starts = np.cumsum(split_quotas(drawn, shards, seed), axis=0) if len(plan) else np.zeros((shards, 0), np.int64)
-    ends = spark.createDataFrame([(i, int(quota[i]["n"]) if i in quota else 0, [int(x) for x in starts[:, i]]) for i in range(len(plan))],
-                                 "sid int, blocks_of long, ends array<long>")
-    b = b.join(F.broadcast(ends), "sid").select("sid", "block", "words", "place", "blocks_of", "ends", "whole", "rest")
+    quota = b.groupBy("sid").agg(F.count(F.lit(1)).alias("n"), F.max("whole").alias("whole"), F.sum((F.col("rest") > 0).cast("long")).alias("partial"))
+    quota = written(quota.select("sid", "n", (F.col("n") * F.col("whole") + F.col("partial")).alias("quota")), "quotas")
+    ends = dealt_quotas(quota, n_sources, shards, seed)
+    b = b.join(small(ends), "sid").select("sid", "block", "words", "place", "blocks_of", "ends", "whole", "rest")
     inside = Window.partitionBy("sid", "block").orderBy("h", "doc_id", "content", "copy", "kept").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("ahead", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     rows = rows.join(b, ["sid", "block"])

@@ -405,6 +405,40 @@ def test_mixing(spark, docs, odd, none):
     assert mixing.mix(none).count() == 0
 
 
+def test_mixing_many_sources(spark, monkeypatch):
+    """More sources than the driver takes: targets, quotas and draws come from executors, joined by source, and agree with the small way."""
+    rng = random.Random(5)
+    rows = [(i, "w " * rng.randint(0, 40), "en", f"s{rng.randint(0, 60)}" if i % 50 else None) for i in range(600)]
+    df = made(spark, rows)
+    few = sorted(map(str, mixing.mix(df, block_words=50).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 3)
+    assert few == sorted(map(str, mixing.mix(df, block_words=50).collect()))
+    monkeypatch.setattr(mixing, "GROUP_SOURCES", 7)
+    got = mixing.mix(df, block_words=50).collect()
+    size, taken, target, source = Counter(), Counter(), {}, {i: s for i, _, _, s in rows}
+    for _, t, _, s in rows:
+        size[s] += len(words(t))
+    shard = Counter()
+    for r in got:
+        s = source[r["doc_id"]]
+        taken[s] += r["taken"]
+        target[s] = r["target"]
+        shard.update({d["shard"] for d in r["draws"]})
+    assert all(abs(taken[s] - target[s]) <= 0.5 and r["source_size"] == size[source[r["doc_id"]]] for s in size)
+    assert abs(sum(target.values()) - 1.5 * sum(size.values())) < 1e-6 and set(shard) == set(range(16))
+    many = spark.range(100_500).select(F.col("id").alias("doc_id"), F.lit("one two").alias("text"), F.col("id").cast("string").alias("source"))
+    r = mixing.mix(many).agg(F.count(F.lit(1)), F.sum("taken"), F.sum("target")).collect()[0]
+    assert r[0] == 100_500 and abs(r[2] - 301_500) < 1e-3 and abs(r[1] - 301_500) <= 0.5 * 100_500
+
+
+def test_quotas_by_groups_add_up(spark):
+    q = np.random.default_rng(2).integers(0, 9, 50)
+    all_shards = mixing.split_quotas(np.array([q[:20].sum(), q[20:].sum()]), 16, 1)
+    parts = [mixing.split_quotas(x, 16, 1, all_shards[:, g], (g,)) for g, x in enumerate((q[:20], q[20:]))]
+    assert (np.concatenate(parts, axis=1).sum(axis=0) == q).all()
+    assert all((p >= 0).all() and (p.sum(axis=1) == all_shards[:, g]).all() for g, p in enumerate(parts))
+
+
 def test_splitting_tree():
     q = np.array([1000, 0, 37, 5])
     out = mixing.split_quotas(q, 16, 1)
