@@ -7,6 +7,8 @@ each query probes its ``nprobe`` nearest centroids; every corpus Arrow batch
 scores its rows only against the queries that probe the rows' cluster and
 emits local top-k candidates; a final per-query ranking gives the answer.
 No query x row pair becomes a Spark row and the corpus is not shuffled.
+Unless given, the cluster count grows with the corpus and ``nprobe`` is chosen
+by ``choose_nprobe``: recall measured against exact search on a query sample.
 Report the scanned share beside recall (``scanned_share``).
 
 Stored form: ``write_clustered`` writes the corpus partitioned by cluster
@@ -27,7 +29,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ragtide.functions.vector import as_double_array
-from ragtide.operators.topk import DEFAULT_MAX_BROADCAST_BYTES, TaskTopK, _unit_rows, finite_vector, topk_mask
+from ragtide.operators.topk import DEFAULT_MAX_BROADCAST_BYTES, TaskTopK, _unit_rows, finite_vector, topk_batch, topk_mask
+
+MIN_RECALL, SAMPLE_QUERIES = 0.9, 256
+MIN_CLUSTERS, ROWS_PER_CENTROID = 40, 50      # training rows a centroid has at least, beyond MIN_CLUSTERS
 
 _CAND = T.StructType([T.StructField("qid", T.LongType(), False), T.StructField("id", T.LongType(), False),
                       T.StructField("similarity", T.DoubleType(), False)])
@@ -56,12 +61,16 @@ class ClusterIndex:
                 .drop("_features", "_cluster", "_nz"))
 
 
-def build_index(corpus: DataFrame, n_clusters: int = 40, *, vec_col: str = "embedding",
+def build_index(corpus: DataFrame, n_clusters: int | None = None, *, vec_col: str = "embedding",
                 seed: int = 1, max_train_rows: int = 200_000, max_iter: int = 20) -> ClusterIndex:
-    """Fit cosine KMeans on at most ``max_train_rows`` sampled non-zero vectors."""
+    """Fit cosine KMeans on at most ``max_train_rows`` sampled non-zero vectors.
+    Unless given, there are as many clusters as the square root of the rows,
+    ``MIN_CLUSTERS`` at least and one for ``ROWS_PER_CENTROID`` training rows at most."""
     nz = corpus.where(F.col(vec_col).isNotNull()).select(as_double_array(vec_col).alias("_v")) \
         .where(finite_vector("_v") & F.exists("_v", lambda x: x != 0))
     n = nz.count()
+    if n_clusters is None:
+        n_clusters = max(MIN_CLUSTERS, min(math.isqrt(n), max_train_rows // ROWS_PER_CENTROID))
     frac = min(1.0, max_train_rows / max(n, 1))
     train = nz.sample(False, frac, seed) if frac < 1.0 else nz
     train = train.select(array_to_vector("_v").alias("_features"))
@@ -108,14 +117,19 @@ def _probe_scorer(bc, k: int):
     return run
 
 
-def _query_blocks(queries: DataFrame, dim: int, qid_col: str, qvec_col: str, max_broadcast_bytes: int):
-    """The query set as hash blocks whose matrices each fit the broadcast
-    bound (one block when the whole set fits)."""
+def _valid_queries(queries: DataFrame, dim: int, qid_col: str, qvec_col: str) -> DataFrame:
     q = queries.where(F.col(qvec_col).isNotNull()).select(
         F.col(qid_col).cast("long").alias("qid"), as_double_array(qvec_col).alias("qvec"))
-    q = q.where((F.size("qvec") == dim) & finite_vector("qvec"))
+    return q.where((F.size("qvec") == dim) & finite_vector("qvec"))
+
+
+def _query_blocks(queries: DataFrame, idx: ClusterIndex, qid_col: str, qvec_col: str, max_broadcast_bytes: int):
+    """The query set as hash blocks whose matrices (vectors, and similarities
+    to the centroids) each fit the broadcast bound (one block when the whole
+    set fits)."""
+    q = _valid_queries(queries, idx.centroids.shape[1], qid_col, qvec_col)
     n_q = q.count()
-    n_blocks = max(1, math.ceil(n_q * dim * 8 / max_broadcast_bytes))
+    n_blocks = max(1, math.ceil(n_q * max(idx.centroids.shape) * 8 / max_broadcast_bytes))
     return [q] if n_blocks == 1 else [
         q.where(F.pmod(F.xxhash64("qid"), F.lit(n_blocks)) == b) for b in range(n_blocks)]
 
@@ -132,12 +146,15 @@ def _probe_plan(idx: ClusterIndex, blk: DataFrame, nprobe: int):
         .astype(np.float64).reshape(len(qids), dim)
     qunit, _ = _unit_rows(qmat)
     # nearest nprobe centroids of every query (queries x clusters, both bounded)
-    csim = qunit @ idx.centroids.T
     p = min(nprobe, idx.centroids.shape[0])
-    probes = np.argsort(-csim, axis=1, kind="stable")[:, :p]
+    probes = np.empty((len(qids), p), np.int32)
+    for i in range(0, len(qids), 4096):
+        csim = qunit[i: i + 4096] @ idx.centroids.T
+        probes[i: i + 4096] = np.argsort(-csim, axis=1, kind="stable")[:, :p]
     # a zero query ties with every centroid and probes the first ones
-    by_cluster = {c: np.nonzero((probes == c).any(axis=1))[0]
-                  for c in range(idx.centroids.shape[0])}
+    order = np.argsort(probes, axis=None, kind="stable")
+    cuts = np.searchsorted(probes.ravel()[order], np.arange(idx.centroids.shape[0] + 1))
+    by_cluster = {c: (order[cuts[c]: cuts[c + 1]] // p).astype(np.int32) for c in range(idx.centroids.shape[0])}
     return qids, qunit, by_cluster
 
 
@@ -145,9 +162,8 @@ def _search(spark, rows_for, idx: ClusterIndex, queries: DataFrame, k: int, npro
             qid_col: str, qvec_col: str, max_broadcast_bytes: int) -> DataFrame:
     """Score every query block against ``rows_for(probed clusters)``, a frame
     of (id, cluster, _v), and rank the candidates per query."""
-    dim = idx.centroids.shape[1]
     parts = []
-    for blk in _query_blocks(queries, dim, qid_col, qvec_col, max_broadcast_bytes):
+    for blk in _query_blocks(queries, idx, qid_col, qvec_col, max_broadcast_bytes):
         plan = _probe_plan(idx, blk, nprobe)
         if plan is None:
             continue
@@ -165,16 +181,55 @@ def _search(spark, rows_for, idx: ClusterIndex, queries: DataFrame, k: int, npro
             .select("qid", "rank", F.col("id").alias(id_col), "similarity"))
 
 
+def choose_nprobe(corpus: DataFrame, queries: DataFrame, index: ClusterIndex, k: int = 5, *, min_recall: float = MIN_RECALL,
+                  sample: int = SAMPLE_QUERIES, id_col: str = "id", vec_col: str = "embedding",
+                  qid_col: str = "qid", qvec_col: str = "embedding") -> int:
+    """The least ``nprobe`` whose recall@k reaches ``min_recall`` by two standard errors.
+
+    ``sample`` queries, chosen by a hash of their id, are answered by exact
+    search over the whole corpus; a true neighbour is found by ``nprobe``
+    exactly if its cluster is among the query's ``nprobe`` nearest."""
+    spark, dim = corpus.sparkSession, index.centroids.shape[1]
+    some = _valid_queries(queries, dim, qid_col, qvec_col).orderBy(F.xxhash64("qid", F.lit(7)), "qid").limit(sample).collect()
+    some = list({r["qid"]: r for r in some}.values())
+    if not some:
+        return 1
+    q = spark.createDataFrame([(r["qid"], r["qvec"]) for r in some], "qid long, embedding array<double>")
+    rows = (corpus.where(F.col(vec_col).isNotNull() & (F.size(vec_col) == dim) & finite_vector(vec_col))
+            .select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("embedding")))
+    hits = topk_batch(rows, q, k).select("qid", "id").distinct().collect()       # sample x k rows
+    if not hits:
+        return 1
+    ids = spark.createDataFrame([(x,) for x in sorted({r["id"] for r in hits})], "id long")
+    found: dict[int, list[int]] = {}
+    for r in index.assign(rows.join(F.broadcast(ids), "id")).select("id", "cluster").distinct().collect():
+        found.setdefault(r["id"], []).append(r["cluster"])
+    unit, _ = _unit_rows(np.array([r["qvec"] for r in some], dtype=np.float64))
+    place = np.argsort(np.argsort(-(unit @ index.centroids.T), axis=1, kind="stable"), axis=1)
+    at = {r["qid"]: j for j, r in enumerate(some)}
+    j = np.array([at[r["qid"]] for r in hits])
+    need = np.array([place[at[r["qid"]], found[r["id"]]].max() + 1 for r in hits])
+    of = np.bincount(j, minlength=len(some))
+    for p in range(1, index.centroids.shape[0]):
+        r = (np.bincount(j[need <= p], minlength=len(some)) / np.maximum(of, 1))[of > 0]
+        if r.mean() - 2 * r.std() / math.sqrt(len(r)) >= min_recall:
+            return p
+    return index.centroids.shape[0]
+
+
 def ann_topk(corpus: DataFrame, queries: DataFrame, k: int = 5, *, index: ClusterIndex | None = None,
-             n_clusters: int = 40, nprobe: int = 10, id_col: str = "id", vec_col: str = "embedding",
+             n_clusters: int | None = None, nprobe: int | None = None, id_col: str = "id", vec_col: str = "embedding",
              qid_col: str = "qid", qvec_col: str = "embedding", seed: int = 1,
              max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
     """Approximate (qid, rank, id, similarity), rank <= k.  Clusters are
     assigned on the fly (JVM-side), so the whole corpus is read; a corpus
     stored with ``write_clustered`` is searched by ``ann_topk_stored``,
-    which reads only the probed clusters' files."""
+    which reads only the probed clusters' files.  Unless ``nprobe`` is given,
+    ``choose_nprobe`` measures it on these queries."""
     spark = corpus.sparkSession
     idx = index or build_index(corpus, n_clusters, vec_col=vec_col, seed=seed)
+    if nprobe is None:
+        nprobe = choose_nprobe(corpus, queries, idx, int(k), id_col=id_col, vec_col=vec_col, qid_col=qid_col, qvec_col=qvec_col)
     dim = idx.centroids.shape[1]
     assigned = idx.assign(corpus.where(F.col(vec_col).isNotNull() & (F.size(vec_col) == dim) & finite_vector(vec_col))
                           .select(F.col(id_col).cast("long").alias("id"), vec_col), vec_col)
@@ -226,7 +281,8 @@ def ann_topk_stored(spark, path: str, index: ClusterIndex, queries: DataFrame, k
                     max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
     """V1 over a corpus stored by ``write_clustered``: each query block reads
     only the clusters its queries probe (a partition filter on ``cluster``,
-    pruned at planning), then scores and ranks as ``ann_topk``."""
+    pruned at planning), then scores and ranks as ``ann_topk``.  ``nprobe`` is
+    not measured here; take ``choose_nprobe`` of the corpus when it is stored."""
     stored = spark.read.parquet(path)
 
     def rows_for(probed):

@@ -31,6 +31,13 @@ def test_ann_partial_probe_recall_and_share(spark):
     assert all(abs(x["similarity"] - sims[(x["qid"], x["id"])]) < 1e-9 for x in approx.collect())
 
 
+def test_ann_default_probes_reach_the_recall_asked_for(spark):
+    v = stored_vectors(spark, SF_MED.replace("sf0.01", "sf0.1"))
+    q = v.select(F.col("id").alias("qid"), "embedding")
+    r = ann.recall_at_k(ann.ann_topk(v, q, 5), topk.topk_batch(v, q, 5))
+    assert r >= 0.9, r
+
+
 def test_hashed_encoder_contract(spark):
     df = spark.createDataFrame([(1, "Élève inscrit à l'université"), (2, ""), (3, "élève ÉLÈVE")],
                                "id long, text string")
