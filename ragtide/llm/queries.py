@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import html_text, langid, mixing, packing, pii, pieces, quality, runs, sharding, shingle_join, token_count, token_files, vector_dups
+from . import html_text, langid, mixing, packing, pii, pieces, prefix_trie, quality, runs, sharding, shingle_join, token_count, token_files, vector_dups
+from .shared import written
 
 # the registered queries' key; a real run passes its own
 KEY = b"ragtide-pseudonyms"
@@ -77,6 +78,33 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.floor(1000 * F.col("top.length") / -F.col("top.period")).cast("long").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
 
 
+def rebuilt(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The contract's conversations for op12 from ``ordered`` turns: (their turns, their ids).  Each takes
+    its first turns, at most 8, from the conversation whose id is the next multiple of 5 below."""
+    turns = written(turns, "ordered")
+    sizes = written(turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("size")), "sizes")
+    h = F.crc32(F.col("conv_id").cast("string")) % 9
+    base = (F.col("conv_id") - F.pmod("conv_id", F.lit(5)))
+    of = sizes.select(F.col("conv_id").alias("base"), F.col("size").alias("has"))
+    convs = (sizes.select("conv_id", h.alias("h"), base.alias("base")).join(of, "base", "left")
+             .select("conv_id", "base", "h", F.least("h", F.coalesce("has", F.lit(0))).alias("taken")))
+    convs = written(convs, "convs")
+    first = turns.filter((F.pmod("conv_id", F.lit(5)) == 0) & (F.col("pos") < 8)).withColumnRenamed("conv_id", "base")
+    first = first.join(convs.select("base", "conv_id", "taken"), "base").filter("pos < taken").select(*turns.columns)
+    own = turns.filter(F.col("pos") >= h)
+    own = prefix_trie.joined(own, convs.select("conv_id", "h", "taken"), ["conv_id"], prefix_trie.hot_keys(own, ["conv_id"]))
+    own = own.withColumn("pos", F.col("pos") - F.col("h") + F.col("taken")).select(*turns.columns)
+    return first.unionByName(own), convs.select("conv_id")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trie = prefix_trie.Trie(*rebuilt(prefix_trie.ordered(table(spark, sf_dir, "conversations"))))
+    none = F.sha2(F.lit(""), 256)
+    got = trie.nodes.join(prefix_trie.members_sha256(trie.ends), prefix_trie.KEY, "left")
+    return got.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", F.col("saved").alias("saved_tokens"),
+                      F.coalesce("sha", none).alias("ends_sha256"))
+
+
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes the corpus's token files and answers from what is read back."""
     folder = token_files.write_tokens(table(spark, sf_dir, "documents"), packing.default_tokenizer())
@@ -85,5 +113,5 @@ def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_packing, op2_shingle_join, op3_html_text, op4_sharding, op5_pii, op6_vector_dups, op7_mixing, op8_quality,
-                                   op9_langid, op10_token_counts, op11_periodic_runs, op13_token_files)}
+                                   op9_langid, op10_token_counts, op11_periodic_runs, op12_prefix_trie, op13_token_files)}
 SQL: dict[str, str] = {}
