@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 import os
+import re
 import struct
 import zlib
 
@@ -33,7 +34,17 @@ from .text import string_buffers
 
 LIMIT, END_ID, GROUP_TOKENS = 2048, 0, 2_000_000
 SECOND = 64
-MEMO = 250_000                  # words a worker remembers: about 50 MB
+MEMO = 690_000                  # words a worker remembers: as many as a dict of 2^20 places takes, some 130 MB
+
+# --- fixed values: the word-end tokenizer's own pattern, and the byte-level alphabet, for letters below LETTERS_END ---
+LETTERS_END = "\u0250"
+_L = "a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u024f"
+PARTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[0-9]|[!-/:-@\[-`{{-~]+")
+PLAIN = re.compile(rf"[0-9!-/:-@\[-`{{-~{_L}]+")
+MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_CHARS = {b: chr(b) for b in _SHOWN} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+# ----------------------------------------------------------------------------------------------------------------------
 
 _WORKER: dict = {}
 
@@ -43,57 +54,84 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class _Memo(dict):
+    """Words' ids; a new word is learned when it is asked for."""
+
+    def __init__(self, learn):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self[word] = self.learn(word)
+        return ids
+
+
 class WordTokenizer:
-    """Token ids of whole texts, remembered by lower-cased word.
+    """Token ids of whole texts as the ``tokenizers`` library gives them, remembered by word.
 
     Right for a tokenizer that lower-cases and never joins across ASCII white space,
     as the word-end BPE here does: a text's ids are then its words' ids in a
-    row.  A final comma or full stop after a letter is a token run of its own
-    and is remembered apart.  At most ``MEMO`` words are remembered."""
+    row.  An added token (``<|endoftext|>``) is matched in the raw text first, as the
+    library does, and the text is cut there.  A new word of plain letters, with or
+    without ASCII punctuation and digits, is cut by the file's own pattern and
+    its parts go straight to the library's BPE model; any other word goes through the whole tokenizer.
+    About ``MEMO`` words are remembered."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
-        self.memo: dict[bytes, bytes] = {}
-        self.ends = {x: self._one(x.decode()) for x in (b".", b",")}
-
-    def _one(self, word: str) -> bytes:
+        added = self.tok.get_added_tokens_decoder()
+        if any(t.normalized or t.lstrip or t.rstrip or t.single_word or not t.content.strip() for t in added.values()):
+            raise ValueError("an added token that takes in its surroundings cannot be cut out of a text")
+        self.special = {t.content.encode(): struct.pack("<I", i) for i, t in added.items()}
+        longest = sorted(self.special, key=len, reverse=True)
+        self.cut = re.compile(b"(" + b"|".join(map(re.escape, longest)) + b")") if longest else None
+        self.tok.encode_special_tokens = True          # a word holds no added token any more, whatever lower-casing makes of it
+        self.bpe = self.tok.model
+        self.raw_ids = [struct.pack("<I", i) for i in range(self.tok.get_vocab_size())]
+        self.marks: dict[bytes, bytes] = {}
+        self.memo = _Memo(self._word)
+
+    def _part(self, part: str) -> bytes:
+        ids = self.raw_ids
+        return b"".join([ids[t.id] for t in self.bpe.tokenize(part)])
+
+    def _word(self, raw: bytes) -> bytes:
+        core = raw.rstrip(MARKS)
+        if core and len(core) < len(raw) and core[-1:].isalnum():      # a run of marks after a letter or digit is a part of its own
+            run = raw[len(core):]
+            tail = self.marks.get(run)
+            if tail is None:
+                tail = self._part(run.decode())
+                if len(run) < 4:                                       # a bounded number
+                    self.marks[run] = tail
+            return (self.memo.get(core) or self._word(core)) + tail
+        if raw.isalpha():                                              # ASCII letters only
+            return self._part(raw.decode())
+        word = raw.decode()
+        low = word.lower()
+        if max(low) < LETTERS_END:
+            if low.isalpha():
+                return self._part(low.encode().decode("latin-1").translate(BYTE_CHARS))
+            if PLAIN.fullmatch(low):
+                return b"".join([self._part(p.encode().decode("latin-1").translate(BYTE_CHARS)) for p in PARTS.findall(low)])
         ids = self.tok.encode(word, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _learn(self, words: list[bytes]) -> None:
-        memo, tails, cores = self.memo, [], {}
-        for w in words:
-            core = w[:-1]
-            if w[-1:] in self.ends and core and core.decode()[-1].isalpha():
-                tails.append(w)
-                if core not in memo:
-                    cores[core] = None
-            else:
-                cores[w] = None
-        names = list(cores)
-        for i in range(0, len(names), 2000):
-            part = names[i: i + 2000]
-            for w, e in zip(part, self.tok.encode_batch_fast([x.decode() for x in part], add_special_tokens=False)):
-                ids = e.ids
-                memo[w] = struct.pack(f"<{len(ids)}I", *ids)
-        for w in tails:
-            memo[w] = memo[w[:-1]] + self.ends[w[-1:]]
+    def _plain(self, raw: bytes) -> bytes:
+        return b"".join(map(self.memo.__getitem__, raw.lower().split()))
 
     def encode(self, raws: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text (UTF-8 in)."""
-        if len(self.memo) > MEMO:
-            self.memo.clear()
         out = []
         for raw in raws:
-            words = raw.lower().split()
-            try:
-                out.append(b"".join(map(self.memo.__getitem__, words)))
-            except KeyError:
-                self._learn([w for w in dict.fromkeys(words) if w not in self.memo])
-                out.append(b"".join(map(self.memo.__getitem__, words)))
+            if len(self.memo) > MEMO:
+                self.memo.clear()
+            if self.cut is not None and self.cut.search(raw):
+                out.append(b"".join(self.special[x] if k % 2 else self._plain(x) for k, x in enumerate(self.cut.split(raw))))
+            else:
+                out.append(self._plain(raw))
         return out
 
 
