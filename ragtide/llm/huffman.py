@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 
-LIMIT, CHECK = 20, 256
+LIMIT, CHECK = 20, 128
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -62,16 +62,22 @@ class Encoder:
     def encode(self, symbols: np.ndarray) -> tuple[bytes, np.ndarray]:
         """(the stream, padded to whole bytes; bit offsets of the symbols 0, CHECK, 2 CHECK ...)."""
         bits = self.lengths[symbols]
-        if len(bits) and not bits.all():
+        if not len(bits):
+            return b"", np.empty(0, np.uint32)
+        if not bits.all():
             raise ValueError("a symbol without a code")
-        at = np.cumsum(bits) - bits
-        total = int(at[-1] + bits[-1]) if len(bits) else 0
-        word = (self.codes[symbols] << (32 - bits - (at & 7))).astype(np.uint32)
-        size = (total + 7) // 8
-        out = np.zeros(size + 4)
-        for k in range(4):                              # bits never overlap, so the sum of a byte's parts is their union
-            out += np.bincount((at >> 3) + k, weights=(word >> np.uint32(24 - 8 * k)) & np.uint32(255), minlength=size + 4)
-        return out[:size].astype(np.uint8).tobytes(), at[::CHECK].astype(np.uint32)
+        ends = np.cumsum(bits)
+        at = ends - bits
+        word, shift = at >> 6, 64 - (at & 63) - bits        # the code's place in a row of 64-bit words
+        code = self.codes[symbols].view(np.uint64)
+        over = np.flatnonzero(shift < 0)                    # codes that go on in the next word
+        own = code << np.maximum(shift, 0).view(np.uint64)
+        own[over] = code[over] >> (-shift[over]).view(np.uint64)
+        first = np.flatnonzero(np.diff(word, prepend=-1))
+        out = np.zeros(int(word[-1]) + 2, np.uint64)
+        out[word[first]] = np.bitwise_or.reduceat(own, first)
+        out[word[over] + 1] |= code[over] << (64 + shift[over]).view(np.uint64)
+        return out.astype(">u8").tobytes()[: (int(ends[-1]) + 7) // 8], at[::CHECK].astype(np.uint32)
 
 
 class Decoder:
@@ -80,12 +86,9 @@ class Decoder:
         order = np.lexsort((np.arange(len(lengths)), lengths))
         order = order[lengths[order] > 0]
         self.top = int(lengths[order[-1]]) if len(order) else 1
-        span = 1 << (self.top - lengths[order])
-        self.symbol = np.repeat(order.astype(np.uint32), span)
-        self.bits = np.repeat(lengths[order].astype(np.int64), span)
-        if len(self.symbol) < 1 << self.top:            # a single symbol leaves half the table unused
-            rest = (1 << self.top) - len(self.symbol)
-            self.symbol, self.bits = np.pad(self.symbol, (0, rest)), np.pad(self.bits, (0, rest), constant_values=self.top)
+        table = np.repeat(order << 5 | lengths[order], 1 << (self.top - lengths[order])).astype(np.uint32)
+        # a single symbol leaves half the table unused
+        self.table = np.pad(table, (0, (1 << self.top) - len(table)), constant_values=self.top)
 
     def decode(self, stream: bytes, checks: np.ndarray, n: int, first: int = 0) -> np.ndarray:
         """The symbols from checkpoint ``first`` on, of a stream of ``n``."""
@@ -96,12 +99,15 @@ class Decoder:
         b = np.frombuffer(stream + b"\0" * 8, np.uint8).astype(np.uint32)
         word = (b[:-3] << np.uint32(24)) | (b[1:-2] << np.uint32(16)) | (b[2:-1] << np.uint32(8)) | b[3:]
         out = np.empty((min(CHECK, left), len(pos)), np.uint32)
-        down = np.uint32(32 - self.top)
+        table, down = self.table, np.uint32(32 - self.top)
         last = left - (len(pos) - 1) * CHECK            # the last lane ends early
         for k in range(len(out)):
             if k == last:
                 pos = pos[:-1]
-            peek = (word[pos >> 3] << (pos & 7).astype(np.uint32)) >> down
-            out[k, : len(pos)] = self.symbol[peek]
-            pos = pos + self.bits[peek]
-        return out.T.ravel()[:left]
+            peek = word[pos >> 3]
+            peek <<= (pos & 7).astype(np.uint32)
+            peek >>= down
+            got = table[peek]
+            out[k, : len(pos)] = got
+            pos = pos + (got & np.uint32(31))
+        return (out >> np.uint32(5)).T.ravel()[:left]

@@ -45,48 +45,55 @@ from .text import string_buffers
 END_ID, BLOCK = 2, 1 << 16
 BLOCK_SCHEMA = ("part int, block int, start long, n_ids long, doc_ids array<long>, lengths array<long>, "
                 "stream binary, checks binary, crc long")
+TOKEN_SCHEMA = "doc_id long, ids binary, counts binary"
 _ROWS = 64
 
 
 def tokenised(df: DataFrame, path: str, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n, ids): ``ids`` as little-endian 16-bit numbers where the vocabulary allows, else 32-bit."""
+    """Rows (doc_id, ids), ``ids`` as little-endian 16-bit numbers where the vocabulary allows, else 32-bit; and
+    a row (counts) of every task, how often each id occurred (64-bit, compressed), where ``ids`` is null."""
     end = struct.pack("<I", end_id)
-    typ = id_type(path, end_id)
+    typ, size = id_type(path, end_id), vocabulary_size(path, end_id)
 
     def part(batches):
-        tok = _tokenizer(path)
+        tok, sums = _tokenizer(path), np.zeros(size, np.int64)
         for batch in batches:
             buf, offs = string_buffers(batch.column("__text"))
             for i in range(0, batch.num_rows, _ROWS):
                 js = range(i, min(i + _ROWS, batch.num_rows))
-                got = [b + end for b in tok.encode([buf[offs[j]: offs[j + 1]].tobytes() for j in js])]
-                small = got if typ == "<u4" else [np.frombuffer(b, "<u4").astype(typ).tobytes() for b in got]
-                yield pa.RecordBatch.from_arrays([batch.column("__id").slice(i, len(js)), pa.array([len(b) // 4 for b in got], pa.int64()),
-                                                  pa.array(small, pa.binary())], names=["doc_id", "n", "ids"])
+                got = [np.frombuffer(b + end, "<u4") for b in tok.encode([buf[offs[j]: offs[j + 1]].tobytes() for j in js])]
+                sums += np.bincount(np.concatenate(got), minlength=size)
+                yield pa.RecordBatch.from_arrays([batch.column("__id").slice(i, len(js)), pa.array([x.astype(typ).tobytes() for x in got], pa.binary()),
+                                                  pa.nulls(len(js), pa.binary())], names=["doc_id", "ids", "counts"])
+        if sums.any():
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([zlib.compress(sums.tobytes(), 1)], pa.binary())],
+                                             names=["doc_id", "ids", "counts"])
 
     src = df.select(F.col(doc_id).cast("long").alias("__id"), F.col(text).cast("string").alias("__text"))
-    return src.mapInArrow(part, "doc_id long, n long, ids binary")
+    return src.mapInArrow(part, TOKEN_SCHEMA)
+
+
+def vocabulary_size(path: str, end_id: int) -> int:
+    return max(_tokenizer(path).tok.get_vocab_size(), end_id + 1)
 
 
 def id_type(path: str, end_id: int) -> str:
-    return "<u2" if max(_tokenizer(path).tok.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
+    return "<u2" if vocabulary_size(path, end_id) <= 1 << 16 else "<u4"
 
 
-def id_counts(tokens: DataFrame, size: int, typ: str) -> np.ndarray:
-    """How often each id below ``size`` occurs: summed in every task, then by id; ``size`` numbers reach the driver."""
+def id_counts(tokens: DataFrame, size: int) -> np.ndarray:
+    """How often each id below ``size`` occurs: the tasks' rows are summed by id on the executors; ``size`` numbers reach the driver."""
     def part(batches):
         sums = np.zeros(size, np.int64)
         for batch in batches:
-            col = batch.column("ids")
-            buf, offs = col.buffers()[2], np.frombuffer(col.buffers()[1], np.int32)[col.offset: col.offset + len(col) + 1]
-            ids = np.frombuffer(buf, np.uint8)[offs[0]: offs[-1]].view(typ) if len(col) else np.empty(0, typ)
-            for i in range(0, len(ids), 1 << 20):
-                sums += np.bincount(ids[i: i + (1 << 20)], minlength=size)
+            for c in batch.column("counts").to_pylist():
+                sums += np.frombuffer(zlib.decompress(c), np.int64)
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(sums[at])], names=["id", "n"])
 
     out = np.zeros(size, np.int64)
-    for r in tokens.select("ids").mapInArrow(part, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toLocalIterator():
+    rows = tokens.filter("counts is not null").select("counts").mapInArrow(part, "id long, n long")
+    for r in rows.groupBy("id").agg(F.sum("n").alias("n")).toLocalIterator():
         out[r["id"]] = r["n"]
     return out
 
@@ -131,16 +138,15 @@ def write_tokens(df: DataFrame, path: str, folder: str | None = None, end_id: in
     folder = folder or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex[:12]}"
     staged = f"{shared_dir(spark)}/llm-{uuid.uuid4().hex[:12]}-ids"
     tokenised(df, path, end_id, doc_id, text).write.option("compression", "zstd").parquet(staged)
-    tokens = spark.read.schema("doc_id long, n long, ids binary").parquet(staged)
+    tokens = spark.read.schema(TOKEN_SCHEMA).parquet(staged)
     typ = id_type(path, end_id)
-    size = max(_tokenizer(path).tok.get_vocab_size(), end_id + 1)
-    lengths = code_lengths(id_counts(tokens, size, typ), limit)
+    lengths = code_lengths(id_counts(tokens, vocabulary_size(path, end_id)), limit)
     used = np.flatnonzero(lengths)
     book = spark.createDataFrame(pa.table({"symbol": pa.array(used, pa.int64()), "bits": pa.array(lengths[used], pa.int64())}))
     book.coalesce(1).write.parquet(f"{folder}/codebook")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col("doc_id").asc_nulls_first(), "__h", "__n"]
-    dealt = tokens.select("doc_id", "ids", F.xxhash64("ids").alias("__h"), F.monotonically_increasing_id().alias("__n"))
+    dealt = tokens.filter("ids is not null").select("doc_id", "ids", F.xxhash64("ids").alias("__h"), F.monotonically_increasing_id().alias("__n"))
     dealt = dealt.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).select("doc_id", "ids")
     sent = spark.sparkContext.broadcast(lengths)          # one number per id of the vocabulary
     dealt.mapInArrow(_blocks(sent, typ, block), BLOCK_SCHEMA).write.option("compression", "uncompressed").parquet(f"{folder}/blocks")
