@@ -13,16 +13,19 @@ different values different ones; ``invert=True`` gives the values back.
 Defined cases: a null text stays null with no finds, an empty one empty; whole
 texts are read, whatever their length; where finds overlap, the one that starts
 first, then the kind listed first, wins; a value that fails its validation is
-left alone; repeated rows are treated alike; an empty table gives no rows;
+left alone, a date outside 1900 to 2099 among them; digits are ASCII digits but for
+names in addresses, which may have letters and digits of any script; repeated rows are treated alike; an empty table gives no rows;
 other columns are carried only where asked for.
 """
 
 from __future__ import annotations
 
 import datetime
+import functools
 import hashlib
 import math
 import re
+import unicodedata
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -63,20 +66,29 @@ def feistel(x: int, n: int, key: bytes, tweak: str, invert: bool = False) -> int
             return x
 
 
+@functools.lru_cache(1000)
+def _alike(page: int, category: str) -> str:
+    """The characters of one category (lower-case letters, say) among 256 neighbouring code points, ASCII left out."""
+    return "".join(c for c in map(chr, range(max(page << 8, 128), (page + 1) << 8)) if unicodedata.category(c) == category and c.isalnum())
+
+
 def _permute(text: str, key: bytes, kind: str, invert: bool, hexa: bool = False, chunk: int = 64) -> str:
-    """Letters stay letters of their case and digits digits (``hexa``: hex digits of their case)."""
+    """Letters stay letters of their case and digits digits (``hexa``: hex digits of their case).
+    Beyond ASCII, a letter or digit stays of its category and among the 256 code points around it."""
     slots = []
     for i, c in enumerate(text):
         if hexa and c.lower() in _HEX:
             slots.append((i, _HEX, text.isupper()))
         elif not hexa and c.isascii() and c.isalnum():
             slots.append((i, _DIGITS if c.isdigit() else _LETTERS, c.isupper()))
+        elif not hexa and c.isalnum():
+            slots.append((i, _alike(ord(c) >> 8, unicodedata.category(c)), None))
     out = list(text)
-    shape = "".join("h" if a is _HEX else "9" if a is _DIGITS else "A" if up else "a" for _, a, up in slots)
+    shape = "".join("h" if a is _HEX else "9" if a is _DIGITS else a[0] if up is None else "A" if up else "a" for _, a, up in slots)
     for k in range(0, len(slots), chunk):
         part, x, n = slots[k: k + chunk], 0, 1
-        for i, alphabet, _ in part:
-            x, n = x * len(alphabet) + alphabet.index(text[i].lower()), n * len(alphabet)
+        for i, alphabet, up in part:
+            x, n = x * len(alphabet) + alphabet.index(text[i] if up is None else text[i].lower()), n * len(alphabet)
         x = feistel(x, n, key, f"{kind}/{shape[k: k + chunk]}/{k}", invert)
         for i, alphabet, up in reversed(part):
             x, d = divmod(x, len(alphabet))
@@ -94,11 +106,11 @@ def luhn(digits: str) -> bool:
 
 def _fill(shape: str, digits: str) -> str:
     it = iter(digits)
-    return "".join(next(it) if c.isdigit() else c for c in shape)
+    return "".join(next(it) if c in _DIGITS else c for c in shape)
 
 
 def _card(v, key, invert):
-    d = re.sub(r"\D", "", v)
+    d = re.sub("[^0-9]", "", v)
     if not 13 <= len(d) <= 19 or not (d[0] in "3456" or 2221 <= int(d[:4]) <= 2720) or not luhn(d):
         return None
     stay = 4 if d[0] == "2" else 1                   # the network's digits stay, the last one is the checksum
@@ -165,7 +177,7 @@ def _date(v, key, invert):
 
 
 def _phone(v, key, invert):
-    d = re.sub(r"\D", "", v)
+    d = re.sub("[^0-9]", "", v)
     if not 8 <= len(d) <= 15:
         return None
     keep = len(re.match(r"\+?(\d{1,3})(?=\D)|\+?(\d)|\(?", v).group().strip("+(")) if v[0] == "+" else 0
@@ -191,31 +203,26 @@ def _prefixed(v, key, invert):
 
 
 def _hex(v, key, invert):
-    return _permute(v, key, "hex", invert, hexa=True) if re.search(r"\d", v) and not v.isdigit() else None
+    return _permute(v, key, "hex", invert, hexa=True) if re.search("[0-9]", v) and not v.isdigit() else None
 
 
 # kinds in order of precedence: (name, pattern, rewrite)
 KINDS = [
-    ("email", r"(?<![\w.+%-])[A-Za-z0-9][\w.+%-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![\w-])", _email),
+    ("email", r"(?<![\w.+%-])[^\W_][\w.+%-]*@(?:[\w-]+\.)+[^\W\d_]{2,}(?![\w-])", _email),
     ("secret", r"(?i:(?<!\w)(?:api_?key|secret(?:_key)?|token|passw(?:or)?d|access_key)\s*[=:]\s*[\"']?[A-Za-z0-9_\-+/]{8,}|(?<!\w)bearer\s+[A-Za-z0-9_\-.]{16,})", _secret),
     ("key", r"(?<!\w)(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{30,}|sk-[A-Za-z0-9_-]{20,}|xox[abpr]-[A-Za-z0-9-]{10,})(?!\w)", _prefixed),
-    ("iban", r"(?<!\w)[A-Z]{2}\d\d(?: ?[A-Z0-9]){11,30}(?!\w)", _iban),
+    ("iban", r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?!\w)", _iban),
     ("hex", r"(?<!\w)(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?!\w)", _hex),
-    ("card", r"(?<![\w.-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){2}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?![\w-])", _card),
-    ("ssn", r"(?<![\w-])\d{3}-\d\d-\d{4}(?![\w-])", _ssn),
-    ("date", r"(?<![\w.-])(?:\d{4}([-/.])\d\d\1\d\d|\d\d([-/.])\d\d\2\d{4})(?![\w-])", _date),
-    ("ip", r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)", _ip),
-    ("phone", r"(?<![\w+])(?:\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}|\+\d{1,3}(?:[ .-]?\(?\d{1,4}\)?){2,5}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w)", _phone),
+    ("card", r"(?<![\w.-])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){2}[ -][0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![\w-])", _card),
+    ("ssn", r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])", _ssn),
+    ("date", r"(?<![\w.-])(?:[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}|[0-9]{2}([-/.])[0-9]{2}\2[0-9]{4})(?![\w-])", _date),
+    ("ip", r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\w|\.[0-9])", _ip),
+    ("phone", r"(?<![\w+])(?:\+1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}|\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{1,4}\)?){2,5}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?!\w)", _phone),
 ]
 
 
-_HINT = re.compile(r"[0-9@]|(?i:token|secret|passw|bearer|key)")
-
-
 def scan(text: str, key: bytes, invert: bool = False) -> tuple[str, list[tuple[str, int, int]]]:
     """(text with pseudonyms, [(kind, start, end) in the text given])."""
-    if not _HINT.search(text):
-        return text, []
     hits = []
     for rank, (kind, pattern, rewrite) in enumerate(_COMPILED):
         for m in pattern.finditer(text):
