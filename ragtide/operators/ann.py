@@ -3,10 +3,9 @@ default everywhere else).
 
 Index: ``pyspark.ml`` KMeans with cosine distance, trained on a bounded
 sample of the corpus (every row is still assigned and searchable).  Search:
-each query probes its ``nprobe`` nearest centroids; every corpus Arrow batch
-scores its rows only against the queries that probe the rows' cluster and
-emits local top-k candidates; a final per-query ranking gives the answer.
-No query x row pair becomes a Spark row and the corpus is not shuffled.
+a query becomes one row for each of its ``nprobe`` nearest centroids, and the tile join
+(``operators.tiles``) brings these rows and the clusters' rows together, a large
+cluster in several tiles.  No query reaches the driver.
 Unless given, the cluster count grows with the corpus and ``nprobe`` is chosen
 by ``choose_nprobe``: recall measured against exact search on a query sample.
 Report the scanned share beside recall (``scanned_share``).
@@ -24,24 +23,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ragtide.functions.vector import as_double_array
-from ragtide.operators.topk import DEFAULT_MAX_BROADCAST_BYTES, TaskTopK, _unit_rows, finite_vector, topk_batch, topk_mask
+from ragtide.operators.tiles import BLOCK_BYTES, Q_COLS, matrix, tile_topk, unit_rows
+from ragtide.operators.topk import answers, distinct_queries, finite_vector, topk_batch
 
 MIN_RECALL, SAMPLE_QUERIES = 0.9, 256
 MIN_CLUSTERS, ROWS_PER_CENTROID = 40, 50      # training rows a centroid has at least, beyond MIN_CLUSTERS
 
-_CAND = T.StructType([T.StructField("qid", T.LongType(), False), T.StructField("id", T.LongType(), False),
-                      T.StructField("similarity", T.DoubleType(), False)])
-
 
 class ClusterIndex:
     def __init__(self, model, centroids: np.ndarray):
         self.model = model
-        self.centroids, _ = _unit_rows(np.asarray(centroids, dtype=np.float64))
+        self.centroids, _ = unit_rows(np.asarray(centroids, dtype=np.float64))
 
     def assign(self, corpus: DataFrame, vec_col: str = "embedding") -> DataFrame:
         """Corpus rows with their cluster id (JVM-side nearest centroid).
@@ -80,105 +76,28 @@ def build_index(corpus: DataFrame, n_clusters: int | None = None, *, vec_col: st
     return ClusterIndex(model, np.vstack(model.clusterCenters()))
 
 
-def _probe_scorer(bc, k: int):
-    """mapInArrow body: every batch scores its rows only against the queries
-    that probe their clusters; the task keeps its top-k per query over all
-    its batches (``TaskTopK``) and emits them at the end."""
+def _probed(q: DataFrame, idx: ClusterIndex, nprobe: int) -> DataFrame:
+    """The queries of ``distinct_queries``, each once for every one of its ``nprobe`` nearest
+    clusters (``_cell``).  A zero query ties with every centroid and probes the first ones."""
+    dim, p = idx.centroids.shape[1], min(nprobe, idx.centroids.shape[0])
+    bc = q.sparkSession.sparkContext.broadcast(idx.centroids)      # bounded by build_index's max_train_rows
+
     def run(batches):
-        qids, qunit, probes_by_cluster = bc.value
-        schema = pa.schema([("qid", pa.int64(), False), ("id", pa.int64(), False),
-                            ("similarity", pa.float64(), False)])
-        acc = TaskTopK(np.full(len(qids), k, dtype=np.int64))
         for batch in batches:
-            n = batch.num_rows
-            if n == 0:
-                continue
-            ids = batch.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
-            order = np.argsort(ids, kind="stable")      # ties at the cut keep the lowest ids
-            ids = ids[order]
-            cl = batch.column("cluster").to_numpy(zero_copy_only=False).astype(np.int64)[order]
-            dim = qunit.shape[1]
-            mat = batch.column("_v").flatten().to_numpy(zero_copy_only=False).astype(np.float64) \
-                .reshape(n, dim)[order]
-            unit, zero = _unit_rows(mat)
-            for c in np.unique(cl):
-                qi = probes_by_cluster.get(int(c))
-                if qi is None or len(qi) == 0:
-                    continue
-                rows = np.nonzero(cl == c)[0]
-                s = unit[rows] @ qunit[qi].T
-                s[zero[rows], :] = 0.0
-                r, q = np.nonzero(topk_mask(s, min(k, len(rows))))
-                acc.add(qi[q], ids[rows][r], s[r, q], [])
-        res = acc.result()
-        if res is not None:
-            qi, rid, sc, _ = res
-            yield pa.RecordBatch.from_arrays([pa.array(qids[qi]), pa.array(rid), pa.array(sc)], schema=schema)
-    return run
-
-
-def _valid_queries(queries: DataFrame, dim: int, qid_col: str, qvec_col: str) -> DataFrame:
-    q = queries.where(F.col(qvec_col).isNotNull()).select(
-        F.col(qid_col).cast("long").alias("qid"), as_double_array(qvec_col).alias("qvec"))
-    return q.where((F.size("qvec") == dim) & finite_vector("qvec"))
-
-
-def _query_blocks(queries: DataFrame, idx: ClusterIndex, qid_col: str, qvec_col: str, max_broadcast_bytes: int):
-    """The query set as hash blocks whose matrices (vectors, and similarities
-    to the centroids) each fit the broadcast bound (one block when the whole
-    set fits)."""
-    q = _valid_queries(queries, idx.centroids.shape[1], qid_col, qvec_col)
-    n_q = q.count()
-    n_blocks = max(1, math.ceil(n_q * max(idx.centroids.shape) * 8 / max_broadcast_bytes))
-    return [q] if n_blocks == 1 else [
-        q.where(F.pmod(F.xxhash64("qid"), F.lit(n_blocks)) == b) for b in range(n_blocks)]
-
-
-def _probe_plan(idx: ClusterIndex, blk: DataFrame, nprobe: int):
-    """Collect one bounded query block; its unit vectors, and for every
-    cluster the queries that probe it.  None for an empty block."""
-    tbl = blk.toArrow()                           # bounded by the block size check
-    if tbl.num_rows == 0:
-        return None
-    dim = idx.centroids.shape[1]
-    qids = tbl.column("qid").to_numpy().astype(np.int64)
-    qmat = tbl.column("qvec").combine_chunks().flatten().to_numpy(zero_copy_only=False) \
-        .astype(np.float64).reshape(len(qids), dim)
-    qunit, _ = _unit_rows(qmat)
-    # nearest nprobe centroids of every query (queries x clusters, both bounded)
-    p = min(nprobe, idx.centroids.shape[0])
-    probes = np.empty((len(qids), p), np.int32)
-    for i in range(0, len(qids), 4096):
-        csim = qunit[i: i + 4096] @ idx.centroids.T
-        probes[i: i + 4096] = np.argsort(-csim, axis=1, kind="stable")[:, :p]
-    # a zero query ties with every centroid and probes the first ones
-    order = np.argsort(probes, axis=None, kind="stable")
-    cuts = np.searchsorted(probes.ravel()[order], np.arange(idx.centroids.shape[0] + 1))
-    by_cluster = {c: (order[cuts[c]: cuts[c + 1]] // p).astype(np.int32) for c in range(idx.centroids.shape[0])}
-    return qids, qunit, by_cluster
-
-
-def _search(spark, rows_for, idx: ClusterIndex, queries: DataFrame, k: int, nprobe: int, id_col: str,
-            qid_col: str, qvec_col: str, max_broadcast_bytes: int) -> DataFrame:
-    """Score every query block against ``rows_for(probed clusters)``, a frame
-    of (id, cluster, _v), and rank the candidates per query."""
-    parts = []
-    for blk in _query_blocks(queries, idx, qid_col, qvec_col, max_broadcast_bytes):
-        plan = _probe_plan(idx, blk, nprobe)
-        if plan is None:
-            continue
-        probed = sorted(c for c, qi in plan[2].items() if len(qi))
-        bc = spark.sparkContext.broadcast(plan)
-        parts.append(rows_for(probed).mapInArrow(_probe_scorer(bc, int(k)), _CAND))
-    if not parts:
-        return spark.createDataFrame([], "qid long, rank long, id long, similarity double") \
-            .withColumnRenamed("id", id_col)
-    cand = parts[0]
-    for extra in parts[1:]:
-        cand = cand.unionByName(extra)
-    w = Window.partitionBy("qid").orderBy(F.col("similarity").desc(), F.col("id").asc())
-    return (cand.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
-            .select("qid", "rank", F.col("id").alias(id_col), "similarity"))
+            for s in range(0, batch.num_rows, 4096):
+                rows = batch.slice(s, 4096)
+                unit, _ = unit_rows(matrix(pa.chunked_array([rows.column("_v")]), dim))
+                near = np.argsort(-(unit @ bc.value.T), axis=1, kind="stable")[:, :p].astype(np.int64)
+                each = rows.take(pa.array(np.repeat(np.arange(rows.num_rows), p)))
+                yield pa.RecordBatch.from_arrays([*each.columns, pa.array(near.ravel())], names=[*each.schema.names, "_cell"])
+
+    return (q.where(F.size("_v") == dim).select(*Q_COLS, "_v")
+            .mapInArrow(run, "qid long, _q long, _k int, _copies long, _v array<double>, _cell long"))
+
+
+def _clustered(rows: DataFrame, vec_col: str) -> DataFrame:
+    return rows.where(F.col("id").isNotNull()).select("id", F.xxhash64("id").alias("_row"), as_double_array(vec_col).alias("_v"),
+                                                      F.col("cluster").cast("long").alias("_cell"))
 
 
 def choose_nprobe(corpus: DataFrame, queries: DataFrame, index: ClusterIndex, k: int = 5, *, min_recall: float = MIN_RECALL,
@@ -190,12 +109,13 @@ def choose_nprobe(corpus: DataFrame, queries: DataFrame, index: ClusterIndex, k:
     search over the whole corpus; a true neighbour is found by ``nprobe``
     exactly if its cluster is among the query's ``nprobe`` nearest."""
     spark, dim = corpus.sparkSession, index.centroids.shape[1]
-    some = _valid_queries(queries, dim, qid_col, qvec_col).orderBy(F.xxhash64("qid", F.lit(7)), "qid").limit(sample).collect()
+    q = distinct_queries(queries, F.lit(int(k)), qid_col, qvec_col).where(F.size("_v") == dim).select("qid", F.col("_v").alias("qvec"))
+    some = q.where("qid is not null").orderBy(F.xxhash64("qid", F.lit(7)), "qid").limit(sample).collect()
     some = list({r["qid"]: r for r in some}.values())
     if not some:
         return 1
     q = spark.createDataFrame([(r["qid"], r["qvec"]) for r in some], "qid long, embedding array<double>")
-    rows = (corpus.where(F.col(vec_col).isNotNull() & (F.size(vec_col) == dim) & finite_vector(vec_col))
+    rows = (corpus.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & (F.size(vec_col) == dim) & finite_vector(vec_col))
             .select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("embedding")))
     hits = topk_batch(rows, q, k).select("qid", "id").distinct().collect()       # sample x k rows
     if not hits:
@@ -204,7 +124,7 @@ def choose_nprobe(corpus: DataFrame, queries: DataFrame, index: ClusterIndex, k:
     found: dict[int, list[int]] = {}
     for r in index.assign(rows.join(F.broadcast(ids), "id")).select("id", "cluster").distinct().collect():
         found.setdefault(r["id"], []).append(r["cluster"])
-    unit, _ = _unit_rows(np.array([r["qvec"] for r in some], dtype=np.float64))
+    unit, _ = unit_rows(np.array([r["qvec"] for r in some], dtype=np.float64))
     place = np.argsort(np.argsort(-(unit @ index.centroids.T), axis=1, kind="stable"), axis=1)
     at = {r["qid"]: j for j, r in enumerate(some)}
     j = np.array([at[r["qid"]] for r in hits])
@@ -220,22 +140,20 @@ def choose_nprobe(corpus: DataFrame, queries: DataFrame, index: ClusterIndex, k:
 def ann_topk(corpus: DataFrame, queries: DataFrame, k: int = 5, *, index: ClusterIndex | None = None,
              n_clusters: int | None = None, nprobe: int | None = None, id_col: str = "id", vec_col: str = "embedding",
              qid_col: str = "qid", qvec_col: str = "embedding", seed: int = 1,
-             max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
+             block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Approximate (qid, rank, id, similarity), rank <= k.  Clusters are
     assigned on the fly (JVM-side), so the whole corpus is read; a corpus
     stored with ``write_clustered`` is searched by ``ann_topk_stored``,
     which reads only the probed clusters' files.  Unless ``nprobe`` is given,
     ``choose_nprobe`` measures it on these queries."""
-    spark = corpus.sparkSession
     idx = index or build_index(corpus, n_clusters, vec_col=vec_col, seed=seed)
     if nprobe is None:
         nprobe = choose_nprobe(corpus, queries, idx, int(k), id_col=id_col, vec_col=vec_col, qid_col=qid_col, qvec_col=qvec_col)
     dim = idx.centroids.shape[1]
     assigned = idx.assign(corpus.where(F.col(vec_col).isNotNull() & (F.size(vec_col) == dim) & finite_vector(vec_col))
                           .select(F.col(id_col).cast("long").alias("id"), vec_col), vec_col)
-    prepared = assigned.select("id", F.col("cluster").cast("long"), as_double_array(vec_col).alias("_v"))
-    return _search(spark, lambda probed: prepared, idx, queries, k, nprobe, id_col, qid_col, qvec_col,
-                   max_broadcast_bytes)
+    q = _probed(distinct_queries(queries, F.lit(int(k)), qid_col, qvec_col), idx, nprobe)
+    return answers(tile_topk(_clustered(assigned, vec_col), q, "cosine", block_bytes), id_col)
 
 
 # --- stored, cluster-partitioned corpus --------------------------------------
@@ -276,21 +194,20 @@ def write_clustered(corpus: DataFrame, index: ClusterIndex, path: str, *, id_col
 
 
 def ann_topk_stored(spark, path: str, index: ClusterIndex, queries: DataFrame, k: int = 5, *,
-                    nprobe: int = 10, id_col: str = "id", vec_col: str = "embedding",
+                    nprobe: int | None = None, id_col: str = "id", vec_col: str = "embedding",
                     qid_col: str = "qid", qvec_col: str = "embedding",
-                    max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
-    """V1 over a corpus stored by ``write_clustered``: each query block reads
-    only the clusters its queries probe (a partition filter on ``cluster``,
-    pruned at planning), then scores and ranks as ``ann_topk``.  ``nprobe`` is
-    not measured here; take ``choose_nprobe`` of the corpus when it is stored."""
+                    block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """V1 over a corpus stored by ``write_clustered``: only the clusters that some query
+    probes are read (a partition filter on ``cluster``, pruned at planning; at most as many
+    numbers as there are clusters reach the driver), then scored and ranked as in ``ann_topk``.
+    Unless given, ``nprobe`` is the one that ``choose_nprobe`` measures on these queries against the stored rows."""
     stored = spark.read.parquet(path)
-
-    def rows_for(probed):
-        return (stored.where(F.col("cluster").isin(probed))
-                .select(F.col("id").cast("long").alias("id"), F.col("cluster").cast("long"),
-                        as_double_array(vec_col).alias("_v")))
-    return _search(spark, rows_for, index, queries, k, nprobe, id_col, qid_col, qvec_col,
-                   max_broadcast_bytes)
+    if nprobe is None:
+        nprobe = choose_nprobe(stored.drop("cluster"), queries, index, int(k), vec_col=vec_col, qid_col=qid_col, qvec_col=qvec_col)
+    q = _probed(distinct_queries(queries, F.lit(int(k)), qid_col, qvec_col), index, nprobe)
+    cells = sorted(r["_cell"] for r in q.select("_cell").distinct().collect())
+    rows = stored.where(F.col("cluster").isin(cells)).select(F.col("id").cast("long").alias("id"), vec_col, "cluster")
+    return answers(tile_topk(_clustered(rows, vec_col), q, "cosine", block_bytes), id_col)
 
 
 def scanned_share(corpus: DataFrame, index: ClusterIndex, queries_probes: int, *, vec_col="embedding") -> float:

@@ -1,23 +1,18 @@
 """Exact cosine top-k: one query (L1) or many (W1), J1 scoring, P5/P9/P10.
 
-Plan for the batch form, built to hold at any corpus size:
-
-* the corpus stays partitioned where it is read (no shuffle of vectors);
-* the query matrix is broadcast only after its size is checked against
-  ``max_broadcast_bytes``; a larger query set is split into hash blocks that
-  each fit, one broadcast pass per block;
-* every Arrow batch of the corpus is scored with a numpy matmul; the task
-  keeps a running top-k per query across its batches and only those
-  candidates leave it (a partial top-k, like a partial aggregate), so query
-  x row pairs are never materialised as rows;
-* a final ``row_number`` per query over those candidates (a small shuffle:
-  queries x k x tasks rows) gives the exact answer, ties broken by id.
+The batch form is a tile join (``operators.tiles``): neither the queries nor
+the corpus pass through the driver, whatever their sizes.  A single query's
+vector is one bounded row and is broadcast: every Arrow batch of the corpus is
+scored with a numpy product, each task keeps its running top-k, and
+``orderBy().limit(k)`` over those candidates gives the answer.
+
+One rule for bad rows, the same in every form: a vector that is null or has a null, NaN or
+infinite component has no distance to anything, and a row without an id
+cannot be named in an answer; both are left out.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -26,10 +21,7 @@ from pyspark.sql import types as T
 
 from ragtide.functions.text import relevance_pct
 from ragtide.functions.vector import as_double_array
-
-DEFAULT_MAX_BROADCAST_BYTES = 256 * 1024 * 1024
-# Entries of one scored block (rows x queries) kept in memory at a time.
-_BLOCK_ENTRIES = 4_000_000
+from ragtide.operators.tiles import BLOCK_BYTES, tile_topk, topk_mask, unit_rows
 
 _CAND_SCHEMA = T.StructType([
     T.StructField("qid", T.LongType(), False),
@@ -39,22 +31,6 @@ _CAND_SCHEMA = T.StructType([
 ])
 
 
-def topk_mask(score: np.ndarray, kk: int) -> np.ndarray:
-    """Boolean mask of the best ``kk`` rows of every column of ``score``
-    (rows x queries), ties at the cut going to the lower rows.  With rows in
-    ascending id order, that is the (score desc, id asc) order of the final
-    ranking, so each batch emits exactly ``kk`` candidates per query even
-    when many rows tie (a zero query vector ties with every row)."""
-    n = score.shape[0]
-    if kk >= n:
-        return np.ones_like(score, dtype=bool)
-    kth = -np.partition(-score, kk - 1, axis=0)[kk - 1]
-    gt = score > kth[None, :]
-    eq = score == kth[None, :]
-    need = kk - gt.sum(axis=0)
-    return gt | (eq & (np.cumsum(eq, axis=0) <= need[None, :]))
-
-
 def finite_vector(c):
     """The vector has no null, NaN or infinite component.  Others have no
     distance to anything; they are left out before any ranking."""
@@ -107,168 +83,93 @@ class TaskTopK:
         return self.parts[0]
 
 
-def _unit_rows(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    norms = np.sqrt(np.einsum("ij,ij->i", m, m))
-    zero = norms == 0
-    return m / np.where(zero, 1.0, norms)[:, None], zero
-
-
 class _QueryBlock:
     """Broadcast payload: query ids, unit query vectors, zero-norm flags, k."""
 
     def __init__(self, qids, mat, ks):
         self.qids = np.asarray(qids, dtype=np.int64)
-        self.unit, self.zero = _unit_rows(np.asarray(mat, dtype=np.float64))
+        self.unit, self.zero = unit_rows(np.asarray(mat, dtype=np.float64))
         self.ks = np.asarray(ks, dtype=np.int64)
         self.dim = self.unit.shape[1] if self.unit.ndim == 2 else 0
 
 
-def _score_batches(bc, id_col: str, vec_col: str, metric: str, carry: tuple[str, ...] = (),
-                   out_schema: pa.Schema | None = None):
-    """mapInArrow body: the task's top-k candidates per query over all its
-    corpus batches (``TaskTopK``).  ``carry`` columns of the corpus are
-    emitted for the candidate rows only."""
+def _score_batches(bc, id_col: str, vec_col: str, out_schema: pa.Schema):
+    """mapInArrow body: the task's top-k candidates of the broadcast query over all
+    its corpus batches (``TaskTopK``)."""
 
     def run(batches):
         qb: _QueryBlock = bc.value
-        nq, kmax = len(qb.qids), int(qb.ks.max()) if len(qb.ks) else 0
-        acc = TaskTopK(qb.ks, len(carry))
+        acc = TaskTopK(qb.ks)
         for batch in batches:
-            n = batch.num_rows
-            if n == 0 or nq == 0 or kmax == 0:
+            if batch.num_rows == 0:
                 continue
-            ids = batch.column(id_col).to_numpy(zero_copy_only=False).astype(np.int64)
-            flat = batch.column(vec_col).flatten().to_numpy(zero_copy_only=False)
-            # rows in id order, so ties at the cut keep the lowest ids
-            order = np.argsort(ids, kind="stable")
-            ids = ids[order]
-            mat = flat.astype(np.float64).reshape(n, qb.dim)[order]
+            ids = batch.column(id_col).to_numpy()           # no nulls: filtered before
+            order = np.argsort(ids, kind="stable")          # in id order, so ties at the cut keep the lowest ids
+            mat = batch.column(vec_col).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), qb.dim)[order]
             fine = np.isfinite(mat).all(axis=1)             # a null component reads as NaN
-            if not fine.all():
-                ids, mat, order = ids[fine], mat[fine], order[fine]
-                n = len(ids)
-                if n == 0:
-                    continue
-            if metric == "cosine":
-                unit, zero = _unit_rows(mat)
-            step = max(1, _BLOCK_ENTRIES // n)
-            kk = min(kmax, n)
-            for s in range(0, nq, step):
-                e = min(nq, s + step)
-                if metric == "cosine":
-                    score = unit @ qb.unit[s:e].T          # n x q similarities
-                    score[zero, :] = 0.0
-                    score[:, qb.zero[s:e]] = 0.0
-                else:                                       # negative l2 distance
-                    q = np.asarray(qb.raw[s:e])
-                    d2 = (np.einsum("ij,ij->i", mat, mat)[:, None]
-                          - 2.0 * (mat @ q.T) + np.einsum("ij,ij->i", q, q)[None, :])
-                    score = -np.sqrt(np.maximum(d2, 0.0))
-                r, c = np.nonzero(topk_mask(score, kk))
-                take = pa.array(order[r])
-                acc.add(s + c, ids[r], score[r, c], [batch.column(x).take(take) for x in carry])
+            ids, mat = ids[order][fine], mat[fine]
+            if not len(ids):
+                continue
+            unit, zero = unit_rows(mat)
+            score = unit @ qb.unit.T
+            score[zero, :] = 0.0
+            score[:, qb.zero] = 0.0
+            r, c = np.nonzero(topk_mask(score, int(qb.ks.max())))
+            acc.add(c, ids[r], score[r, c], [])
         res = acc.result()
-        if res is None:
-            return
-        qi, rid, sc, cols = res
-        out = pa.RecordBatch.from_arrays(
-            [pa.array(qb.qids[qi]), pa.array(rid), pa.array(sc), pa.array(qb.ks[qi].astype(np.int32))] + cols,
-            schema=out_schema)
-        for off in range(0, out.num_rows, 65536):
-            yield out.slice(off, 65536)
+        if res is not None:
+            qi, rid, sc, _ = res
+            yield pa.RecordBatch.from_arrays([pa.array(qb.qids[qi]), pa.array(rid), pa.array(sc), pa.array(qb.ks[qi].astype(np.int32))],
+                                             schema=out_schema)
     return run
 
 
-def _collect_block(queries: DataFrame, limit_bytes: int, dim_hint: int | None):
-    """Collect one query block after checking its size; None if it is too big."""
-    tbl = queries.toArrow()
-    if tbl.num_rows == 0:
-        return _QueryBlock([], np.zeros((0, dim_hint or 0)), [])
-    vec = tbl.column("qvec").combine_chunks()
-    dim = len(vec[0].as_py()) if dim_hint is None else dim_hint
-    if tbl.num_rows * dim * 8 > limit_bytes:
-        return None
-    mat = vec.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(tbl.num_rows, dim)
-    qb = _QueryBlock(tbl.column("qid").to_numpy(), mat, tbl.column("k").to_numpy())
-    qb.raw = mat
-    return qb
-
-
 def topk_batch(corpus: DataFrame, queries: DataFrame, k: int = 5, *,
                id_col: str = "id", vec_col: str = "embedding",
                qid_col: str = "qid", qvec_col: str = "embedding", k_col: str | None = None,
                metric: str = "cosine", carry: tuple[str, ...] | list[str] = (),
-               max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
+               unique_ids: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Best ``k`` corpus rows for every query (W1 over J1).
 
     Returns ``(qid, rank, id, similarity, *carry)`` with rank 1..k, ordered
     within a query by similarity descending then id ascending (the
     reference's stable sort on distance, with id as the deterministic
     tie-break).  ``k_col`` optionally names a per-query k (request top_k).
-    ``carry`` names corpus columns (e.g. the text) returned with the hits, so
-    no second pass over the corpus is needed to fetch them.  For metric
+    ``carry`` names corpus columns (e.g. the text) returned with the hits: only
+    the winners' rows are joined back to them, the tiles never see them.  For metric
     ``l2`` the score column is ``distance`` (ascending).
 
     A query is scored against the rows of its own dimension: sets that mix
-    dimensions are answered dimension by dimension.  Vectors with a null, NaN
-    or infinite component have no distance and take no part.
+    dimensions are answered dimension by dimension.  Queries that share a qid
+    are answered each on its own (equal ones are scored once), a null qid like any
+    other; corpus rows that share an id are rows of their own (told apart by a hash of the
+    carried columns; ``unique_ids`` spares reading these for a corpus whose ids are distinct).
     """
-    spark = corpus.sparkSession
-    carry = tuple(carry)
-    kexpr = F.col(k_col).cast("int") if k_col else F.lit(int(k))
-    q = (queries.where(F.col(qvec_col).isNotNull())
-         .select(F.col(qid_col).cast("long").alias("qid"),
-                 as_double_array(qvec_col).alias("qvec"), kexpr.alias("k"))
-         .where(F.col("k") > 0))
-    q = q.where(finite_vector("qvec"))
-    # Size check before anything is broadcast: rows per dimension (a few rows).
-    sizes = sorted((int(r["d"]), int(r["n"])) for r in
-                   q.groupBy(F.size("qvec").alias("d")).agg(F.count(F.lit(1)).alias("n")).toLocalIterator() if r["d"] > 0)
-    c = (corpus.where(F.col(vec_col).isNotNull())
-         .select(F.col(id_col).cast("long").alias(id_col), F.col(vec_col), *carry))
-    cand_schema = T.StructType(_CAND_SCHEMA.fields + [c.schema[x] for x in carry])
-    arrow_schema = pa.schema([("qid", pa.int64(), False), ("id", pa.int64(), False),
-                              ("similarity", pa.float64(), False), ("k", pa.int32(), False)]
-                             + [pa.field(x, _arrow_type(c.schema[x].dataType)) for x in carry])
-    parts = []
-    for dim, n_q in sizes:
-        n_blocks = max(1, math.ceil(n_q * dim * 8 / max_broadcast_bytes))
-        own, rows = q.where(F.size("qvec") == dim), c.where(F.size(vec_col) == dim)
-        blocks = [own] if n_blocks == 1 else [
-            own.where(F.pmod(F.xxhash64("qid"), F.lit(n_blocks)) == b) for b in range(n_blocks)]
-        for blk in blocks:
-            qb = _collect_block(blk, 2 * max_broadcast_bytes if n_blocks > 1 else max_broadcast_bytes, dim)
-            if qb is None:
-                raise ValueError("query block exceeds the broadcast bound; lower max_broadcast_bytes")
-            if len(qb.qids) == 0:
-                continue
-            bc = spark.sparkContext.broadcast(qb)
-            parts.append(rows.mapInArrow(_score_batches(bc, id_col, vec_col, metric, carry, arrow_schema),
-                                         cand_schema))
-    if not parts:
-        return spark.createDataFrame([], _out_schema(metric, c.schema, carry))
-    cand = parts[0]
-    for p in parts[1:]:
-        cand = cand.unionByName(p)
-    w = Window.partitionBy("qid").orderBy(F.col("similarity").desc(), F.col("id").asc())
-    ranked = (cand.withColumn("rank", F.row_number().over(w).cast("long"))
-              .where(F.col("rank") <= F.col("k"))
-              .select("qid", "rank", F.col("id").alias(id_col), "similarity", *carry))
-    if metric == "l2":
-        ranked = ranked.select("qid", "rank", id_col, (-F.col("similarity")).alias("distance"), *carry)
-    return ranked
-
-
-def _arrow_type(dt):
-    from pyspark.sql.pandas.types import to_arrow_type
-    return to_arrow_type(dt)
-
-
-def _out_schema(metric: str, corpus_schema=None, carry=()) -> T.StructType:
-    last = "distance" if metric == "l2" else "similarity"
-    return T.StructType([T.StructField("qid", T.LongType()), T.StructField("rank", T.LongType()),
-                         T.StructField("id", T.LongType()), T.StructField(last, T.DoubleType())]
-                        + [corpus_schema[x] for x in carry])
+    carry = list(carry)
+    q = distinct_queries(queries, F.col(k_col).cast("int") if k_col else F.lit(int(k)), qid_col, qvec_col).withColumn("_cell", F.size("_v").cast("long"))
+    c = corpus.where(F.col(id_col).isNotNull() & (F.size(vec_col) > 0))
+    row = F.xxhash64(F.col(id_col).cast("long"), *([] if unique_ids else [F.col(x).cast("string") for x in carry]))
+    hits = tile_topk(c.select(F.col(id_col).cast("long").alias("id"), row.alias("_row"), F.col(vec_col).alias("_v"), F.size(vec_col).cast("long").alias("_cell")),
+                     q, metric, block_bytes)
+    if carry:
+        texts = c.select(F.col(id_col).cast("long").alias("id"), row.alias("_row"), *carry)
+        hits = hits.join(texts if unique_ids else texts.dropDuplicates(["id", "_row"]), ["id", "_row"])
+    return answers(hits, id_col, metric, carry)
+
+
+def distinct_queries(queries: DataFrame, k, qid_col: str, qvec_col: str) -> DataFrame:
+    """(qid, _q, _k, _copies, _v): the queries with a finite vector and k > 0; equal ones are one, ``_q`` tells others of one qid apart."""
+    q = (queries.where(F.size(qvec_col) > 0)
+         .select(F.col(qid_col).cast("long").alias("qid"), as_double_array(qvec_col).alias("_v"), k.alias("_k"))
+         .where((F.col("_k") > 0) & finite_vector("_v")))
+    q = q.groupBy("qid", "_k", "_v").agg(F.count(F.lit(1)).alias("_copies"))
+    return q.select("qid", F.xxhash64("qid", "_k", "_v").alias("_q"), "_k", "_copies", "_v")
+
+
+def answers(hits: DataFrame, id_col: str, metric: str = "cosine", carry=()) -> DataFrame:
+    hits = hits.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+    score = F.col("similarity") if metric != "l2" else (-F.col("similarity")).alias("distance")
+    return hits.select("qid", "rank", F.col("id").alias(id_col), score, *carry)
 
 
 def _pair_scores(bc, id_col: str, vec_col: str):
@@ -284,13 +185,15 @@ def _pair_scores(bc, id_col: str, vec_col: str):
                 continue
             mat = batch.column(vec_col).flatten().to_numpy(zero_copy_only=False).astype(np.float64) \
                 .reshape(n, len(q))
+            fine = np.isfinite(mat).all(axis=1)             # a null component reads as NaN
+            mat, ids = mat[fine], batch.column(id_col).filter(pa.array(fine))
             norms = np.sqrt(np.einsum("ij,ij->i", mat, mat))
             dots = mat @ q
             ok = (norms != 0) & (qn != 0)
             sim = np.where(ok, dots / np.where(ok, norms * qn, 1.0), 0.0)
             diff = mat - q[None, :]
             l2 = np.sqrt(np.einsum("ij,ij->i", diff, diff))
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(sim), pa.array(l2)], schema=schema)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(sim), pa.array(l2)], schema=schema)
     return run
 
 
@@ -301,7 +204,7 @@ def score_corpus(corpus: DataFrame, query_vector, *, id_col: str = "id",
     batches with numpy (the JVM expressions in ``functions.vector`` give the
     same values per row and stay the Column API)."""
     vec = np.asarray([float(x) for x in query_vector], dtype=np.float64)
-    c = (corpus.where(F.col(vec_col).isNotNull() & (F.size(vec_col) == len(vec)))
+    c = (corpus.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & (F.size(vec_col) == len(vec)))
          .select(F.col(id_col).cast("long").alias(id_col), F.col(vec_col)))
     bc = corpus.sparkSession.sparkContext.broadcast(vec)
     schema = T.StructType([T.StructField(id_col, T.LongType()), T.StructField("similarity", T.DoubleType()),
@@ -324,7 +227,7 @@ def topk_single(corpus: DataFrame, query_vector, k: int = 5, *, id_col: str = "i
     answer is the same (ties by id, zero vectors at distance 1.0)."""
     spark = corpus.sparkSession
     vec = np.asarray([float(x) for x in query_vector], dtype=np.float64)
-    c = (corpus.where(F.col(vec_col).isNotNull() & (F.size(vec_col) == len(vec)))
+    c = (corpus.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & (F.size(vec_col) == len(vec)))
          .select(F.col(id_col).cast("long").alias(id_col), F.col(vec_col)))
     schema = T.StructType([T.StructField("rank", T.LongType()), T.StructField(id_col, T.LongType()),
                            T.StructField("similarity", T.DoubleType()), T.StructField("distance", T.DoubleType()),
@@ -335,7 +238,7 @@ def topk_single(corpus: DataFrame, query_vector, k: int = 5, *, id_col: str = "i
     bc = spark.sparkContext.broadcast(qb)
     arrow_schema = pa.schema([("qid", pa.int64(), False), ("id", pa.int64(), False),
                               ("similarity", pa.float64(), False), ("k", pa.int32(), False)])
-    cand = c.mapInArrow(_score_batches(bc, id_col, vec_col, "cosine", (), arrow_schema), _CAND_SCHEMA)
+    cand = c.mapInArrow(_score_batches(bc, id_col, vec_col, arrow_schema), _CAND_SCHEMA)
     top = cand.orderBy(F.col("similarity").desc(), F.col("id").asc()).limit(int(k))
     w = Window.orderBy(F.col("similarity").desc(), F.col("id").asc())      # over at most k rows
     return top.select(F.row_number().over(w).cast("long").alias("rank"), F.col("id").alias(id_col),

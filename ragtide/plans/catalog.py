@@ -20,6 +20,7 @@ from ragtide.functions.text import (
 from ragtide.functions.like import ilike_contains
 from ragtide.functions.vector import parse_vector, render_vector, vector_is_valid
 from ragtide.operators import ann, chunking, context, embed, history, keyword, stats, topk
+from ragtide.session import shared_table
 from ragtide.sources import pages as pages_src
 from ragtide.sources.tables import documents_as_files, stored_vectors, table
 
@@ -265,9 +266,12 @@ def rag_requests(spark, sf, default_top_k=context.DEFAULT_TOP_K_CHAT):
 
 
 def rag_hits(spark, sf, default_top_k=context.DEFAULT_TOP_K_CHAT):
+    """The answers' chunks.  The corpus is stored first, as the reference's is: its ids and vectors are
+    read by the search, its texts for the winners alone."""
     req = rag_requests(spark, sf, default_top_k).where(F.col("status") == "ok")
+    stored = shared_table(rag_corpus(spark, sf), "corpus")
     qv = req.join(stored_vectors(spark, sf).select(F.col("id").alias("qid"), "embedding"), "qid")
-    return topk.topk_batch(rag_corpus(spark, sf), qv, k_col="top_k", carry=["corpus"])
+    return topk.topk_batch(stored, qv, k_col="top_k", carry=["corpus"], unique_ids=True)
 
 
 def q_request_normalize(spark, sf):
@@ -275,12 +279,12 @@ def q_request_normalize(spark, sf):
 
 
 def q_sources(spark, sf):
-    return context.sources(rag_hits(spark, sf), rag_corpus(spark, sf))
+    return context.sources(rag_hits(spark, sf), None)
 
 
 def q_context_prompt(spark, sf):
     req = rag_requests(spark, sf).where(F.col("status") == "ok")
-    return context.context_prompt(rag_hits(spark, sf), rag_corpus(spark, sf), req)
+    return context.context_prompt(rag_hits(spark, sf), None, req)
 
 
 def q_context_prompt_short(spark, sf):
@@ -327,8 +331,8 @@ def q_history_clear(spark, sf):
 
 def q_text_search_hashed(spark, sf):
     """End-to-end text search: chunks and benchmark questions embedded by the
-    stand-in encoder, top-5 per question."""
-    c = embed.embed(corpus(spark, sf).select("id", "corpus"), "corpus", "embedding")
+    stand-in encoder, top-5 per question.  Each chunk is encoded once: the vectors are stored before the search."""
+    c = shared_table(embed.embed(corpus(spark, sf).select("id", "corpus"), "corpus", "embedding").select("id", "embedding"), "vectors")
     qs = embed.embed(table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text"),
                      "text", "embedding")
     r = topk.topk_batch(c, qs, TOP_K)

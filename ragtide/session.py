@@ -6,9 +6,10 @@ from __future__ import annotations
 import math
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every session of ours wants; a cluster session passed in by a caller
 # keeps whatever its owner configured.
@@ -93,6 +94,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def shared_table(df: DataFrame, name: str) -> DataFrame:
+    """``df`` computed once: written as Parquet under the shared checkpoint folder and read
+    back, so several passes over it do not repeat its work and a lost
+    executor loses nothing.  The cluster clears that folder as it does for checkpoints."""
+    spark = df.sparkSession
+    path = f"{(checkpoint_dir(spark) or ensure_checkpoint_dir(spark)).rstrip('/')}/table-{uuid.uuid4().hex[:12]}-{name}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make ``ragtide`` importable in the Python workers (broadcast payloads
     and Arrow batch functions refer to its classes): zip the package once

@@ -53,14 +53,14 @@ def test_pandas_encoder_hook(spark):
     assert embed.embed(df, "text", "e", enc).first()["e"] == [3.0, 1.0]
 
 
-def test_ann_query_blocks_beyond_broadcast_bound(spark):
+def test_ann_in_many_blocks(spark):
     v = stored_vectors(spark, SF_MED)
     q = v.where(F.col("id") < 60).select(F.col("id").alias("qid"), "embedding")
     idx = ann.build_index(v, n_clusters=8)
     def rows(df):
         return {(r["qid"], r["rank"], r["id"], round(r["similarity"], 9)) for r in df.collect()}
     one = rows(ann.ann_topk(v, q, 3, index=idx, nprobe=3))
-    many = rows(ann.ann_topk(v, q, 3, index=idx, nprobe=3, max_broadcast_bytes=4096))
+    many = rows(ann.ann_topk(v, q, 3, index=idx, nprobe=3, block_bytes=4096))
     assert one == many and len(one) == 180
 
 

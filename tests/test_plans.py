@@ -48,7 +48,21 @@ def test_single_query_topk_plans(plans):
 
 def test_batch_topk_scores_in_arrow_batches(plans):
     for n in ["topk_batch", "topk_l2", "sources", "text_search_hashed", "ann_topk"]:
-        assert "MapInArrow" in plans[n], n
+        assert "FlatMapCoGroupsInArrow" in plans[n], n
+
+
+@pytest.mark.parametrize("name", ["topk_batch", "topk_l2"])
+def test_query_sets_do_not_pass_through_the_driver(spark, name, monkeypatch):
+    """Building and planning the query collects nothing and broadcasts nothing by hand."""
+    from pyspark import SparkContext
+    from pyspark.sql.classic.dataframe import DataFrame as Classic
+
+    def refuse(*a, **k):
+        raise AssertionError("rows reached the driver")
+    for m in ("collect", "toArrow", "toPandas", "toLocalIterator", "first", "head", "take", "count"):
+        monkeypatch.setattr(Classic, m, refuse)
+    monkeypatch.setattr(SparkContext, "broadcast", refuse)
+    assert "FlatMapCoGroupsInArrow" in _plan(entry.queries()[name](spark, SF_SMALL))
 
 
 def test_scans_are_pruned(plans):

@@ -5,7 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ragtide.functions.vector import cosine_distance, l2_distance, parse_vector, vector_is_valid
-from ragtide.operators import topk
+from ragtide.operators import tiles, topk
 from ragtide.sources.tables import stored_vectors
 from conftest import SF_SMALL
 
@@ -72,8 +72,8 @@ def test_batch_equals_single_and_numpy(spark):
 def test_query_blocks_split_when_over_bound(spark):
     v = stored_vectors(spark, SF_SMALL)
     q = v.select(F.col("id").alias("qid"), "embedding")
-    small_bound = 64 * 8 * 60      # forces several broadcast blocks
-    a = {(r["qid"], r["rank"], r["id"]) for r in topk.topk_batch(v, q, 3, max_broadcast_bytes=small_bound).collect()}
+    small_bound = 64 * 8 * 60      # forces several blocks on either side
+    a = {(r["qid"], r["rank"], r["id"]) for r in topk.topk_batch(v, q, 3, block_bytes=small_bound).collect()}
     b = {(r["qid"], r["rank"], r["id"]) for r in topk.topk_batch(v, q, 3).collect()}
     assert a == b and len(a) == 3 * v.count()
 
@@ -97,7 +97,7 @@ def test_topk_mask_keeps_exactly_k_with_ties():
     score = np.round(rng.random((500, 7)), 1)          # many ties
     score[:, 0] = 0.0                                  # a column where every row ties
     for kk in (1, 3, 10, 499, 500, 600):
-        m = topk.topk_mask(score, kk)
+        m = tiles.topk_mask(score, kk)
         assert (m.sum(axis=0) == min(kk, 500)).all()
         for j in range(score.shape[1]):
             want = sorted(range(500), key=lambda i: (-score[i, j], i))[:kk]
@@ -196,3 +196,36 @@ def test_mixed_dimensions_and_components_that_are_no_numbers(spark):
             got.setdefault(r["qid"], []).append(r["id"])
         assert got == {1: [1, 6, 4][:k], 2: [4, 6, 1][:k], 3: [7]}
         assert [r["id"] for r in topk.topk_single(c, [1.0, 0.0], k).orderBy("rank").collect()] == [1, 6, 4][:k]
+
+
+def test_tiles_equal_numpy_with_several_blocks(spark):
+    """Both metrics over 5 x 9 blocks, ids in a third of all rows equal, per-query k."""
+    rng = np.random.default_rng(2)
+    ids = [7 if i < 90 else 1000 + i for i in range(270)]
+    for metric, col in (("cosine", "similarity"), ("l2", "distance")):
+        # whole numbers make many equal distances; cosines of them differ in the last bits, so those are of any numbers
+        draw = (lambda n: rng.normal(size=(n, 4))) if metric == "cosine" else (lambda n: rng.integers(-3, 4, (n, 4)).astype(float))
+        vecs, qs = draw(270), draw(60)
+        c = spark.createDataFrame([(ids[i], v.tolist(), f"t{i}") for i, v in enumerate(vecs)], "id long, embedding array<double>, t string").repartition(4)
+        q = spark.createDataFrame([(i, v.tolist(), 1 + i % 6) for i, v in enumerate(qs)], "qid long, embedding array<double>, k int")
+        out = topk.topk_batch(c, q, k_col="k", metric=metric, carry=["t"], block_bytes=30 * 32).collect()
+        assert len(out) == sum(1 + i % 6 for i in range(60)) and len({(r["qid"], r["rank"]) for r in out}) == len(out)
+        for i, v in enumerate(qs):
+            n = np.linalg.norm(vecs, axis=1) * np.linalg.norm(v)
+            score = np.where(n > 0, vecs @ v / np.where(n > 0, n, 1), 0) if metric == "cosine" else np.linalg.norm(vecs - v, axis=1)
+            want = sorted((round(float(-s if metric == "cosine" else s), 9), ids[j]) for j, s in enumerate(score))[: 1 + i % 6]
+            mine = sorted((r for r in out if r["qid"] == i), key=lambda r: r["rank"])
+            assert [(round(-r[col] if metric == "cosine" else r[col], 9), r["id"]) for r in mine] == want
+            assert all(ids[int(r["t"][1:])] == r["id"] and abs(score[int(r["t"][1:])] - r[col]) < 1e-9 for r in mine)
+
+
+def test_null_ids_and_equal_qids(spark):
+    """A row without an id takes no part and changes no other id; queries that share a qid are answered each on its own."""
+    big = 2**60
+    c = spark.createDataFrame([(big + 1, [1.0, 0.0]), (None, [1.0, 0.0]), (big + 3, [1.0, 0.1]), (5, [0.0, 1.0])], "id long, embedding array<double>").coalesce(1)
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (1, [0.0, 1.0]), (None, [1.0, 0.0])], "qid long, embedding array<double>")
+    got = sorted(((r["qid"], r["rank"], r["id"]) for r in topk.topk_batch(c, q, 2).collect()), key=str)
+    assert got == sorted([(1, 1, big + 1), (1, 2, big + 3)] + 2 * [(1, 1, 5), (1, 2, big + 3)] + [(None, 1, big + 1), (None, 2, big + 3)], key=str)
+    assert [r["id"] for r in topk.topk_single(c, [1.0, 0.0], 2).collect()] == [big + 1, big + 3]
+    bad = c.unionByName(spark.createDataFrame([(9, [float("nan"), 1.0])], "id long, embedding array<double>"))
+    assert {r["id"] for r in topk.score_corpus(bad, [1.0, 0.0]).collect()} == {big + 1, big + 3, 5}
