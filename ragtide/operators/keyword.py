@@ -3,33 +3,27 @@
 F1 is a filter plus ``orderBy(id).limit(n)`` (TakeOrderedAndProject, each
 partition keeps n).  Spark turns a plain literal ILIKE into
 ``Contains(lower(col), ...)``; it is not a parquet pushdown, but only the text
-and id columns are read.
-
-F1b matches many keywords in one pass over the corpus.  Literal keywords go
-through one Aho-Corasick automaton per task (the keyword list is broadcast
-after its size is checked; a list above the bound is split into hash blocks
-of keywords, one broadcast and one corpus pass per block), so the cost per
-row is linear in the text, not in the number of keywords; keywords with wildcards or escapes are matched by
-their LIKE pattern translated to a regex in the same pass.  Each task keeps,
-per keyword, only its ``limit`` smallest matching ids and a match count, so
-a keyword that matches a third of the corpus ships at most ``limit`` rows
-per task; one window per keyword then ranks and sums them.
+and id columns are read.  A stored corpus with postings answers F1
+without a scan (``operators.grams.indexed_search``).
+
+F1b takes the keywords as a table: each distinct keyword meets the corpus under its rarest
+gram in an equi-join (``operators.grams``), so neither keywords nor matches pass through the driver and one plan
+serves any number of keywords.  The matching (keyword, id) pairs are written once; counts and first ids are
+aggregated from them in two levels, so a keyword that matches a third of the corpus fills no
+single task.
 """
 
 from __future__ import annotations
 
-import re
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ragtide.functions.like import contains_pattern_literal, ilike_contains
+from ragtide.functions.like import ilike_contains
 from ragtide.functions.text import iso_timestamp
+from ragtide.operators.grams import gram_matches
+from ragtide.session import shared_table
 
-DEFAULT_MAX_KEYWORD_BYTES = 64 * 1024 * 1024
+SALTS = 64
 
 
 def keyword_search(corpus: DataFrame, keyword: str, limit: int = 10, *,
@@ -47,195 +41,37 @@ def keyword_count(corpus: DataFrame, keyword: str, *, text_col: str = "corpus")
     return corpus.where(ilike_contains(text_col, keyword)).agg(F.count(F.lit(1)).alias("matches"))
 
 
-def _plain(kw: str) -> bool:
-    return not any(ch in kw for ch in "%_\\")
-
-
-def like_to_regex(pattern: str) -> str:
-    """A (normalised) LIKE pattern as a Python regex for ``re.fullmatch`` with
-    DOTALL: ``%`` -> ``.*``, ``_`` -> ``.``, ``\\x`` -> literal x."""
-    out, i = [], 0
-    while i < len(pattern):
-        ch = pattern[i]
-        if ch == "\\" and i + 1 < len(pattern):
-            out.append(re.escape(pattern[i + 1]))
-            i += 2
-            continue
-        out.append(".*" if ch == "%" else "." if ch == "_" else re.escape(ch))
-        i += 1
-    return "".join(out)
-
-
-class _Matcher:
-    """Per-task matcher over the distinct keywords: one Aho-Corasick automaton
-    for literal ones (lower-cased, as ILIKE compares lower-cased text),
-    regexes for the rest.  ``qids`` and ``limits`` hold, per distinct keyword,
-    the requests that ask for it."""
-
-    def __init__(self, entries):
-        import ahocorasick
-        places: dict[tuple[bool, str], int] = {}
-        self.qids: list[list[int]] = []
-        self.limits: list[list[int]] = []
-        for qid, kw, lim in entries:
-            key = (True, kw.lower()) if _plain(kw) else (False, contains_pattern_literal(kw).lower())
-            at = places.setdefault(key, len(places))
-            if at == len(self.qids):
-                self.qids.append([])
-                self.limits.append([])
-            self.qids[at].append(qid)
-            self.limits[at].append(int(lim))
-        self.patterns = [(at, re.compile(like_to_regex(p), re.S)) for (plain, p), at in places.items() if not plain]
-        words = [(w, at) for (plain, w), at in places.items() if plain]
-        self.auto = ahocorasick.Automaton() if words else None
-        for w, at in words:
-            self.auto.add_word(w, at)
-        if words:
-            self.auto.make_automaton()
-
-    def pairs(self, texts) -> tuple[np.ndarray, np.ndarray]:
-        """(keyword, row) of every keyword that a row contains, each once."""
-        kws: list[int] = []
-        sizes = []
-        for t in texts:
-            before = len(kws)
-            if t is not None:
-                low = t.lower()
-                if self.auto is not None:
-                    kws.extend({at for _, at in self.auto.iter(low)})
-                kws.extend(at for at, rx in self.patterns if rx.fullmatch(low))
-            sizes.append(len(kws) - before)
-        return np.array(kws, np.int64), np.repeat(np.arange(len(sizes)), sizes)
-
-
-# rows matched at a time: their pairs are at most this many times the keywords
-_ROWS = 2048
-
-
-def _slices(batches):
-    for batch in batches:
-        for at in range(0, batch.num_rows, _ROWS):
-            yield batch.slice(at, _ROWS)
-
-
-def _all_matches(bc, id_col: str, text_col: str):
-    def run(batches):
-        m = _Matcher(bc.value)
-        schema = pa.schema([("qid", pa.int64(), False), ("id", pa.int64(), False)])
-        n_q = np.array([len(q) for q in m.qids])
-        for batch in _slices(batches):
-            kw, row = m.pairs(batch.column(text_col).to_pylist())
-            if len(kw):
-                ids = batch.column(id_col).to_numpy(zero_copy_only=False)[row]
-                qids = np.concatenate([m.qids[k] for k in kw])
-                yield pa.RecordBatch.from_arrays([pa.array(qids, pa.int64()), pa.array(np.repeat(ids, n_q[kw]), pa.int64())],
-                                                 schema=schema)
-    return run
-
-
-def _first_per_keyword(kw: np.ndarray, ids: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The ``most[keyword]`` smallest ids of every keyword, in (keyword, id) order."""
-    order = np.lexsort((ids, kw))
-    kw, ids = kw[order], ids[order]
-    rank = np.arange(len(kw)) - np.searchsorted(kw, kw)
-    keep = rank < most[kw]
-    return kw[keep], ids[keep]
-
-
-def _partial_first(bc, id_col: str, text_col: str):
-    """Per task: for every request, its ``limit`` smallest matching ids (its
-    own limit) and its match count (carried on the smallest id's row, 0 on
-    the others); each row also carries the request's limit.  Kept between
-    batches: per distinct keyword, the ids its largest limit needs."""
-    def run(batches):
-        m = _Matcher(bc.value)
-        most = np.array([max(x) for x in m.limits], np.int64)
-        counts = np.zeros(len(most), np.int64)
-        kws, ids = np.empty(0, np.int64), np.empty(0, np.int64)
-        for batch in _slices(batches):
-            kw, row = m.pairs(batch.column(text_col).to_pylist())
-            counts += np.bincount(kw, minlength=len(most))
-            new = batch.column(id_col).to_numpy(zero_copy_only=False).astype(np.int64)[row]
-            kws, ids = _first_per_keyword(np.concatenate([kws, kw]), np.concatenate([ids, new]), most)
-        ends = np.searchsorted(kws, np.arange(len(most) + 1))
-        oq, oi, on, ok = [], [], [], []
-        for at in np.flatnonzero(ends[1:] > ends[:-1]):
-            mine = ids[ends[at]: ends[at + 1]].tolist()
-            for qid, lim in zip(m.qids[at], m.limits[at]):
-                first = mine[: max(lim, 0)]
-                oq += [qid] * len(first)
-                oi += first
-                on += [int(counts[at])] * len(first[:1]) + [0] * (len(first) - 1)
-                ok += [lim] * len(first)
-        if oq:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(oq, pa.int64()), pa.array(oi, pa.int64()), pa.array(on, pa.int64()),
-                 pa.array(ok, pa.int64())],
-                schema=pa.schema([("qid", pa.int64(), False), ("id", pa.int64(), False),
-                                  ("n", pa.int64(), False), ("k", pa.int64(), False)]))
-    return run
-
-
-def _keyword_blocks(corpus: DataFrame, keywords: DataFrame, qid_col: str, kw_col: str,
-                    max_keyword_bytes: int, limit=None):
-    """Broadcast the keyword list (qid, keyword, limit) after checking its
-    size; a list above the bound is split into hash blocks of qids that each
-    fit, one broadcast (and one pass over the corpus) per block."""
-    lim = F.lit(0) if limit is None else limit
-    kw = keywords.where(F.col(kw_col).isNotNull() & (F.col(kw_col) != "")) \
-        .select(F.col(qid_col).cast("long").alias("qid"), F.col(kw_col).alias("keyword"),
-                lim.cast("long").alias("lim"))
-    size = kw.agg(F.coalesce(F.sum(F.length("keyword") + 24), F.lit(0)).alias("b")).collect()[0]["b"]
-    n_blocks = max(1, -(-int(size) // max_keyword_bytes))
-    blocks = [kw] if n_blocks == 1 else [
-        kw.where(F.pmod(F.xxhash64("qid"), F.lit(n_blocks)) == b) for b in range(n_blocks)]
-    sc = corpus.sparkSession.sparkContext
-    out = []
-    for blk in blocks:
-        entries = [(int(r["qid"]), r["keyword"], int(r["lim"] or 0)) for r in blk.collect()]   # bounded
-        if entries:
-            out.append(sc.broadcast(entries))
-    return out
+def _requests(keywords: DataFrame, qid_col: str, kw_col: str, *more) -> DataFrame:
+    return keywords.where(F.col(kw_col).isNotNull() & (F.col(kw_col) != "")).select(
+        F.col(qid_col).cast("long").alias("qid"), F.col(kw_col).alias("keyword"), *more)
 
 
 def keyword_matches(corpus: DataFrame, keywords: DataFrame, *, id_col: str = "id",
-                    text_col: str = "corpus", qid_col: str = "qid", kw_col: str = "keyword",
-                    max_keyword_bytes: int = DEFAULT_MAX_KEYWORD_BYTES) -> DataFrame:
-    """All (qid, id) pairs where the row text contains the keyword."""
-    c = corpus.select(F.col(id_col).cast("long").alias("id"), F.col(text_col))
-    schema = T.StructType([T.StructField("qid", T.LongType(), False),
-                           T.StructField("id", T.LongType(), False)])
-    parts = [c.mapInArrow(_all_matches(bc, "id", text_col), schema)
-             for bc in _keyword_blocks(corpus, keywords, qid_col, kw_col, max_keyword_bytes)]
-    return _union(parts, schema, corpus)
-
-
-def _union(parts, schema, like: DataFrame) -> DataFrame:
-    if not parts:
-        return like.sparkSession.createDataFrame([], schema)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+                    text_col: str = "corpus", qid_col: str = "qid", kw_col: str = "keyword") -> DataFrame:
+    """All (qid, id) pairs where the row text contains the keyword; rows without an id take no part."""
+    found = gram_matches(corpus, keywords, id_col=id_col, text_col=text_col, kw_col=kw_col)
+    return _requests(keywords, qid_col, kw_col).join(found, "keyword").select("qid", "id")
 
 
 def keyword_batch(corpus: DataFrame, keywords: DataFrame, limit: int = 10, *, id_col: str = "id",
                   text_col: str = "corpus", qid_col: str = "qid", kw_col: str = "keyword",
-                  limit_col: str | None = None,
-                  max_keyword_bytes: int = DEFAULT_MAX_KEYWORD_BYTES) -> DataFrame:
+                  limit_col: str | None = None) -> DataFrame:
     """For every keyword, its first ``limit`` matching rows by id plus the
     total number of matching rows: (qid, rank, id, matches).  ``limit_col``
     names a per-keyword limit (a request's ``limit``; NULL takes ``limit``).
-    One pass over the corpus and one small shuffle (at most the keyword's
-    limit in rows per keyword per task)."""
-    c = corpus.select(F.col(id_col).cast("long").alias("id"), F.col(text_col))
+    Rows without an id take no part; ids are taken to be distinct."""
     lim = F.lit(int(limit)) if limit_col is None else F.coalesce(F.col(limit_col).cast("long"), F.lit(int(limit)))
-    schema = T.StructType([T.StructField("qid", T.LongType(), False), T.StructField("id", T.LongType(), False),
-                           T.StructField("n", T.LongType(), False), T.StructField("k", T.LongType(), False)])
-    part = _union([c.mapInArrow(_partial_first(bc, "id", text_col), schema)
-                   for bc in _keyword_blocks(corpus, keywords, qid_col, kw_col, max_keyword_bytes, lim)],
-                  schema, corpus)
-    w = Window.partitionBy("qid")
-    ranked = part.select("qid", "id", "k", F.row_number().over(w.orderBy("id")).cast("long").alias("rank"),
-                         F.sum("n").over(w).cast("long").alias("matches"))
-    return ranked.where(F.col("rank") <= F.col("k")).select("qid", "rank", "id", "matches")
+    req = _requests(keywords, qid_col, kw_col, lim.cast("long").alias("k")).where("k > 0")
+    found = shared_table(gram_matches(corpus, req, id_col=id_col, text_col=text_col), "matches")
+    most = int(limit) if limit_col is None else int(req.agg(F.max("k")).first()[0] or 0)      # one number
+    if most <= 0:
+        return req.select("qid", F.lit(1).cast("long").alias("rank"), F.lit(1).cast("long").alias("id"), F.lit(1).cast("long").alias("matches")).where("false")
+
+    def first(df, *by):
+        w = Window.partitionBy("keyword", *by).orderBy("id")
+        return df.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= most)
+
+    top = first(first(found.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS))), "salt"))
+    counts = found.groupBy("keyword").agg(F.count(F.lit(1)).alias("matches"))
+    got = req.join(counts, "keyword").join(top.select("keyword", "rank", "id"), "keyword")
+    return got.where(F.col("rank") <= F.col("k")).select("qid", "rank", "id", "matches")

@@ -183,6 +183,9 @@ FROM corpus ORDER BY id LIMIT 10""",
     "keyword_search": WITH_CORPUS + f"""SELECT id, corpus AS text, {_iso('created_at')} AS date, file_name
 FROM corpus WHERE corpus ILIKE '%{C.KEYWORD}%' ESCAPE '\\' ORDER BY id LIMIT 10""",
 
+    "keyword_indexed": WITH_CORPUS + f"""SELECT id, corpus AS text, {_iso('created_at')} AS date, file_name
+FROM corpus WHERE corpus ILIKE '%{C.INDEXED_KEYWORD}%' ESCAPE '\\' ORDER BY id LIMIT 10""",
+
     "keyword_count": WITH_CORPUS + f"""SELECT count(*) AS matches FROM corpus
 WHERE corpus ILIKE '%{C.KEYWORD}%' ESCAPE '\\'""",
 

@@ -94,12 +94,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new folder's path under the shared checkpoint folder."""
+    return f"{(checkpoint_dir(spark) or ensure_checkpoint_dir(spark)).rstrip('/')}/table-{uuid.uuid4().hex[:12]}-{name}"
+
+
 def shared_table(df: DataFrame, name: str) -> DataFrame:
     """``df`` computed once: written as Parquet under the shared checkpoint folder and read
     back, so several passes over it do not repeat its work and a lost
     executor loses nothing.  The cluster clears that folder as it does for checkpoints."""
     spark = df.sparkSession
-    path = f"{(checkpoint_dir(spark) or ensure_checkpoint_dir(spark)).rstrip('/')}/table-{uuid.uuid4().hex[:12]}-{name}"
+    path = shared_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

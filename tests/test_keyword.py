@@ -47,16 +47,48 @@ def test_keyword_batch_matches_brute_force(spark):
     assert {(r["qid"], r["rank"]) for r in top} == {(q, 1) for q, _ in want}
 
 
-def test_keyword_blocks_beyond_broadcast_bound_give_same_answer(spark):
+def test_salted_grams_give_same_answer(spark, monkeypatch):
+    from ragtide.operators import grams
     texts = ["the cat sat", "Concatenate THE strings", "dog", "a_b c", "cathedral", "über Straße"] * 5
     c = spark.createDataFrame([(i + 1, t) for i, t in enumerate(texts)], "id long, corpus string")
     kws = ["cat", "the", "a_b", "über", "zzz", "dog", "s", "c"]
     k = spark.createDataFrame([(i, w) for i, w in enumerate(kws)], "qid long, keyword string")
     one = {tuple(r) for r in keyword.keyword_batch(c, k, limit=3).collect()}
-    many = {tuple(r) for r in keyword.keyword_batch(c, k, limit=3, max_keyword_bytes=40).collect()}
+    monkeypatch.setattr(grams, "HOT_ROWS", 2)
+    many = {tuple(r) for r in keyword.keyword_batch(c, k, limit=3).collect()}
     assert one == many and len(one) > 0
-    assert ({tuple(r) for r in keyword.keyword_matches(c, k, max_keyword_bytes=40).collect()}
-            == {tuple(r) for r in keyword.keyword_matches(c, k).collect()})
+
+
+def test_keywords_do_not_pass_through_the_driver(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame as Classic
+    c = spark.createDataFrame([(i, f"row number {i}") for i in range(300)] + [(None, "row number 7")], "id long, corpus string")
+    k = spark.createDataFrame([(i, str(i)) for i in range(100)] + [(i, "row") for i in range(100, 150)], "qid long, keyword string")
+
+    def refuse(*a, **kw):
+        raise AssertionError("rows reached the driver")
+    with monkeypatch.context() as m:
+        for name in ("collect", "toArrow", "toPandas"):
+            m.setattr(Classic, name, refuse)
+        got = keyword.keyword_batch(c, k, limit=2)
+    rows = {(r["qid"], r["rank"]): (r["id"], r["matches"]) for r in got.collect()}
+    assert rows[120, 1] == (0, 300) and rows[120, 2] == (1, 300) and rows[99, 1] == (99, 3) and rows[7, 2] == (17, sum("7" in str(i) for i in range(300)))
+
+
+def test_postings_answer_as_the_scan(spark, scratch, monkeypatch):
+    """Wildcards, escapes, short and absent keywords; the rare one reads few of the texts."""
+    from ragtide.operators import grams
+    monkeypatch.setattr(grams, "ID_BLOCK", 16)
+    monkeypatch.setattr(grams, "TEXT_BLOCKS", 2)
+    words = ["cat", "Katze", "über", "50%", "a_b", "back\\slash", "ΟΔΟΣ", "École"]
+    rows = [(i * 3, f"{words[i % 8]} and the row {i} {'needle' if i == 321 else ''}", None, "f") for i in range(400)] + [(5000, None, None, "f")]
+    c = spark.createDataFrame(rows, "id long, corpus string, created_at timestamp_ntz, file_name string")
+    grams.write_postings(c, scratch + "/p")
+    for kw in ["needle", "NEEDLE", "the row 32", "row_32", "a\\_b", "50\\%", "an%row 39", "ca", "%", "_", "über", "ÜBER", "école", "οδος", "nothing such", "back\\\\slash", "ow 12%"]:
+        want = [r["id"] for r in keyword.keyword_search(c, kw, 20).collect()]
+        got = grams.indexed_search(spark, scratch + "/p", kw, 20)
+        assert got.columns == c.columns and [r["id"] for r in got.collect()] == want, kw
+    assert 0 < grams.text_share(spark, scratch + "/p", "needle") < 0.1
+    assert grams.text_share(spark, scratch + "/p", "nothing such") == 0 and grams.text_share(spark, scratch + "/p", "ca") == 1
 
 
 def test_keyword_batch_per_keyword_limits(spark):
