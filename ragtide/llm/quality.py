@@ -311,6 +311,7 @@ def judge(df: DataFrame, refs: References, doc_id: str = "doc_id", text: str = "
     extra = extra or []
     names = refs.names
     typ = {f.name: f for f in df.schema.fields}
+    at_text = f"__x{extra.index(text)}" if text in extra else "__text"      # a text is sent to the workers once
 
     def part(batches):
         keys, order = _word_table()
@@ -319,7 +320,7 @@ def judge(df: DataFrame, refs: References, doc_id: str = "doc_id", text: str = "
         table = both[at], np.concatenate([order, len(keys) + np.arange(len(more))])[at]
         own = [len(keys) + np.searchsorted(more, x) for x in refs.own]
         for batch in batches:
-            for i, j, b, o in _texts(batch, "__text", max(1, (1 << 22) // len(both))):
+            for i, j, b, o in _texts(batch, at_text, max(1, (1 << 22) // len(both))):
                 yield score(batch.slice(i, j - i), b, o, table, own)
 
     def score(rows, b, o, table, own):
@@ -354,7 +355,7 @@ def judge(df: DataFrame, refs: References, doc_id: str = "doc_id", text: str = "
         return pa.RecordBatch.from_arrays(out + [rows.column(f"__x{k}") for k in range(len(extra))],
                                           names=[*(x.split()[0] for x in SCHEMA.split(", ")), *(f"__x{k}" for k in range(len(extra)))])
 
-    src = df.select(F.col(doc_id).cast("long").alias("__id"), F.col(text).cast("string").alias("__text"),
+    src = df.select(F.col(doc_id).cast("long").alias("__id"), *([] if text in extra else [F.col(text).cast("string").alias("__text")]),
                     F.col(lang).cast("string").alias("__lang"),
                     *(F.col(f"`{c}`").alias(f"__x{k}") for k, c in enumerate(extra)))
     schema = SCHEMA + "".join(f", __x{k} {typ[c].dataType.simpleString()}" for k, c in enumerate(extra))

@@ -463,15 +463,16 @@ def keep_one(df: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataF
     cols = df.columns
     typ = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     found = written(similar(df, width, percent), "components")
+    at_text = f"__x{cols.index('text')}"                  # a text is sent to the workers once
     stay = (found.filter(F.col("node").isNotNull()).groupBy("node").agg(F.first("component_id").alias("component_id")))
 
     def part(batches):
         for batch in batches:
-            nodes = [fingerprint(s) if len(s) else None for s in sets(batch.column("__text"), width)]
+            nodes = [fingerprint(s) if len(s) else None for s in sets(batch.column(at_text), width)]
             yield pa.RecordBatch.from_arrays([*(batch.column(f"__x{k}") for k in range(len(cols))), pa.array(nodes, pa.int64())],
                                              names=[*(f"__x{k}" for k in range(len(cols))), "node"])
 
-    src = df.select(F.col("text").cast("string").alias("__text"), *(F.col(f"`{c}`").alias(f"__x{k}") for k, c in enumerate(cols)))
+    src = df.select(*(F.col(f"`{c}`").alias(f"__x{k}") for k, c in enumerate(cols)))
     rows = src.mapInArrow(part, "".join(f"__x{k} {typ[c]}, " for k, c in enumerate(cols)) + "node long")
     key = f"__x{cols.index('doc_id')}"
     rows = rows.withColumn("alone", F.when(F.col("node").isNull(), F.monotonically_increasing_id()))
