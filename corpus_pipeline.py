@@ -18,22 +18,32 @@ from ragtide.llm.shared import written
 from ragtide.session import ship_package
 from ragtide.sources.tables import table
 
+TEXT_ROWS = 1_000
+
+
+def ship(spark: SparkSession) -> None:
+    """The package reaches the workers, and whole texts go there at most ``TEXT_ROWS`` rows at a time."""
+    ship_package(spark)
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= TEXT_ROWS:
+        spark.conf.set(rows, str(TEXT_ROWS))
+
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    ship_package(spark)
+    ship(spark)
     return quality.keep_good(docs)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates one document stays."""
-    ship_package(spark)
+    ship(spark)
     return shingle_join.keep_one(docs)
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced; ``n_chars`` is the new text's length."""
-    ship_package(spark)
+    ship(spark)
     cols = docs.columns
     done = pii.pseudonymise(docs, KEY, keep=[c for c in cols if c != "text"])
     rest = {c: f"__x{k}" for k, c in enumerate(c for c in cols if c != "text")}
@@ -42,23 +52,22 @@ def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A document appears as often as the mix draws it; the last one drawn of a
-    source may appear in part: its first words, as many as the quota has left."""
-    ship_package(spark)
+    """A document appears as often as the mix draws it, whole.  The last one drawn of a
+    source, of which the quota asks a part, is taken if that part is half of it or more,
+    and left out otherwise.  The rows are written in the order of the mix: by shard, then position."""
+    ship(spark)
     cols = docs.columns
     drawn = mixing.mix(docs, keep=cols)
     drawn = drawn.select("size", F.explode("draws").alias("draw"), *(f"__x{k}" for k in range(len(cols))))
-    text = F.col(f"__x{cols.index('text')}")
-    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    text = F.when(F.col("draw.words") < F.col("size"), F.array_join(F.slice(words, 1, F.col("draw.words").cast("int")), " ")).otherwise(text)
-    drawn = drawn.withColumn("__text", text)
-    return drawn.select(*(F.col("__text").alias(c) if c == "text" else F.length("__text").cast("long").alias(c) if c == "n_chars"
-                          else F.col(f"__x{k}").alias(c) for k, c in enumerate(cols)))
+    drawn = drawn.filter(2 * F.col("draw.words") >= F.col("size"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    drawn = drawn.repartitionByRange(parts, "draw.shard", "draw.position").sortWithinPartitions("draw.shard", "draw.position")
+    return drawn.select(*(F.col(f"__x{k}").alias(c) for k, c in enumerate(cols)))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' pieces, placed in sequences."""
-    ship_package(spark)
+    ship(spark)
     return packing.pack(packing.tokenise(docs, packing.default_tokenizer()))
 
 
