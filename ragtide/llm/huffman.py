@@ -92,7 +92,7 @@ class Decoder:
 
     def decode(self, stream: bytes, checks: np.ndarray, n: int, first: int = 0) -> np.ndarray:
         """The symbols from checkpoint ``first`` on, of a stream of ``n``."""
-        pos = checks[first:].astype(np.int64)
+        pos = checks[first:].astype(np.uint32)
         left = n - first * CHECK
         if left <= 0:
             return np.empty(0, np.uint32)
@@ -100,14 +100,15 @@ class Decoder:
         word = (b[:-3] << np.uint32(24)) | (b[1:-2] << np.uint32(16)) | (b[2:-1] << np.uint32(8)) | b[3:]
         out = np.empty((min(CHECK, left), len(pos)), np.uint32)
         table, down = self.table, np.uint32(32 - self.top)
+        three, seven, low = np.uint32(3), np.uint32(7), np.uint32(31)
         last = left - (len(pos) - 1) * CHECK            # the last lane ends early
         for k in range(len(out)):
             if k == last:
                 pos = pos[:-1]
-            peek = word[pos >> 3]
-            peek <<= (pos & 7).astype(np.uint32)
+            peek = word[pos >> three]
+            peek <<= pos & seven
             peek >>= down
             got = table[peek]
             out[k, : len(pos)] = got
-            pos = pos + (got & np.uint32(31))
+            pos = pos + (got & low)
         return (out >> np.uint32(5)).T.ravel()[:left]

@@ -34,7 +34,7 @@ from .text import string_buffers
 
 LIMIT, END_ID, GROUP_TOKENS = 2048, 0, 2_000_000
 SECOND = 64
-MEMO = 690_000                  # words a worker remembers: as many as a dict of 2^20 places takes, some 130 MB
+MEMO = 340_000                  # words a worker remembers: as many as a dict of 2^19 places takes, some 65 MB
 
 # --- fixed values: the word-end tokenizer's own pattern, and the byte-level alphabet, for letters below LETTERS_END ---
 LETTERS_END = "\u0250"

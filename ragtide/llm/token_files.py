@@ -61,9 +61,10 @@ def tokenised(df: DataFrame, path: str, end_id: int = END_ID, doc_id: str = "doc
             buf, offs = string_buffers(batch.column("__text"))
             for i in range(0, batch.num_rows, _ROWS):
                 js = range(i, min(i + _ROWS, batch.num_rows))
-                got = [np.frombuffer(b + end, "<u4") for b in tok.encode([buf[offs[j]: offs[j + 1]].tobytes() for j in js])]
-                sums += np.bincount(np.concatenate(got), minlength=size)
-                yield pa.RecordBatch.from_arrays([batch.column("__id").slice(i, len(js)), pa.array([x.astype(typ).tobytes() for x in got], pa.binary()),
+                got = [b + end for b in tok.encode([buf[offs[j]: offs[j + 1]].tobytes() for j in js])]
+                ids = np.frombuffer(b"".join(got), "<u4")
+                sums += np.bincount(ids, minlength=size)
+                yield pa.RecordBatch.from_arrays([batch.column("__id").slice(i, len(js)), _binary(ids.astype(typ), np.cumsum([0, *map(len, got)]) // 4),
                                                   pa.nulls(len(js), pa.binary())], names=["doc_id", "ids", "counts"])
         if sums.any():
             yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([zlib.compress(sums.tobytes(), 1)], pa.binary())],
@@ -73,6 +74,11 @@ def tokenised(df: DataFrame, path: str, end_id: int = END_ID, doc_id: str = "doc
     return src.mapInArrow(part, TOKEN_SCHEMA)
 
 
+def _binary(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The ids between neighbouring ``ends`` as one binary value each, without copying them."""
+    return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer((ends * ids.itemsize).astype(np.int64)), pa.py_buffer(ids)]).cast(pa.binary())
+
+
 def vocabulary_size(path: str, end_id: int) -> int:
     return max(_tokenizer(path).tok.get_vocab_size(), end_id + 1)
 
@@ -137,7 +143,7 @@ def write_tokens(df: DataFrame, path: str, folder: str | None = None, end_id: in
     spark = df.sparkSession
     folder = folder or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex[:12]}"
     staged = f"{shared_dir(spark)}/llm-{uuid.uuid4().hex[:12]}-ids"
-    tokenised(df, path, end_id, doc_id, text).write.option("compression", "zstd").parquet(staged)
+    tokenised(df, path, end_id, doc_id, text).write.parquet(staged)
     tokens = spark.read.schema(TOKEN_SCHEMA).parquet(staged)
     typ = id_type(path, end_id)
     lengths = code_lengths(id_counts(tokens, vocabulary_size(path, end_id)), limit)
@@ -189,11 +195,10 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
                 raw = ids.astype("<u4").tobytes()
                 if zlib.crc32(raw) != r["crc"].as_py():
                     raise ValueError(f"block {r['block'].as_py()} of part {r['part'].as_py()} is damaged")
-                ends = np.cumsum(r["lengths"].values.to_numpy())
-                starts = ends - r["lengths"].values.to_numpy()
+                ends = np.concatenate([[0], np.cumsum(r["lengths"].values.to_numpy())])
                 yield pa.RecordBatch.from_arrays(
-                    [r["doc_ids"].values, pa.array(starts + (base[r["part"].as_py()] + r["start"].as_py())),
-                     pa.array([raw[4 * s: 4 * e] for s, e in zip(starts, ends)], pa.binary())], names=["doc_id", "start", "ids"])
+                    [r["doc_ids"].values, pa.array(ends[:-1] + (base[r["part"].as_py()] + r["start"].as_py())),
+                     _binary(np.frombuffer(raw, "<u4"), ends)], names=["doc_id", "start", "ids"])
 
     return f.blocks.mapInArrow(part, "doc_id long, start long, ids binary")
 
