@@ -15,11 +15,55 @@ _PART = re.compile(r"[a-zA-Z]+")
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span "
                    "strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = frozenset("script style noscript template svg math iframe object canvas audio video select textarea title".split())
+MATH = frozenset("math mi mn mo ms mspace mtext mrow mfrac msqrt mroot mstyle merror mpadded mphantom menclose msub msup msubsup munder mover "
+                 "munderover mmultiscripts mprescripts mtable mtr mtd maction semantics".split())
+RAW = frozenset("script style iframe title textarea xmp noembed noframes".split())
+SKIPPED = frozenset("noscript template svg object canvas audio video select annotation annotation-xml".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre "
                      "section table ul".split())
 SIBLING = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
            "option": ("option",)}
+_LEAVES_SVG = re.compile(r"<(?:" + "|".join(sorted(CLOSES_P - {"address", "details"})) + r")(?=[\s/>])", re.I)
+_FOREIGN = re.compile(r"<foreignobject(?=[\s/>])", re.I)
+
+
+class _Ends:
+    """Where elements without running text end, each kind's tags paired once a page."""
+
+    def __init__(self, page: str):
+        self.page, self.pairs, self.seen = page, {}, {}
+
+    def raw(self, name: str, at: int) -> int | None:
+        """Behind the end tag of an element whose content is plain text: the next one of exactly its name."""
+        m = re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(self.page, at)
+        return m.end() if m else None
+
+    def paired(self, name: str, at: int) -> int | None:
+        """Behind the end tag that belongs to the start tag ending at ``at``; None where it has none."""
+        if name not in self.pairs:
+            ends, open_ = {}, []
+            for m in re.finditer(rf"<(/?){re.escape(name)}(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>", self.page, re.I):
+                if not m[1]:
+                    if not m[0].endswith("/>"):
+                        open_.append(m.end())
+                elif open_:
+                    ends[open_.pop()] = m.end()
+            self.pairs[name] = ends
+        return self.pairs[name].get(at)
+
+    def _next(self, pattern: re.Pattern, at: int) -> int:
+        got = self.seen.get(pattern, -1)
+        if got < at:
+            m = pattern.search(self.page, at)
+            got = self.seen[pattern] = m.start() if m else len(self.page)
+        return got
+
+    def svg(self, at: int) -> int | None:
+        """As ``paired``, but a block element leaves the drawing unless it stands in a foreign object."""
+        end, out = self.paired("svg", at), self._next(_LEAVES_SVG, at)
+        if out < (len(self.page) if end is None else end) and not (end and self._next(_FOREIGN, at) < out):
+            return out
+        return end
 
 
 def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
@@ -27,7 +71,10 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
 
     A path entry is a tag with the words of its class, id and role.  Comments,
     declarations and elements that hold no running text are left out;
-    character references are decoded, white space becomes single spaces."""
+    character references are decoded, white space becomes single spaces.
+    Formulas are text of their block.  Where its end tag is missing, an element
+    of plain text (scripts, styles, titles ...) reaches to the page's end, as in
+    browsers; of any other kind only the tag itself is left out."""
     out: list[tuple[tuple[str, ...], str, float]] = []
     stack: list[tuple[str, str]] = []
     parts: list[str] = []
@@ -46,7 +93,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
     def pop_to(k: int) -> None:
         del stack[k:]
 
-    low = None
+    ends = _Ends(page)
     while True:
         m = _TOKEN.search(page, at)
         chunk = page[at: m.start()] if m else page[at:]
@@ -60,7 +107,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
         if m["name"] is None:
             continue
         name, closing = m["name"].lower(), m["close"]
-        if name in INLINE:
+        if name in INLINE or name in MATH:
             if name == "a":
                 links = 0 if closing else 1
             elif name == "br":
@@ -74,14 +121,13 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
                     pop_to(k)
                     break
             continue
+        if name in RAW:
+            if not m.group().endswith("/>"):
+                at = ends.raw(name, at) or len(page)
+            continue
         if name in SKIPPED:
             if not m.group().endswith("/>"):
-                if low is None:
-                    low = page.lower() if len(page.lower()) == len(page) else page
-                end = low.find(f"</{name}", at)
-                if end < 0:
-                    break
-                at = low.find(">", end) + 1 or len(page)
+                at = (ends.svg(at) if name == "svg" else ends.paired(name, at)) or at
             continue
         if name in VOID:
             continue

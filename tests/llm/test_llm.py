@@ -252,6 +252,28 @@ def test_html(spark):
     assert html_text.main_text(df.limit(0)).count() == 0
 
 
+def test_html_elements_without_running_text():
+    def texts(page):
+        return [t for _, t, _ in html_blocks.blocks(page)]
+
+    for tag in ("svg", "select", "object", "canvas", "audio", "video", "noscript", "template"):
+        assert texts(f"<p>one</p><{tag}><p>two</p>") == ["one", "two"], tag
+        assert texts(f"<p>one</p><{tag} a='>'></{tag}><p>two</p><{tag}><p>three</p>") == ["one", "two", "three"], tag
+        assert texts(f"<{tag}/><p>two</p></{tag}>") == ["two"], tag
+    for tag in ("select", "object", "canvas", "audio", "video", "noscript", "template"):
+        assert texts(f"<p>one</p><{tag}>x<{tag}>y</{tag}>z</{tag} ><p>two</p>") == ["one", "two"], tag
+    assert texts("<p>one</p><svg><path><p>two</p>") == ["one", "two"]
+    assert texts("<p>a</p><svg><text>x</text><svg>y</svg>z</svg><p>b</p>") == ["a", "b"]
+    assert texts("<p>a</p><svg><foreignObject><p>x</p></foreignObject></svg><p>b</p>") == ["a", "b"]
+    for tag in ("script", "style", "iframe", "title", "textarea"):
+        assert texts(f"<p>a</p><{tag}>x</{tag}y>z</{tag.upper()}\n><p>b</p>") == ["a", "b"], tag
+        assert texts(f"<p>a</p><{tag}>x<p>b</p>") == ["a"], tag
+    assert texts("<p>let <math><mi>x</mi><mo>=</mo><msup><mn>2</mn><mn>3</mn></msup></math> be</p>") == ["let x=23 be"]
+    assert texts("<p><math><semantics><mi>x</mi><annotation>\\x</annotation></semantics></math></p>") == ["x"]
+    assert texts("<svg>" * 3000 + "<video>" * 3000 + "<p>a</p>") == ["a"]
+    assert texts("") == [] and texts("<svg") == []
+
+
 def test_html_pages_and_held_out(spark):
     rows = queries.op3_html_text(spark, SMALL).collect()
     src = {r["page_id"]: r["html"] for r in table(spark, SMALL, "pages").collect()}
