@@ -4,14 +4,14 @@ and header filters, W3 ids.  All narrow (explode) except the id assignment."""
 from __future__ import annotations
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ragtide.functions.text import (
     CHUNK_SIZE, HEADER_MARKER, UTTERANCE_PREFIX, chunk_array, is_blank, py_strip,
 )
-from ragtide.operators.ids import DEFAULT_SINGLE_TASK_GROUPS, group_offsets
+from ragtide.operators.ids import in_order, stored_ids
 
 
 def kept_chunks(content, size: int = CHUNK_SIZE):
@@ -45,44 +45,21 @@ def first_chunk(docs: DataFrame, *, content_col: str = "content", size: int = CH
 
 
 def numbered_chunks(docs: DataFrame, order_cols: list[str], *, content_col: str = "content",
-                    size: int = CHUNK_SIZE, keep: tuple[str, ...] = (),
-                    single_task_groups: int = DEFAULT_SINGLE_TASK_GROUPS) -> DataFrame:
+                    size: int = CHUNK_SIZE, keep: tuple[str, ...] = ()) -> DataFrame:
     """W3 over P1: chunk rows with dense ids 1..N in (order_cols, chunk_index)
-    order.  Documents that share a key (files of one name in two folders)
-    are told apart by their text's hash, equal ones by a copy number, so each
-    is numbered once; a pass over the key columns alone finds out whether any do.
-
-    Only a light frame (order key, kept-chunk count) per document is sorted
-    and summed (``group_offsets``); its offsets are joined back to the
-    documents (broadcast when the size check passes, else a shuffle join)
-    and every chunk's id is its document's start plus its position among
-    the document's kept chunks.  The chunk text itself is never shuffled for
-    numbering when the offsets broadcast."""
+    order, NULL keys first.  Documents that share a key (files of one name in
+    two folders) are told apart by their text's hash and their other columns, so
+    each is numbered once.
+
+    The documents are shuffled once into ranges of the key, cut there once, and
+    stored (``ids.in_order``, ``ids.stored_ids``): ids are added while reading."""
     cols = list(dict.fromkeys([*order_cols, *keep]))
-    if docs.groupBy(*order_cols).count().where(F.col("count") > 1).limit(1).count():
-        others = [c for c in cols if c not in order_cols]
-        docs = docs.withColumn("_h", F.xxhash64(content_col))
-        same = Window.partitionBy(*order_cols, "_h").orderBy(*(others or [F.lit(0)]))
-        docs = docs.withColumn("_copy", F.row_number().over(same))
-        order_cols = [*order_cols, "_h", "_copy"]
-    light = (docs.select(*order_cols, F.size(kept_chunks(F.col(content_col), size)).alias("_n"))
-             .where(F.col("_n") > 0))
-    # an upper bound on groups and their key bytes, from the key columns only
-    strings = [c for c in order_cols if isinstance(docs.schema[c].dataType, T.StringType)]
-    st = docs.agg(F.count(F.lit(1)).alias("n"),
-                  *[F.coalesce(F.sum(F.length(c)), F.lit(0)).alias(f"w{i}") for i, c in enumerate(strings)]).first()
-    offs, small = group_offsets(light, list(order_cols), "_n", max_groups=int(st["n"]),
-                                key_bytes=sum(int(st[f"w{i}"]) for i in range(len(strings))),
-                                single_task_groups=single_task_groups)
-    # documents without kept chunks have no offsets row: the inner join drops
-    # them.  Null-safe keys, so a document with a NULL key is numbered too.
-    d = docs.select(*dict.fromkeys([*cols, *order_cols]), kept_chunks(F.col(content_col), size).alias("_ch"))
-    o = offs.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(order_cols)], "_start")
-    o = F.broadcast(o) if small else o
-    j = d.join(o, [d[c].eqNullSafe(o[f"_k{i}"]) for i, c in enumerate(order_cols)])
-    ex = j.select(*cols, "_start", F.posexplode("_ch").alias("_pos", "_c"))
-    return ex.select((F.col("_start") + F.col("_pos") + 1).cast("long").alias("id"), *cols,
-                     "_c.chunk_index", "_c.corpus")
+    others = [c for c in cols if c not in order_cols]
+    d = docs.select(*cols, F.col(content_col).alias("_text"), F.xxhash64(content_col).alias("_h")) \
+        .where(~is_blank("_text"))
+    srt = in_order(d, list(order_cols), ["_h", *others])
+    ex = srt.select(*cols, F.explode(kept_chunks(F.col("_text"), size)).alias("_c"))
+    return stored_ids(ex.select(*cols, "_c.chunk_index", "_c.corpus"), "id", "chunks")
 
 
 def chunk_rows(docs: DataFrame, keep: tuple[str, ...], *, content_col: str = "content",

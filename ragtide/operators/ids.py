@@ -3,13 +3,10 @@
 A global ``row_number() OVER (ORDER BY ...)`` pulls every row into one task;
 ``monotonically_increasing_id`` alone leaves gaps.  Two forms:
 
-``group_offsets`` (used for chunk ids): rows come in groups (a document's
-chunks) whose in-group position is known locally.  Only one light row per
-group (order key, row count) is range-sorted and written with
-``checkpoint()``; per-partition totals give partition starts and a running
-sum inside each partition gives each group's start.  The key may be any
-sortable type (file names included), and the rows themselves are never
-shuffled for numbering when the offsets are small enough to broadcast.
+``in_order`` and ``stored_ids`` (used for chunk ids): documents go to ranges
+of their key and are sorted there, their chunks are cut once and stored with
+task number and place, and the rows per task turn these into dense ids while
+the table is read.  The key may be any sortable type.
 
 ``dense_index`` (any rows with a numeric split key monotone in the order):
 
@@ -28,20 +25,12 @@ shuffled for numbering when the offsets are small enough to broadcast.
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ragtide.session import ensure_checkpoint_dir
-
-# Offsets frames up to this size are broadcast to the join with the rows.
-DEFAULT_MAX_OFFSETS_BYTES = 128 * 1024 * 1024
-# Up to this many groups, one task sums the light frame in order (a few MB);
-# beyond it the sorted, checkpointed form spreads the work.
-DEFAULT_SINGLE_TASK_GROUPS = 1_000_000
+from ragtide.session import shared_table
 
 
 def range_bounds(df: DataFrame, key: Column, n: int, accuracy: int = 10000) -> list[float]:
@@ -91,80 +80,42 @@ def dense_index(df: DataFrame, order_cols: list[str | Column], id_col: str = "id
             .drop("_sk", "_b", "_rn", "_off"))
 
 
-def _running_starts(bc):
-    """mapInArrow body over one sorted partition: exclusive running total of
-    ``_n``, starting at the partition's offset."""
-    def run(batches):
-        starts = bc.value
-        acc = None
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            if acc is None:
-                acc = starts[int(batch.column("_p")[0].as_py())]
-            n = batch.column("_n").to_numpy(zero_copy_only=False).astype(np.int64)
-            ends = acc + np.cumsum(n)
-            start = ends - n
-            acc = int(ends[-1])
-            cols = [batch.column(i) for i, f in enumerate(batch.schema) if f.name != "_p"]
-            names = [f.name for f in batch.schema if f.name != "_p"]
-            yield pa.RecordBatch.from_arrays(cols + [pa.array(start, pa.int64())], names + ["_start"])
-    return run
-
-
-def group_offsets(groups: DataFrame, order_cols: list[str], count_col: str,
-                  max_broadcast_bytes: int = DEFAULT_MAX_OFFSETS_BYTES, *,
-                  max_groups: int | None = None, key_bytes: int | None = None,
-                  single_task_groups: int = DEFAULT_SINGLE_TASK_GROUPS) -> tuple[DataFrame, bool]:
-    """Exclusive running total of ``count_col`` over ``groups`` in
-    ``order_cols`` order: ``(order_cols..., _start)``, one row per group.
-
-    ``groups`` is a light frame (one row per document or file with its row
-    count).  It is range-sorted once and written with ``checkpoint()`` to
-    the shared checkpoint folder, so every later pass sees the same
-    partitions in the same order (a re-run sort could sample other range
-    bounds).  Per-partition totals (one row per partition) give each
-    partition's start; a running sum inside each partition gives each
-    group's start.  No window and no single-task step over the groups.
-
-    ``max_groups`` is a known upper bound on the number of groups (e.g. a
-    document count, which reads no text) and ``key_bytes`` the total length
-    of their string keys.  When ``max_groups`` is at most
-    ``single_task_groups``, the offsets are a running sum over the light
-    frame in one task instead (bounded by that check: no sort job, no
-    checkpoint), and they are broadcast when that measured size fits.
-
-    Also returns whether the offsets are small enough to broadcast (checked
-    from the exact row count and key widths)."""
-    spark = groups.sparkSession
-    if max_groups is not None and max_groups <= single_task_groups:
-        w = Window.orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
-        offs = groups.select(*order_cols, F.coalesce(F.sum(F.col(count_col).cast("long")).over(w), F.lit(0))
-                             .alias("_start"))
-        n_str = sum(1 for c in order_cols if isinstance(groups.schema[c].dataType, T.StringType))
-        if n_str and key_bytes is None:
-            raise ValueError("key_bytes is required with string keys on the single-task path")
-        est = max_groups * (16 + 8 * len(order_cols)) + (key_bytes or 0)
-        return offs, est <= max_broadcast_bytes
-    ensure_checkpoint_dir(spark)
-    srt = (groups.select(*order_cols, F.col(count_col).cast("long").alias("_n"))
-           .orderBy(*order_cols).checkpoint(eager=True))
-    tagged = srt.withColumn("_p", F.spark_partition_id())
-    widths = [F.coalesce(F.sum(F.length(c)), F.lit(0)) if isinstance(srt.schema[c].dataType, T.StringType)
-              else F.lit(0) for c in order_cols]
-    totals = (tagged.groupBy("_p")
-              .agg(F.sum("_n").alias("t"), F.count(F.lit(1)).alias("rows"), *[w.alias(f"w{i}") for i, w in
-                                                                                 enumerate(widths)])
-              .collect())                                     # one row per partition
-    starts, acc, n_rows, key_bytes = {}, 0, 0, 0
-    for r in sorted(totals, key=lambda r: r["_p"]):
-        starts[int(r["_p"])] = acc
-        acc += int(r["t"] or 0)
-        n_rows += int(r["rows"])
-        key_bytes += sum(int(r[f"w{i}"] or 0) for i in range(len(order_cols)))
-    est_bytes = key_bytes + n_rows * (16 + 8 * len(order_cols))
-    bc = spark.sparkContext.broadcast(starts)
-    schema = T.StructType([srt.schema[c] for c in order_cols] + [srt.schema["_n"],
-                                                                  T.StructField("_start", T.LongType(), False)])
-    offs = tagged.mapInArrow(_running_starts(bc), schema).drop("_n")
-    return offs, est_bytes <= max_broadcast_bytes
+def in_order(df: DataFrame, order_cols: list[str], ties: list[str], num_ranges: int | None = None) -> DataFrame:
+    """``df`` range-partitioned and sorted: partition by partition, row by row in ``order_cols``, ``ties`` order.
+
+    With one numeric key the bounds are quantiles of that column, read alone,
+    and a row goes to its range by number.  For other keys, or where one key
+    value fills more than a range, Spark samples the ranges over key and
+    ties, so equal keys are split too (its sampling reads the rows once more)."""
+    n = num_ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key = order_cols[0]
+    if len(order_cols) == 1 and n > 1 and isinstance(df.schema[key].dataType, T.NumericType):
+        sk = F.coalesce(F.col(key).cast("double"), F.lit(float("-inf")))
+        q = df.agg(F.percentile_approx(sk, [i / n for i in range(1, n)], 100 * n).alias("q")).first()["q"] or []
+        if q and q[0] > float("-inf") and all(a < b for a, b in zip(q, q[1:])):
+            placed = Bucketizer(splits=[float("-inf"), *q, float("inf")], inputCol="_sk", outputCol="_b",
+                                handleInvalid="keep").transform(df.withColumn("_sk", sk))
+            return (placed.repartitionById(n + 1, F.col("_b").cast("int")).drop("_sk", "_b")
+                    .sortWithinPartitions(key, *ties))
+    return df.repartitionByRange(n, *order_cols, *ties).sortWithinPartitions(*order_cols, *ties)
+
+
+def stored_ids(ordered: DataFrame, id_col: str, name: str) -> DataFrame:
+    """The rows of ``ordered`` (see ``in_order``; narrow steps may follow it) with ids 1..N in that order, stored.
+
+    The rows are computed once and written with the number of their task and
+    their place in it.  Rows per task, counted from that one stored column,
+    give each task's first id (one small row per task reaches the driver), and
+    ids are added while reading: nothing is sorted, joined by key or computed twice."""
+    spark = ordered.sparkSession
+    stored = shared_table(ordered.withColumn("_m", F.monotonically_increasing_id()), name)
+    task = F.shiftright("_m", 33).cast("int")
+    sizes = stored.groupBy(task.alias("_t")).count().collect()              # one row per write task
+    starts, at = [], 0
+    for t, size in sorted(map(tuple, sizes)):
+        starts.append((t, at))
+        at += size
+    first = F.broadcast(spark.createDataFrame(starts, "_t int, _first long"))
+    place = F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
+    out = stored.withColumn("_t", task).join(first, "_t")
+    return out.select((F.col("_first") + place + 1).alias(id_col), *[c for c in ordered.columns])

@@ -19,6 +19,7 @@ from ragtide.functions.text import (
 )
 from ragtide.functions.like import ilike_contains
 from ragtide.functions.vector import parse_vector, render_vector, vector_is_valid
+from ragtide.operators.ids import dense_index
 from ragtide.operators import ann, chunking, context, embed, grams, history, keyword, stats, topk
 from ragtide.session import shared_path, shared_table
 from ragtide.sources import pages as pages_src
@@ -49,19 +50,23 @@ def corpus(spark, sf):
     return chunking.corpus_table(docs(spark, sf))
 
 
-def corpus_top(spark, sf, order, n: int, where=None):
+def corpus_top(spark, sf, doc_order, pos, n: int, where=None):
     """The first ``n`` rows of the corpus table in ``order`` (optionally
     filtered), ids included, without numbering the whole corpus: a
-    TakeOrderedAndProject over chunk rows, then ``ids_for_rows``.  ``order``
-    is written over (created_at, doc_id, _pos); (doc_id, _pos) is id order.
+    TakeOrderedAndProject over documents (over chunk rows with a filter), then
+    ``ids_for_rows``.  The order is that of documents (over created_at, doc_id),
+    then ``pos`` over _pos; (doc_id, _pos) is id order.
     The report operators then run unchanged on these n rows."""
     d = docs(spark, sf)
-    ch = chunking.chunk_rows(d, ("doc_id", "file", "type", "created_at"))
+    first = d
+    if where is None:          # a kept document has a chunk: the first n documents hold the first n chunks
+        first = d.where(~is_blank("content")).orderBy(*doc_order).limit(int(n))
+    ch = chunking.chunk_rows(first, ("doc_id", "file", "type", "created_at"))
     if where is not None:
         ch = ch.where(where)
     # the n rows are read twice (their keys, then the result): keep them
     # (n rows; a lost block is recomputed)
-    picked = ch.orderBy(*order).limit(int(n)).persist(StorageLevel.MEMORY_AND_DISK)
+    picked = ch.orderBy(*doc_order, pos).limit(int(n)).persist(StorageLevel.MEMORY_AND_DISK)
     top = chunking.ids_for_rows(d, picked, "doc_id")
     return top.select("id", "corpus", F.col("file").alias("file_name"), F.col("type").alias("file_type"),
                       "created_at", "doc_id", "chunk_index")
@@ -165,18 +170,18 @@ def q_date_range(spark, sf):
 
 def q_recent_rows(spark, sf):
     # (created_at desc, id desc): id order is (doc_id, _pos)
-    top = corpus_top(spark, sf, [F.col("created_at").desc(), F.col("doc_id").desc(), F.col("_pos").desc()], 5)
+    top = corpus_top(spark, sf, [F.col("created_at").desc(), F.col("doc_id").desc()], F.col("_pos").desc(), 5)
     return stats.recent_rows(top)
 
 
 def q_table_preview(spark, sf):
-    return stats.table_preview(corpus_top(spark, sf, ["doc_id", "_pos"], 10))
+    return stats.table_preview(corpus_top(spark, sf, ["doc_id"], "_pos", 10))
 
 
 # --- keyword search -------------------------------------------------------------
 
 def q_keyword_search(spark, sf):
-    hits = corpus_top(spark, sf, ["doc_id", "_pos"], 10, where=ilike_contains("corpus", KEYWORD))
+    hits = corpus_top(spark, sf, ["doc_id"], "_pos", 10, where=ilike_contains("corpus", KEYWORD))
     return keyword.keyword_search(hits, KEYWORD)
 
 
@@ -201,8 +206,7 @@ def benchmark_keywords(spark, sf):
 
 
 def q_keyword_batch(spark, sf):
-    stored = shared_table(corpus(spark, sf).select("id", "corpus"), "corpus")
-    r = keyword.keyword_batch(stored, benchmark_keywords(spark, sf))
+    r = keyword.keyword_batch(corpus(spark, sf).select("id", "corpus"), benchmark_keywords(spark, sf))
     return r.select("qid", "rank", "id", "matches")
 
 
@@ -256,30 +260,36 @@ def q_page_files(spark, sf):
 
 # --- chat requests ------------------------------------------------------------------
 
+def ranked_vectors(spark, sf):
+    """Stored vectors by their place in vec_id order (from 0): (_place, embedding)."""
+    v = dense_index(stored_vectors(spark, sf).where(F.col("id").isNotNull()), ["id"], "_n")
+    return v.select((F.col("_n") - 1).alias("_place"), "embedding")
+
+
 def rag_corpus(spark, sf):
-    """Every chunk of the corpus with a vector: a chunk takes the stored vector
-    vec_id = doc_id modulo their number (a synthetic pairing; the tables are
-    unrelated)."""
-    v = stored_vectors(spark, sf).withColumnRenamed("id", "_vec")
-    n = (v.agg(F.max("_vec")).first()[0] or 0) + 1
-    c = corpus(spark, sf).select("id", "corpus", "created_at", F.pmod("doc_id", F.lit(n)).alias("_vec"))
-    return c.join(v, "_vec").drop("_vec")
+    """Every chunk of the corpus with a vector: chunk number id - 1 modulo the number of vectors
+    names the place of its vector in vec_id order, whatever ids documents and vectors
+    have (a synthetic pairing; the tables are unrelated)."""
+    v = shared_table(ranked_vectors(spark, sf), "vectors")
+    c = corpus(spark, sf).select("id", "corpus", "created_at", F.pmod(F.col("id") - 1, F.lit(max(v.count(), 1))).alias("_place"))
+    return c.join(v, "_place").drop("_place")
 
 
 def rag_requests(spark, sf, default_top_k=context.DEFAULT_TOP_K_CHAT):
     """Chat requests: one per benchmark item (question = its text, no top_k so
-    the default applies); the request's query vector is the stored vector
-    with vec_id = item_id (synthetic pairing)."""
+    the default applies)."""
     b = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
     return context.normalize_requests(b, default_top_k=default_top_k)
 
 
 def rag_hits(spark, sf, default_top_k=context.DEFAULT_TOP_K_CHAT):
     """The answers' chunks.  The corpus is stored first, as the reference's is: its ids and vectors are
-    read by the search, its texts for the winners alone."""
+    read by the search, its texts for the winners alone.  A request takes the vector at place item_id modulo
+    the number of vectors (synthetic pairing)."""
     req = rag_requests(spark, sf, default_top_k).where(F.col("status") == "ok")
     stored = shared_table(rag_corpus(spark, sf), "corpus")
-    qv = req.join(stored_vectors(spark, sf).select(F.col("id").alias("qid"), "embedding"), "qid")
+    v = shared_table(ranked_vectors(spark, sf), "vectors")
+    qv = req.withColumn("_place", F.pmod("qid", F.lit(max(v.count(), 1)))).join(v, "_place").drop("_place")
     return topk.topk_batch(stored, qv, k_col="top_k", carry=["corpus"], unique_ids=True)
 
 

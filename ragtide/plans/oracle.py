@@ -61,10 +61,10 @@ RAG = f"""{DOCS},
 {CHUNKS},
 {CORPUS},
 {VEC},
-paired AS (SELECT c.id, c.corpus, c.doc_id % n AS vec_id FROM corpus c, (SELECT max(vec_id) + 1 AS n FROM vec)),
-rag AS (SELECT c.id, v.e, c.corpus FROM paired c JOIN vec v ON v.vec_id = c.vec_id),
+placed AS (SELECT e, row_number() OVER (ORDER BY vec_id) - 1 AS place, count(*) OVER () AS n FROM vec),
+rag AS (SELECT c.id, v.e, c.corpus FROM corpus c JOIN placed v ON (c.id - 1) % v.n = v.place),
 req AS (SELECT item_id AS qid, coalesce(text, '') AS question FROM benchmark),
-reqv AS (SELECT r.qid, r.question, v.e FROM req r JOIN vec v ON v.vec_id = r.qid WHERE r.question <> '')"""
+reqv AS (SELECT r.qid, r.question, v.e FROM req r JOIN placed v ON r.qid % v.n = v.place WHERE r.question <> '')"""
 
 
 def _rag_hits(k: int) -> str:

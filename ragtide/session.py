@@ -3,6 +3,7 @@ shared checkpoint folder of a cluster session."""
 
 from __future__ import annotations
 
+import contextlib
 import math
 import os
 import tempfile
@@ -94,15 +95,37 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+_SCRATCH: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch_tables(spark: SparkSession):
+    """Shared tables written inside the block are removed at its end: for jobs
+    that run again and again and have written their own result by then."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        for path in _SCRATCH.pop():
+            p = hadoop(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new folder's path under the shared checkpoint folder."""
-    return f"{(checkpoint_dir(spark) or ensure_checkpoint_dir(spark)).rstrip('/')}/table-{uuid.uuid4().hex[:12]}-{name}"
+    root = (checkpoint_dir(spark) or ensure_checkpoint_dir(spark)).rstrip("/")
+    path = f"{root}/table-{uuid.uuid4().hex[:12]}-{name}"
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
+    return path
 
 
 def shared_table(df: DataFrame, name: str) -> DataFrame:
     """``df`` computed once: written as Parquet under the shared checkpoint folder and read
     back, so several passes over it do not repeat its work and a lost
-    executor loses nothing.  The cluster clears that folder as it does for checkpoints."""
+    executor loses nothing.  The cluster clears that folder as it does for checkpoints
+    (or see ``scratch_tables``)."""
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)

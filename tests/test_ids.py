@@ -25,21 +25,34 @@ def test_dense_ids_default_split_and_empty(spark):
     assert dense_index(empty, ["x"], "i").count() == 0
 
 
-def test_group_offsets_string_keys_with_shared_prefix(spark):
-    from ragtide.operators.ids import group_offsets
-    # names share a long prefix (a numeric key from leading bytes would
-    # collapse them into one range); one group holds a third of all rows
-    rows = [(f"105_0000{i:05d}.txt", 1000 if i == 7 else (i % 5) + 1) for i in range(3000)]
-    g = spark.createDataFrame(rows, "file string, n long").repartition(8)
-    offs, small = group_offsets(g, ["file"], "n")
-    got = {r["file"]: r["_start"] for r in offs.collect()}
-    acc, want = 0, {}
-    for name, n in sorted(rows):
-        want[name] = acc
-        acc += n
-    assert got == want and small
-    # a zero bound forces the shuffle-join path flag
-    assert group_offsets(g, ["file"], "n", max_broadcast_bytes=0)[1] is False
+def test_in_order_splits_a_hot_key(spark):
+    from ragtide.operators.ids import in_order, stored_ids
+    for hot in (None, 7):                          # a third of all rows
+        rows = [(hot if i % 3 == 0 else i, f"t{i * 7919 % 3000:04d}") for i in range(3000)]
+        df = spark.createDataFrame(rows, "k long, t string").repartition(5)
+        srt = in_order(df, ["k"], ["t"], num_ranges=8)
+        assert max(r["count"] for r in srt.groupBy(F.spark_partition_id()).count().collect()) < 700
+        got = [(r["k"], r["t"]) for r in stored_ids(srt, "id", "test").orderBy("id").collect()]
+        assert got == sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+
+
+def test_in_order_numeric_ranges_read_the_text_once(spark, scratch):
+    from ragtide.operators.ids import in_order, stored_ids
+    path = f"{scratch}/t"
+    spark.range(5000).select((F.col("id") * 3).alias("k"), F.repeat(F.lit("x"), 20).alias("t")).write.parquet(path)
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+    df = spark.read.parquet(path)
+    srt = in_order(df, ["k"], ["t"], num_ranges=8)
+    assert "REPARTITION_BY_NUM" in srt._jdf.queryExecution().toString()
+    assert "rangepartitioning" not in srt._jdf.queryExecution().toString()
+    r = stored_ids(srt.mapInArrow(count, "k long, t string"), "id", "test")
+    assert r.where(F.col("id") != F.col("k") / 3 + 1).count() == 0
+    assert r.count() == 5000 and seen.value == 5000     # counted once: ids come from the stored rows
 
 
 def test_numbered_chunks_match_global_numbering(spark):
@@ -57,36 +70,23 @@ def test_numbered_chunks_match_global_numbering(spark):
     assert j.where(F.col("id") != F.col("want")).count() == 0
 
 
-def test_group_offsets_single_task_path_equals_checkpointed(spark):
-    from ragtide.operators.ids import group_offsets
-    rows = [(f"f{i % 97:03d}-{i}", (i * 7) % 11) for i in range(2000)]
-    g = spark.createDataFrame(rows, "file string, n long").repartition(5)
-    a, _ = group_offsets(g, ["file"], "n")
-    b, small = group_offsets(g, ["file"], "n", max_groups=2000, key_bytes=sum(len(f) for f, _ in rows))
-    assert small
-    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
-    assert group_offsets(g, ["file"], "n", max_groups=2000, key_bytes=10 ** 9)[1] is False
-
-
-def test_checkpointed_and_single_task_chunk_ids_agree_on_test_table(spark):
+def test_chunk_ids_on_test_table(spark):
     from conftest import SF_MED
     from ragtide.operators.chunking import numbered_chunks
     from ragtide.sources.tables import documents_as_files
-    d = documents_as_files(spark, SF_MED)
-    a = numbered_chunks(d, ["doc_id"]).select("id", "doc_id", "chunk_index")
-    b = numbered_chunks(d, ["doc_id"], single_task_groups=0).select("id", "doc_id", "chunk_index")
-    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    b = numbered_chunks(documents_as_files(spark, SF_MED), ["doc_id"]).select("id", "doc_id", "chunk_index")
     assert b.agg(F.min("id"), F.max("id"), F.count_distinct("id"), F.count(F.lit(1))).first() == \
         (1, 5332, 5332, 5332)
+    w = b.withColumn("want", F.row_number().over(Window.orderBy("doc_id", "chunk_index")))
+    assert w.where("id != want").count() == 0
 
 
 def test_numbered_chunks_null_key_is_numbered(spark):
     from ragtide.operators.chunking import numbered_chunks
     df = spark.createDataFrame([(None, "x" * 600), ("a", "y"), ("b", "z")], "file string, content string")
-    for single in (10 ** 6, 0):
-        rows = sorted((r["id"], r["file"]) for r in
-                      numbered_chunks(df, ["file"], single_task_groups=single).collect())
-        assert rows == [(1, None), (2, None), (3, "a"), (4, "b")]       # NULL sorts first
+    rows = sorted((r["id"], r["file"]) for r in numbered_chunks(df, ["file"]).collect())
+    assert rows == [(1, None), (2, None), (3, "a"), (4, "b")]       # NULL sorts first
+    assert numbered_chunks(df.limit(0), ["file"]).count() == 0
 
 
 def test_ids_for_rows_equal_full_numbering(spark):
@@ -125,9 +125,8 @@ def test_documents_that_share_a_key_are_numbered_once(spark):
     from ragtide.operators.chunking import numbered_chunks
     docs = [("a", "x" * 600), ("a", "y"), ("b", "z"), ("a", "y"), (None, "n"), (None, "n")]
     df = spark.createDataFrame(docs, "file string, content string").repartition(3)
-    for single in (10 ** 6, 0):
-        rows = numbered_chunks(df, ["file"], single_task_groups=single).collect()
-        assert sorted(r["id"] for r in rows) == list(range(1, 8))
-        assert sorted((r["file"] or "", r["corpus"]) for r in rows) == sorted(
-            [("a", "x" * 500), ("a", "x" * 100), ("a", "y"), ("a", "y"), ("b", "z"), ("", "n"), ("", "n")])
-        assert set(rows[0].asDict()) == {"id", "file", "chunk_index", "corpus"}
+    rows = numbered_chunks(df, ["file"]).collect()
+    assert sorted(r["id"] for r in rows) == list(range(1, 8))
+    assert sorted((r["file"] or "", r["corpus"]) for r in rows) == sorted(
+        [("a", "x" * 500), ("a", "x" * 100), ("a", "y"), ("a", "y"), ("b", "z"), ("", "n"), ("", "n")])
+    assert set(rows[0].asDict()) == {"id", "file", "chunk_index", "corpus"}

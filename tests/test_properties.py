@@ -76,30 +76,14 @@ def _python_numbering(docs, size):
 @settings(max_examples=6, deadline=None)
 @given(st.lists(st.text(alphabet=_ALPHABET, max_size=30), min_size=0, max_size=25),
        st.integers(min_value=1, max_value=5), st.booleans())
-def test_numbered_chunks_match_python(spark, texts, size, single_task):
-    docs = [(f"k{i:03d}", t) for i, t in enumerate(texts)]
-    df = spark.createDataFrame(docs, "file string, content string").repartition(3)
-    got = chunking.numbered_chunks(df, ["file"], size=size,
-                                   single_task_groups=10 ** 6 if single_task else 0)
+def test_numbered_chunks_match_python(spark, texts, size, numeric):
+    docs = [(i * i if numeric else f"k{i:03d}", t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(docs, f"file {'long' if numeric else 'string'}, content string").repartition(3)
+    got = chunking.numbered_chunks(df, ["file"], size=size)
     rows = sorted((r["id"], r["file"], r["chunk_index"], r["corpus"]) for r in got.collect())
     assert rows == _python_numbering(docs, size)
 
 
-@settings(max_examples=6, deadline=None)
-@given(st.lists(st.tuples(st.text(alphabet="ab_é", min_size=1, max_size=6), st.integers(0, 50)),
-                min_size=1, max_size=60, unique_by=lambda x: x[0]))
-def test_group_offsets_is_exclusive_running_sum(spark, groups):
-    from ragtide.operators.ids import group_offsets
-    g = spark.createDataFrame(groups, "key string, n long").repartition(4)
-    offs, _ = group_offsets(g, ["key"], "n")
-    acc, want = 0, {}
-    # Spark orders strings by their UTF-8 bytes
-    for k, n in sorted(groups, key=lambda x: x[0].encode()):
-        want[k] = acc
-        acc += n
-    assert {r["key"]: r["_start"] for r in offs.collect()} == want
-
-
 _LINES = st.text(alphabet=list("ab<\r\n "), max_size=40)
 
 
