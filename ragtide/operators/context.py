@@ -16,6 +16,11 @@ from ragtide.functions.text import PREVIEW_SOURCES, preview, py_strip, relevance
 DEFAULT_TOP_K_CHAT = 5
 DEFAULT_TOP_K_SEMANTIC = 10
 DEFAULT_KEYWORD_LIMIT = 10
+ROUTES = {   # route: keys of the text in order, key and default of the number, error without a text
+    "chat": (("question", "query"), "top_k", DEFAULT_TOP_K_CHAT, "Question is required"),
+    "search": (("query", "keyword"), "limit", DEFAULT_KEYWORD_LIMIT, "Query is required"),
+    "semantic-search": (("query",), "top_k", DEFAULT_TOP_K_SEMANTIC, "Query is required"),
+}
 PROMPT_HEAD = ("Tu es un assistant spécialisé dans l'analyse de conversations universitaires.\n"
                "Réponds UNIQUEMENT avec les informations du contexte. ")
 PROMPT_NOT_FOUND = {
@@ -54,6 +59,30 @@ def normalize_requests(requests: DataFrame, *, default_top_k: int = DEFAULT_TOP_
                            err.alias("error"))
 
 
+def route_requests(requests: DataFrame) -> DataFrame:
+    """P13 for requests of all routes in one table (qid, route, any of question, query, keyword, top_k,
+    limit): each route takes its own keys, default and error text.  A NULL is an absent key; the first key
+    that is present decides, and an empty text is rejected.  A negative number is rejected; an unknown or NULL
+    route is rejected with text and number NULL.  Output (qid, route, text, n, status, error)."""
+    cols = set(requests.columns)
+
+    def per_route(value):
+        out = None
+        for name, rule in ROUTES.items():
+            out = (F if out is None else out).when(F.col("route") == name, value(*rule))
+        return out
+
+    def col(name, kind):
+        return F.col(name).cast(kind) if name in cols else F.lit(None).cast(kind)
+    text = per_route(lambda keys, n, default, error: F.coalesce(*[col(k, "string") for k in keys], F.lit("")))
+    number = per_route(lambda keys, n, default, error: F.coalesce(col(n, "long"), F.lit(default).cast("long")))
+    missing = per_route(lambda keys, n, default, error: F.lit(error))
+    of = per_route(lambda keys, n, default, error: F.lit(f"{n} must be >= 0"))
+    r = requests.select(F.col("qid").cast("long").alias("qid"), "route", text.alias("text"), number.alias("n"),
+                        F.when(missing.isNull(), "Unknown route").when(text == "", missing).when(number < 0, of).alias("error"))
+    return r.select("qid", "route", "text", "n", F.when(F.col("error").isNull(), "ok").otherwise("rejected").alias("status"), "error")
+
+
 def sources(hits: DataFrame, corpus: DataFrame, *, text_col: str = "corpus") -> DataFrame:
     """W4 + P4a + P5: (qid, rank, id, text preview 200, relevance %).  Hits
     that already carry the text skip the join back to the corpus."""

@@ -1,12 +1,13 @@
-"""Corpus table build and write: K1 (typed table, replaced only after the new
-data is fully written), K2 (append with ids continuing the table), W3 ids
-in insert order, P11 embedding.
+"""Corpus table build and write: K1 (typed table), K2 (append with ids
+continuing the table), W3 ids in insert order, P11 embedding, and the
+utterance table (P2 lines without file columns).
 
 Insert order of the reference: text files first, then PDFs, each file's
-chunks in order.  File order is fixed here by name (glob order is arbitrary);
-(type, file name) must identify a document.  Ids are dense: per-file chunk
-counts are summed in that order (``numbered_chunks``), so only one light row
-per file is sorted, whatever the names look like.
+chunks in order.  File order is fixed here by name (glob order is arbitrary).
+
+A table is a folder partitioned by ``load``, written by Spark's own writer in
+dynamic partition overwrite: a load that runs again replaces its own rows,
+with the same ids, and no other load's files are touched.
 """
 
 from __future__ import annotations
@@ -17,8 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ragtide.operators.chunking import numbered_chunks
+from ragtide.operators.chunking import numbered_chunks, split_lines
 from ragtide.operators.embed import Encoder, embed
+from ragtide.operators.ids import in_order, stored_ids
+from ragtide.session import scratch_tables
 
 CORPUS_SCHEMA = T.StructType([
     T.StructField("id", T.LongType(), False),
@@ -29,6 +32,8 @@ CORPUS_SCHEMA = T.StructType([
     T.StructField("created_at", T.TimestampNTZType(), True),
 ])
 
+UTTERANCE_SCHEMA = T.StructType([CORPUS_SCHEMA[c] for c in ("id", "corpus", "embedding", "created_at")])
+
 # --- fixed values -----------------------------------------------------------
 FILE_TYPE_ORDER = ["txt", "pdf"]
 # ----------------------------------------------------------------------------
@@ -52,82 +57,61 @@ def build_corpus(docs: DataFrame, *, encoder: Encoder | None = None, id_offset:
     return out.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in CORPUS_SCHEMA.fields])
 
 
-def _fs(spark, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
-def recover_corpus(spark, path: str) -> None:
-    """Finish a table swap that stopped between its two renames (the table
-    folder is missing): promote the newest complete staged table (it has
-    ``_SUCCESS``), else restore the previous one.  Nothing to do when the
-    table exists."""
-    fs, target = _fs(spark, path)
-    if fs.exists(target) or not fs.exists(target.getParent()):
-        return
-    jvm = spark.sparkContext._jvm
-    name = target.getName()
-    entries = [st for st in fs.listStatus(target.getParent()) if st.isDirectory()]
-    staged = [st for st in entries if st.getPath().getName().startswith(name + ".staging-")
-              and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS"))]
-    olds = [st for st in entries if st.getPath().getName().startswith(name + ".old-")]
-    pick = max(staged or olds, key=lambda st: st.getModificationTime(), default=None)
-    if pick is None:
-        return
-    fs.rename(pick.getPath(), target)
-    if staged:
-        for st in olds:
-            fs.delete(st.getPath(), True)
-
-
-def write_corpus(df: DataFrame, path: str) -> None:
-    """K1: write the new table beside the old one, then swap directories, so
-    a failure while writing leaves the previous table intact (and
-    ``recover_corpus`` completes a swap cut between its renames).  A row with
-    a NULL id or text fails the write."""
-    spark = df.sparkSession
-    recover_corpus(spark, path)
-    staging = f"{path.rstrip('/')}.staging-{uuid.uuid4().hex}"
+def build_utterances(docs: DataFrame, *, encoder: Encoder | None = None, id_offset: int = 0) -> DataFrame:
+    """Documents (file, content) -> one row per utterance line (P2) with an embedding and dense
+    ids by file name and line: (id, corpus, embedding, created_at).  Lines of white space are
+    kept, as the lines are not stripped; a document without text has none."""
+    tz = docs.sparkSession.conf.get("spark.sql.session.timeZone")
+    d = docs.where(F.col("content") != "").select("file", "content", F.xxhash64("content").alias("_h"))
+    lines = split_lines(in_order(d, ["file"], ["_h"]), keep=())
+    now_utc = F.convert_timezone(F.lit(tz), F.lit("UTC"), F.current_timestamp().cast("timestamp_ntz"))
+    rows = stored_ids(lines.select(F.col("utterance").alias("corpus"), now_utc.alias("created_at")), "id", "utterances")
+    out = embed(rows.withColumn("id", F.col("id") + F.lit(int(id_offset))), "corpus", "embedding", encoder)
+    return out.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in UTTERANCE_SCHEMA.fields])
+
+
+def write_corpus(df: DataFrame, path: str, load: str = "0") -> None:
+    """K1: the table at ``path`` replaced by ``df``.  A row with a NULL id or text fails the
+    write; Spark's writer removes the old table first, as the reference does."""
+    _checked(df, load).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("load").parquet(path)
+
+
+def write_load(df: DataFrame, path: str, load: str) -> None:
+    """One load's rows, in place of those it wrote before; other loads stay as they are."""
+    _checked(df, load).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("load").parquet(path)
+
+
+def _checked(df: DataFrame, load: str) -> DataFrame:
     for c in ("id", "corpus"):
         df = df.withColumn(c, F.coalesce(c, F.raise_error(F.lit(f"a corpus row has a NULL {c}"))))
-    df.write.mode("error").parquet(staging)
-    fs, target = _fs(spark, path)
-    _, staged = _fs(spark, staging)
-    if fs.exists(target):
-        _, old = _fs(spark, f"{path.rstrip('/')}.old-{uuid.uuid4().hex}")
-        fs.rename(target, old)
-        fs.rename(staged, target)
-        fs.delete(old, True)
-    else:
-        fs.rename(staged, target)
-
-
-def max_id(spark, path: str, exclude_dir: str | None = None) -> int:
-    """Largest id already stored (one aggregate; 0 for a missing table).
-    Rows under the sub-folder ``exclude_dir`` are not counted (a streaming
-    epoch being rewritten)."""
-    fs, target = _fs(spark, path)
-    if not fs.exists(target):
+    return df.withColumn("load", F.lit(load))
+
+
+def max_id(spark, path: str, but_load: str | None = None) -> int:
+    """Largest id stored (0 for a missing table), read from the id column alone;
+    the rows of ``but_load`` are left out (its partition is pruned)."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
         return 0
-    t = read_corpus(spark, path)
-    if exclude_dir:
-        t = t.where(~F.input_file_name().contains(f"/{exclude_dir}/"))
-    r = t.agg(F.max("id").alias("m")).collect()[0]["m"]
-    return int(r or 0)
+    t = spark.read.schema("id bigint, load string").parquet(path)
+    if but_load is not None:
+        t = t.where(F.col("load") != but_load)
+    return int(t.agg(F.max("id")).first()[0] or 0)
 
 
-def append_corpus(docs: DataFrame, path: str, *, encoder: Encoder | None = None) -> int:
-    """K2: chunk, embed and append documents; ids continue after the stored
-    ones.  Returns the number of rows in the table afterwards."""
+def append_corpus(docs: DataFrame, path: str, *, encoder: Encoder | None = None, load: str | None = None) -> int:
+    """K2: chunk, embed and append documents; ids continue after those of other loads.
+    Returns the number of rows in the table afterwards.  A named load that runs again
+    replaces its own rows (the last load, or later ids would follow a gap or meet its own);
+    without a name each call is a load of its own."""
     spark = docs.sparkSession
-    recover_corpus(spark, path)
-    rows = build_corpus(docs, encoder=encoder, id_offset=max_id(spark, path))
-    rows.write.mode("append").parquet(path)
+    load = load or uuid.uuid4().hex
+    with scratch_tables(spark):
+        write_load(build_corpus(docs, encoder=encoder, id_offset=max_id(spark, path, load)), path, load)
     return read_corpus(spark, path).count()
 
 
-def read_corpus(spark, path: str) -> DataFrame:
-    """The table: files at its root (batch writes) and in per-epoch
-    sub-folders (streaming ingest)."""
-    return spark.read.schema(CORPUS_SCHEMA).option("recursiveFileLookup", "true").parquet(path)
+def read_corpus(spark, path: str, schema: T.StructType = CORPUS_SCHEMA) -> DataFrame:
+    """The table's rows of all loads."""
+    return spark.read.schema(T.StructType([*schema.fields, T.StructField("load", T.StringType())])).parquet(path) \
+        .select(*schema.fieldNames())

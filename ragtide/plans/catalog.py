@@ -20,7 +20,9 @@ from ragtide.functions.text import (
 from ragtide.functions.like import ilike_contains
 from ragtide.functions.vector import parse_vector, render_vector, vector_is_valid
 from ragtide.operators.ids import dense_index
-from ragtide.operators import ann, chunking, context, embed, grams, history, keyword, stats, topk
+from ragtide.operators import (
+    ann, chunking, context, embed, grams, history, ingest, keyword, stat_states, stats, stored_history, topk,
+)
 from ragtide.session import shared_path, shared_table
 from ragtide.sources import pages as pages_src
 from ragtide.sources.tables import documents_as_files, stored_vectors, table
@@ -31,6 +33,8 @@ TOP_K = 5
 KEYWORD = "the"
 INDEXED_KEYWORD = "entebe"   # rarer: most folders of texts hold no candidate
 CLEARED_SESSION = 0
+HISTORY_BUCKETS = 8
+LOADS = 3                    # loads that the merged statistics are made of
 PAGE_BLOCK = 16              # pages per block in the block-level assembly
 # ----------------------------------------------------------------------------
 
@@ -132,6 +136,27 @@ def q_split_utterances(spark, sf):
     return chunking.split_lines(docs(spark, sf), text_col="content")
 
 
+def q_utterance_ingest(spark, sf):
+    """The utterance table (lines, dense ids, vectors; no file columns), written and read back.
+    A document's file name is its doc_id, zero-padded so that names sort as ids do."""
+    d = docs(spark, sf).select(F.lpad(F.col("doc_id").cast("string"), 20, "0").alias("file"), "content")
+    path = shared_path(spark, "utterances")
+    ingest.write_corpus(ingest.build_utterances(d), path)
+    t = ingest.read_corpus(spark, path, ingest.UTTERANCE_SCHEMA)
+    return t.select("id", "corpus", F.size("embedding").cast("long").alias("dim"))
+
+
+def q_corpus_append(spark, sf):
+    """K1 and K2: the documents of the even ids as a new table, the others appended, read back."""
+    d, path = docs(spark, sf), shared_path(spark, "corpus")
+    d = d.select(F.lpad(F.col("doc_id").cast("string"), 20, "0").alias("file"), "content", F.lit("txt").alias("type"),
+                 (F.coalesce(F.col("doc_id"), F.lit(0)) % 2 == 0).alias("even"))
+    ingest.write_corpus(ingest.build_corpus(d.where("even")), path)
+    ingest.append_corpus(d.where("not even"), path, load="odd")
+    t = ingest.read_corpus(spark, path)
+    return t.select("id", "corpus", "file_name", "file_type", F.size("embedding").cast("long").alias("dim"))
+
+
 # --- statistics -----------------------------------------------------------------
 
 def q_corpus_stats(spark, sf):
@@ -168,6 +193,31 @@ def q_date_range(spark, sf):
     return stats.date_range(chunks(spark, sf))
 
 
+def merged_states(spark, sf):
+    """The corpus in ``LOADS`` loads (by doc_id), each adding its statistics' states, read back."""
+    path, c = shared_path(spark, "states"), chunks(spark, sf)
+    for k in range(LOADS):
+        part = F.coalesce(F.pmod("doc_id", F.lit(LOADS)), F.lit(0)) == k
+        stat_states.write_states(c.where(part), path, f"load-{k}")
+    return stat_states.read_states(spark, path)
+
+
+def q_merged_corpus_stats(spark, sf):
+    return stat_states.corpus_stats(merged_states(spark, sf))
+
+
+def q_merged_length_histogram(spark, sf):
+    return stat_states.length_histogram(merged_states(spark, sf))
+
+
+def q_merged_type_counts(spark, sf):
+    return stat_states.type_counts(merged_states(spark, sf))
+
+
+def q_merged_file_distribution(spark, sf):
+    return stat_states.file_distribution(merged_states(spark, sf))
+
+
 def q_recent_rows(spark, sf):
     # (created_at desc, id desc): id order is (doc_id, _pos)
     top = corpus_top(spark, sf, [F.col("created_at").desc(), F.col("doc_id").desc()], F.col("_pos").desc(), 5)
@@ -297,6 +347,12 @@ def q_request_normalize(spark, sf):
     return rag_requests(spark, sf)
 
 
+def q_route_requests(spark, sf):
+    """P13 of all routes: each benchmark item asked on each, under the key "query" (the number absent)."""
+    b = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+    return context.route_requests(b.withColumn("route", F.explode(F.array(*[F.lit(r) for r in context.ROUTES]))))
+
+
 def q_sources(spark, sf):
     return context.sources(rag_hits(spark, sf), None)
 
@@ -346,6 +402,16 @@ def q_history_clear(spark, sf):
     return h.select("session_id", "seq", "query", "answer", iso_timestamp("ts").alias("timestamp"))
 
 
+def q_history_stored(spark, sf):
+    """W2, W5 over the stored form: half of the interactions written, the others appended, a session cleared."""
+    h, path = _history(spark, sf), shared_path(spark, "history")
+    late = F.pmod(F.col("seq"), F.lit(4)) > 1
+    stored_history.write_history(h.where(~late), path, HISTORY_BUCKETS)
+    stored_history.append_history(h.where(late), path, HISTORY_BUCKETS)
+    stored_history.clear_session(spark, path, CLEARED_SESSION, HISTORY_BUCKETS)
+    return stored_history.last_n(spark, path)
+
+
 # --- rows-only (no SQL oracle) ----------------------------------------------------------
 
 def q_text_search_hashed(spark, sf):
@@ -380,6 +446,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "file_distribution": q_file_distribution,
     "ingest_summary": q_ingest_summary,
     "date_range": q_date_range,
+    "utterance_ingest": q_utterance_ingest,
+    "corpus_append": q_corpus_append,
+    "merged_corpus_stats": q_merged_corpus_stats,
+    "merged_length_histogram": q_merged_length_histogram,
+    "merged_type_counts": q_merged_type_counts,
+    "merged_file_distribution": q_merged_file_distribution,
+    "route_requests": q_route_requests,
+    "history_stored": q_history_stored,
     "recent_rows": q_recent_rows,
     "table_preview": q_table_preview,
     "keyword_search": q_keyword_search,

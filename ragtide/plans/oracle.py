@@ -7,6 +7,7 @@ and rounding match the Spark side exactly.
 from __future__ import annotations
 
 from ragtide.functions.text import PY_WS
+from ragtide.operators.embed import EMBEDDING_DIM
 from ragtide.plans import catalog as C
 
 WS = "(" + " || ".join(f"chr({ord(ch)})" for ch in PY_WS) + ")"
@@ -272,3 +273,21 @@ FROM reqv r LEFT JOIN ctx x ON x.qid = r.qid""",
     "history_clear": f"""WITH {HISTORY}
 SELECT session_id, seq, query, answer, {_iso('ts')} AS timestamp FROM hist WHERE session_id <> {C.CLEARED_SESSION}""",
 }
+
+for _name in ("corpus_stats", "type_counts", "file_distribution"):
+    SQL[f"merged_{_name}"] = SQL[_name]
+SQL["merged_length_histogram"] = SQL["length_histogram_fr"]
+
+SQL["history_stored"] = _history_last(10) + f" AND session_id <> {C.CLEARED_SESSION}"
+
+SQL["utterance_ingest"] = f"""WITH u AS ({SQL["split_utterances"]})
+SELECT row_number() OVER (ORDER BY doc_id, line_no) AS id, utterance AS corpus, CAST({EMBEDDING_DIM} AS BIGINT) AS dim FROM u"""
+
+SQL["corpus_append"] = WITH_CORPUS + f"""SELECT row_number() OVER (ORDER BY doc_id % 2, doc_id, chunk_index) AS id, corpus,
+       lpad(CAST(doc_id AS VARCHAR), 20, '0') AS file_name, 'txt' AS file_type, CAST({EMBEDDING_DIM} AS BIGINT) AS dim FROM corpus"""
+
+SQL["route_requests"] = """SELECT item_id AS qid, r.route, coalesce(text, '') AS text, CAST(r.n AS BIGINT) AS n,
+       CASE WHEN coalesce(text, '') = '' THEN 'rejected' ELSE 'ok' END AS status,
+       CASE WHEN coalesce(text, '') = '' THEN r.error END AS error
+FROM benchmark, (VALUES ('chat', 5, 'Question is required'), ('search', 10, 'Query is required'),
+                        ('semantic-search', 10, 'Query is required')) AS r(route, n, error)"""

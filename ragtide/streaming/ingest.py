@@ -5,11 +5,11 @@ embedded and appended to the corpus table micro-batch by micro-batch; ids
 continue after the largest stored id.  Progress (which files are done) lives
 in the checkpoint folder, so a restarted job resumes without re-ingesting.
 
-Each micro-batch is written by ``foreachBatch`` into its own sub-folder of
-the table (named by stream and epoch) in overwrite mode, and its ids start
-after the largest id outside that sub-folder.  A batch that is run again
-(a failure after its files were written but before the epoch was
-committed) therefore replaces its own rows with the same rows and ids
+Each micro-batch is a load of the table (named by stream and epoch), written
+by ``foreachBatch`` with dynamic partition overwrite, and its ids start after
+the largest id of the other loads.  A batch that is run again (a failure after
+its files were written but before the epoch was committed) therefore replaces
+its own rows with the same rows and ids
 instead of appending a second copy.  By default the checkpoint goes under
 the session's ``spark.checkpoint.dir``; its name is a content hash of the
 folder and table paths, so a restarted job finds it again.
@@ -26,8 +26,8 @@ from pyspark.sql import types as T
 
 from ragtide.functions.text import base_name, decode_fallback, normalize_newlines, py_strip
 from ragtide.operators.embed import Encoder
-from ragtide.operators.ingest import build_corpus, max_id
-from ragtide.session import checkpoint_dir
+from ragtide.operators.ingest import build_corpus, max_id, write_load
+from ragtide.session import checkpoint_dir, scratch_tables
 
 
 BINARY_FILE_SCHEMA = T.StructType([
@@ -39,19 +39,18 @@ BINARY_FILE_SCHEMA = T.StructType([
 
 
 def epoch_writer(table_path: str, stream_key: str, encoder: Encoder | None = None):
-    """The ``foreachBatch`` function: epoch ``e`` of stream ``stream_key``
-    owns the sub-folder ``stream-<key>-epoch-<e>`` of the table and rewrites
-    it whole, with ids after the largest id stored outside it."""
+    """The ``foreachBatch`` function: epoch ``e`` of stream ``stream_key`` is the
+    load ``stream-<key>-epoch-<e>`` of the table."""
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
-        sub = f"stream-{stream_key}-epoch-{epoch_id:012d}"
-        offset = max_id(batch.sparkSession, table_path, exclude_dir=sub)
-        # the id numbering reads the batch more than once: keep it instead of
+        spark, load = batch.sparkSession, f"stream-{stream_key}-epoch-{epoch_id:012d}"
+        # ordering the documents reads the batch twice: keep it instead of
         # re-reading its files (bounded by maxFilesPerTrigger; lost blocks
         # are recomputed from the files)
         batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            rows = build_corpus(batch, encoder=encoder, id_offset=offset)
-            rows.write.mode("overwrite").parquet(f"{table_path.rstrip('/')}/{sub}")
+            with scratch_tables(spark):
+                rows = build_corpus(batch, encoder=encoder, id_offset=max_id(spark, table_path, load))
+                write_load(rows, table_path, load)
         finally:
             batch.unpersist()
     return write_batch

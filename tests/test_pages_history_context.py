@@ -117,3 +117,18 @@ def test_history_takes_large_conversation_ids(spark):
                                   "conv_id long, turn int, role string, text string")
     rows = history.history_last_n(history.interactions_from_turns(turns)).collect()
     assert [(r["session_id"], r["query"], r["answer"], r["count"]) for r in rows] == [(2**40, "q", "a", 1)]
+
+
+def test_rules_of_each_route(spark):
+    from ragtide.operators.context import route_requests
+    rows = [(1, "chat", None, "q", "k", None, 3), (2, "chat", "", "q", None, None, None), (3, "search", "x", None, "k", 4, 9),
+            (4, "search", "x", "q", "k", None, None), (5, "search", "x", None, None, None, None),
+            (6, "semantic-search", "x", None, "k", None, 2), (7, "semantic-search", None, "q", None, 1, None),
+            (8, "search", None, "q", None, -1, 5), (9, "other", "x", "q", None, None, None), (10, None, "x", None, None, None, None)]
+    df = spark.createDataFrame(rows, "qid int, route string, question string, query string, keyword string, limit int, top_k int")
+    got = {r["qid"]: tuple(r)[2:] for r in route_requests(df).collect()}
+    assert got == {1: ("q", 3, "ok", None), 2: ("", 5, "rejected", "Question is required"), 3: ("k", 4, "ok", None),
+                   4: ("q", 10, "ok", None), 5: ("", 10, "rejected", "Query is required"), 6: ("", 2, "rejected", "Query is required"),
+                   7: ("q", 10, "ok", None), 8: ("q", -1, "rejected", "limit must be >= 0"),
+                   9: (None, None, "rejected", "Unknown route"), 10: (None, None, "rejected", "Unknown route")}
+    assert [tuple(r)[2:4] for r in route_requests(df.select("qid", "route").where("qid = 4")).collect()] == [("", 10)]
