@@ -81,7 +81,72 @@ def test_txt_before_pdf_in_id_order(spark):
     docs = spark.createDataFrame([("b.pdf", "p" * 600, "pdf"), ("z.txt", "t", "txt"), ("a.txt", "u", "txt")],
                                  "file string, content string, type string")
     rows = ingest.build_corpus(docs).orderBy("id").collect()
-    assert [(r["id"], r["file_name"]) for r in rows] == [(1, "a.txt"), (2, "\t \u00a0 "), (3, "a"), (4, "b"), (5, "c: élève oui")]
+    assert [(r["id"], r["file_name"]) for r in rows] == [(1, "a.txt"), (2, "z.txt"), (3, "b.pdf"), (4, "b.pdf")]
+
+
+def test_streaming_ingest(spark, scratch):
+    from ragtide.streaming.ingest import start_folder_ingest
+    d = _fixture_folder(scratch)
+    table = os.path.join(scratch, "stream_corpus")
+    q = start_folder_ingest(spark, d, table, checkpoint=os.path.join(scratch, "ck"))
+    q.awaitTermination(120)
+    t = ingest.read_corpus(spark, table)
+    assert t.count() == 3
+    assert t.agg(F.min("id"), F.max("id")).first() == (1, 3)
+    # new file: only it is ingested on the next run, ids continue
+    _write(d, "later.txt", b"plus tard")
+    q = start_folder_ingest(spark, d, table, checkpoint=os.path.join(scratch, "ck"))
+    q.awaitTermination(120)
+    t = ingest.read_corpus(spark, table)
+    assert sorted(r["id"] for r in t.collect()) == [1, 2, 3, 4]
+
+
+def test_streaming_epoch_rerun_is_idempotent(spark, scratch):
+    from ragtide.streaming.ingest import epoch_writer
+    table = os.path.join(scratch, "epochs")
+    write = epoch_writer(table, "s1")
+    b0 = spark.createDataFrame([("a.txt", "x" * 700, "txt"), ("b.txt", "y", "txt")],
+                               "file string, content string, type string")
+    b1 = spark.createDataFrame([("c.txt", "z", "txt")], "file string, content string, type string")
+    write(b0, 0)
+    first = sorted((r["id"], r["corpus"]) for r in ingest.read_corpus(spark, table).collect())
+    write(b0, 0)                      # the same epoch run again after a failure
+    again = sorted((r["id"], r["corpus"]) for r in ingest.read_corpus(spark, table).collect())
+    assert first == again and [i for i, _ in first] == [1, 2, 3]
+    write(b1, 1)
+    write(b1, 1)
+    ids = sorted(r["id"] for r in ingest.read_corpus(spark, table).collect())
+    assert ids == [1, 2, 3, 4]
+    # a batch append at the root continues after the streamed rows
+    more = spark.createDataFrame([("d.txt", "w", "txt")], "file string, content string, type string")
+    assert ingest.append_corpus(more, table) == 5
+
+
+def test_a_load_that_runs_again_replaces_its_rows_alone(spark, scratch):
+    docs = [spark.createDataFrame([(f"{k}.txt", "t" * 600, "txt")], "file string, content string, type string") for k in "abc"]
+    table = os.path.join(scratch, "t")
+    for d, load in zip(docs, "abc"):
+        ingest.append_corpus(d, table, load=load)
+
+    def stamps(load):
+        folder = os.path.join(table, f"load={load}")
+        return sorted(os.listdir(folder))
+    before, want = {x: stamps(x) for x in "ab"}, sorted((r["id"], r["file_name"]) for r in ingest.read_corpus(spark, table).collect())
+    assert ingest.append_corpus(docs[2], table, load="c") == 6
+    assert {x: stamps(x) for x in "ab"} == before
+    assert sorted((r["id"], r["file_name"]) for r in ingest.read_corpus(spark, table).collect()) == want
+    assert ingest.max_id(spark, table, "c") == 4 and ingest.max_id(spark, os.path.join(scratch, "none")) == 0
+
+
+def test_utterance_table(spark, scratch):
+    d = _fixture_folder(scratch)
+    path = os.path.join(scratch, "utterances")
+    with_lines = files.read_text_files(spark, d).select("file", F.col("text").alias("content"))
+    ingest.write_corpus(ingest.build_utterances(with_lines), path)
+    t = ingest.read_corpus(spark, path, ingest.UTTERANCE_SCHEMA).orderBy("id")
+    assert t.columns == ["id", "corpus", "embedding", "created_at"]
+    assert [(r["id"], r["corpus"]) for r in t.collect()] == [
+        (1, "h: U B S bonjour"), (2, "\t \u00a0 "), (3, "a"), (4, "b"), (5, "c: élève oui")]
     assert {len(r["embedding"]) for r in t.collect()} == {EMBEDDING_DIM}
     assert ingest.build_utterances(with_lines.limit(0)).count() == 0
 
