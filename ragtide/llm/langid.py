@@ -12,9 +12,10 @@ counts the ``TRAIN_WORDS`` highest.  Scoring reads every word of every text.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0;
 so is every text if there is nothing to learn from; a null language teaches
-nothing; equal scores go to the language first by code point; a word of over
-``MAX_WORD`` characters is scored in parts of that length; repeated rows are
-scored alike; extra columns are ignored, whatever their names.
+nothing; equal scores go to the language first by code point; a word of any
+length is scored whole, over all its segmentations (a learned one is cut into
+parts of ``LEARN_PART`` characters); repeated rows are scored alike; extra
+columns are ignored, whatever their names; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -32,17 +33,18 @@ from .pieces import SPACE, automaton, lattice
 
 SAMPLE_DOCS, TRAIN_WORDS, ROUNDS, SMOOTH = 500, 200_000, 4, 0.05
 MAX_LANGUAGES = 1_000
-MAX_WORD, UNKNOWN, MEMO, BATCH = 60, 1e-8, 500_000, 2_000
+LEARN_PART, UNKNOWN, MEMO, BATCH = 60, 1e-8, 500_000, 2_000
+KEPT_WORD, CELLS, BLOCK = 60, 32_000, 4_096          # characters of a remembered word; words x positions at once; of one word
 UNDETERMINED = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
 
 def words_of(text: str) -> list[str]:
-    out = []
-    for w in text.lower().split():
-        w = SPACE + w
-        out += [w] if len(w) <= MAX_WORD else [w[i: i + MAX_WORD] for i in range(0, len(w), MAX_WORD)]
-    return out
+    return [SPACE + w for w in text.lower().split()]
+
+
+def learned_words(text: str) -> list[str]:
+    return [w[i: i + LEARN_PART] for w in words_of(text) for i in range(0, len(w), LEARN_PART)]
 
 
 def _by(at: np.ndarray, top: int) -> list[np.ndarray]:
@@ -62,19 +64,36 @@ def _add(a: np.ndarray, k: int, x: np.ndarray, w: np.ndarray) -> None:
     a[who, k] = top + np.log(np.add.reduceat(np.exp(x - top[at]), first, axis=0) + np.exp(a[who, k] - top))
 
 
-def log_forward(words: list[str], lat, logp: np.ndarray) -> np.ndarray:
-    """Logs of the forward sums (words x positions x languages), finite for any word; logp: pieces x languages."""
+def log_forward(words: list[str], lat, logp: np.ndarray, head: np.ndarray | None = None) -> np.ndarray:
+    """Logs of the forward sums (words x positions x languages), finite for any word; logp: pieces x languages.
+    ``head``: the sums of the first positions, where these are known."""
     w, s, e, p = lat
     size = max(map(len, words))
     a = np.zeros((len(words), size + 1, logp.shape[1]))
+    known = 1 if head is None else head.shape[1]
+    if head is not None:
+        a[:, :known] = head
     ends = _by(e, size)
-    for k in range(1, size + 1):
+    for k in range(known, size + 1):
         a[:, k] = a[:, k - 1] + math.log(UNKNOWN)
         m = ends[k]
         _add(a, k, a[w[m], s[m]] + logp[p[m]], w[m])
     return a
 
 
+def log_total(word: str, path: str, logp: np.ndarray) -> np.ndarray:
+    """The last of one word's ``log_forward`` sums, a block of it at a time: a block starts from the sums
+    of as many positions before it as the longest piece is long, so no segmentation is lost."""
+    reach = max(map(len, automaton(path)[1]))
+    head, lo = np.zeros((1, 1, logp.shape[1])), 0
+    for at in range(0, len(word), BLOCK):
+        part = word[lo: at + BLOCK]
+        a = log_forward([part], lattice([part], path), logp, head)
+        nxt = max(0, at + BLOCK - reach)
+        head, lo = a[:, nxt - lo:], nxt
+    return a[0, -1]
+
+
 def log_backward(words: list[str], lat, logp: np.ndarray) -> np.ndarray:
     w, s, e, p = lat
     size = max(map(len, words))
@@ -137,7 +156,7 @@ def word_counts(rows: DataFrame, most: int = TRAIN_WORDS) -> dict[str, dict[str,
         sums: dict[str, Counter] = {}
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-                sums.setdefault(lang, Counter()).update(words_of(text))
+                sums.setdefault(lang, Counter()).update(learned_words(text))
         for lang, c in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c), pa.string()), pa.array(list(c), pa.string()),
                                               pa.array(list(c.values()), pa.int64())], names=["lang", "word", "n"])
@@ -156,12 +175,17 @@ class Scorer:
         self.memo: dict[str, np.ndarray] = {}
 
     def _learn(self, words: list[str]) -> None:
-        for i in range(0, len(words), BATCH):
-            ws = sorted(words[i: i + BATCH], key=len)
-            for k in range(0, len(ws), 500):
-                part = ws[k: k + 500]
-                a = log_forward(part, lattice(part, self.path), self.logp)
-                self.memo.update(zip(part, a[np.arange(len(part)), [len(x) for x in part]]))
+        words = sorted(words, key=len)
+        at = 0
+        while at < len(words) and len(words[at]) <= BLOCK:
+            part = words[at: at + 500]
+            while len(part) > 1 and len(part) * len(part[-1]) > CELLS:
+                part = part[: len(part) // 2]
+            a = log_forward(part, lattice(part, self.path), self.logp)
+            self.memo.update(zip(part, a[np.arange(len(part)), [len(x) for x in part]]))
+            at += len(part)
+        for w in words[at:]:
+            self.memo[w] = log_total(w, self.path, self.logp)
 
     def score(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         todo = [None if t is None or not _LETTER.search(t) else words_of(t) for t in texts]
@@ -179,6 +203,9 @@ class Scorer:
             k = int(np.argmax(z))
             langs.append(self.names[k])
             scores.append(float(1.0 / np.exp(z - z[k]).sum()))
+        for w in new:
+            if len(w) > KEPT_WORD:
+                self.memo.pop(w, None)
         return langs, scores
 
 

@@ -532,6 +532,22 @@ def test_forward_sums_all_segmentations():
         assert np.allclose(a[k, len(w)], [total(w, 0), total(w, 1)])
 
 
+def test_langid_words_of_any_length(monkeypatch):
+    path, rng = pieces.default_vocabulary(), random.Random(5)
+    word = "▁" + "".join(rng.choice("thehausla petitemaison語").replace(" ", "") for _ in range(700))
+    names, prob = langid.fit({"aa": {"▁the": 3, "▁house": 1}, "bb": {"▁haus": 2, "maison": 1}}, path)
+    logp = np.log(prob)
+    whole = langid.log_forward([word], pieces.lattice([word], path), logp)[0, len(word)]
+    for block in (1, 7, 64, 699, 5000):
+        monkeypatch.setattr(langid, "BLOCK", block)
+        assert np.allclose(langid.log_total(word, path, logp), whole, rtol=1e-12)
+        got = langid.Scorer(names, prob, path)
+        assert got.score([word[1:] + " the", None, "7 " + word[1:]])[0][1] == "und"
+        assert set(got.memo) == {"▁the", "▁7"}                  # long words aren't remembered
+    cut = sum(langid.log_total(w, path, logp) for w in (word[:60], word[60:]))
+    assert (whole > cut + 1e-6).any()                            # segmentations across a cut are summed too
+
+
 def test_langid_long_runs(spark):
     """60 characters outside the vocabulary, in training rows and in scored ones: probabilities and scores stay finite, no language is vetoed."""
     path = pieces.default_vocabulary()
