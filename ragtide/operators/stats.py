@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ragtide.functions.text import (
-    LENGTH_LABELS_FR, PREVIEW_STATS, iso_timestamp, length_category, preview, rounded_avg_display,
+    LENGTH_LABELS_FR, PREVIEW_STATS, is_blank, iso_timestamp, length_category, preview, rounded_avg_display,
 )
+from ragtide.operators.chunking import kept_chunks
 
 
 def corpus_stats(corpus: DataFrame, text_col: str = "corpus") -> DataFrame:
@@ -76,13 +77,12 @@ def file_distribution(corpus: DataFrame, top: int = 10) -> DataFrame:
     return top_files.select("file_name", "count", est.alias("estimated_count"))
 
 
-def ingest_summary(docs: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Documents and chunks per type."""
-    d = docs.groupBy(F.col("type").alias("file_type")).agg(F.count(F.lit(1)).alias("documents"))
-    c = corpus.groupBy("file_type").agg(F.count(F.lit(1)).alias("chunks"))
-    return (d.join(c, "file_type", "full_outer")
-            .select("file_type", F.coalesce("documents", F.lit(0)).alias("documents"),
-                    F.coalesce("chunks", F.lit(0)).alias("chunks")))
+def ingest_summary(docs: DataFrame, content_col: str = "content") -> DataFrame:
+    """Documents with text and their chunks per type, in one pass over the documents."""
+    kept = docs.where(~is_blank(content_col))
+    return (kept.groupBy(F.col("type").alias("file_type"))
+            .agg(F.count(F.lit(1)).alias("documents"),
+                 F.sum(F.size(kept_chunks(F.col(content_col)))).cast("long").alias("chunks")))
 
 
 def recent_rows(corpus: DataFrame, n: int = 5, text_col: str = "corpus") -> DataFrame:

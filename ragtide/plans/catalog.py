@@ -184,9 +184,7 @@ def q_file_distribution(spark, sf):
 
 
 def q_ingest_summary(spark, sf):
-    d = docs(spark, sf)
-    c = chunking.chunk_documents(d).withColumnRenamed("type", "file_type")
-    return stats.ingest_summary(d.where(~is_blank("content")), c)
+    return stats.ingest_summary(docs(spark, sf))
 
 
 def q_date_range(spark, sf):
