@@ -24,6 +24,7 @@ from ragtide.operators import (
     ann, chunking, context, embed, grams, history, ingest, keyword, stat_states, stats, stored_history, topk,
 )
 from ragtide.session import shared_path, shared_table
+from ragtide.sources import lines as lines_src
 from ragtide.sources import pages as pages_src
 from ragtide.sources.tables import documents_as_files, stored_vectors, table
 
@@ -35,6 +36,7 @@ INDEXED_KEYWORD = "entebe"   # rarer: most folders of texts hold no candidate
 CLEARED_SESSION = 0
 HISTORY_BUCKETS = 8
 LOADS = 3                    # loads that the merged statistics are made of
+PART_CHARS = 4_000           # characters per part in the parts by character
 PAGE_BLOCK = 16              # pages per block in the block-level assembly
 # ----------------------------------------------------------------------------
 
@@ -277,6 +279,13 @@ def q_page_blocks(spark, sf):
     return pages_src.assemble_page_blocks(_pages(spark, sf), marked=True, block_pages=PAGE_BLOCK)
 
 
+def q_page_parts(spark, sf):
+    """The text of each file in parts by character, written as the extracted-text table and read back."""
+    path = shared_path(spark, "extracted")
+    pages_src.write_extracted_text(pages_src.page_parts(_pages(spark, sf), marked=True, part_chars=PART_CHARS), path)
+    return spark.read.schema("file long, part long, start long, text string").parquet(path)
+
+
 def q_page_summary(spark, sf):
     return pages_src.page_summary(_pages(spark, sf), marked=True)
 
@@ -306,6 +315,30 @@ def q_page_files(spark, sf):
         line_count(normalize_newlines("html")).alias("lines"))
 
 
+def _text_folder(spark, sf):
+    """Stand-in folder of text files: Spark writes the documents' texts under a folder per type, those of latin-1
+    characters in that encoding."""
+    path = shared_path(spark, "texts")
+    d = docs(spark, sf).where(F.col("content").isNotNull())
+    narrow = ~F.col("content").rlike("[^\\x{0}-\\x{ff}]")
+    value = F.when(narrow, F.encode(F.when(narrow, F.col("content")), "ISO-8859-1").cast("string")).otherwise(F.col("content"))
+    (d.select("type", F.when(narrow, F.lit("latin-1")).otherwise(F.lit("utf-8")).alias("written"), value.alias("value"))
+     .write.partitionBy("type", "written").text(path))
+    return lines_src.read_lines(spark, path, partitions="type string, written string")
+
+
+def q_folder_lines(spark, sf):
+    """S1, S2, S3, P2 over text files read in byte ranges: every utterance of every file."""
+    lines, _ = _text_folder(spark, sf)
+    return chunking.split_lines(lines_src.line_documents(lines), keep=("type",)).select("type", "utterance")
+
+
+def q_folder_totals(spark, sf):
+    """A9 over the same files: lines of each folder (its files' number and sizes follow the write tasks)."""
+    _, files = _text_folder(spark, sf)
+    return files.groupBy("type", "written").agg(F.sum("lines").alias("total_lines"), F.sum("size_bytes").alias("total_bytes"))
+
+
 # --- chat requests ------------------------------------------------------------------
 
 def ranked_vectors(spark, sf):
@@ -461,6 +494,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "page_assembly": q_page_assembly,
     "page_assembly_marked": q_page_assembly_marked,
     "page_blocks": q_page_blocks,
+    "page_parts": q_page_parts,
+    "folder_lines": q_folder_lines,
+    "folder_totals": q_folder_totals,
     "page_summary": q_page_summary,
     "union_documents": q_union_documents,
     "decode_documents": q_decode_documents,

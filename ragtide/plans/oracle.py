@@ -291,3 +291,29 @@ SQL["route_requests"] = """SELECT item_id AS qid, r.route, coalesce(text, '') AS
        CASE WHEN coalesce(text, '') = '' THEN r.error END AS error
 FROM benchmark, (VALUES ('chat', 5, 'Question is required'), ('search', 10, 'Query is required'),
                         ('semantic-search', 10, 'Query is required')) AS r(route, n, error)"""
+
+SQL["page_parts"] = f"""WITH {DOCS},
+pages AS (SELECT d.doc_id AS file, t.page_no, t.text
+          FROM docs d, unnest(string_split(d.content, {NL})) WITH ORDINALITY AS t(text, page_no)),
+kept AS (SELECT file, page_no, '--- Page ' || page_no::VARCHAR || ' ---' || {NL} || text || {NL} AS body
+         FROM pages WHERE trim(text, {WS}) <> ''),
+placed AS (SELECT *, CAST(coalesce(sum(length(body) + 1) OVER (PARTITION BY file ORDER BY page_no
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM kept)
+SELECT file, start // {C.PART_CHARS} AS part, min(start) AS start, string_agg(body, {NL} ORDER BY page_no) AS text
+FROM placed GROUP BY file, start // {C.PART_CHARS}"""
+
+# each text is written as one line and its line end; carriage returns end lines too
+_FILE_LINES = f"""{DOCS},
+texts AS (SELECT nullif(type, '') AS type, regexp_replace(content || {NL}, chr(13) || chr(10) || '?', {NL}, 'g') AS t,
+                 CASE WHEN regexp_matches(content, '[^\\x{{00}}-\\x{{ff}}]') THEN 'utf-8' ELSE 'latin-1' END AS written,
+                 CASE WHEN regexp_matches(content, '[^\\x{{00}}-\\x{{ff}}]') THEN octet_length(encode(content)) ELSE length(content) END + 1 AS size
+          FROM docs WHERE content IS NOT NULL)"""
+
+SQL["folder_lines"] = f"""WITH {_FILE_LINES},
+lines AS (SELECT type, unnest(string_split(t[:-2], {NL})) AS l FROM texts)
+SELECT type, CASE WHEN starts_with(l, '     ') THEN substring(l, 6) ELSE l END AS utterance
+FROM lines WHERE l <> '' AND NOT starts_with(l, '<')"""
+
+SQL["folder_totals"] = f"""WITH {_FILE_LINES}
+SELECT type, written, CAST(sum(length(t) - length(replace(t, {NL}, ''))) AS BIGINT) AS total_lines, CAST(sum(size) AS BIGINT) AS total_bytes
+FROM texts GROUP BY type, written"""
