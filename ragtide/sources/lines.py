@@ -57,14 +57,15 @@ def read_lines(spark: SparkSession, folder: str, pattern: str = "*.txt", recursi
     stored = shared_table(raw.withColumn("_k", F.size(_pieces(F.decode("bytes", "ISO-8859-1"))).cast("long")), "lines")
 
     by_file = Window.partitionBy("path")
-    ranges = (stored.groupBy("path", "block", *keep)
-              .agg(F.min("_m").alias("_first"), F.count(F.lit(1)).alias("_rows"), F.sum("_n").alias("_bytes"),
-                   F.max("size").alias("size"), F.min("_ok").alias("_ok"), F.sum("_k").alias("_lines"))
-              .withColumn("utf8", F.min("_ok").over(by_file))
-              .withColumn("_before", F.coalesce(F.sum("_rows").over(
-                  by_file.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-              # bytes beyond lines and line ends: -1 without a last line end, three more with a dropped mark
-              .withColumn("bom", (F.max("size").over(by_file) - F.sum(F.col("_bytes") + F.col("_rows")).over(by_file)) >= 2))
+    # stored, so its size is known when the join is planned: broadcast below Spark's bound, else shuffled
+    ranges = shared_table(stored.groupBy("path", "block", *keep)
+                          .agg(F.min("_m").alias("_first"), F.count(F.lit(1)).alias("_rows"), F.sum("_n").alias("_bytes"),
+                               F.max("size").alias("size"), F.min("_ok").alias("_ok"), F.sum("_k").alias("_lines"))
+                          .withColumn("utf8", F.min("_ok").over(by_file))
+                          .withColumn("_before", F.coalesce(F.sum("_rows").over(
+                              by_file.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+                          # bytes beyond lines and line ends: -1 without a last line end, three more with a dropped mark
+                          .withColumn("bom", (F.max("size").over(by_file) - F.sum(F.col("_bytes") + F.col("_rows")).over(by_file)) >= 2), "ranges")
     files = (ranges.groupBy("path", *keep).agg(F.min("utf8").alias("utf8"), F.max("size").alias("size_bytes"),
                                                F.sum("_lines").cast("long").alias("lines"))
              .select("path", base_name("path").alias("file"), *keep,
