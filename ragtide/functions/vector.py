@@ -58,9 +58,10 @@ def parse_vector(text) -> Column:
 
 
 def vector_is_valid(v) -> Column:
-    """Non-null, non-empty and every element parsed."""
+    """Non-null, non-empty and every element a finite number (as the searches take them)."""
     v = _c(v)
-    return v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull())
+    # NaN sorts above infinity, so it fails the bound as well
+    return v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & (F.abs(x) < float("inf")))
 
 
 def render_vector(v, brackets: str = "[]") -> Column:

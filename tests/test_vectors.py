@@ -229,3 +229,9 @@ def test_null_ids_and_equal_qids(spark):
     assert [r["id"] for r in topk.topk_single(c, [1.0, 0.0], 2).collect()] == [big + 1, big + 3]
     bad = c.unionByName(spark.createDataFrame([(9, [float("nan"), 1.0])], "id long, embedding array<double>"))
     assert {r["id"] for r in topk.score_corpus(bad, [1.0, 0.0]).collect()} == {big + 1, big + 3, 5}
+
+
+def test_validity_takes_finite_numbers_alone(spark):
+    rows = [("[1,2]", True), ("[1,NaN]", False), ("[Infinity,1]", False), ("[-Infinity]", False), ("[1,x]", False)]
+    df = spark.createDataFrame(rows, "s string, want boolean").select("want", vector_is_valid(parse_vector("s")).alias("ok"))
+    assert all(r["ok"] == r["want"] for r in df.collect())
