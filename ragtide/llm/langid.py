@@ -34,13 +34,14 @@ from .pieces import SPACE, automaton, lattice
 SAMPLE_DOCS, TRAIN_WORDS, ROUNDS, SMOOTH = 500, 200_000, 4, 0.05
 MAX_LANGUAGES = 1_000
 LEARN_PART, UNKNOWN, MEMO, BATCH = 60, 1e-8, 500_000, 2_000
-KEPT_WORD, CELLS, BLOCK = 60, 32_000, 4_096          # characters of a remembered word; words x positions at once; of one word
+KEPT_WORD, PART, CELLS, BLOCK = 60, 2_000, 32_000, 4_096          # characters of a remembered word; words and words x positions at once; of one word
 UNDETERMINED = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
 
 def words_of(text: str) -> list[str]:
-    return [SPACE + w for w in text.lower().split()]
+    ws = text.lower().split()
+    return (SPACE + f" {SPACE}".join(ws)).split(" ") if ws else []
 
 
 def learned_words(text: str) -> list[str]:
@@ -169,43 +170,68 @@ def word_counts(rows: DataFrame, most: int = TRAIN_WORDS) -> dict[str, dict[str,
     return out
 
 
+class _Places(dict):
+    """The place of every word, given out as it is first met."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        k = self[word] = len(self)
+        return k
+
+
 class Scorer:
     def __init__(self, names: list[str], prob: np.ndarray, path: str):
         self.names, self.logp, self.path = names, np.log(prob), path
-        self.memo: dict[str, np.ndarray] = {}
+        self.memo, self.logs = _Places(), np.empty((0, len(names)))     # the words' places; their logs by place
 
     def _learn(self, words: list[str]) -> None:
+        """The logs of ``words``, which have the last places."""
+        have = len(self.memo)
+        if len(self.logs) < have:
+            self.logs = np.concatenate([self.logs, np.empty((max(have, 2 * len(self.logs)) - len(self.logs), len(self.names)))])
         words = sorted(words, key=len)
+        places = [self.memo[w] for w in words]
         at = 0
         while at < len(words) and len(words[at]) <= BLOCK:
-            part = words[at: at + 500]
+            part = words[at: at + PART]
             while len(part) > 1 and len(part) * len(part[-1]) > CELLS:
                 part = part[: len(part) // 2]
             a = log_forward(part, lattice(part, self.path), self.logp)
-            self.memo.update(zip(part, a[np.arange(len(part)), [len(x) for x in part]]))
+            self.logs[places[at: at + len(part)]] = a[np.arange(len(part)), [len(x) for x in part]]
             at += len(part)
-        for w in words[at:]:
-            self.memo[w] = log_total(w, self.path, self.logp)
+        for k, w in zip(places[at:], words[at:]):
+            self.logs[k] = log_total(w, self.path, self.logp)
 
     def score(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        todo = [None if t is None or not _LETTER.search(t) else words_of(t) for t in texts]
         if len(self.memo) > MEMO:
             self.memo.clear()
-        new = dict.fromkeys(w for ws in todo if ws for w in ws)
-        self._learn([w for w in new if w not in self.memo])
         langs, scores = [], []
-        for ws in todo:
-            if not ws or not self.names:
+        todo = []
+        for t in texts:
+            ws = [] if t is None or not self.names or not _LETTER.search(t) else words_of(t)
+            todo.append(np.fromiter(map(self.memo.__getitem__, ws), np.int64, len(ws)))
+        new, self.memo.new = self.memo.new, []
+        if new:
+            self._learn(new)
+        for places in todo:
+            if not len(places):
                 langs.append(UNDETERMINED)
                 scores.append(0.0)
                 continue
-            z = np.array([self.memo[w] for w in ws]).sum(axis=0)
+            z = self.logs[places].sum(axis=0)
             k = int(np.argmax(z))
             langs.append(self.names[k])
             scores.append(float(1.0 / np.exp(z - z[k]).sum()))
-        for w in new:
-            if len(w) > KEPT_WORD:
-                self.memo.pop(w, None)
+        if any(len(w) > KEPT_WORD for w in new):                       # long words are not remembered: the others take the first of the new places
+            old = len(self.memo) - len(new)
+            kept = [w for w in new if len(w) <= KEPT_WORD]
+            self.logs[old: old + len(kept)] = self.logs[[self.memo[w] for w in kept]]
+            for w in new:
+                del self.memo[w]
+            self.memo.update(zip(kept, range(old, old + len(kept))))
         return langs, scores
 
 
@@ -216,8 +242,8 @@ def predict(df: DataFrame, names: list[str], prob: np.ndarray, path: str, held_o
     def part(batches):
         scorer = Scorer(*model.value, path)
         for batch in batches:
-            for i in range(0, batch.num_rows, 128):
-                rows = batch.slice(i, 128)
+            for i in range(0, batch.num_rows, 512):
+                rows = batch.slice(i, 512)
                 langs, scores = scorer.score(rows.column("__text").to_pylist())
                 yield pa.RecordBatch.from_arrays([rows.column("__id"), rows.column("__held"), pa.array(langs, pa.string()),
                                                   pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import chain
+
 import ahocorasick
 import numpy as np
 
@@ -35,12 +37,25 @@ def automaton(path: str) -> tuple[ahocorasick.Automaton, list[str], list[float]]
     return _LOADED[path]
 
 
+def _matcher(path: str) -> tuple[ahocorasick.Automaton, np.ndarray, str]:
+    """The automaton with the ids alone, the pieces' characters, and a character of no piece; built once in each worker."""
+    if (path, "ids") not in _LOADED:
+        names = automaton(path)[1]
+        a = ahocorasick.Automaton(ahocorasick.STORE_ANY)
+        for i, p in enumerate(names):
+            if p:
+                a.add_word(p, i)
+        a.make_automaton()
+        used = set("".join(names))
+        _LOADED[path, "ids"] = a, np.array([len(p) for p in names], np.int64), next(c for c in map(chr, range(0x110000)) if c not in used)
+    return _LOADED[path, "ids"]
+
+
 def lattice(words: list[str], path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(word, start, end, piece) of every match in every word."""
-    a = automaton(path)[0]
-    flat: list[int] = []
-    for w, word in enumerate(words):
-        for last, (i, n, _) in a.iter(word):
-            flat += (w, last + 1 - n, last + 1, i)
-    m = np.array(flat, np.int64).reshape(-1, 4)
-    return m[:, 0], m[:, 1], m[:, 2], m[:, 3]
+    """(word, start, end, piece) of every match in every word.  The words are matched in one string, kept apart by a character of no piece."""
+    a, size, apart = _matcher(path)
+    m = np.fromiter(chain.from_iterable(a.iter(apart.join(words))), np.int64).reshape(-1, 2)
+    first = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)])
+    word = np.searchsorted(first, m[:, 0], "right") - 1
+    end = m[:, 0] + 1 - first[word]
+    return word, end - size[m[:, 1]], end, m[:, 1]

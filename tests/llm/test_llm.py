@@ -643,3 +643,23 @@ def test_partnered_keeps_every_possible_pair():
             assert got[a] or not partner
         kept += got.mean() / 200
     assert kept < 0.95
+
+
+def test_langid_words_are_matched_together(monkeypatch):
+    """Many words in one matching, scored as each on its own; long words leave no trace in the remembered ones."""
+    path = pieces.default_vocabulary()
+    names, prob = langid.fit({"en": {"▁the": 9, "▁house": 3}, "fr": {"▁la": 9, "▁maison": 3}}, path, 2)
+    texts = [" ".join(f"wo{i}rd" for i in range(s, s + 30)) for s in range(0, 1500, 25)] + ["the x\0y " + "ab" * 40, "la maison", "the the", "  \n", None]
+    calls = []
+    monkeypatch.setattr(langid, "lattice", lambda ws, p: calls.append(len(ws)) or pieces.lattice(ws, p))
+    scorer = langid.Scorer(names, prob, path)
+    got = [scorer.score(texts[:40]), scorer.score(texts[40:])]
+    assert len(calls) < 5 and "▁" + "ab" * 40 not in scorer.memo and sorted(scorer.memo.values()) == list(range(len(scorer.memo)))
+    got = [x for langs, scores in got for x in zip(langs, scores)]
+    for text, (lang, score) in zip(texts, got):
+        ws = langid.words_of(text or "")
+        if not ws:
+            assert (lang, score) == ("und", 0.0)
+            continue
+        z = sum(langid.log_forward([w], pieces.lattice([w], path), np.log(prob))[0, len(w)] for w in ws)
+        assert lang == names[int(z.argmax())] and abs(score - 1 / np.exp(z - z.max()).sum()) < 1e-9
