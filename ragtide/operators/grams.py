@@ -6,13 +6,15 @@ without one of them cannot match; what has them is verified by the ILIKE rules.
 A pattern whose longest literal stretch has two characters or one has that stretch itself as its
 gram, one of wildcards alone the empty gram, which every text has.
 
-``gram_matches`` joins many keywords with a corpus, both tables:
+``gram_matches`` and ``gram_firsts`` join many keywords with a corpus, both tables, by tiles:
 
-1. a sketch of fixed size counts in how many texts each gram occurs;
-2. each distinct pattern is sent under its rarest gram by that sketch;
-3. a bit table of fixed size of the grams so chosen lets a corpus task emit only
-   those; grams of very many texts are salted over several keys on either side;
-4. rows that meet on a gram are candidates, each verified on the executors.
+1. the texts are dealt by hash into blocks of about ``TEXT_BYTES``, the distinct keywords into
+   blocks of ``TILE_WORDS``; a text is sent once to every block of keywords, a
+   keyword once to every block of texts, and a block pair meets in one task (a cogroup);
+2. a task counts the grams of a slice of its texts, looks for each keyword's rarest
+   gram there, and verifies the texts that hold it by the ILIKE rules;
+3. what leaves a tile is its matches, or for each keyword their number and the first ids: no
+   pair of a keyword and a text is shuffled or stored for the latter.
 
 ``write_postings`` stores, for every gram, the ids of the texts that hold it: bit maps
 of blocks of 2^16 ids, in folders by gram, and the texts in folders by id range.
@@ -22,6 +24,7 @@ and verifies ILIKE on the texts of the blocks left.
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -32,8 +35,11 @@ from pyspark.sql import functions as F
 from ragtide.functions.like import contains_pattern, contains_pattern_literal, ilike_contains
 from ragtide.session import shared_table
 
-SKETCH = 1 << 18                  # counters; a gram's counter also names its bit
-HOT_ROWS = 100_000                # texts of a gram that one key takes
+SKETCH = 1 << 18                  # counters of a slice's grams
+HOT_ROWS = 100_000                # texts of a tile at most
+TEXT_BYTES, TILE_WORDS = 16 << 20, 10_000       # texts and keywords of a tile
+PAIR_BYTES = 4 << 20              # texts of a tile that returns all its pairs
+SLICE_CHARS, SLICE_MARKS = 1 << 20, 1 << 26     # of the texts handled at a time
 FOLDERS, ID_BLOCK, TEXT_BLOCKS = 256, 1 << 16, 16
 _SLICE = 2048                     # texts handled at a time
 EMPTY = np.uint64(0)
@@ -75,16 +81,9 @@ def all_grams(texts: list[str | None], short: bool = True):
         yield here, np.zeros(len(low), np.uint64)
 
 
-def text_grams(texts: list[str | None], short: bool = True, chosen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(text, gram) of the distinct grams of each text, only of those whose place in ``chosen`` is set."""
-    who, what = [], []
-    for w, g in all_grams(texts, short):
-        if chosen is not None:
-            hit = chosen[_at(g)]
-            w, g = w[hit], g[hit]
-        who.append(w)
-        what.append(g)
-    who, what = np.concatenate(who), np.concatenate(what)
+def text_grams(texts: list[str | None], short: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(text, gram) of the distinct grams of each text."""
+    who, what = (np.concatenate(x) for x in zip(*all_grams(texts, short)))
     order = np.lexsort((what, who))
     who, what = who[order], what[order]
     new = np.ones(len(who), bool)
@@ -121,91 +120,145 @@ def _at(grams: np.ndarray) -> np.ndarray:
     return (grams & _U(SKETCH - 1)).astype(np.int64)
 
 
-def gram_counts(corpus: DataFrame, text_col: str) -> np.ndarray:
-    """How often each counter's grams occur in the whole corpus, a bound of the texts that hold one.  Tasks'
-    counters are summed on executors; one table of fixed size reaches the driver."""
-    chunk = 1 << 12
-
-    def part(batches):
-        counts = np.zeros(SKETCH, np.int64)
-        for batch in batches:
-            for i in range(0, batch.num_rows, _SLICE):
-                for _, g in all_grams(batch.column(text_col).slice(i, _SLICE).to_pylist()):
-                    counts += np.bincount(_at(g), minlength=SKETCH)
-        full = [k for k in range(SKETCH // chunk) if counts[k * chunk: (k + 1) * chunk].any()]
-        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([zlib.compress(counts[k * chunk: (k + 1) * chunk].tobytes(), 1) for k in full], pa.binary())],
-                                         names=["k", "c"])
-
-    def total(batches):
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, c in zip(batch.column("k").to_pylist(), batch.column("c").to_pylist()):
-                sums[k] = sums.get(k, 0) + np.frombuffer(zlib.decompress(c), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["k", "c"])
-
-    out = np.zeros(SKETCH, np.int64)
-    parts = corpus.select(text_col).mapInArrow(part, "k int, c binary").repartition("k").mapInArrow(total, "k int, c binary")
-    for r in parts.toLocalIterator():
-        out[r["k"] * chunk: (r["k"] + 1) * chunk] = np.frombuffer(r["c"], np.int64)
-    return out
-
-
-def _salts(counts: np.ndarray, grams: np.ndarray) -> np.ndarray:
-    return np.maximum(1, -(-counts[_at(grams)] // HOT_ROWS))
+def like_regex(pattern: str) -> re.Pattern:
+    """The whole-text regex of a normalised LIKE pattern.  What stands between two ``%`` is taken at its first
+    place, for good: a later one leaves less room, so nothing is lost, and the search does not back up."""
+    parts, i = [""], 0
+    while i < len(pattern):
+        if pattern[i] == "\\" and i + 1 < len(pattern):
+            i += 1
+            parts[-1] += re.escape(pattern[i])
+        elif pattern[i] == "%":
+            parts.append("")
+        else:
+            parts[-1] += "." if pattern[i] == "_" else re.escape(pattern[i])
+        i += 1
+    inner = "".join(f"(?>.*?{x})" for x in parts[1:-1] if x)
+    return re.compile(parts[0] if len(parts) == 1 else f"{parts[0]}{inner}.*{parts[-1]}", re.S)
+
+
+class _Words:
+    """A tile's keywords: the grams of each and its test."""
+
+    def __init__(self, words: pa.Table):
+        self.tests = []
+        for word, low, pattern in zip(*(words.column(c).to_pylist() for c in ("keyword", "low", "pattern"))):
+            plain = not set(word) & set("%_\\")
+            # a plain keyword of up to three characters is its gram: nothing is left to verify
+            self.tests.append(like_regex(pattern).fullmatch if not plain else None if len(low) <= 3 else low)
+        per = [pattern_grams(p) for p in words.column("pattern").to_pylist()]
+        self.grams = np.concatenate(per)
+        self.owner = np.repeat(np.arange(len(per)), [len(g) for g in per])
+        self.first = np.flatnonzero(np.r_[True, self.owner[1:] != self.owner[:-1]])
+
+    def hits(self, texts: list[str]):
+        """(keyword's number, places of the texts that match, ascending) for every keyword found in a slice."""
+        pieces = list(all_grams(texts))
+        counts = sum(np.bincount(_at(g), minlength=SKETCH) for _, g in pieces)
+        mine = counts[_at(self.grams)]
+        least = np.minimum.reduceat(mine, self.first)
+        rare = np.flatnonzero((mine == least[self.owner]) & (mine > 0))
+        live, at = np.unique(self.owner[rare], return_index=True)      # keywords all of whose grams may be here
+        chosen, gram = np.unique(self.grams[rare[at]], return_inverse=True)
+        if not len(live):
+            return
+        slot = np.full(SKETCH, -1, np.int64)
+        slot[_at(chosen)] = np.arange(len(chosen))
+        held = np.zeros((len(chosen), len(texts)), bool)
+        for who, g in pieces:
+            k = slot[_at(g)]
+            near = k >= 0
+            who, g, k = who[near], g[near], k[near]
+            other = np.flatnonzero(chosen[k] != g)                     # of the same counter
+            k[other] = np.minimum(np.searchsorted(chosen, g[other]), len(chosen) - 1)
+            ok = chosen[k] == g
+            held[k[ok], who[ok]] = True
+        for word, k in zip(live.tolist(), gram.tolist()):
+            found, test = np.flatnonzero(held[k]), self.tests[word]
+            if isinstance(test, str):
+                found = np.array([i for i in found.tolist() if test in texts[i]], np.int64)
+            elif test is not None:
+                found = np.array([i for i in found.tolist() if test(texts[i])], np.int64)
+            if len(found):
+                yield word, found
+
+
+def _slices(texts: list[str], words: int):
+    """Runs [i, j) of texts of at most ``SLICE_CHARS`` together (a longer text is a run of its own) and a bounded number of marks."""
+    most, i, n = max(1, SLICE_MARKS // words), 0, 0
+    for j, t in enumerate(texts):
+        if j > i and (n + len(t) > SLICE_CHARS or j - i == most):
+            yield i, j
+            i, n = j, 0
+        n += len(t) + 1
+    if texts:
+        yield i, len(texts)
+
+
+def _tiles(corpus: DataFrame, words: DataFrame, summary, schema: str, text_bytes: int, id_col: str, text_col: str) -> DataFrame:
+    """``summary(words, ids, hits)`` of every tile; words: keyword, maybe more columns, a row for each keyword;
+    ids: the tile's, ascending; hits: (keyword's number, places in ids), a keyword's in ascending order."""
+    rows = (corpus.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
+            .select(F.col(id_col).cast("long").alias("id"), F.lower(text_col).alias("_text")))
+    words = shared_table(words.select("*", F.lower("keyword").alias("low"), F.lower(contains_pattern("keyword")).alias("pattern")), "keywords")
+
+    def sizes(df, col):
+        """Two numbers."""
+        r = next(iter(df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(col)), F.lit(0)).alias("b")).toLocalIterator()))
+        return r["n"], r["b"]
+
+    n, size = sizes(rows, "_text")
+    m, word_size = sizes(words, "pattern")
+    cores = corpus.sparkSession.sparkContext.defaultParallelism
+    tbs = max(1, -(-size // text_bytes), -(-n // HOT_ROWS), min(cores, -(-n // 1_000)))       # of a small set, a tile of some texts for every core
+    wbs = max(1, -(-m // TILE_WORDS), -(-word_size // TEXT_BYTES))
+    block = lambda n, *c: F.pmod(F.xxhash64(*c), F.lit(n)).cast("long")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+
+    def tile(words: pa.Table, texts: pa.Table) -> pa.Table:
+        if not words.num_rows or not texts.num_rows:
+            return summary(words, np.empty(0, np.int64), ())
+        order = np.argsort(texts.column("id").to_numpy(), kind="stable")
+        ids = texts.column("id").to_numpy()[order]
+        low = texts.column("_text").take(pa.array(order)).to_pylist()
+        asked = _Words(words)
+        return summary(words, ids, ((w, i + found) for i, j in _slices(low, words.num_rows) for w, found in asked.hits(low[i:j])))
+
+    left = words.withColumn("_wb", block(wbs, "keyword")).withColumn("_tb", every(tbs))
+    right = rows.withColumn("_tb", block(tbs, "id", "_text")).withColumn("_wb", every(wbs))
+    return left.groupBy("_wb", "_tb").cogroup(right.groupBy("_wb", "_tb")).applyInArrow(tile, schema)
 
 
 def gram_matches(corpus: DataFrame, keywords: DataFrame, *, id_col: str = "id", text_col: str = "corpus", kw_col: str = "keyword") -> DataFrame:
     """(keyword, id): every distinct keyword and every row whose text contains it by the ILIKE rules.
 
     Null and empty keywords and null texts match nothing; rows without an id take no part; ids are taken to be distinct."""
-    spark = corpus.sparkSession
-    rows = corpus.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.lower(text_col).alias("_text"))
-    counts = spark.sparkContext.broadcast(gram_counts(rows, "_text"))                     # SKETCH numbers, whatever the corpus
-    words = keywords.select(F.col(kw_col).alias("keyword")).where("keyword is not null and keyword <> ''").distinct()
-    words = words.select("keyword", F.lower("keyword").alias("low"), F.lower(contains_pattern("keyword")).alias("pattern"))
-
-    def sent(batches):
-        """Every keyword under its rarest gram, once for every salt."""
-        for batch in batches:
-            out = []
-            for w, low, p in zip(*(batch.column(c).to_pylist() for c in ("keyword", "low", "pattern"))):
-                g = pattern_grams(p)
-                g = g[np.argmin(counts.value[_at(g)])]
-                plain = not set(w) & set("%_\\")
-                kind = 0 if not plain else 2 if len(low) <= 3 else 1
-                out += [(w, low if plain else p, kind, int(g.view(np.int64)), s) for s in range(int(_salts(counts.value, np.array([g]))[0]))]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int32()))],
-                                                 names=["keyword", "needle", "kind", "gram", "salt"])
-
-    words = shared_table(words.mapInArrow(sent, "keyword string, needle string, kind int, gram long, salt int"), "keywords")
-
-    def bits(batches):
-        table = np.zeros(SKETCH, bool)
-        for batch in batches:
-            table[_at(batch.column("gram").to_numpy().view(np.uint64))] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(table).tobytes()], pa.binary())], names=["b"])
-
-    wanted = np.zeros(SKETCH // 8, np.uint8)
-    for r in words.select("gram").mapInArrow(bits, "b binary").toLocalIterator():         # a table of fixed size per task
-        wanted |= np.frombuffer(r["b"], np.uint8)
-    chosen = spark.sparkContext.broadcast(np.unpackbits(wanted).astype(bool))
+    def pairs(words, ids, hits):
+        hits = list(hits)
+        who = np.concatenate([np.empty(0, np.int64), *(x for _, x in hits)])
+        what = np.repeat(np.array([w for w, _ in hits], np.int64), [len(x) for _, x in hits])
+        return pa.table([words.column("keyword").take(pa.array(what)), pa.array(ids[who])], names=["keyword", "id"])
 
-    def held(batches):
-        """The grams of every text that some keyword may be sent under."""
-        for batch in batches:
-            for i in range(0, batch.num_rows, _SLICE):
-                piece = batch.slice(i, _SLICE)
-                who, what = text_grams(piece.column("_text").to_pylist(), chosen=chosen.value)
-                ids = piece.column("id").to_numpy()[who]
-                salt = (_mix(ids.view(np.uint64)) % _salts(counts.value, what).astype(np.uint64)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(what.view(np.int64)), pa.array(salt)], names=["id", "gram", "salt"])
-
-    met = rows.mapInArrow(held, "id long, gram long, salt int").join(words, ["gram", "salt"]).select("id", "keyword", "needle", "kind")
-    # a plain keyword of up to three characters is its gram: nothing is left to verify
-    ok = (F.when(F.col("kind") == 2, F.lit(True)).when(F.col("kind") == 1, F.contains("_text", F.col("needle")))
-          .otherwise(F.like(F.col("_text"), F.col("needle"))))
-    return met.join(rows.where("_text is not null").hint("shuffle_hash"), "id").where(ok).select("keyword", "id")
+    words = keywords.select(F.col(kw_col).alias("keyword")).where("keyword is not null and keyword <> ''").distinct()
+    return _tiles(corpus, words, pairs, "keyword string, id long", PAIR_BYTES, id_col, text_col)
+
+
+def gram_firsts(corpus: DataFrame, words: DataFrame, *, id_col: str = "id", text_col: str = "corpus") -> DataFrame:
+    """(keyword, n, ids): a tile's number of rows whose text contains the keyword and the first ``k`` of their ids, for
+    every tile that has some.  ``words``: keyword (not empty, each once), k; the rules are those of ``gram_matches``."""
+    def firsts(words, ids, hits):
+        k = words.column("k").to_numpy()
+        n, had, got = np.zeros(len(k), np.int64), [0] * len(k), [[] for _ in k]
+        for w, found in hits:
+            n[w] += len(found)
+            if had[w] < k[w]:
+                got[w].append(ids[found[: k[w] - had[w]]])
+                had[w] += len(got[w][-1])
+        some = np.flatnonzero(n)
+        return pa.table([words.column("keyword").take(pa.array(some)), pa.array(n[some]), pa.array([np.concatenate(got[w]) for w in some], pa.list_(pa.int64()))],
+                        names=["keyword", "n", "ids"])
+
+    return _tiles(corpus, words, firsts, "keyword string, n long, ids array<long>", TEXT_BYTES, id_col, text_col)
 
 
 # --- a stored corpus with its postings ------------------------------------------------

@@ -121,3 +121,32 @@ def test_jvm_ilike_and_batch_regex_agree(spark, texts, kws):
         for r in c.where(ilike_contains("corpus", w)).collect():
             want.add((q, r["id"]))
     assert got == want
+
+
+def test_no_pair_is_stored_or_shuffled(spark, monkeypatch):
+    """Keywords that match every row: what leaves the tiles is a row for each keyword, and only the keywords are stored."""
+    from ragtide.operators import grams
+    stored = []
+    monkeypatch.setattr(grams, "shared_table", lambda df, name: stored.append(name) or df)
+    c = spark.createDataFrame([(i, f"the row a {i} {'x' * 40}") for i in range(600)], "id long, corpus string")
+    k = spark.createDataFrame([(1, "the", 3), (2, "row", 1), (3, "w a", 2), (4, "%ROW_", 9), (5, "the", 9)], "qid long, keyword string, k long")
+    tiles = grams.gram_firsts(c, k.where("qid < 5").select("keyword", "k"))
+    assert tiles.groupBy("keyword").agg(F.sum("n").alias("n")).select("n").distinct().collect() == [(600,)]
+    assert tiles.where("size(ids) <> least(n, case keyword when 'the' then 3 when 'row' then 1 when 'w a' then 2 else 9 end)").count() == 0
+    out = keyword.keyword_batch(c, k, limit_col="k").collect()
+    assert {(r["qid"], r["rank"], r["id"], r["matches"]) for r in out} == {(q, i + 1, i, 600) for q, n in ((1, 3), (2, 1), (3, 2), (4, 9), (5, 9)) for i in range(n)}
+    assert set(stored) == {"keywords"} and not hasattr(keyword, "shared_table")
+
+
+def test_slices_and_blocks_of_a_tile_give_same_answer(spark, monkeypatch):
+    from ragtide.operators import grams
+    texts = ["the cat sat", "Concatenate THE strings", "a_b c", "100% über", "x\0y", "", "line\nbreak cat", "\\ back"] * 4
+    c = spark.createDataFrame([(i * 7 % 32, t) for i, t in enumerate(texts)] + [(99, None), (None, "cat")], "id long, corpus string")
+    kws = ["cat", "the", "a\\_b", "a_b", "über", "%", "_", "e%cat", "0\\%", "x\0y", "back\\", "the%sat", "s%t%c", "zzz"]
+    k = spark.createDataFrame([(i, w) for i, w in enumerate(kws)], "qid long, keyword string")
+    want = {(q, r["id"]) for q, w in enumerate(kws) for r in c.where("id is not null").where(ilike_contains("corpus", w)).collect()}
+    for name, size in (("SLICE_CHARS", 9), ("SLICE_MARKS", 20), ("TILE_WORDS", 3), ("SKETCH", 4)):
+        monkeypatch.setattr(grams, name, size)
+        assert {tuple(r) for r in keyword.keyword_matches(c, k).collect()} == want, name
+    many = keyword.keyword_batch(c, k, limit=40).collect()
+    assert {(r["qid"], r["id"]) for r in many} == want and all(r["matches"] == sum(q == r["qid"] for q, _ in want) for r in many)
