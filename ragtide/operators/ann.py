@@ -31,6 +31,7 @@ from ragtide.operators.tiles import BLOCK_BYTES, Q_COLS, matrix, tile_topk, unit
 from ragtide.operators.topk import answers, distinct_queries, finite_vector, topk_batch
 
 MIN_RECALL, SAMPLE_QUERIES = 0.9, 256
+PROBE_ENTRIES = 1_000_000                     # queries x centroids compared at a time
 MIN_CLUSTERS, ROWS_PER_CENTROID = 40, 50      # training rows a centroid has at least, beyond MIN_CLUSTERS
 
 
@@ -82,17 +83,21 @@ def _probed(q: DataFrame, idx: ClusterIndex, nprobe: int) -> DataFrame:
     dim, p = idx.centroids.shape[1], min(nprobe, idx.centroids.shape[0])
     bc = q.sparkSession.sparkContext.broadcast(idx.centroids)      # bounded by build_index's max_train_rows
 
+    step = max(1, PROBE_ENTRIES // idx.centroids.shape[0])
+
     def run(batches):
         for batch in batches:
-            for s in range(0, batch.num_rows, 4096):
-                rows = batch.slice(s, 4096)
+            for s in range(0, batch.num_rows, step):
+                rows = batch.slice(s, step)
                 unit, _ = unit_rows(matrix(pa.chunked_array([rows.column("_v")]), dim))
                 near = np.argsort(-(unit @ bc.value.T), axis=1, kind="stable")[:, :p].astype(np.int64)
-                each = rows.take(pa.array(np.repeat(np.arange(rows.num_rows), p)))
-                yield pa.RecordBatch.from_arrays([*each.columns, pa.array(near.ravel())], names=[*each.schema.names, "_cell"])
+                cells = pa.ListArray.from_arrays(np.arange(rows.num_rows + 1, dtype=np.int32) * p, near.ravel())
+                yield pa.RecordBatch.from_arrays([*rows.columns, cells], names=[*rows.schema.names, "_cells"])
 
-    return (q.where(F.size("_v") == dim).select(*Q_COLS, "_v")
-            .mapInArrow(run, "qid long, _q long, _k int, _copies long, _v array<double>, _cell long"))
+    # the vector leaves Python once, however many clusters it probes
+    near = (q.where(F.size("_v") == dim).select(*Q_COLS, "_v")
+            .mapInArrow(run, "qid long, _q long, _k int, _copies long, _v array<double>, _cells array<long>"))
+    return near.select(*Q_COLS, "_v", F.explode("_cells").alias("_cell"))
 
 
 def _clustered(rows: DataFrame, vec_col: str) -> DataFrame:

@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 16 * 1024 * 1024
-# entries of one scored block (rows x queries) kept in memory at a time
-BLOCK_ENTRIES = 4_000_000
+# queries and rows of one scored block, kept in memory at a time; rows of a query set's first block
+QUERIES, ROWS, FIRST_ROWS = 256, 2_048, 128
 
 
 def topk_mask(score: np.ndarray, kk: int) -> np.ndarray:
@@ -48,23 +48,88 @@ def unit_rows(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return m / np.where(zero, 1.0, norms)[:, None], zero
 
 
-def cosine_scores(rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
-    """Rows x queries; 0 where either vector is zero."""
-    a, a0 = unit_rows(rows)
-    b, b0 = unit_rows(queries)
-    score = a @ b.T
-    score[a0, :] = 0.0
-    score[:, b0] = 0.0
-    return score
-
-
-def l2_scores(rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
-    """Rows x queries: negative distances."""
-    d2 = (np.einsum("ij,ij->i", rows, rows)[:, None] - 2.0 * (rows @ queries.T) + np.einsum("ij,ij->i", queries, queries)[None, :])
-    return -np.sqrt(np.maximum(d2, 0.0))
-
-
-SCORES = {"cosine": cosine_scores, "l2": l2_scores}
+class Cosine:
+    """Cosines of all queries and rows, a block at a time; 0 where either vector is zero."""
+
+    def __init__(self, queries: np.ndarray, rows: np.ndarray):
+        (self.q, self.q0), (self.r, self.r0) = unit_rows(queries), unit_rows(rows)
+
+    def raw(self, q: slice, r: slice) -> np.ndarray:
+        """Queries x rows, in the order of the scores."""
+        out = self.q[q] @ self.r[r].T
+        out[self.q0[q], :] = 0.0
+        if self.r0[r].any():
+            out[:, self.r0[r]] = 0.0
+        return out
+
+    def score(self, raw: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """The scores themselves; ``of``: their queries."""
+        return raw
+
+    def bound(self, score: np.ndarray, of: slice) -> np.ndarray:
+        """For each query a raw value that whatever scores above ``score`` is above."""
+        return score
+
+
+class L2:
+    """Negative distances; raw: twice the dot product less the row's square, so only the few in question take a root."""
+
+    def __init__(self, queries: np.ndarray, rows: np.ndarray):
+        self.q, self.r = 2.0 * queries, rows
+        self.qq, self.rr = np.einsum("ij,ij->i", queries, queries), np.einsum("ij,ij->i", rows, rows)
+
+    def raw(self, q: slice, r: slice) -> np.ndarray:
+        out = self.q[q] @ self.r[r].T
+        out -= self.rr[r]
+        return out
+
+    def score(self, raw: np.ndarray, of: np.ndarray) -> np.ndarray:
+        return -np.sqrt(np.maximum(self.qq[of] - raw, 0.0))
+
+    def bound(self, score: np.ndarray, of: slice) -> np.ndarray:
+        far = score * score
+        return self.qq[of] - far - 1e-14 * (self.qq[of] + far) - 1e-300      # lower by more than the sums and the root can round
+
+
+METRICS = {"cosine": Cosine, "l2": L2}
+
+
+def best(queries: np.ndarray, rows: np.ndarray, ks: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, score) of the best ``ks`` rows of every query, ties going to the lower rows.
+
+    Blocks of rows are scored in ascending order; beyond the first, only what is above the query's
+    ``ks``-th best score so far is looked at: a later row of the same score is no better."""
+    m = METRICS[metric](queries, rows)
+    out = []
+    for lo in range(0, len(queries), QUERIES):
+        q = slice(lo, min(lo + QUERIES, len(queries)))
+        k = ks[q]
+        least, who, row, sc = np.full(len(k), -np.inf), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        at, size = 0, FIRST_ROWS
+        while at < len(rows):
+            r = slice(at, min(at + size, len(rows)))
+            raw, n = m.raw(q, r), r.stop - at
+            hit = raw > m.bound(least, q)[:, None]
+            if 8 * np.count_nonzero(hit) > hit.size:                 # the first block, or rows ever nearer
+                score = m.score(raw, np.arange(lo, q.stop)[:, None])
+                hit = topk_mask(score.T, int(k.max())).T & (score > least[:, None])
+            w, i = np.divmod(np.flatnonzero(hit), n)
+            s = m.score(raw[w, i], lo + w)
+            above = s > least[w]
+            w, i, s = w[above], i[above], s[above]
+            if len(w):
+                who, row, sc = np.concatenate([who, w]), np.concatenate([row, at + i]), np.concatenate([sc, s])
+                order = np.lexsort((row, -sc, who))
+                first = np.searchsorted(who[order], np.arange(len(k)))
+                rank = np.arange(len(order)) - first[who[order]]
+                keep = order[rank < k[who[order]]]
+                who, row, sc = who[keep], row[keep], sc[keep]
+                n_of = np.bincount(who, minlength=len(k))
+                full = np.flatnonzero(n_of >= k)
+                least[full] = sc[np.cumsum(n_of)[full] - 1]
+            at, size = r.stop, min(2 * size, ROWS)
+        out.append((lo + who, row, sc))
+    return tuple(np.concatenate([np.empty(0, t), *x]) for x, t in zip(zip(*out), (np.int64, np.int64, float)))
 
 
 def matrix(col: pa.ChunkedArray, dim: int) -> np.ndarray:
@@ -85,25 +150,14 @@ def _tile(metric: str):
         if not queries.num_rows or not corpus.num_rows:
             return schema.empty_table()
         ids = corpus.column("id").to_numpy()
-        order = np.argsort(ids, kind="stable")              # in id order, so ties at the cut keep the lowest ids
-        ids, own = ids[order], corpus.column("_row").to_numpy()[order]
+        own = corpus.column("_row").to_numpy()
+        order = np.lexsort((own, ids))                      # in id order, so ties at the cut keep the lowest ids
+        ids, own = ids[order], own[order]
         vectors = matrix(queries.column("_v"), len(queries.column("_v")[0]))
         rows = matrix(corpus.column("_v"), vectors.shape[1])[order]
         fine = np.isfinite(rows).all(axis=1)                 # a null component reads as NaN
         rows, ids, own = rows[fine], ids[fine], own[fine]
-        ks = queries.column("_k").to_numpy()
-        at, row, sim = [], [], []
-        step = max(1, BLOCK_ENTRIES // max(1, len(ids)))
-        for s in range(0, len(ks) if len(ids) else 0, step):
-            scores = SCORES[metric](rows, vectors[s: s + step])
-            k = ks[s: s + step]
-            for kk in np.unique(k):                          # queries of one k together
-                mine = np.flatnonzero(k == kk)
-                r, c = np.nonzero(topk_mask(scores[:, mine], int(kk)))
-                at.append(s + mine[c])
-                row.append(r)
-                sim.append(scores[r, mine[c]])
-        at, row, sim = (np.concatenate([np.empty(0, t), *x]) for x, t in ((at, np.int64), (row, np.int64), (sim, float)))
+        at, row, sim = best(vectors, rows, queries.column("_k").to_numpy(), metric)
         n = len(at)
         mine = queries.select(Q_COLS).take(pa.array(at))
         return pa.table([*mine.columns, pa.array(ids[row]), pa.array(own[row]), pa.array(sim),

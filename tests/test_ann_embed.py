@@ -139,3 +139,23 @@ def test_ann_zero_query_gets_its_rows(spark):
     near = ann.ann_topk(c, q, 4, n_clusters=3, nprobe=3).select("qid", "rank", "id").collect()
     assert sorted(map(tuple, near)) == sorted(map(tuple, topk.topk_batch(c, q, 4).select("qid", "rank", "id").collect()))
     assert len(near) == 8
+
+
+def test_probed_vectors_leave_python_once(spark, capsys):
+    """A query's clusters are exploded by Spark, so a Python worker holds a query's vector once, however many clusters it probes."""
+    import numpy as np
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(300, 4)))] + [(300, [0.0] * 4)]
+    v = spark.createDataFrame(rows, "id long, embedding array<double>")
+    idx = ann.build_index(v, 6)
+    q = ann.distinct_queries(v.withColumnRenamed("id", "qid"), F.lit(3), "qid", "embedding")
+    p = ann._probed(q, idx, 4)
+    p.explain()
+    plan = capsys.readouterr().out
+    assert "explode(_cells" in plan
+    got = {}
+    for r in p.collect():
+        got.setdefault(r["qid"], []).append(r["_cell"])
+    for i, vec in rows:
+        near = np.argsort(-(np.array(vec) / (np.linalg.norm(vec) or 1.0) @ idx.centroids.T), kind="stable")[:4]
+        assert sorted(got[i]) == sorted(near.tolist())

@@ -235,3 +235,37 @@ def test_validity_takes_finite_numbers_alone(spark):
     rows = [("[1,2]", True), ("[1,NaN]", False), ("[Infinity,1]", False), ("[-Infinity]", False), ("[1,x]", False)]
     df = spark.createDataFrame(rows, "s string, want boolean").select("want", vector_is_valid(parse_vector("s")).alias("ok"))
     assert all(r["ok"] == r["want"] for r in df.collect())
+
+
+def test_best_equals_a_full_sort(monkeypatch):
+    """Copies, zero vectors, differing k, rows that come ever nearer, several blocks: as a sort of all scores; most of them are not looked at."""
+    rng = np.random.default_rng(3)
+    rows = rng.integers(-2, 3, size=(700, 4)).astype(float)
+    rows[40:300] = rows[5]
+    rows[9] = 0
+    near = np.sort(rng.random(700))[::-1, None] * [1.0, 2.0, 3.0, 4.0]
+    queries = np.concatenate([rows[:60], np.zeros((1, 4)), rng.normal(size=(30, 4))])
+    ks = rng.integers(1, 9, len(queries))
+    seen, mask = [], tiles.topk_mask
+    monkeypatch.setattr(tiles, "topk_mask", lambda score, kk: seen.append(score.size) or mask(score, kk))
+    for size in (1, 7, 64, 5000):
+        monkeypatch.setattr(tiles, "QUERIES", size)
+        monkeypatch.setattr(tiles, "ROWS", 3 * size)
+        for corpus in (rows, near, rows[:3], rows[:0]):
+            for metric in ("cosine", "l2"):
+                m = tiles.METRICS[metric](queries, corpus)
+                everything = slice(0, None)
+                score = m.score(m.raw(everything, everything), np.arange(len(queries))[:, None])
+                at, row, sim = tiles.best(queries, corpus, ks, metric)
+                got = sorted(zip(at.tolist(), (-np.round(sim, 9)).tolist()))
+                want = sorted((q, -s) for q in range(len(ks)) for s in np.round(np.sort(score[q])[::-1][: ks[q]], 9).tolist())
+                assert np.allclose(np.array(got).reshape(-1, 2), np.array(want).reshape(-1, 2)) and np.allclose(sim, score[at, row])
+    monkeypatch.undo()
+    monkeypatch.setattr(tiles, "topk_mask", lambda score, kk: seen.append(score.size) or mask(score, kk))
+    seen.clear()
+    rows, queries = rng.normal(size=(20_000, 8)), rng.normal(size=(300, 8))
+    at, row, _ = tiles.best(queries, rows, np.full(300, 5), "l2")
+    assert sum(seen) < rows.shape[0] * queries.shape[0] / 50
+    far = ((queries[:, None] - rows[None]) ** 2).sum(axis=2)
+    want = np.argsort(far, axis=1, kind="stable")[:, :5]
+    assert {(q, r) for q, w in enumerate(want) for r in w} == set(zip(at, row))
