@@ -210,7 +210,7 @@ def _tiles(corpus: DataFrame, words: DataFrame, summary, schema: str, text_bytes
     n, size = sizes(rows, "_text")
     m, word_size = sizes(words, "pattern")
     cores = corpus.sparkSession.sparkContext.defaultParallelism
-    tbs = max(1, -(-size // text_bytes), -(-n // HOT_ROWS), min(cores, -(-n // 1_000)))       # of a small set, a tile of some texts for every core
+    tbs = max(1, -(-size // text_bytes), -(-n // HOT_ROWS), min(4 * cores, -(-n // 1_000)))   # of a small set, some tiles of some texts for every core
     wbs = max(1, -(-m // TILE_WORDS), -(-word_size // TEXT_BYTES))
     block = lambda n, *c: F.pmod(F.xxhash64(*c), F.lit(n)).cast("long")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
