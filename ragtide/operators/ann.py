@@ -3,9 +3,10 @@ default everywhere else).
 
 Index: ``pyspark.ml`` KMeans with cosine distance, trained on a bounded
 sample of the corpus (every row is still assigned and searchable).  Search:
-a query becomes one row for each of its ``nprobe`` nearest centroids, and the tile join
-(``operators.tiles``) brings these rows and the clusters' rows together, a large
-cluster in several tiles.  No query reaches the driver.
+clusters are gathered into cells of a block of rows, and the tile join (``operators.tiles``)
+brings a cell's rows and the queries together that probe some of its clusters,
+a large cluster in several tiles.  A query travels once to each such cell, with a bit for
+each of the cell's clusters: whether it is among the query's ``nprobe`` nearest.  No query reaches the driver.
 Unless given, the cluster count grows with the corpus and ``nprobe`` is chosen
 by ``choose_nprobe``: recall measured against exact search on a query sample.
 Report the scanned share beside recall (``scanned_share``).
@@ -25,13 +26,16 @@ from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from ragtide.functions.vector import as_double_array
-from ragtide.operators.tiles import BLOCK_BYTES, Q_COLS, matrix, tile_topk, unit_rows
+from ragtide.operators.tiles import Q_COLS, matrix, tiled, topk_mask, unit_rows
 from ragtide.operators.topk import answers, distinct_queries, finite_vector, topk_batch
 
 MIN_RECALL, SAMPLE_QUERIES = 0.9, 256
 PROBE_ENTRIES = 1_000_000                     # queries x centroids compared at a time
+BLOCK_BYTES = 64 * 1024 * 1024                # a cell's vectors as doubles, and a query block's
+TILES = 3                                     # tiles a core of a small set
 MIN_CLUSTERS, ROWS_PER_CENTROID = 40, 50      # training rows a centroid has at least, beyond MIN_CLUSTERS
 
 
@@ -77,32 +81,77 @@ def build_index(corpus: DataFrame, n_clusters: int | None = None, *, vec_col: st
     return ClusterIndex(model, np.vstack(model.clusterCenters()))
 
 
-def _probed(q: DataFrame, idx: ClusterIndex, nprobe: int) -> DataFrame:
-    """The queries of ``distinct_queries``, each once for every one of its ``nprobe`` nearest
-    clusters (``_cell``).  A zero query ties with every centroid and probes the first ones."""
-    dim, p = idx.centroids.shape[1], min(nprobe, idx.centroids.shape[0])
+def _cells(sizes: np.ndarray, block_rows: int, cores: int) -> np.ndarray:
+    """For every cluster the first cluster of its cell.  Cells are runs of clusters of about equally many rows together, a
+    block at most unless one cluster has more; of a small corpus enough for ``TILES`` tiles a core with as many query blocks."""
+    total = int(sizes.sum())
+    n = max(1, -(-10 * total // (9 * block_rows)), min(math.isqrt(TILES * cores - 1) + 1, -(-total // 1_000)))
+    middle = np.cumsum(sizes) - sizes / 2
+    cell = np.minimum((middle * n / max(total, 1)).astype(np.int64), n - 1)
+    return np.searchsorted(cell, cell)
+
+
+def _probed(q: DataFrame, idx: ClusterIndex, nprobe: int, cell: np.ndarray | None = None, kind: str = "array<double>") -> DataFrame:
+    """The queries of ``distinct_queries``, each once for every cell (``_cell``) with some of its ``nprobe`` nearest
+    clusters; ``_in`` has a bit for each cluster of the cell.  ``cell`` gives every cluster the first cluster of its
+    cell, a cluster is a cell of its own otherwise.  A zero query ties with every centroid and probes the first ones."""
+    n, dim = idx.centroids.shape
+    p, cell = min(nprobe, n), np.arange(n) if cell is None else cell
     bc = q.sparkSession.sparkContext.broadcast(idx.centroids)      # bounded by build_index's max_train_rows
 
-    step = max(1, PROBE_ENTRIES // idx.centroids.shape[0])
+    first = np.unique(cell)
+    width = -(-int(np.diff([*first, n]).max()) // 8)               # bytes of a cell's clusters
+    bit = np.searchsorted(first, cell) * 8 * width + np.arange(n) - cell
+    step = max(1, PROBE_ENTRIES // max(n, len(first) * width))
 
     def run(batches):
         for batch in batches:
             for s in range(0, batch.num_rows, step):
                 rows = batch.slice(s, step)
                 unit, _ = unit_rows(matrix(pa.chunked_array([rows.column("_v")]), dim))
-                near = np.argsort(-(unit @ bc.value.T), axis=1, kind="stable")[:, :p].astype(np.int64)
-                cells = pa.ListArray.from_arrays(np.arange(rows.num_rows + 1, dtype=np.int32) * p, near.ravel())
-                yield pa.RecordBatch.from_arrays([*rows.columns, cells], names=[*rows.schema.names, "_cells"])
-
-    # the vector leaves Python once, however many clusters it probes
-    near = (q.where(F.size("_v") == dim).select(*Q_COLS, "_v")
-            .mapInArrow(run, "qid long, _q long, _k int, _copies long, _v array<double>, _cells array<long>"))
-    return near.select(*Q_COLS, "_v", F.explode("_cells").alias("_cell"))
-
-
-def _clustered(rows: DataFrame, vec_col: str) -> DataFrame:
-    return rows.where(F.col("id").isNotNull()).select("id", F.xxhash64("id").alias("_row"), as_double_array(vec_col).alias("_v"),
-                                                      F.col("cluster").cast("long").alias("_cell"))
+                near = np.zeros((rows.num_rows, len(first) * 8 * width), dtype=bool)
+                near[:, bit] = topk_mask((unit @ bc.value.T).T, p).T
+                near = np.packbits(near, axis=1).reshape(rows.num_rows, len(first), width)
+                hit = near.any(axis=2)
+                near, ends = near[hit], np.r_[0, np.cumsum(hit.sum(axis=1))].astype(np.int32)
+                bits = pa.Array.from_buffers(pa.binary(), len(near), [None, pa.py_buffer(np.arange(len(near) + 1, dtype=np.int32) * np.int32(width)), pa.py_buffer(near.tobytes())])
+                cells = pa.StructArray.from_arrays([pa.array(np.broadcast_to(first, hit.shape)[hit].astype(np.int64)), bits], names=["cell", "clusters"])
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.ListArray.from_arrays(ends, cells)], names=[*rows.schema.names, "_cells"])
+
+    # the vector leaves Python once, however many cells it probes
+    near = (q.where(F.size("_v") == dim).select(*Q_COLS, F.col("_v").cast(kind).alias("_v"))
+            .mapInArrow(run, f"qid long, _q long, _k int, _copies long, _v {kind}, _cells array<struct<cell: long, clusters: binary>>"))
+    near = near.select(*Q_COLS, "_v", F.explode("_cells").alias("_in"))
+    return near.select(*Q_COLS, "_v", F.col("_in.cell").alias("_cell"), F.col("_in.clusters").alias("_in"))
+
+
+def _kind(df: DataFrame, col: str) -> str:
+    """Vectors travel as floats if that is what they are: half the bytes, the same numbers."""
+    t = df.select(col).schema[0].dataType
+    return "array<float>" if isinstance(t.elementType, FloatType) else "array<double>"
+
+
+def _search(rows: DataFrame, vec_col: str, q: DataFrame, q_kind: str, idx: ClusterIndex, nprobe: int, block_bytes: int) -> DataFrame:
+    """``tile_topk`` of the rows (id, the vector, cluster) and the queries of ``distinct_queries``.  Clusters are gathered into cells of about
+    ``block_bytes`` of vectors as doubles: a query travels once to a cell and not once to each of its clusters there, and a
+    tile gives its best rows of all of them.  One number for each cluster reaches the driver."""
+    rows = rows.where(F.col("id").isNotNull())
+    spark, (n, dim) = rows.sparkSession, idx.centroids.shape
+    sizes = np.zeros(n, dtype=np.int64)
+    for r in rows.groupBy("cluster").count().collect():
+        sizes[r["cluster"]] = r["count"]
+    block_rows, cores = max(1, block_bytes // (8 * dim)), spark.sparkContext.defaultParallelism
+    cell = _cells(sizes, block_rows, cores)
+    of = spark.createDataFrame(list(zip(range(n), cell.tolist())), "cluster int, _cell long")
+    c = rows.join(F.broadcast(of), "cluster").select("id", F.xxhash64("id").alias("_row"), F.col(vec_col).cast(_kind(rows, vec_col)).alias("_v"),
+                                                    "_cell", (F.col("cluster") - F.col("_cell")).cast("int").alias("_at"))
+    q = _probed(q, idx, nprobe, cell, q_kind)
+    blocks = {int(x): -(-int(sizes[cell == x].sum()) // block_rows) for x in np.unique(cell[sizes > 0])}
+    cells = spark.createDataFrame(list(blocks.items()), "_cell long, _cbs long")
+    small = -(-TILES * cores // max(1, sum(blocks.values())))
+    cells = q.groupBy("_cell").count().join(F.broadcast(cells), "_cell")
+    cells = cells.select("_cell", "_cbs", F.greatest(F.ceil(F.col("count") / block_rows), F.least(F.lit(small), F.ceil(F.col("count") / 1_000))).cast("long").alias("_qbs"))
+    return tiled(c, q, "cosine", cells, max(blocks.values(), default=1) == 1)
 
 
 def choose_nprobe(corpus: DataFrame, queries: DataFrame, index: ClusterIndex, k: int = 5, *, min_recall: float = MIN_RECALL,
@@ -157,8 +206,8 @@ def ann_topk(corpus: DataFrame, queries: DataFrame, k: int = 5, *, index: Cluste
     dim = idx.centroids.shape[1]
     assigned = idx.assign(corpus.where(F.col(vec_col).isNotNull() & (F.size(vec_col) == dim) & finite_vector(vec_col))
                           .select(F.col(id_col).cast("long").alias("id"), vec_col), vec_col)
-    q = _probed(distinct_queries(queries, F.lit(int(k)), qid_col, qvec_col), idx, nprobe)
-    return answers(tile_topk(_clustered(assigned, vec_col), q, "cosine", block_bytes), id_col)
+    q = distinct_queries(queries, F.lit(int(k)), qid_col, qvec_col)
+    return answers(_search(assigned, vec_col, q, _kind(queries, qvec_col), idx, nprobe, block_bytes), id_col)
 
 
 # --- stored, cluster-partitioned corpus --------------------------------------
@@ -209,10 +258,10 @@ def ann_topk_stored(spark, path: str, index: ClusterIndex, queries: DataFrame, k
     stored = spark.read.parquet(path)
     if nprobe is None:
         nprobe = choose_nprobe(stored.drop("cluster"), queries, index, int(k), vec_col=vec_col, qid_col=qid_col, qvec_col=qvec_col)
-    q = _probed(distinct_queries(queries, F.lit(int(k)), qid_col, qvec_col), index, nprobe)
-    cells = sorted(r["_cell"] for r in q.select("_cell").distinct().collect())
+    q = distinct_queries(queries, F.lit(int(k)), qid_col, qvec_col)
+    cells = sorted(r["_cell"] for r in _probed(q, index, nprobe).select("_cell").distinct().collect())
     rows = stored.where(F.col("cluster").isin(cells)).select(F.col("id").cast("long").alias("id"), vec_col, "cluster")
-    return answers(tile_topk(_clustered(rows, vec_col), q, "cosine", block_bytes), id_col)
+    return answers(_search(rows, vec_col, q, _kind(queries, qvec_col), index, nprobe, block_bytes), id_col)
 
 
 def scanned_share(corpus: DataFrame, index: ClusterIndex, queries_probes: int, *, vec_col="embedding") -> float:

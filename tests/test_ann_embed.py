@@ -159,3 +159,93 @@ def test_probed_vectors_leave_python_once(spark, capsys):
     for i, vec in rows:
         near = np.argsort(-(np.array(vec) / (np.linalg.norm(vec) or 1.0) @ idx.centroids.T), kind="stable")[:4]
         assert sorted(got[i]) == sorted(near.tolist())
+
+
+def _vectors(spark, n=600, dim=6):
+    """Vectors with copies under other ids and under the same id, and zero ones."""
+    import numpy as np
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(n, dim)).astype(np.float32)
+    v[100:160], v[200:203] = v[7], 0
+    ids = [5 if 300 <= i < 320 else 10 * i for i in range(n)]
+    rows = [(i, [float(x) for x in vec]) for i, vec in zip(ids, v)]
+    return rows, spark.createDataFrame(rows, "id long, embedding array<float>").repartition(3)
+
+
+def test_a_query_travels_once_to_a_cell_of_clusters(spark, monkeypatch):
+    """What leaves the tiles grows with the cells, not with the clusters that a query probes."""
+    from ragtide.operators import tiles
+    _, v = _vectors(spark)
+    q = v.where("id > 5").select(F.col("id").alias("qid"), "embedding")
+    seen, ranked = [], tiles._ranked
+    monkeypatch.setattr(tiles, "_ranked", lambda cand, by: seen.append(cand) or ranked(cand, by))
+    idx = ann.build_index(v, 30)
+    ann.ann_topk(v, q, 3, index=idx, nprobe=20)
+    assert seen[0].count() <= 580 * 3 * 2, seen[0].count()       # before, nearly 580 x 20 x 3
+    assert seen[0].select("qid", "_cell").distinct().count() <= 580 * 2
+
+
+def test_probed_clusters_in_cells_equal_numpy(spark, monkeypatch):
+    """Every query is answered from the clusters it probes alone, whatever cells and blocks they are dealt to."""
+    import numpy as np
+    rows, v = _vectors(spark)
+    idx = ann.build_index(v, 12)
+    ids, m = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], dtype=np.float32).astype(float)
+    at = {(r["id"], tuple(r["embedding"])): r["cluster"] for r in idx.assign(v).collect()}
+    cluster = np.array([at[r[0], tuple(np.float32(r[1]).astype(float))] for r in rows])
+    unit = m / np.maximum(np.linalg.norm(m, axis=1), 1e-30)[:, None]
+    near = np.argsort(-(unit @ idx.centroids.T), axis=1, kind="stable")[:, :5]
+    asked = [i for i in range(0, 600, 7) if ids[i] > 5] + [100, 201]
+    q = spark.createDataFrame([(i, rows[i][1]) for i in dict.fromkeys(asked)], "qid long, embedding array<double>")
+    want = {}
+    for i in asked:
+        score = np.where(np.isin(cluster, near[i]), unit @ unit[i], -9)
+        want[i] = [round(float(x), 9) for x in np.sort(score)[::-1][:4] if x > -9]
+    for cores, block in ((1, 1 << 20), (30, 1 << 20), (1, 100 * 48), (1, 20 * 48)):      # one cell, small ones, cells of blocks, clusters of several blocks
+        monkeypatch.setattr(ann, "TILES", cores)
+        got, first = {}, {}
+        for r in ann.ann_topk(v, q, 4, index=idx, nprobe=5, block_bytes=block).orderBy("qid", "rank").collect():
+            got.setdefault(r["qid"], []).append(round(r["similarity"], 9))
+            first.setdefault(r["qid"], []).append(r["id"])
+        assert got == want
+        assert first[100] == [70, 1000, 1010, 1020]            # equal vectors: by id
+        assert first[201] == sorted(ids[np.isin(cluster, near[201])].tolist())[:4]
+
+
+def test_best_of_parts_equals_a_full_sort():
+    """Each query against the rows of its parts; equal rows of several parts, a part that nobody asks for, an empty set."""
+    import numpy as np
+    from ragtide.operators import tiles
+    rng = np.random.default_rng(6)
+    rows = rng.integers(-2, 3, size=(900, 4)).astype(np.float32)
+    queries = np.concatenate([rows[:50], np.zeros((2, 4)), rng.normal(size=(500, 4))]).astype(np.float32)
+    ks, at = rng.integers(1, 7, len(queries)), rng.choice([0, 1, 3, 8, 11], 900)
+    asks = rng.random((len(queries), 12)) < 0.4
+    asks[:, 8] = False
+    for metric in ("cosine", "l2"):
+        parts = tiles.Parts(at, np.packbits(asks, axis=1))
+        who, place, sim = tiles.best(queries, rows[parts.place], ks, metric, parts)
+        m = tiles.METRICS[metric](queries, rows)
+        score = np.round(m.score(m.raw(slice(None), slice(None)), np.arange(len(queries))[:, None]), 9)
+        score[~asks[:, at]] = -np.inf
+        for i, k in enumerate(ks):
+            mine = place[who == i]
+            kept = np.argsort(-score[i], kind="stable")[:k]
+            kept = kept[score[i][kept] > -np.inf]
+            assert np.allclose(score[i][mine], score[i][kept])
+            if metric == "l2" and i < 50:
+                assert mine.tolist() == kept.tolist()            # whole numbers: equal distances are equal, so by place
+    parts = tiles.Parts(at[:0], np.packbits(asks, axis=1))
+    assert [len(x) for x in tiles.best(queries, rows[:0], ks, "cosine", parts)] == [0, 0, 0]
+
+
+def test_cells_hold_runs_of_clusters():
+    import numpy as np
+    rng = np.random.default_rng(7)
+    for sizes in (rng.integers(0, 90, 300), np.array([0, 0, 5000, 1, 0]), np.zeros(4, int), np.array([7])):
+        for block, cores in ((10_000, 6), (700, 1), (1, 1)):
+            cell = ann._cells(sizes, block, cores)
+            assert (np.diff(cell) >= 0).all() and (cell[cell] == cell).all() and (cell <= np.arange(len(cell))).all()
+            of = np.bincount(cell, sizes)
+            assert (of <= np.maximum(block, sizes.max() + block)).all()
+    assert len(np.unique(ann._cells(np.full(400, 1000), 131_072, 6))) == 5
