@@ -34,7 +34,7 @@ from ragtide.operators.topk import answers, distinct_queries, finite_vector, top
 
 MIN_RECALL, SAMPLE_QUERIES = 0.9, 256
 PROBE_ENTRIES = 1_000_000                     # queries x centroids compared at a time
-BLOCK_BYTES = 64 * 1024 * 1024                # a cell's vectors as doubles, and a query block's
+BLOCK_BYTES = 48 * 1024 * 1024                # a cell's vectors as doubles, and a query block's
 TILES = 3                                     # tiles a core of a small set
 MIN_CLUSTERS, ROWS_PER_CENTROID = 40, 50      # training rows a centroid has at least, beyond MIN_CLUSTERS
 
